@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from cairn.llm import simhash
+from cairn.llm import huffman, langid, linededup, packing, simhash, warc
 
 
 def queries() -> dict:
-    return {"op1_simhash": simhash.op1_simhash}
+    return {
+        "op1_simhash": simhash.op1_simhash,
+        "op2_langid": langid.op2_langid,
+        "op3_warc": warc.op3_warc,
+        "op5_linededup": linededup.op5_linededup,
+        "op6_huffman": huffman.op6_huffman,
+        "op7_packing": packing.op7_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": warc.OP3_SQL, "op5_linededup": linededup.OP5_SQL}

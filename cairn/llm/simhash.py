@@ -172,7 +172,8 @@ def near_duplicates(
     """(doc_id, fp, component_id) per row; component_id is the smallest doc_id reachable."""
     prints = materialise(fingerprints(docs, id_col, text_col, shingle), "simhash")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    labels = connected_components(links(classes.select("fp"), bits)).withColumnRenamed("id", "fp")
+    edges = materialise(links(classes.select("fp"), bits), "simhash-links")
+    labels = connected_components(edges).withColumnRenamed("id", "fp")
     whole = classes.join(labels, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = whole.groupBy("component").agg(F.min("least").alias("component_id"))
     named = whole.join(least, "component").select("fp", "component_id")
