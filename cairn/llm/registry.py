@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.llm import huffman, langid, linededup, packing, simhash, warc
+from cairn.llm import decontaminate, huffman, langid, licences, linededup, packing, quality, simhash, urlfilter, warc
 
 
 def queries() -> dict:
@@ -10,11 +10,15 @@ def queries() -> dict:
         "op1_simhash": simhash.op1_simhash,
         "op2_langid": langid.op2_langid,
         "op3_warc": warc.op3_warc,
+        "op4_licences": licences.op4_licences,
         "op5_linededup": linededup.op5_linededup,
         "op6_huffman": huffman.op6_huffman,
         "op7_packing": packing.op7_packing,
+        "op8_urlfilter": urlfilter.op8_urlfilter,
+        "op9_quality": quality.op9_quality,
+        "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.OP3_SQL, "op5_linededup": linededup.OP5_SQL}
+    return {"op3_warc": warc.OP3_SQL, "op5_linededup": linededup.OP5_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
