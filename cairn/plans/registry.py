@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cairn.plans import catalog, sources_and_columns  # noqa: F401
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return catalog.QUERIES["b10_block"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return catalog.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return catalog.SQL
