@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.plans import catalog, sources_and_columns  # noqa: F401
+from cairn.plans import catalog, graph_queries, sources_and_columns  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
