@@ -1,12 +1,15 @@
 """Whole texts to token ids, in Arrow batches.
 
-Texts are cut before blanks that follow a word: no token of either kind of vocabulary spans
-such a place, so pieces can be encoded once and looked up. Texts with other white space than
-blanks and line ends, where this needn't hold, are encoded as they are. Null is an empty text.
+Both kinds of vocabulary end their tokens at blanks and where a letter meets a mark like a full stop. Texts
+are cut there, and a piece that was encoded before is looked up. New pieces of letters only are encoded
+many to a call, joined by what is a token of its own. Texts in which such places needn't be ends (other
+white space before blanks, strings like special tokens), and texts for other vocabularies, are
+encoded as they are. Null is an empty text.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -20,14 +23,19 @@ from pyspark.sql import functions as F
 
 from cairn.llm.texts import slices
 
-PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-ODD = re.compile(r"[^\S \n]|<\|")
-#: Pieces that a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 1 << 17, 64
+#: Letters of which it is certain that they are letters, to every vocabulary.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Pieces where blanks are dropped, and where they belong to the word after them.
+WORD_PIECE = re.compile(rf"[{LETTERS}]+(?![^ \n.,;:!?])|[^ \n]+")
+BYTE_PIECE = re.compile(rf" ?[{LETTERS}]+(?![^ \n.,;:!?])|\n(?=[{LETTERS}])|[ \n]*[^ \n]+|[ \n]+")
+PURE = re.compile(rf" ?[{LETTERS}]+")
+SPECIAL, OTHER_SPACE, WIDE = re.compile(r"<\|"), re.compile(r"[^\S \n]|<\|"), re.compile(r"[^\x00-\xff]")
+#: Pieces that a worker remembers (some 200 bytes each), the longest of them, and how many are joined.
+REMEMBERED, LONGEST, JOINED = 400_000, 64, 2_000
 
 
 class Encoder:
-    """Encodes texts to arrays of little-endian ids, each id `width` bytes."""
+    """Encodes texts to arrays of little-endian ids."""
 
     def __init__(self, name: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,21 +49,67 @@ class Encoder:
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        with open(name) as f:
+            settings = json.load(f)
+        before = settings.get("pre_tokenizer") or {}
+        self.kind = None
+        if settings["model"].get("end_of_word_suffix") and before.get("type") == "Sequence":
+            self.kind, suffix = "word", settings["model"]["end_of_word_suffix"]
+            self.ends = np.zeros(self.size, bool)
+            self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith(suffix)]] = True
+        elif before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not settings.get("normalizer"):
+            line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+            if len(line) == 1:
+                self.kind, self.line = "byte", line[0]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.dtype).tobytes() for x in found]
 
+    def _encode_joined(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces of letters only."""
+        joined = [(" " if self.kind == "word" else "\n").join(pieces[i : i + JOINED]) for i in range(0, len(pieces), JOINED)]
+        out: list[bytes] = []
+        for k, x in enumerate(self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+            ids, own = np.array(x.ids, self.dtype), pieces[k * JOINED : (k + 1) * JOINED]
+            if self.kind == "word":
+                stop = np.flatnonzero(self.ends[ids]) + 1
+                start = np.concatenate([[0], stop[:-1]])
+            else:
+                line = np.flatnonzero(ids == self.line)
+                start, stop = np.concatenate([[0], line + 1]), np.append(line, len(ids))
+            if len(stop) != len(own):
+                out += self._encode(own)
+                continue
+            raw, width = ids.tobytes(), self.dtype.itemsize
+            out += [raw[a:b] for a, b in zip((start * width).tolist(), (stop * width).tolist())]
+        return out
+
+    def _pieces(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        if self.kind == "byte":
+            return [text] if OTHER_SPACE.search(text) else BYTE_PIECE.findall(text)
+        if self.kind == "word" and not SPECIAL.search(text):
+            return WORD_PIECE.findall(text if WIDE.search(text) else text.lower())
+        return [text]
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        pieces = [[t] if t and ODD.search(t) else PIECE.findall(t or "") for t in texts]
-        new = {p for own in pieces for p in own}.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, {p for own in pieces for p in own}
-        new = list(new)
-        known = self.known | dict(zip(new, self._encode(new))) if new else self.known
-        self.known = {p: x for p, x in known.items() if len(p) <= LONGEST} if new and max(map(len, new)) > LONGEST else known
+        pieces, known = [self._pieces(t) for t in texts], self.known
+        new = {p for own in pieces for p in own if p not in known}
+        if len(known) + len(new) > REMEMBERED:
+            self.known = known = {}
+            new = {p for own in pieces for p in own}
+        pure = [p for p in new if len(p) <= LONGEST and PURE.fullmatch(p)] if self.kind else []
+        rest = list(new.difference(pure))
+        known.update(zip(pure, self._encode_joined(pure)))
+        known.update(zip(rest, self._encode(rest)))
         get = known.__getitem__
-        return [b"".join(map(get, own)) for own in pieces]
+        found = [b"".join(map(get, own)) for own in pieces]
+        for p in rest:
+            if len(p) > LONGEST:
+                del known[p]
+        return found
 
 
 @cache
@@ -74,7 +128,7 @@ def tokenize(docs: DataFrame, name: str, end: int, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, row, before = encoder(name), TaskContext.get().partitionId(), 0, {}
         tail = np.array([end], encode.dtype).tobytes()
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             ids = [x + tail for x in encode(batch.column("text").to_pylist())]
             sizes = [len(x) // encode.dtype.itemsize for x in ids]
             runs = []
