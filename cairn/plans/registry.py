@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.plans import catalog, graph_queries, sources_and_columns  # noqa: F401
+from cairn.plans import catalog, graph_queries, service_queries, sources_and_columns, text_queries  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.QUERIES["b10_block"](spark, sf_dir)
+    return catalog.QUERIES["d5_level_counts"](spark, sf_dir)
 
 
 def queries() -> dict:
