@@ -17,6 +17,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,9 +26,12 @@ from cairn.llm.texts import slices
 
 #: Letters of which it is certain that they are letters, to every vocabulary.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-#: Pieces where blanks are dropped, and where they belong to the word after them.
-WORD_PIECE = re.compile(rf"[{LETTERS}]+(?![^ \n.,;:!?])|[^ \n]+")
-BYTE_PIECE = re.compile(rf" ?[{LETTERS}]+(?![^ \n.,;:!?])|\n(?=[{LETTERS}])|[ \n]*[^ \n]+|[ \n]+")
+#: ASCII marks but for the apostrophe, and where a letter meets one.
+MARKS = r"!-&(-/:-@\[-`{-~"
+STOP = re.compile(rf"[{MARKS}](?<=[{LETTERS}].)")
+#: Pieces of texts in which blanks come in a row.
+BYTE_PIECE = re.compile(rf" ?[{LETTERS}]+(?![^ \n{MARKS}])|\n(?=[{LETTERS}])|[ \n]*[^ \n]+|[ \n]+")
+MARK = "\x1f"
 PURE = re.compile(rf" ?[{LETTERS}]+")
 SPECIAL, OTHER_SPACE, WIDE = re.compile(r"<\|"), re.compile(r"[^\S \n]|<\|"), re.compile(r"[^\x00-\xff]")
 #: Pieces that a worker remembers (some 200 bytes each), the longest of them, and how many are joined.
@@ -85,32 +89,53 @@ class Encoder:
             out += [raw[a:b] for a, b in zip((start * width).tolist(), (stop * width).tolist())]
         return out
 
-    def _pieces(self, text: str | None) -> list[str]:
+    def _cut(self, text: str | None) -> str:
+        """The text with a mark at every cut."""
         if not text:
-            return []
-        if self.kind == "byte":
-            return [text] if OTHER_SPACE.search(text) else BYTE_PIECE.findall(text)
+            return ""
         if self.kind == "word" and not SPECIAL.search(text):
-            return WORD_PIECE.findall(text if WIDE.search(text) else text.lower())
-        return [text]
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        pieces, known = [self._pieces(t) for t in texts], self.known
-        new = {p for own in pieces for p in own if p not in known}
-        if len(known) + len(new) > REMEMBERED:
-            self.known = known = {}
-            new = {p for own in pieces for p in own}
+            low = text if WIDE.search(text) else text.lower()
+            return STOP.sub(rf"{MARK}\g<0>", low).replace("\n", MARK).replace(" ", MARK)
+        if self.kind == "byte" and not OTHER_SPACE.search(text):
+            if any(x in text for x in ("  ", " \n", "\n ", "\n\n")) or text[-1] in " \n":
+                return MARK.join(BYTE_PIECE.findall(text))
+            return STOP.sub(rf"{MARK}\g<0>", text).replace("\n", f"{MARK}\n{MARK}").replace(" ", f"{MARK} ")
+        return text
+
+    def _look_up(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces, those not seen before encoded first."""
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        known = self.known
+        new = [p for p in pieces if p not in known]
         pure = [p for p in new if len(p) <= LONGEST and PURE.fullmatch(p)] if self.kind else []
-        rest = list(new.difference(pure))
+        rest = list(set(new).difference(pure))
         known.update(zip(pure, self._encode_joined(pure)))
         known.update(zip(rest, self._encode(rest)))
-        get = known.__getitem__
-        found = [b"".join(map(get, own)) for own in pieces]
+        found = list(map(known.__getitem__, pieces))
         for p in rest:
             if len(p) > LONGEST:
                 del known[p]
         return found
 
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        marked = {i for i, t in enumerate(texts) if t and MARK in t}
+        cut = pa.array(["" if i in marked else self._cut(t) for i, t in enumerate(texts)], pa.large_string())
+        pieces = pc.split_pattern(cut, MARK)
+        coded = pieces.values.dictionary_encode()
+        found = self._look_up(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        flat, at = np.frombuffer(b"".join(found), self.dtype), np.cumsum(sizes) - sizes
+        which = coded.indices.to_numpy()
+        own = sizes[which]
+        ends = np.cumsum(own)
+        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(at[which] - ends + own, own)]
+        bounds = np.concatenate([[0], ends])[pieces.offsets.to_numpy()].tolist()
+        out = [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+        for i in marked:
+            out[i] = self._encode([texts[i]])[0]
+        return out
+
 
 @cache
 def encoder(name: str) -> Encoder:
@@ -128,7 +153,7 @@ def tokenize(docs: DataFrame, name: str, end: int, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, row, before = encoder(name), TaskContext.get().partitionId(), 0, {}
         tail = np.array([end], encode.dtype).tobytes()
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             ids = [x + tail for x in encode(batch.column("text").to_pylist())]
             sizes = [len(x) // encode.dtype.itemsize for x in ids]
             runs = []

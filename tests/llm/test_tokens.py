@@ -25,7 +25,7 @@ def test_pieces_encode_like_whole_texts(name):
         assert [np.frombuffer(x, encode.dtype).tolist() for x in encode(texts)] == [plain(name, t) for t in texts]
 
     run()
-    odd = ["a<|endoftext|>b c", "x  y", " lead", "trail \n", "\n\n a\tb  c", "don't they'll", "e\u0301 \u0301a", None, ""]
+    odd = ["a<|endoftext|>b c", "wait... (no) c#%x a-b_c [q]{r} e.g. x@y.z", "x  y", " lead", "trail \n", "\n\n a\tb  c", "don't they'll", "e\u0301 \u0301a", None, ""]
     assert [np.frombuffer(x, encode.dtype).tolist() for x in encode(odd)] == [plain(name, t) for t in odd]
 
 
