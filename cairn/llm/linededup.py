@@ -9,14 +9,9 @@ by 128 bits of hash. Rows, repeated ones too, are all kept, in any order.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.texts import slices
-
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = "[\\x20\\x09-\\x0D]"
 
@@ -48,20 +43,10 @@ def dropped_positions(docs: DataFrame, min_chars: int, min_docs: int) -> DataFra
     return lost.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("drop"))
 
 
-def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "text"):
-        total, gone, kept = [], [], []
-        for text, drop in zip(part.column("text").to_pylist(), part.column("drop").to_pylist()):
-            lines, out = (text or "").split("\n"), set(drop or ())
-            total.append(len(lines))
-            gone.append(len(out))
-            kept.append("\n".join(x for i, x in enumerate(lines) if i not in out) if out else text or "")
-        own = [part.column(c) for c in part.schema.names if c not in ("drop", "text", "text_hash")]
-        names = [c for c in part.schema.names if c not in ("drop", "text", "text_hash")]
-        yield pa.RecordBatch.from_arrays(
-            [*own, pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())],
-            [*names, "kept_text", "n_lines", "n_dropped"],
-        )
+def _without(lines: Column, stops: Column) -> Column:
+    """The lines between stops: -1, the sorted positions to drop, and the number of lines."""
+    between = F.sequence(F.lit(0), F.size(stops) - 2)
+    return F.flatten(F.transform(between, lambda i: F.slice(lines, F.get(stops, i) + 2, F.get(stops, i + 1) - F.get(stops, i) - 1)))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, keep: tuple = ()) -> DataFrame:
@@ -69,9 +54,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep])
     drops = dropped_positions(source, min_chars, min_docs)
     marked = source.withColumn("text_hash", F.xxhash64("text")).join(drops, ["doc_id", "text_hash"], "left")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema if f.name not in ("text", "text_hash", "drop"))
-    done = marked.mapInArrow(_reassemble, f"{fields}, kept_text string, n_lines long, n_dropped long")
-    return done.select("doc_id", *[F.col(f"keep_{c}").alias(c) for c in keep], "kept_text", "n_lines", "n_dropped")
+    own = marked.withColumns({"text": F.coalesce("text", F.lit("")), "lines": F.split(F.coalesce("text", F.lit("")), "\n", -1)})
+    ends = F.concat(F.array(F.lit(-1)), F.array_sort("drop"), F.array(F.size("lines")))
+    cut = own.withColumn("stops", F.when(F.col("drop").isNotNull(), ends))
+    kept = F.when(F.col("stops").isNull(), F.col("text")).otherwise(F.array_join(_without(F.col("lines"), F.col("stops")), "\n"))
+    return cut.select(
+        "doc_id", *[F.col(f"keep_{c}").alias(c) for c in keep], kept.alias("kept_text"),
+        F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
+    )
 
 
 def op5_linededup(spark, sf_dir: str) -> DataFrame:
