@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.session import materialise
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = "[\\x20\\x09-\\x0D]"
 
@@ -39,7 +41,8 @@ def dropped_positions(docs: DataFrame, min_chars: int, min_docs: int) -> DataFra
         lines.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
         .where(F.col("n") >= min_docs).select("h1", "h2", "keeper")
     )
-    lost = lines.join(common, ["h1", "h2"]).where("doc_id <> keeper")
+    # written down, so that the join's sides are both dealt anew and a line of many documents can be split
+    lost = lines.join(materialise(common, "common-lines"), ["h1", "h2"]).where("doc_id <> keeper")
     return lost.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("drop"))
 
 
