@@ -58,7 +58,7 @@ def retract(edges: DataFrame, doc: Column) -> DataFrame:
 
 
 def purge(chunks: DataFrame, sources: DataFrame) -> DataFrame:
-    return chunks.join(sources, "source", "left_anti")
+    return chunks.join(sources, "source", "left_anti").select(*chunks.columns)
 
 
 def replace_sources(chunks: DataFrame, fresh: DataFrame, sources: DataFrame) -> DataFrame:
