@@ -36,7 +36,7 @@ def extract(files: DataFrame, patterns: DataFrame | None = None) -> tuple[DataFr
     spark = files.sparkSession
     table = patterns if patterns is not None else spark.createDataFrame(list(PATTERNS), "language string, what string, pattern string")
     lines = files.select("path", T.language(F.col("path")).alias("language"), F.posexplode(F.split("content", "\r?\n")).alias("pos", "line"))
-    lines = lines.where(F.trim("line") != "").withColumns({"line_no": F.col("pos") + 1, "indent": F.length("line") - F.length(F.ltrim("line"))})
+    lines = lines.where(F.trim("line") != "").withColumns({"line_no": F.col("pos") + 1, "indent": F.length("line") - F.length(F.regexp_replace("line", "^\\s+", ""))})
     last = lines.groupBy("path").agg(F.max("line_no").alias("last"))
     hits = lines.join(F.broadcast(table), "language").withColumn("name", F.expr("regexp_extract(line, pattern, 1)")).where("name <> ''")
     defs = hits.where(F.col("what").isin("Class", "Method", "Field")).groupBy("path", "line_no", "indent", "name").agg(F.min("what").alias("type"))

@@ -229,6 +229,19 @@ def runtime_weights(edges: DataFrame, observed: DataFrame) -> DataFrame:
     return edges.join(seen, ["source_id", "target_id"], "left").withColumn("blended", 0.3 * F.least("weight", F.lit(1.0)) + 0.7 * F.coalesce("seen", F.lit(0.0)))
 
 
+def build_topology(files: DataFrame, touched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, type) and edges (source_id, target_id, relation, weight): folders, files, and files that change together.
+
+    `files` is (path), `touched` (sha, path); pairs with a file that is gone are left out.
+    """
+    held = containment(files)
+    folders = held.select(F.explode(F.array("parent", F.when(F.col("kind") == "Module", F.col("child")))).alias("id")).where("id is not null").distinct().select("id", F.lit("Module").alias("type"))
+    own = folders.unionByName(files.select(F.col("path").alias("id"), F.lit("File").alias("type")).distinct())
+    contains = held.select(F.col("parent").alias("source_id"), F.col("child").alias("target_id"), F.lit("contains").alias("relation"), F.lit(1.0).alias("weight"))
+    together = co_change(touched).select(F.col("file_a").alias("source_id"), F.col("file_b").alias("target_id"), F.lit("co_changes").alias("relation"), F.col("weight").cast("double").alias("weight"))
+    return own, contains.unionByName(drop_dangling(together, own))
+
+
 def add_ordinals(definitions: DataFrame) -> DataFrame:
     """Ids `Type:file:line`, repeated ones with #1, #2, ... in order of (line, col)."""
     base = F.concat("type", F.lit(":"), "file_path", F.lit(":"), F.col("line").cast("string"))

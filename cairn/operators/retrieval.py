@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 #: Queries that one pass over the index compares, so that what is sent to all tasks is bounded.
 QUERY_BLOCK = 4096
@@ -27,8 +29,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.array(column.to_pylist(), np.float64)
 
 
-def _pass(index: DataFrame, ids: list, queries: np.ndarray, k: int, kind: str) -> DataFrame:
+def _pass(index: DataFrame, ids: list, queries: np.ndarray, k: int, kind: DataType) -> DataFrame:
     """The k best of every task for each query of a block."""
+    own_kind = index.schema["id"].dataType
+    arrow = [to_arrow_type(kind), to_arrow_type(own_kind), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, score = np.zeros((len(ids), 0), object), np.zeros((len(ids), 0))
@@ -44,9 +48,10 @@ def _pass(index: DataFrame, ids: list, queries: np.ndarray, k: int, kind: str) -
                 names, score = (np.stack([x[r] for x, r in zip(m, rows)]) for m in (names, score))
         for i, q in enumerate(ids):
             n = score.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array([q] * n), pa.array(names[i].tolist()), pa.array(score[i])], ["query_id", "id", "score"])
+            columns = [pa.array(c, t) for c, t in zip(([q] * n, names[i].tolist(), score[i]), arrow)]
+            yield pa.RecordBatch.from_arrays(columns, ["query_id", "id", "score"])
 
-    return index.select("id", "embedding").mapInArrow(run, f"query_id {kind}, id {index.schema['id'].dataType.simpleString()}, score double")
+    return index.select("id", "embedding").mapInArrow(run, f"query_id {kind.simpleString()}, id {own_kind.simpleString()}, score double")
 
 
 def cosine_top_k(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
@@ -54,14 +59,14 @@ def cosine_top_k(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
 
     Every task keeps its k best for each query, so only k rows a task and query are shuffled.
     """
-    kind = queries.schema["query_id"].dataType.simpleString()
+    kind = queries.schema["query_id"].dataType
     own = queries.select("query_id", "embedding").where("embedding is not null")
     rows, passes = own.toLocalIterator(prefetchPartitions=True), []
     while block := [r for _, r in zip(range(QUERY_BLOCK), rows)]:
         vectors = _unit(np.array([r.embedding for r in block], np.float64))
         passes.append(_pass(index.where("embedding is not null"), [r.query_id for r in block], vectors, k, kind))
     if not passes:
-        return index.sparkSession.createDataFrame([], f"query_id {kind}, id {index.schema['id'].dataType.simpleString()}, score double, rank int")
+        return index.sparkSession.createDataFrame([], f"query_id {kind.simpleString()}, id {index.schema['id'].dataType.simpleString()}, score double, rank int")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return reduce(DataFrame.unionByName, passes).withColumn("rank", rank).where(F.col("rank") <= k)
 

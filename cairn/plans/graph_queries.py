@@ -9,7 +9,7 @@ from cairn.operators import graph as G
 from cairn.operators import upsert as U
 from cairn.plans import adapters as A
 from cairn.plans.catalog import query
-from cairn.session import table
+from cairn.session import materialise, table
 
 #: The node that breadth-first queries start from: the smallest key has a deep neighbourhood.
 START = "n0"
@@ -289,3 +289,23 @@ SELECT p_partkey AS col, base || CASE WHEN k > 0 THEN '#' || k ELSE '' END AS id
 def e1_overloads(spark, sf):
     rows = table(spark, sf, "part").select(F.lit("Class").alias("type"), F.col("p_brand").alias("file_path"), F.col("p_size").alias("line"), F.col("p_partkey").alias("col"))
     return G.add_ordinals(rows).select("col", "id")
+
+
+@query("""WITH RECURSIVE r AS (SELECT 'n0' AS id, 0 AS hop, ['n0'] AS path UNION ALL SELECT target_id, hop + 1, list_append(path, target_id) FROM r JOIN (SELECT DISTINCT source_id, target_id FROM edges) ON source_id = id),
+f AS (SELECT id FROM (SELECT id, min(hop) AS hop FROM r GROUP BY id) ORDER BY hop DESC, id LIMIT 1)
+SELECT array_to_string(path, ' ') AS path FROM r WHERE id = (SELECT id FROM f) ORDER BY hop, r.path LIMIT 1""")
+def h3_shortest_path(spark, sf):
+    """From the first node to one of those farthest from it."""
+    edges = materialise(A.edges(spark, sf), "edges")
+    far = G.hops(spark.createDataFrame([(START,)], "seed string"), edges, directed=True).orderBy(F.desc("hop"), "id").first().id
+    return G.shortest_path(edges, START, far).select(F.array_join("path", " ").alias("path"))
+
+
+@query("""WITH t AS (SELECT DISTINCT sha, path FROM changes), live AS (SELECT DISTINCT path FROM changes WHERE path NOT LIKE 'Brand1/%'),
+c AS (SELECT a.path AS x, b.path AS y FROM t a JOIN t b ON a.sha = b.sha AND a.path < b.path GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT 'contains' AS relation, count(*) AS n FROM (SELECT path FROM live UNION SELECT split_part(path, '/', 1) FROM live UNION SELECT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) FROM live)
+UNION ALL SELECT 'co_changes', count(*) FROM c WHERE x IN (SELECT path FROM live) AND y IN (SELECT path FROM live)""")
+def h9_topology(spark, sf):
+    changes = A.changes(spark, sf)
+    live = changes.where(~F.col("path").startswith("Brand1/")).select("path").distinct()
+    return G.build_topology(live, changes)[1].groupBy("relation").agg(F.count("*").alias("n"))

@@ -139,8 +139,9 @@ def g5_corpus_union(spark, sf):
     return rows.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-@query("""SELECT sha, least(1.0, round(CASE WHEN n > 5 THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN hub THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN config THEN 0.2::DOUBLE ELSE 0 END + least(0.4::DOUBLE, greatest(net, 0)::DOUBLE / 100 * 0.1::DOUBLE), 2)) AS risk_score FROM
-(SELECT sha, count(*) AS n, bool_or(path LIKE '%.yaml') AS config, bool_or(path LIKE 'Brand1/economy/%') AS hub, sum(insertions) - sum(deletions) AS net FROM changes GROUP BY 1)""")
+@query("""SELECT sha, least(1.0::DOUBLE, round(score::VARCHAR::DECIMAL(30, 20), 2)::DOUBLE) AS risk_score FROM (SELECT sha, CASE WHEN n > 5 THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN hub THEN 0.2::DOUBLE ELSE 0 END
+  + CASE WHEN config THEN 0.2::DOUBLE ELSE 0 END + least(0.4::DOUBLE, greatest(net, 0)::DOUBLE / 100 * 0.1::DOUBLE) AS score FROM
+(SELECT sha, count(*) AS n, bool_or(path LIKE '%.yaml') AS config, bool_or(path LIKE 'Brand1/economy/%') AS hub, sum(insertions) - sum(deletions) AS net FROM changes GROUP BY 1))""")
 def k1_risk_scores(spark, sf):
     hubs = spark.createDataFrame([("Brand1/economy",)], "module string")
     return TP.risk_scores(A.changes(spark, sf), hubs)

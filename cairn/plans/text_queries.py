@@ -8,6 +8,7 @@ from cairn.functions import text as T
 from cairn.operators import chunks as CH
 from cairn.operators import grounding as GR
 from cairn.operators import hierarchy as H
+from cairn.operators import upsert as U
 from cairn.plans import adapters as A
 from cairn.plans.catalog import query
 from cairn.session import table
@@ -226,3 +227,47 @@ SELECT parent, string_agg('## ' || child || ' [normal]' || chr(10) || chr(10) ||
 def k5_assembly(spark, sf):
     c = A.files(spark, sf).groupBy(F.col("lang").alias("parent"), F.col("source").alias("child")).agg(F.count("*").alias("score"))
     return H.assemble(c.select("parent", "child", "score", F.lit("normal").alias("weight"), F.col("score").cast("string").alias("body")))
+
+
+@query(f"WITH {WALK} SELECT source, chunk_index FROM ch WHERE text <> '' ORDER BY source, chunk_index LIMIT 500")
+def f5_global_cap(spark, sf):
+    return _chunks(spark, sf).orderBy("source", "chunk_index").limit(500).select("source", "chunk_index")
+
+
+@query(f"WITH {WALK} SELECT source, count(*) AS n FROM ch WHERE text <> '' AND source NOT IN (SELECT path FROM new_files EXCEPT SELECT path FROM old_files) GROUP BY 1")
+def i6_purge(spark, sf):
+    gone = A.new_files(spark, sf).select("path").subtract(A.old_files(spark, sf).select("path")).withColumnRenamed("path", "source")
+    return U.purge(_chunks(spark, sf), gone).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {WALK}, x AS (SELECT source, source || ':' || chunk_index AS id, text FROM ch WHERE text <> '')
+SELECT id, CASE WHEN source LIKE '%/de/%' THEN 'fresh' ELSE 'kept' END AS state FROM x""")
+def i7_refresh(spark, sf):
+    """German sources are indexed again over chunks from before."""
+    own = _chunks(spark, sf).select("source", F.concat_ws(":", "source", F.col("chunk_index").cast("string")).alias("id"))
+    fresh = own.where(F.col("source").contains("/de/")).withColumn("state", F.lit("fresh"))
+    sources = fresh.select("source").distinct()
+    return U.replace_sources(own.withColumn("state", F.lit("kept")), fresh, sources).select("id", "state")
+
+
+@query(f"""WITH {WALK}, todo AS (SELECT n.path FROM new_files n LEFT JOIN old_files o ON n.path = o.path WHERE o.hash IS NULL OR o.hash <> n.hash)
+SELECT split_part(source, '/', 1) AS module, count(DISTINCT md5(text)) AS n FROM ch WHERE text <> '' AND source IN (SELECT path FROM todo) GROUP BY 1""")
+def l8_index_build(spark, sf):
+    """Scan, skip what is unchanged, chunk, and keep each chunk of a module once."""
+    files = A.files(spark, sf).withColumn("hash", F.md5("content"))
+    todo = U.to_process(files, A.old_files(spark, sf)).where("todo").select("path", "content")
+    rows = CH.chunk(todo).select(F.split("source", "/")[0].alias("module"), F.md5("text").alias("id")).distinct()
+    return rows.groupBy("module").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {WALK} SELECT source, count(*) AS n FROM ch WHERE text <> '' GROUP BY 1")
+def n7_index_stream(spark, sf):
+    """The files as a stream into a table of chunks."""
+    from cairn.session import scratch
+    from cairn.streaming import live
+
+    path = scratch(spark, "index")
+    A.files(spark, sf).select("path", "content").write.parquet(f"{path}/in")
+    stream = live.read_files(spark, f"{path}/in", "path string, content string")
+    live.index_stream(stream, f"{path}/table", f"{path}/log").awaitTermination()
+    return spark.read.parquet(f"{path}/table").groupBy("source").agg(F.count("*").alias("n"))

@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
-from cairn.operators.upsert import diff
+from cairn.operators.chunks import chunk
+from cairn.operators.upsert import diff, replace_sources
+from cairn.session import materialise
 
 
 def read_files(spark: SparkSession, folder: str, schema: str, per_batch: int = 1000) -> DataFrame:
@@ -23,6 +26,33 @@ def upsert_stream(stream: DataFrame, apply: Callable[[DataFrame, int], None], ch
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def refresh_buckets(path: str, fresh: DataFrame, sources: DataFrame, buckets: int = 64) -> None:
+    """Replaces the chunks of `sources` in a table laid out by bucket of the source.
+
+    Only buckets that hold such a source are read and written again; a batch that is repeated gives the same table.
+    """
+    spark = fresh.sparkSession
+    put = lambda df: df.withColumn("bucket", F.pmod(F.xxhash64("source"), F.lit(buckets)).cast("int"))
+    touched = put(sources).select("bucket").distinct()
+    new = put(fresh)
+    try:
+        old = spark.read.parquet(path).join(F.broadcast(touched), "bucket", "left_semi").select(*new.columns)  # `buckets` rows at most
+    except AnalysisException:  # the first batch
+        old = spark.createDataFrame([], new.schema)
+    kept = materialise(replace_sources(old, new, sources), "buckets")
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def index_stream(files: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keeps the chunks of a stream of files (path, content) in a table; a file that comes again replaces its chunks."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        fresh = chunk(batch).withColumn("id", F.md5(F.concat("source", F.lit(":"), F.col("chunk_index").cast("string"), F.lit(":"), "text")))
+        refresh_buckets(path, fresh, batch.select(F.col("path").alias("source")).distinct())
+
+    return upsert_stream(files, apply, checkpoint)
+
+
 def changed_paths(previous: DataFrame, current: DataFrame) -> DataFrame:
     """(path, status) to purge or to index again."""
     return diff(previous, current).where("status <> 'unchanged'")

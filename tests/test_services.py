@@ -137,3 +137,13 @@ def test_clamped_scores(spark):
         x = min(100.0, max(0.0, x + d))
     (r,) = Q.clamped_scores(spark.createDataFrame(rows, "tool string, day date, n int, delta double")).collect()
     assert (r.score, r.quarantined) == (x, x < 30)
+
+
+def test_index_stream_replaces_sources(spark, tmp_path):
+    schema = "path string, content string"
+    for rows in ([("a", "one"), ("b", "two")], [("a", "x" * 2000), ("c", "three")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    live.index_stream(live.read_files(spark, f"{tmp_path}/in", schema, 1), f"{tmp_path}/t", f"{tmp_path}/log").awaitTermination()
+    got = sorted((r.source, r.chunk_index, len(r.text)) for r in spark.read.parquet(f"{tmp_path}/t").collect())
+    assert got in ([("a", 0, 1500), ("a", 1, 700), ("b", 0, 3), ("c", 0, 5)], [("a", 0, 3), ("b", 0, 3), ("c", 0, 5)])
+    assert live.changed_paths(spark.createDataFrame([("a", "1")], "path string, hash string"), spark.createDataFrame([("b", "1")], "path string, hash string")).count() == 2

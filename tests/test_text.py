@@ -42,7 +42,7 @@ def test_levels_and_abstaining(spark):
     assert [r[0] for r in rows.select(T.doc_level(F.col("p"), F.col("l"))).collect()] == ["L1", "L3", "context", "report", "code", "context"]
     assert one(spark, f"a\n {T.ABSTAIN} \nb {T.ABSTAIN}.", T.strip_abstain) == "a\nb (unknown)."
     paths = spark.createDataFrame([("src/auth/login.py",), ("src/main.py",), ("",), (".env",)], "p string")
-    assert [tuple(r) for r in paths.select(T.module_path(F.col("p")), T.extension(F.col("p"))).collect()] == [("src/auth", ".py"), ("src", ".py"), ("", ""), ("", "")]
+    assert [tuple(r) for r in paths.select(T.module_path(F.col("p")), T.extension(F.col("p"))).collect()] == [("src/auth", ".py"), ("src", ".py"), ("", ""), (".env", "")]
 
 
 PROSE = "`ExistFileResource` is mapped by @Path to `/existFile`. It calls `GhostThing` and MadeUpName."
@@ -105,4 +105,4 @@ def test_sentences_and_weights(spark):
     assert {r.doc_id: r.text for r in H.dedup_sentences(docs).collect()} == {1: "One. Two! Three...", 2: "A. B?", 3: ""}
     c = spark.createDataFrame([("p", "a", 10, 10240), ("p", "b", 1, 100), ("p", "c", 0, 0)], "parent string, child string, leaves int, size_bytes int")
     got = {r.child: (round(r.score, 2), r.weight) for r in H.child_weights(c).collect()}
-    assert got == {"a": (1.0, "major"), "b": (0.1, "normal"), "c": (0.1, "normal")}
+    assert got == {"a": (1.0, "major"), "b": (0.1, "minor"), "c": (0.1, "minor")}
