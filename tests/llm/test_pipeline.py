@@ -29,3 +29,14 @@ def test_stages_keep_what_they_should(spark, tmp_path):
     for r in docs.collect():
         got[r.doc_id] = got.get(r.doc_id, 0) + r.length
     assert got == want
+
+
+def test_edge_rows(spark):
+    rows = [(1, "Same text here " * 9, "en", "a", 1), (2, "Same text here " * 9, "en", "a", 1), (None, "Same text here " * 9, None, None, None), (3, None, "en", "a", 0), (4, "12", "en", "a", 2), (5, "Other words " * 9, "en", "b", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = pipeline.drop_near_copies(spark, docs, SF)
+    assert sorted(map(repr, (r.doc_id for r in kept.collect()))) == ["1", "3", "4", "5", "None"]
+    stayed = pipeline.identify_language(spark, docs, SF)
+    assert sorted(map(repr, (r.doc_id for r in stayed.collect()))) == ["1", "2", "5", "None"]
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
