@@ -144,7 +144,8 @@ def mark_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"),
     ).withColumn("digest", F.sha1("payload"))
     again = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    return rows.join(again, "digest", "left").select("page_id", "url", "payload", "first")
+    # written down, so that both sides are dealt anew and a payload of many pages can be split
+    return rows.join(materialise(again.select("digest", "first"), "warc-repeated"), "digest", "left").select("page_id", "url", "payload", "first")
 
 
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, **columns: str) -> DataFrame:
