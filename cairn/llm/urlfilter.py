@@ -13,6 +13,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.session import materialise
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Verdict, host, path.
 RULES = (
@@ -85,8 +87,9 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     if ones in (0, n):
         fallback = "block" if n and ones == n else "allow"
         return base.select("page_id", "host", "path", done, F.coalesce("fit.verdict", F.lit(fallback)).alias("verdict"), F.lit(float(fallback == "block")).alias("blocked"))
-    by_suffix = suffix_statistics(labelled, "suffix", "suffix")
-    by_tail = suffix_statistics(labelled, "tail", "tail").drop("tail_seen")
+    # written down, so that a suffix of many URLs can be split in the joins below
+    by_suffix = materialise(suffix_statistics(labelled, "suffix", "suffix"), "url-suffixes")
+    by_tail = materialise(suffix_statistics(labelled, "tail", "tail").drop("tail_seen"), "url-tails")
 
     def featured(rows: DataFrame) -> DataFrame:
         joined = rows.join(by_suffix, "suffix", "left").join(by_tail, "tail", "left")
