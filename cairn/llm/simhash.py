@@ -176,7 +176,8 @@ def near_duplicates(
     labels = connected_components(edges).withColumnRenamed("id", "fp")
     whole = classes.join(labels, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = whole.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = whole.join(least, "component").select("fp", "component_id")
+    # written down, so that a fingerprint of many copies can be split in the join below
+    named = materialise(whole.join(least, "component").select("fp", "component_id"), "simhash-classes")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
