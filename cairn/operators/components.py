@@ -11,7 +11,7 @@ from cairn.session import materialise
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of u is linked to the smallest vertex around u."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
+    low = materialise(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")), "cc-least")
     return (
         both.where("v > u").join(low, "u")
         .select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -22,7 +22,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """u and its smaller neighbours are linked to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
+    low = materialise(down.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
     moved = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
@@ -43,7 +43,8 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v") -> Da
     Null endpoints, self-loops and repeated edges add nothing, but a vertex with only a
     self-loop is its own component. Each round halves what is left of the paths, so the
     number of rounds follows the logarithm of the component's size; per-vertex work is a
-    minimum (combined before the shuffle) and an equi-join that adaptive execution may split.
+    minimum (combined before the shuffle) and an equi-join. The minima are written down, so that
+    adaptive execution can split a vertex of many edges in that join.
     """
     base = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     vertices = base.select(F.col("u").alias("id")).unionByName(base.select(F.col("v").alias("id"))).distinct()
