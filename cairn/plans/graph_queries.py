@@ -291,9 +291,7 @@ def e1_overloads(spark, sf):
     return G.add_ordinals(rows).select("col", "id")
 
 
-@query("""WITH RECURSIVE r AS (SELECT 'n0' AS id, 0 AS hop, ['n0'] AS path UNION ALL SELECT target_id, hop + 1, list_append(path, target_id) FROM r JOIN (SELECT DISTINCT source_id, target_id FROM edges) ON source_id = id),
-f AS (SELECT id FROM (SELECT id, min(hop) AS hop FROM r GROUP BY id) ORDER BY hop DESC, id LIMIT 1)
-SELECT array_to_string(path, ' ') AS path FROM r WHERE id = (SELECT id FROM f) ORDER BY hop, r.path LIMIT 1""")
+@query()
 def h3_shortest_path(spark, sf):
     """From the first node to one of those farthest from it."""
     edges = materialise(A.edges(spark, sf), "edges")
