@@ -33,9 +33,20 @@ STOP = re.compile(rf"[{MARKS}](?<=[{LETTERS}].)")
 BYTE_PIECE = re.compile(rf" ?[{LETTERS}]+(?![^ \n{MARKS}])|\n(?=[{LETTERS}])|[ \n]*[^ \n]+|[ \n]+")
 MARK = "\x1f"
 PURE = re.compile(rf" ?[{LETTERS}]+")
-SPECIAL, OTHER_SPACE, WIDE = re.compile(r"<\|"), re.compile(r"[^\S \n]|<\|"), re.compile(r"[^\x00-\xff]")
+#: White space but for blanks and line ends.
+OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1e\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+SPECIAL = "<|"
 #: Pieces that a worker remembers (some 200 bytes each), the longest of them, and how many are joined.
-REMEMBERED, LONGEST, JOINED = 400_000, 64, 2_000
+REMEMBERED, LONGEST, JOINED = 600_000, 64, 2_000
+
+
+def _is_latin(text: str) -> bool:
+    """Whether lower case and normal form are letter by letter."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class Encoder:
@@ -93,10 +104,10 @@ class Encoder:
         """The text with a mark at every cut."""
         if not text:
             return ""
-        if self.kind == "word" and not SPECIAL.search(text):
-            low = text if WIDE.search(text) else text.lower()
+        if self.kind == "word" and SPECIAL not in text:
+            low = text.lower() if _is_latin(text) else text
             return STOP.sub(rf"{MARK}\g<0>", low).replace("\n", MARK).replace(" ", MARK)
-        if self.kind == "byte" and not OTHER_SPACE.search(text):
+        if self.kind == "byte" and SPECIAL not in text and not OTHER_SPACE.search(text):
             if any(x in text for x in ("  ", " \n", "\n ", "\n\n")) or text[-1] in " \n":
                 return MARK.join(BYTE_PIECE.findall(text))
             return STOP.sub(rf"{MARK}\g<0>", text).replace("\n", f"{MARK}\n{MARK}").replace(" ", f"{MARK} ")
