@@ -287,7 +287,7 @@ def n2_daily_digest(spark, sf):
     return found.select(F.col("key").cast("string").alias("key"), "commits", "authors", "high_risk", entries.alias("shas"))
 
 
-@query("""SELECT count(*) AS commits, count(DISTINCT author) AS authors FROM commits WHERE enriched_at IS NOT NULL AND date::DATE BETWEEN DATE '1997-03-01' AND DATE '1997-03-07'""")
+@query("""SELECT count(*) AS commits, count(DISTINCT author) AS authors FROM commits WHERE enriched_at IS NOT NULL AND date::DATE BETWEEN DATE '1997-03-01' AND DATE '1997-03-07' HAVING count(*) > 0""")
 def n3_weekly_digest(spark, sf):
     return TP.weekly(A.commits(spark, sf).withColumn("summary", F.lit("")), "1997-03-07").select("commits", "authors")
 

@@ -22,6 +22,8 @@ def plain(v):
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
+    c.execute("SET temp_directory = ''")
+    c.execute("SET memory_limit = '4GB'")
     for f in os.listdir(SF):
         c.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{SF}/{f}'")
     return c
