@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, as Python workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches again, cut so that `column` holds about `most` bytes or one row."""
     for batch in batches:
@@ -19,3 +29,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             stop = max(start + 1, int(np.searchsorted(ends, done + most, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    trim()
