@@ -37,7 +37,7 @@ PURE = re.compile(rf" ?[{LETTERS}]+")
 OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1e\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 SPECIAL = "<|"
 #: Pieces that a worker remembers (some 200 bytes each), the longest of them, and how many are joined.
-REMEMBERED, LONGEST, JOINED = 600_000, 64, 2_000
+REMEMBERED, LONGEST, JOINED = 250_000, 64, 2_000
 
 
 def _is_latin(text: str) -> bool:
@@ -135,12 +135,14 @@ class Encoder:
         pieces = pc.split_pattern(cut, MARK)
         coded = pieces.values.dictionary_encode()
         found = self._look_up(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
-        flat, at = np.frombuffer(b"".join(found), self.dtype), np.cumsum(sizes) - sizes
+        # a call holds few MB of texts; one long text alone may need wide positions
+        kind = np.int32 if sum(map(len, found)) + pieces.values.nbytes < 1 << 29 else np.int64
+        sizes = np.fromiter(map(len, found), kind, len(found)) // self.dtype.itemsize
+        flat, at = np.frombuffer(b"".join(found), self.dtype), np.cumsum(sizes, dtype=kind) - sizes
         which = coded.indices.to_numpy()
         own = sizes[which]
-        ends = np.cumsum(own)
-        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(at[which] - ends + own, own)]
+        ends = np.cumsum(own, dtype=kind)
+        ids = flat[np.arange(ends[-1] if len(ends) else 0, dtype=kind) + np.repeat(at[which] - ends + own, own)]
         bounds = np.concatenate([[0], ends])[pieces.offsets.to_numpy()].tolist()
         out = [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
         for i in marked:
@@ -164,7 +166,7 @@ def tokenize(docs: DataFrame, name: str, end: int, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, row, before = encoder(name), TaskContext.get().partitionId(), 0, {}
         tail = np.array([end], encode.dtype).tobytes()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             ids = [x + tail for x in encode(batch.column("text").to_pylist())]
             sizes = [len(x) // encode.dtype.itemsize for x in ids]
             runs = []
