@@ -53,7 +53,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 ids, mixed by source."""
-    return packing.pack(docs, "byte_bpe_50k.json", 1, with_ids=False, queue_col="source")
+    return packing.pack(docs, "byte_bpe_50k.json", 1, with_ids=False, by_window=True, queue_col="source")
 
 
 def _with_text(rows: DataFrame, text: str) -> DataFrame:
