@@ -76,8 +76,8 @@ def parse_tasks(answers: DataFrame) -> DataFrame:
     return rows.select("key", "t.filepath", F.when(F.col("t").isNotNull(), F.coalesce("t.action", F.lit("modify"))).alias("action"), "t.description", "t.details", F.when(F.col("t").isNull(), "no tasks in the answer").alias("error"))
 
 
-def apply_model(rows: DataFrame, column: str, model: Callable[[list[str]], list[str]], out: str = "raw", batch: int = 8, cut: int = 3000) -> DataFrame:
-    """Adds a user's answers: `model` gets lists of up to `batch` texts, each cut to what the model takes."""
+def apply_model(rows: DataFrame, column: str, model: Callable[[list[str]], list[str]], out: str = "raw", batch: int = 8, cut: int | None = None) -> DataFrame:
+    """Adds a user's answers: `model` gets lists of up to `batch` texts, whole unless `cut` says what it takes (3000 for embeddings)."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{out}` string"
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -79,6 +79,16 @@ def test_retry_accepts_rejects_and_abstains(spark):
     assert got == {1: ("fine", 1, False, []), 2: (T.ABSTAIN, 1, True, []), 3: ("fixed", 2, False, []), 4: (T.ABSTAIN, 3, True, ["BAD_X"])}
 
 
+def test_retry_sees_long_prompts_whole(spark):
+    def model(texts):
+        return ["fixed" if t.endswith("Do not mention: BAD_X") else t for t in texts]
+
+    rows = spark.createDataFrame([(1, "word " * 700 + "BAD_X"), (2, "word " * 700)], "key int, prompt string")
+    issues = lambda a: a.where("answer like '%BAD_X%'").select("key", F.lit("BAD_X").alias("name"))
+    got = {r.key: (r.answer, r.attempts, r.abstained) for r in M.retry_until_grounded(rows, model, issues).collect()}
+    assert got == {1: ("fixed", 2, False), 2: ("word " * 700, 1, False)}
+
+
 def calls(n=300):
     rng = random.Random(1)
     t, rows = 0.0, []
