@@ -40,3 +40,17 @@ def test_edge_rows(spark):
     assert sorted(map(repr, (r.doc_id for r in stayed.collect()))) == ["1", "2", "5", "None"]
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_last_stage_writes_the_ids(spark):
+    import numpy as np
+
+    from cairn.llm import tokens
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(50)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    pieces = {}
+    for r in pipeline.STAGES[-1][1](spark, docs, SF).collect():
+        pieces.setdefault(r.doc_id, []).append((r.start, np.frombuffer(r.ids, "<u4").tolist()))
+    ids = tokens.encoder("byte_bpe_50k.json").tokenizer
+    assert {d: sum((x for _, x in sorted(p)), []) for d, p in pieces.items()} == {d: [*ids.encode(t or "", add_special_tokens=False).ids, 1] for d, t in texts.items()}
