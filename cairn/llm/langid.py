@@ -2,8 +2,8 @@
 
 Character trigrams of all labelled texts give P(trigram | language). A document is a bag of
 words, each written in one language; expectation-maximisation estimates the proportions, once
-for each nested set of its leading languages, and the set of the best penalised likelihood
-(BIC) is kept. The language of the largest proportion is the prediction, that proportion the score.
+for each nested set of its leading languages, up to the first of more than LEAST that doesn't improve the penalised
+likelihood (BIC), and the set of the best is kept. The language of the largest proportion is the prediction, that proportion the score.
 
 Null texts and texts without a letter are `und` with score 0, and so is every text if no labelled
 row has a letter. Rows with a null label teach nothing. Ties go to the language first in order.
@@ -26,8 +26,8 @@ SMOOTH = 0.5
 ROUNDS = 8
 #: Stands for likelihoods too small for a 32-bit number.
 TINY = np.float32(1e-30)
-#: Languages that one document may be a mixture of.
-MOST = 3
+#: Sets of up to so many languages are tried on every document, larger ones while they improve.
+LEAST = 3
 UNDETERMINED = "und"
 
 
@@ -105,11 +105,19 @@ def mixtures(texts: list[str | None], model: np.ndarray) -> tuple[np.ndarray, np
     best, _ = fit(np.ones((k, len(docs)), np.float32), ROUNDS // 2)
     rank = np.argsort(np.argsort(-best, axis=0, kind="stable"), axis=0)
     top, chosen = np.full(len(docs), -np.inf), np.zeros((k, len(docs)), np.float32)
-    for n in range(1, min(MOST, k) + 1):
+    left = np.arange(len(docs))
+    for n in range(1, k + 1):
         share, fitted = fit((rank < n).astype(np.float32), ROUNDS * (n > 1))
         value = fitted - 0.5 * (n - 1) * np.log(size)
-        better = value > top
-        top[better], chosen[:, better] = value[better], share[:, better]
+        better = value > top[left]
+        top[left[better]], chosen[:, left[better]] = value[better], share[:, better]
+        if n >= LEAST and n < k:
+            # go on with the words of the texts that this size improved
+            like, rank, left = like[:, better[own]], rank[:, better], left[better]
+            if not len(left):
+                break
+            size = size[better]
+            first, own = np.cumsum(size) - size, np.repeat(np.arange(len(left)), size)
     found[docs] = chosen.T
     return found, np.isin(np.arange(len(texts)), docs)
 

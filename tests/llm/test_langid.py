@@ -57,3 +57,15 @@ def test_nothing_to_learn(spark):
     (row,) = langid.identify(docs).collect()
     assert (row.lang_pred, row.score) == ("und", 0.0)
     assert langid.identify(docs.limit(0)).count() == 0
+
+
+def test_mixture_of_more_than_three_languages(spark):
+    rng = random.Random(5)
+    parts = {"aa": ["the", "ing", "er"], "bb": ["eau", "oui", "lé"], "cc": ["sch", "ung", "öß"], "dd": ["ział", "cze", "wy"], "ee": ["mõõ", "kää", "uss"]}
+    make = lambda lang, n: " ".join("".join(rng.choices(parts[lang], k=rng.randint(2, 3))) for _ in range(n))
+    rows = [(i, make(sorted(parts)[i % 5], 60), sorted(parts)[i % 5]) for i in range(200)]
+    langs, model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    mixed = " ".join(make(lang, 30) for lang in langs)
+    share, _ = langid.mixtures([rows[0][1], mixed, make("aa", 60) + " " + make("bb", 20), "", mixed], model)
+    assert (abs(share[[1, 4]] - 0.2) < 0.05).all()
+    assert (share[0] > 0).sum() == 1 and abs(share[2][0] - 0.75) < 0.05 and (share[2] > 0).sum() == 2 and not share[3].any()
