@@ -332,10 +332,27 @@ def p6_credit_scores(spark, sf):
     return Q.clamped_scores(calls.select("tool", F.to_date("ts").alias("day"), F.col("event_id").alias("n"), delta.alias("delta")))
 
 
+#: What a line (its first word $1, its last $2) becomes, by extension; the line itself is kept.
+DEFINITIONS = {
+    ".py": "from $2 import $1\nclass $1($2):\n    def $2():\n        $0\n        $2($1)",
+    ".java": "import $2.$1;\npublic class $1 extends $2 implements $1 {\n    private String $1;\n    public void $2() {\n        $0\n        $2($1);\n    }\n}",
+    ".js": "import $1 from '$2'\nclass $1 extends $2 {\n    $2() {\n        $0\n        $2($1)\n    }\n}",
+    ".ts": "import $1 from '$2'\nclass $1 extends $2 implements $1 {\n    public $2(): string {\n        $0\n        $2($1)\n    }\n}",
+    ".go": "import \"$2/$1\"\ntype $1 struct {\n}\nfunc $2() {\n    $0\n    $2($1)\n}",
+}
+
+
+def structured(files):
+    """(path, content): definitions around the lines of texts, as their languages have them; Markdown and YAML turn to TypeScript and Go."""
+    path = F.regexp_replace(F.regexp_replace("path", r"\.md$", ".ts"), r"\.yaml$", ".go")
+    made = F.col("content")
+    for ext, lines in DEFINITIONS.items():
+        made = F.when(path.endswith(ext), F.regexp_replace("content", r"(?m)^(\p{L}+)[^\n]*?(\p{L}+)\W*?$", lines)).otherwise(made)
+    return files.select(path.alias("path"), made.alias("content"))
+
+
 @query()
 def j7_structure(spark, sf):
-    """Nodes and edges of texts in which every line is made a definition of its own words."""
-    line = F.regexp_replace("content", r"(?m)^(\p{L}+)[^\n]*?(\p{L}+)\W*$", "class $1:\n    def $2():\n        $2($1)")
-    files = A.files(spark, sf).where(F.col("path").endswith(".py")).select("path", line.alias("content"))
-    nodes, edges = X.extract(files)
+    """Nodes and edges of all texts, in which every line stands within a definition of its own words."""
+    nodes, edges = X.extract(structured(A.files(spark, sf)))
     return nodes.groupBy("type").agg(F.count("*").alias("n")).unionByName(edges.groupBy(F.col("relation").alias("type")).agg(F.count("*").alias("n")))

@@ -157,3 +157,22 @@ def test_index_stream_replaces_sources(spark, tmp_path):
     got = sorted((r.source, r.chunk_index, len(r.text)) for r in spark.read.parquet(f"{tmp_path}/t").collect())
     assert got in ([("a", 0, 1500), ("a", 1, 700), ("b", 0, 3), ("c", 0, 5)], [("a", 0, 3), ("b", 0, 3), ("c", 0, 5)])
     assert live.changed_paths(spark.createDataFrame([("a", "1")], "path string, hash string"), spark.createDataFrame([("b", "1")], "path string, hash string")).count() == 2
+
+
+def test_structure_reads_every_document_in_its_language(spark):
+    from cairn.operators import extraction as X
+    from cairn.plans import adapters as A
+    from cairn.plans import service_queries as S
+
+    sf = "/root/testdata/sf0.001"
+    docs = A.files(spark, sf)
+    files = S.structured(docs)
+    assert files.count() == docs.count()
+    text = {r.n: r.content for r in docs.select(F.regexp_extract("path", r"(\d+)\.\w+$", 1).alias("n"), "content").collect()}
+    for r in files.withColumn("n", F.regexp_extract("path", r"(\d+)\.\w+$", 1)).collect():
+        own = {line.strip() for line in r.content.split("\n")}
+        assert all(line.strip() in own for line in (text[r.n] or "").split("\n"))
+    nodes, edges = X.extract(files)
+    seen = {(r.ext, r.type) for r in nodes.select(T.extension(F.col("file_path")).alias("ext"), "type").distinct().collect()}
+    assert seen >= {(e, t) for e in (".py", ".java", ".js", ".ts", ".go") for t in ("Class", "Method")} | {(".java", "Field")}
+    assert {r.relation for r in edges.select("relation").distinct().collect()} == {"calls", "contains", "imports", "extends", "implements"}
