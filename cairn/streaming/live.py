@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -76,26 +78,69 @@ def admit(times: list[float], start: float | None, count: int, window: float, li
     return passed, start, count
 
 
+#: Windows that one block of a batch's calls spans.
+SPAN = 24
+#: The start of no window yet, and a time after all others.
+NEVER, LAST = -(1 << 62), (1 << 63) - 1
+
+
+def _leads(at: np.ndarray, low: int, window: int) -> pd.DataFrame:
+    """(at, start, count): a window that ends by `at`, and after the row before, is followed in the block by others, of which
+    the last begins at `start` with `count` of the block's calls. The row of LAST is for a window that outlasts the block."""
+    near = int(np.searchsorted(at, low + window)) + 1  # an earlier block's window ends before low + window
+    times, last = np.unique(at[:near], return_index=True)
+    while True:
+        after = np.searchsorted(at, at[last] + window)
+        if (after == len(at)).all():
+            break
+        last = np.where(after < len(at), after, last)
+    keep = np.append(last[1:] != last[:-1], True)
+    return pd.DataFrame({"at": [*times[keep], LAST], "start": [*at[last[keep]], NEVER], "count": [*(len(at) - last[keep]), len(at)]})
+
+
 def rate_limit(calls: DataFrame, window: float, limit: int) -> DataFrame:
     """(event_id, tool, allowed) of a batch of calls (event_id, tool, ts), per tool in order of time.
 
-    Tools are few and may hold any share of the calls, so their calls are first cut where a pause of a
-    whole window must begin a new one; what runs on without such a pause is folded in order by one task.
+    Tools are few and may hold any share of the calls, so they are cut into blocks of SPAN windows' time. Each block says where
+    the windows that can enter it lead; these rows are folded per tool, which gives each block the window it begins in,
+    and the blocks are then decided apart. A call without a time has a window to itself.
     """
-    from pyspark.sql import Window
-
-    seconds = F.col("ts").cast("double")
-    own = calls.select("event_id", "tool", seconds.alias("at"))
-    w = Window.partitionBy("tool").orderBy("at", "event_id")
-    gap = F.col("at") - F.lag("at").over(w) >= window
-    runs = own.withColumn("run", F.sum(F.coalesce(gap, F.lit(True)).cast("int")).over(w))
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+    step = math.ceil(round(window * 1e6, 3))
+    own = calls.select("event_id", "tool", F.coalesce(F.concat(F.lit("="), F.col("tool").cast("string")), F.lit("")).alias("key"), F.unix_micros("ts").alias("at"))
+    alone = own.where("at is null") if step > 0 else own
+    alone = alone.select("event_id", "tool", F.lit(limit > 0).alias("allowed"))
+    if step <= 0:
+        return alone
+    width = step * SPAN
+    blocks = own.where("at is not null").withColumn("low", F.col("at") - F.pmod("at", F.lit(width)))
+
+    def lead(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return _leads(np.sort(rows["at"].to_numpy()), key[1], step).assign(key=key[0], low=key[1])[["key", "low", "at", "start", "count"]]
+
+    def enter(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["low", "at"])
+        low, at, starts, counts = (rows[c].to_numpy() for c in ("low", "at", "start", "count"))
+        lows, first = np.unique(low, return_index=True)
+        start, count, found = NEVER, 0, []
+        for a, b in zip(first, [*first[1:], len(low)]):
+            found.append((start, count))
+            i = a + int(np.searchsorted(at[a:b], start + step))
+            start, count = (start, count + int(counts[i])) if at[i] == LAST else (int(starts[i]), int(counts[i]))
+        return pd.DataFrame(found, columns=["start", "count"]).assign(key=key[0], low=lows)[["key", "low", "start", "count"]]
+
+    def decide(rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["at", "event_id"])
-        passed, _, _ = admit(rows["at"].tolist(), None, 0, window, limit)
-        return rows[["event_id", "tool"]].assign(allowed=passed)
-
-    return runs.groupBy("tool", "run").applyInPandas(fold, "event_id long, tool string, allowed boolean")
+        at, rank, begin = rows["at"].to_numpy(), np.arange(len(rows)) + int(entry["count"].iloc[0]), int(entry["start"].iloc[0])
+        while (i := int(np.searchsorted(at, begin + step))) < len(at):
+            rank[i:] = np.arange(len(at) - i)
+            begin = int(at[i])
+        return rows[["event_id", "tool"]].assign(allowed=rank < limit)
+
+    leads = blocks.select("key", "low", "at").groupBy("key", "low").applyInPandas(lead, "key string, low long, at long, start long, count long")
+    entries = leads.groupBy("key").applyInPandas(enter, "key string, low long, start long, count long")
+    kind = calls.schema["tool"].dataType.simpleString()
+    done = blocks.groupBy("key", "low").cogroup(entries.groupBy("key", "low")).applyInPandas(decide, f"event_id long, tool {kind}, allowed boolean")
+    return done.unionByName(alone)
 
 
 def rate_limit_stream(calls: DataFrame, window: float, limit: int) -> DataFrame:

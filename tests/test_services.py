@@ -125,6 +125,25 @@ def test_rate_limit_batch_and_stream_equal_a_loop(spark, tmp_path):
     assert {r.event_id: r.allowed for r in spark.read.parquet(f"{tmp_path}/out").collect()} == want
 
 
+def test_rate_limit_of_dense_calls_is_cut_into_blocks(spark):
+    rng = random.Random(2)
+    t, rows = 0.0, []
+    for i in range(6000):
+        # no pause of a window; calls of one moment; a quiet stretch within a window before a block's end
+        t += rng.choice([0, 0.25, 1, 3, 20]) if i % 2000 else 50
+        rows.append((i, "hot" if i % 40 else None, dt.datetime.fromtimestamp(t, dt.timezone.utc), True))
+    frame = spark.createDataFrame(rows, SCHEMA)
+    for window, limit in ((60, 3), (60, 15), (7.5, 2)):
+        found = live.rate_limit(frame, window, limit)
+        assert {r.event_id: r.allowed for r in found.collect()} == loop(rows, window, limit)
+    assert "FlatMapCoGroupsInPandas" in found._jdf.queryExecution().toString()
+    tool = sum(r[1] == "hot" for r in rows)
+    sizes = frame.where("tool = 'hot'").groupBy(F.floor(F.unix_micros("ts") / (60e6 * live.SPAN))).count().collect()
+    assert max(r["count"] for r in sizes) < tool / 10
+    odd = spark.createDataFrame([(1, "a", None, True), (2, "a", None, True), (3, "a", rows[0][2], True), (4, "a", rows[0][2], True)], SCHEMA)
+    assert {r.event_id: r.allowed for r in live.rate_limit(odd, 60, 1).collect()} == {1: True, 2: True, 3: True, 4: False}
+
+
 def test_stream_counts_equal_batch(spark, tmp_path):
     rows = calls()
     spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/in")
