@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from cairn.llm import tokens
 from cairn.session import materialise
 
+#: Target shares of a window: the hot source is held at a quarter, the other sources share the rest by what they hold.
+SHARES = {"src0": 0.25}
 #: Rows of running totals in a task, about.
 TOTALS_ROWS = 1 << 18
 
@@ -174,12 +176,13 @@ class Credits:
 def credits(coded: DataFrame, length: int, shares: dict[str, float] | None = None) -> tuple[DataFrame, Credits]:
     """(queue, part, base, number): ids of a queue before each part and the queue's number; and what the queues are credited with."""
     sums = materialise(coded.groupBy("queue", "part").agg(F.sum("n").alias("own")), "packing-sums")
-    rows = sums.groupBy("queue").agg(F.sum("own").alias("held")).orderBy("queue").collect()  # one row a queue
+    rows = sums.groupBy("queue").agg(F.sum("own").alias("held")).orderBy("queue").collect()  # one row a source
     names, held = [r.queue for r in rows], np.array([r.held for r in rows], np.int64)
     weights = held.astype(float)
     if shares:
         given = {f"={k}": float(v) for k, v in shares.items()}
-        weights = np.array([given.get(q, h / held.sum()) for q, h in zip(names, held)])
+        others, rest = max(1, sum(h for q, h in zip(names, held) if q not in given)), 1 - sum(v for q, v in given.items() if q in names)
+        weights = np.array([given.get(q, h / others * rest if rest > 0 else h / held.sum()) for q, h in zip(names, held)])
     numbers = coded.sparkSession.createDataFrame(list(zip(names, range(len(names)))), "queue string, number long")
     earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.withColumn("base", F.coalesce(F.sum("own").over(earlier), F.lit(0))).join(numbers, "queue")
@@ -223,6 +226,6 @@ def pack(docs: DataFrame, tokenizer: str, end: int, length: int = 2048, shares:
 
 
 def op7_packing(spark, sf_dir: str) -> DataFrame:
-    """The contract's query: byte-level BPE ids with end id 1 in sequences of 2048, mixed by source."""
+    """The contract's query: byte-level BPE ids with end id 1 in sequences of 2048, sources in SHARES."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pack(docs, "byte_bpe_50k.json", 1, with_ids=False, by_window=True, queue_col="source")
+    return pack(docs, "byte_bpe_50k.json", 1, shares=SHARES, with_ids=False, by_window=True, queue_col="source")

@@ -70,3 +70,27 @@ def test_pieces_fill_the_stream_once(seed):
     order = np.argsort(at)
     assert (n > 0).all() and at[order].tolist() == (np.cumsum(n[order]) - n[order]).tolist() and n.sum() == held.sum()
     assert np.bincount(doc, n).tolist() == np.concatenate(queues).tolist()
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_credits_follow_a_loop_of_rounds(seed):
+    rng, length = np.random.default_rng(seed), 128
+    held = rng.integers(1, 4_000, rng.integers(1, 12))
+    weights = rng.random(len(held)) + 0.01
+    dealt = packing.Credits(held, weights, length)
+    sent = np.zeros(len(held))
+    for window in range(dealt.windows):
+        room = float(min(length, held.sum() - sent.sum()))
+        while room > 1e-6:  # a queue that ends leaves its part to the others
+            live = sent < held - 1e-9
+            step = min(room / weights[live].sum(), ((held - sent)[live] / weights[live]).min())
+            sent[live] += step * weights[live]
+            room -= step * weights[live].sum()
+        got = dealt.after(np.arange(len(held)), np.full(len(held), window + 1))
+        assert (np.abs(got - sent) <= 1 + 1e-6).all()
+
+
+def test_named_shares_are_parts_of_a_window(spark):
+    table, length = rows(), 256
+    windows = counts(packed(spark, table, length, shares={"hot": 0.25}), table, length)
+    assert all(abs(w["hot"] - length / 4) <= 6 for w in windows[: len(windows) // 3])
