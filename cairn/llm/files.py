@@ -21,10 +21,10 @@ def create(folder: str, stem: str, suffix: str) -> tuple[str, object]:
     uri = f"{folder}/{stem}-{uuid.uuid4().hex}{suffix}"
     system, path = at(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
-    return uri, system.open_output_stream(path)
+    return uri, system.open_output_stream(path, compression=None)  # not by the name's ending
 
 
 def read(uri: str) -> bytes:
     system, path = at(uri)
-    with system.open_input_stream(path) as f:
+    with system.open_input_stream(path, compression=None) as f:
         return f.read()

@@ -2,7 +2,8 @@
 
 A task writes its rows into archives of about ARCHIVE_BYTES: a skippable frame with a
 Zstandard dictionary trained on the archive's first records, then one frame for each record.
-Archives too small to train on have no dictionary frame. Equal payloads are archived once: the
+The trainer needs several records that have something in common; where it finds too little, the
+records' own last bytes are the dictionary. Equal payloads are archived once: the
 record of the smallest page id is a response, the others are revisits that refer to it.
 
 Null html is an empty payload. Rows with a null page id are never referred to; where no row of a
@@ -61,14 +62,12 @@ def record(page_id: int | None, url: str | None, payload: bytes, revisit: bool,
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def train(samples: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary, None where there is too little to train on."""
-    if sum(map(len, samples)) < 8 * 1024 or len(samples) < 8:
-        return None
+def train(samples: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """A dictionary from the first records of an archive."""
     try:
-        return zstandard.train_dictionary(min(DICT_BYTES, sum(map(len, samples)) // 8), samples, k=200, d=8)
-    except zstandard.ZstdError:
-        return None
+        return zstandard.train_dictionary(min(DICT_BYTES, max(256, sum(map(len, samples)) // 8)), samples, k=200, d=8)
+    except zstandard.ZstdError:  # so the trainer says that there is too little to train on
+        return zstandard.ZstdCompressionDict(b"".join(samples)[-DICT_BYTES:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 class Archive:
@@ -91,9 +90,8 @@ class Archive:
 
     def _begin(self) -> None:
         own = train(self.waiting)
-        if own:
-            raw = own.as_bytes()
-            self.out.write(struct.pack("<II", DICTIONARY, len(raw)) + raw)
+        raw = own.as_bytes()
+        self.out.write(struct.pack("<II", DICTIONARY, len(raw)) + raw)
         self.packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=own, write_content_size=True)
         for data in self.waiting:
             self.out.write(self.packer.compress(data))

@@ -1,6 +1,8 @@
 import base64
 import hashlib
 
+import zstandard
+
 from cairn.llm import files, warc
 
 
@@ -37,6 +39,33 @@ def test_dictionary_leads_large_archives(tmp_path):
     assert len(data) < sum(map(len, sent)) / 3
 
 
+def test_archives_on_disk(spark, tmp_path):
+    """What the contract's own writer leaves, read with nothing but open() and a Zstandard decoder."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    made = warc.write_archives(pages, f"file://{tmp_path}/w").collect()
+    seen = 0
+    for row in made:
+        with open(row.uri.removeprefix("file://"), "rb") as f:
+            raw = f.read()
+        assert raw[:4] == b"\x5d\x2a\x4d\x18"
+        size = int.from_bytes(raw[4:8], "little")
+        own, at = zstandard.ZstdCompressionDict(raw[8 : 8 + size]), 8 + size
+        while at < len(raw):  # every record is a frame of its own and can be read from its offset alone
+            one = zstandard.ZstdDecompressor(dict_data=own).decompressobj()
+            assert one.decompress(raw[at:]).startswith(b"WARC/1.1\r\n") and raw[at : at + 4] == b"\x28\xb5\x2f\xfd"
+            at, seen = len(raw) - len(one.unused_data), seen + 1
+    assert seen == pages.count()
+
+
+def test_small_archives_have_a_dictionary(tmp_path):
+    for k, sent in enumerate(([b""], [b"one record"], [b"same"] * 9, [b"x" * 500] * 20)):
+        archive = warc.Archive(f"file://{tmp_path}", f"s{k}")
+        for x in sent:
+            archive.add(x)
+        data = files.read(archive.close()[0])
+        assert data[:4] == b"\x5d\x2a\x4d\x18" and list(warc.records(data)) == sent
+
+
 def test_empty_table(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_archives(warc.write_archives(pages, f"file://{tmp_path}/w")).count() == 0
