@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 from cairn.session import materialise
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BLANKS = "[\\x20\\x09-\\x0D]"
+#: White space at the ends of lines, which end at the one of these that is left out.
+BLANKS = "[\\x20\\x09\\x0B-\\x0D]"
 
 
 def keys(text: Column) -> Column:
     """The key of every line of a text, in order."""
-    stripped = F.regexp_replace(F.translate(text, UPPER, LOWER), f"(?m)^[\\x20\\x09\\x0B-\\x0D]+|[\\x20\\x09\\x0B-\\x0D]+(?=\\n|\\z)", "")
+    # (?d): only \n ends a line
+    stripped = F.regexp_replace(F.translate(text, UPPER, LOWER), f"(?dm)^{BLANKS}+|{BLANKS}+(?=\\n|\\z)", "")
     return F.split(stripped, "\n", -1)
 
 
@@ -37,6 +39,8 @@ def dropped_positions(docs: DataFrame, min_chars: int, min_docs: int) -> DataFra
         .select("doc_id", "text_hash", "pos", line_hash(F.col("key")).alias("h"))
         .select("doc_id", "text_hash", "pos", "h.h1", "h.h2")
     )
+    # written down, so that the texts are split once
+    lines = materialise(lines, "lines")
     common = (
         lines.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
         .where(F.col("n") >= min_docs).select("h1", "h2", "keeper")

@@ -22,6 +22,8 @@ def brute(rows):
 def test_matches_brute_force(spark):
     rng = random.Random(5)
     pool = [f"a shared line of words number {i} é" for i in range(12)] + ["short", "", "  ", "x" * 19, "y" * 20, "ÉCOLE " * 5, "école " * 5]
+    # what other readers take for line ends stands within lines here
+    pool += [f"a shared line of text{c}{b}with blanks inside" for c in ("\r", "\x85", "\u2028", "\u2029") for b in ("", "   ")]
     rows = []
     for i in range(60):
         lines = [rng.choice(["", " ", "\t\r"]) + rng.choice([str, str.upper])(rng.choice(pool)) + rng.choice(["", " ", "\x0b"]) for _ in range(rng.randint(0, 9))]
