@@ -1,7 +1,8 @@
 """URL verdicts: rules on host and path first, gradient-boosted trees on lexical features for the rest.
 
-URLs that a rule fits are the labelled ones. Trees are fitted on at most TRAIN_ROWS of
-them, chosen by hash; the counts behind the suffix statistics cover all. Where no URL, or only one kind, is labelled, what no rule
+URLs that a rule fits are the labelled ones. Trees are fitted on about TRAIN_ROWS different ones of
+them, chosen by hash; the counts behind the suffix statistics cover all, and are counted in FOLDS: a labelled URL
+gets those of the other folds, so that its own label is never among its features. Where no URL, or only one kind, is labelled, what no rule
 fits is allowed, or given that kind. Null URLs and URLs without `://` have an empty host and
 path and are judged by the trees like others. All work is DataFrame functions and Spark ML.
 """
@@ -26,10 +27,11 @@ RULES = (
 )
 #: Labelled URLs that the trees are fitted on, at most.
 TRAIN_ROWS = 20_000
+FOLDS = 4
 ROUNDS, DEPTH = 12, 4
 #: URLs above this probability are blocked.
 THRESHOLD = 0.5
-FEATURES = ("url_length", "host_length", "path_length", "labels", "depth", "digits", "entropy", "parameters", "hyphens", "suffix_rate", "suffix_seen", "tail_rate")
+FEATURES = ("url_length", "host_length", "path_length", "labels", "depth", "digits", "entropy", "parameters", "hyphens", "host_end_rate", "host_end_seen", "path_start_rate")
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -71,33 +73,46 @@ def lexical(urls: DataFrame) -> DataFrame:
 
 
 def suffix_statistics(labelled: DataFrame, key: str, name: str) -> DataFrame:
-    """(key, name_rate, name_seen): smoothed share of blocked URLs, and log of their number."""
-    n, blocked = F.count("*"), F.sum("label")
-    return labelled.groupBy(key).agg(((blocked + 1) / (n + 2)).alias(f"{name}_rate"), F.log1p(n).alias(f"{name}_seen"))
+    """(key, name): labelled and blocked URLs of each fold."""
+    own = [(F.col("fold") == k).cast("double") for k in range(FOLDS)]
+    counted = F.struct(F.array(*map(F.sum, own)).alias("n"), F.array(*[F.sum(x * F.col("label")) for x in own]).alias("blocked"))
+    return labelled.groupBy(key).agg(counted.alias(name))
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """(page_id, host, path, rule, verdict, blocked) per row; `blocked` is the trees' probability."""
+def with_statistics(rows: DataFrame, name: str) -> DataFrame:
+    """Adds name_rate and name_seen: smoothed share of blocked URLs, and log of their number, in the other folds."""
+    total = lambda kind: F.aggregate(F.col(name)[kind], F.lit(0.0), lambda a, x: a + x) - F.coalesce(F.get(F.col(name)[kind], F.col("fold")), F.lit(0.0))
+    n, blocked = F.coalesce(total("n"), F.lit(0.0)), F.coalesce(total("blocked"), F.lit(0.0))
+    return rows.withColumns({f"{name}_rate": (blocked + 1) / (n + 2), f"{name}_seen": F.log1p(n)})
+
+
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, train_rows: int = TRAIN_ROWS, teach: Column | None = None) -> DataFrame:
+    """(page_id, host, path, rule, verdict, blocked) per row; `blocked` is the trees' probability.
+
+    `teach` (on page_id and url) may keep labelled URLs out of statistics and training.
+    """
     host, path = split_url(F.col(url_col))
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"))
     base = lexical(base.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)))
-    labelled = base.where("fit is not null").withColumn("label", (F.col("fit.verdict") == "block").cast("double"))
-    n, ones = labelled.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    taught = F.col("fit").isNotNull() & (teach if teach is not None else F.lit(True))
+    base = base.withColumn("fold", F.when(taught, F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")))
+    labelled = base.where("fold is not null").withColumn("label", (F.col("fit.verdict") == "block").cast("double"))
+    n, ones, different = labelled.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0)), F.approx_count_distinct("url", 0.02)).first()
     done = F.col("fit.rule").alias("rule")
     if ones in (0, n):
         fallback = "block" if n and ones == n else "allow"
         return base.select("page_id", "host", "path", done, F.coalesce("fit.verdict", F.lit(fallback)).alias("verdict"), F.lit(float(fallback == "block")).alias("blocked"))
     # written down, so that a suffix of many URLs can be split in the joins below
-    by_suffix = materialise(suffix_statistics(labelled, "suffix", "suffix"), "url-suffixes")
-    by_tail = materialise(suffix_statistics(labelled, "tail", "tail").drop("tail_seen"), "url-tails")
+    by_suffix = materialise(suffix_statistics(labelled, "suffix", "host_end"), "url-suffixes")
+    by_tail = materialise(suffix_statistics(labelled, "tail", "path_start"), "url-tails")
 
     def featured(rows: DataFrame) -> DataFrame:
         joined = rows.join(by_suffix, "suffix", "left").join(by_tail, "tail", "left")
-        filled = joined.fillna({"suffix_rate": 0.5, "suffix_seen": 0.0, "tail_rate": 0.5})
-        return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(filled)
+        return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_statistics(with_statistics(joined, "host_end"), "path_start"))
 
-    share = min(1.0, train_rows / n)
-    sample = labelled.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    # different URLs, so that one of many pages can't fill the sample
+    share = min(1.0, train_rows / max(different, 1))
+    sample = labelled.where(F.pmod(F.xxhash64(F.lit(1), "url"), F.lit(1 << 62)) < int(share * (1 << 62))).drop("page_id").dropDuplicates(["url"])
     trees = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, seed=7, cacheNodeIds=False)
     tasks = pages.sparkSession.sparkContext.defaultParallelism
     model = trees.fit(featured(sample).select("features", "label").coalesce(tasks))
