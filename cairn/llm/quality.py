@@ -1,11 +1,11 @@
 """Quality rules: exact text statistics with fixed limits, then a calibrated logistic regression.
 
 The regression sees hashed words and character trigrams of whole texts, each as shares of all of a
-text. It is fitted on at most TRAIN_DOCS labelled documents (chosen by hash of their id), its
+text. It is fitted on about TRAIN_DOCS labelled documents (chosen by hash of their id), its
 probability calibrated on a third of them that it hasn't seen. All texts are scored in Arrow batches.
 
-Null texts have no words. Labels that are null teach nothing; several labels of a document count
-each. With no labels, or labels of one kind, only the fixed limits decide. Repeated rows are
+Null texts have no words. Labels that are null teach nothing; equal labels of an id count once, and of several
+texts of one id the smallest teaches. With no labels, or labels of one kind, only the fixed limits decide. Repeated rows are
 scored each on its own.
 """
 
@@ -158,11 +158,13 @@ def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> tuple[np.ndarray, float, float, float] | None:
     """Weights, bias, slope, offset; None where labels of both kinds are missing."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null")
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") > 0).cast("int").alias("quality")).where("doc_id is not null and quality is not null").distinct()
     n = known.count()
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    sample = known.where(part < int(min(1.0, most / max(n, 1)) * (1 << 20)))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 62))
+    sample = known.where(part < int(min(1.0, most / max(n, 1)) * (1 << 62)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(sample, "doc_id")
+    # a row an id and label, however often the id recurs
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     found = rows.select("doc_id", "quality", "text").mapInArrow(vectors, "doc_id long, quality int, at array<int>, value array<float>").toArrow()
     if not found.num_rows:
         return None

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from cairn.llm import quality
 
 
@@ -52,3 +55,24 @@ def test_without_labels_only_limits_decide(spark):
     got = {r.doc_id: r.kept for r in quality.decide(quality.assess(docs, quality.train(docs, none))).collect()}
     assert got == {1: True, 2: False}
     assert quality.assess(docs.limit(0), None).count() == 0
+
+
+def test_held_out_accuracy_and_calibration_on_the_table(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    unseen = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(3)) == 0
+    model = quality.train(docs, labels.where(~unseen))
+    got = quality.assess(docs, model).join(labels.where(unseen), "doc_id").where("quality is not null and n_words > 0").collect()
+    truth, chance = np.array([r.quality for r in got]), np.array([r.probability for r in got])
+    assert len(got) > 100 and ((chance > 0.5) == (truth > 0)).mean() > max(truth.mean(), 1 - truth.mean())
+    assert ((chance - truth) ** 2).mean() < truth.mean() * (1 - truth.mean())  # better than the share of good ones for all
+    for low, high in ((0, 0.5), (0.5, 1.01)):
+        own = (chance >= low) & (chance < high)
+        assert own.sum() < 20 or abs(chance[own].mean() - truth[own].mean()) < 0.15
+
+
+def test_one_repeated_id_cannot_fill_the_sample(spark):
+    docs = spark.createDataFrame([(1, f"text number {i} ") for i in range(300)] + [(2, "another text")] + [(3, None), (4, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (2, 0), (3, 1), (4, 0), (4, None)], "doc_id long, quality int")
+    assert quality.train(docs, labels) is not None
+    assert quality.train(docs.limit(0), labels) is None and quality.train(docs.where("doc_id = 4"), labels) is None
