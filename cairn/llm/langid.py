@@ -23,7 +23,10 @@ from cairn.llm.texts import slices
 
 BUCKETS = 1 << 15
 SMOOTH = 0.5
-ROUNDS = 8
+#: Estimates are final when no share moves by more than this in a round; rounds at most.
+SETTLED, ROUNDS = 1e-3, 64
+#: Rounds with all languages, which rank them.
+FIRST_ROUNDS = 4
 #: Stands for likelihoods too small for a 32-bit number.
 TINY = np.float32(1e-30)
 #: Sets of up to so many languages are tried on every document, larger ones while they improve.
@@ -94,15 +97,24 @@ def mixtures(texts: list[str | None], model: np.ndarray) -> tuple[np.ndarray, np
     own = np.repeat(np.arange(len(docs)), size)
 
     def fit(keep: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-        """Languages x documents: shares after so many rounds, and their log-likelihood."""
-        share = keep / keep.sum(0)
-        for _ in range(rounds):
-            part = share[:, own] * like
+        """Languages x documents: shares when they have settled, and their log-likelihood."""
+        done = share = keep / keep.sum(0)
+        live, words, begin, many, whose = np.arange(share.shape[1]), like, first, size.astype(np.float32), own
+        for step in range(rounds):
+            part = share[:, whose] * words
             part /= part.sum(0) + TINY
-            share = np.add.reduceat(part, first, axis=1) / size.astype(np.float32)
-        return share, np.add.reduceat(np.log((share[:, own] * like).sum(0) + TINY), first, dtype=np.float64)
+            before, share = share, np.add.reduceat(part, begin, axis=1) / many
+            moving = np.abs(share - before).max(0) > SETTLED
+            done[:, live] = share
+            if not moving.any():
+                break
+            if step % 4 == 3 and moving.sum() < 0.7 * len(live):
+                # go on with the words of the texts that haven't settled
+                words, share, live, n = words[:, moving[whose]], share[:, moving], live[moving], many[moving].astype(np.int64)
+                begin, many, whose = np.cumsum(n) - n, many[moving], np.repeat(np.arange(len(n)), n)
+        return done, np.add.reduceat(np.log((done[:, own] * like).sum(0) + TINY), first, dtype=np.float64)
 
-    best, _ = fit(np.ones((k, len(docs)), np.float32), ROUNDS // 2)
+    best, _ = fit(np.ones((k, len(docs)), np.float32), FIRST_ROUNDS)
     rank = np.argsort(np.argsort(-best, axis=0, kind="stable"), axis=0)
     top, chosen = np.full(len(docs), -np.inf), np.zeros((k, len(docs)), np.float32)
     left = np.arange(len(docs))

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -69,3 +70,48 @@ def test_mixture_of_more_than_three_languages(spark):
     share, _ = langid.mixtures([rows[0][1], mixed, make("aa", 60) + " " + make("bb", 20), "", mixed], model)
     assert (abs(share[[1, 4]] - 0.2) < 0.05).all()
     assert (share[0] > 0).sum() == 1 and abs(share[2][0] - 0.75) < 0.05 and (share[2] > 0).sum() == 2 and not share[3].any()
+
+
+def plain_mixture(rows, k):
+    """Shares by EM to the end for each nested set of leading languages, the set chosen by BIC; rows are P(word | language)."""
+    def em(keep, rounds):
+        share = [x / sum(keep) for x in keep]
+        for _ in range(rounds):
+            new = [0.0] * k
+            for row in rows:
+                total = sum(s * r for s, r in zip(share, row)) + 1e-30
+                for j in range(k):
+                    new[j] += share[j] * row[j] / total
+            share = [x / len(rows) for x in new]
+        return share, sum(math.log(sum(s * r for s, r in zip(share, row)) + 1e-30) for row in rows)
+
+    order = sorted(range(k), key=lambda j: -em([1.0] * k, langid.FIRST_ROUNDS)[0][j])
+    best = (-math.inf, None)
+    for n in range(1, k + 1):
+        share, fitted = em([1.0 if j in order[:n] else 0.0 for j in range(k)], 400 if n > 1 else 1)
+        value = fitted - 0.5 * (n - 1) * math.log(len(rows))
+        if value > best[0]:
+            best = value, share
+        elif n >= langid.LEAST:
+            break
+    return best[1]
+
+
+def test_mixtures_equal_a_plain_loop(spark):
+    rows, _ = corpus()
+    langs, model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices([w for i in rng.sample(range(240), rng.randint(1, 3)) for w in rows[i][1].split()], k=rng.randint(1, 60))) for _ in range(40)]
+    share, _ = langid.mixtures(texts, model)
+    for text, own in zip(texts, share):
+        code, starts, _ = langid.trigrams([text])
+        words = [[sum(float(model[c, j]) for c in code[a:b]) for j in range(len(langs))] for a, b in zip(starts, [*starts[1:], len(code)])]
+        like = [[math.exp(x - max(w)) for x in w] for w in words]
+        assert np.allclose(own, plain_mixture(like, len(langs)), atol=0.02), text
+
+
+def test_held_out_accuracy_on_the_table(spark):
+    found = langid.op2_langid(spark, "/root/testdata/sf0.01")
+    truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
+    rows = found.join(truth, "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert len(rows) > 150 and sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.95
