@@ -1,44 +1,44 @@
-"""Licence scan by a positional index of each template's rarest words, in SQL functions only.
+"""Licence scan by a positional index of licence texts, in SQL functions only.
 
-Document frequencies of all template words are counted over the whole corpus; the ANCHORS words of
-the highest IDF of each template are looked up in every file. A word at position p that the
-template has at position r proposes a start p - r; proposed starts are intersected by
-counting the template words that stand where they should. A template's label needs MATCHED of them and, word by
-word, its mandatory phrase. Base phrases are found in the same way by their rarest word, and must
-stand whole, so none is missed.
+The index is a table of postings (word, template, position, idf); a word's IDF is that among the
+templates, so what is found in a file depends on no other file. A template's postings are live down to the IDF
+at which so many of its positions are that any alignment with MATCHED of its words holds AGREEING live ones. Each file looks up its
+own words of that rarity, wherever they stand; a word at position p of the file and r of a template
+proposes the start p - r, and the postings are intersected: starts on which AGREEING postings agree are aligned word by word.
+A label needs MATCHED of its template's words and, in place, all of its mandatory phrases. No alignment that is
+enough for a label is missed. The largest share of a template's words in an aligned start is the score.
 
-Null and empty texts have no words. Repeated rows are scanned each on its own. Nothing is shuffled
-but the template words' counts. The largest alignment of any template is the score.
+Base phrases are found by their rarest word, and must stand whole, so none is missed.
+
+Null and empty texts have no words. Repeated rows are scanned each on its own. Words of equal IDF are all live.
+The corpus is read once and nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import json
 import math
+import re
+from collections import Counter
+from dataclasses import dataclass
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm.licence_texts import TEXTS
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ANCHORS = 3
-MATCHED = 0.8
+#: Least share of a template's words in place, as a fraction, and live postings that must agree on a start.
+MATCHED, AGREEING = (4, 5), 2
 #: Phrases whose every place counts.
 BASE = (
     ("mit", "under the mit license"),
     ("apache-2", "apache license version 2"),
     ("cc-by-nc", "cc by nc"),
 )
-#: Label, template, mandatory phrase within it.
-TEMPLATES = (
-    ("mit", "released under the mit license", "mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted"),
-    ("apache-2", "licensed under the apache license version 2 0", "apache license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
-    ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
-    ("gpl-3", "licensed under the gnu general public license version 3", "gnu general public license"),
-    ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    ("mpl-2", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "released into the public domain"),
-)
+BUCKETS = 1 << 10
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
 def words(text: Column) -> Column:
@@ -48,94 +48,101 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, " ", -1))
 
 
-def document_frequencies(tokens: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
-    """Rows, and rows that hold each word of the vocabulary; one sum for each word."""
-    seen = F.array_intersect("words", F.array(*map(F.lit, vocabulary)))
-    rows = tokens.select(F.explode(F.concat(seen, F.array(F.lit("")))).alias("word")).groupBy("word").count().collect()
-    found = {r["word"]: r["count"] for r in rows}
-    return found.pop("", 0), found
-
-
-def anchors(phrase: list[str], rows: int, frequency: dict[str, int], most: int) -> list[tuple[str, int]]:
-    """The phrase's words of the highest IDF, each with its first position; ties in order of the text."""
-    idf = {w: math.log((rows + 1) / (frequency.get(w, 0) + 1)) for w in phrase}
-    return [(w, phrase.index(w)) for w in sorted(idf, key=lambda w: (-idf[w], phrase.index(w)))[:most]]
-
+@dataclass
+class Template:
+    label: str
+    words: list[str]
+    #: Positions of the mandatory phrases' words.
+    must: list[int]
 
-def _starts(hits: Column, index: list[tuple[str, int]]) -> Column:
-    """Starts that the anchors found in a file propose."""
 
-    def of(word: str, place: int) -> Column:
-        return F.transform(F.filter(hits, lambda h: h["w"] == word), lambda h: h["i"] - place)
+class Index:
+    """Templates and their postings."""
 
-    return F.array_distinct(F.concat(*[of(w, r) for w, r in index]))
+    def __init__(self, texts=TEXTS) -> None:
+        split = lambda x: WORD.findall(x.lower())  # noqa: E731  templates are ASCII
+        self.templates = []
+        for label, phrases, text in texts:
+            own = split(text)
+            at = [next(i for i in range(len(own)) if own[i : i + len(p)] == p) for p in map(split, phrases)]
+            self.templates.append(Template(label, own, sorted({i + k for i, p in zip(at, map(split, phrases)) for k in range(len(p))})))
+        held = Counter(w for t in self.templates for w in set(t.words))
+        self.idf = {w: math.log((len(self.templates) + 1) / (n + 1)) for w, n in held.items()}
+        self.postings = [(w, t, r, self.idf[w]) for t, own in enumerate(self.templates) for r, w in enumerate(own.words) if self.idf[w] >= self.floor(own)]
 
+    def floor(self, template: Template) -> float:
+        """The IDF down to which the template's postings are live."""
+        over, under = MATCHED
+        spare = len(template.words) - -(-len(template.words) * over // under)
+        return sorted((self.idf[w] for w in template.words), reverse=True)[: spare + AGREEING][-1]
 
-def _stands(tokens: Column, start: Column, phrase: list[str]) -> Column:
-    """Whether the phrase's words stand at `start`."""
-    same = [F.coalesce(F.get(tokens, start + i) == w, F.lit(False)) for i, w in enumerate(phrase)]
-    whole = same[0]
-    for x in same[1:]:
-        whole = whole & x
-    return whole
+    def rarest(self, phrase: list[str]) -> int:
+        """The position of a phrase's word of the highest IDF, the first of equal ones."""
+        return max(range(len(phrase)), key=lambda i: (self.idf.get(phrase[i], math.inf), -i))
 
 
-def _aligned(tokens: Column, start: Column, template: list[str]) -> Column:
-    """The share of the template's words that stand at their place."""
-    same = [F.coalesce((F.get(tokens, start + i) == w).cast("int"), F.lit(0)) for i, w in enumerate(template)]
-    total = same[0]
-    for x in same[1:]:
-        total = total + x
-    return total / F.lit(float(len(template)))
+def _constant(value: list, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=BASE, templates=TEMPLATES) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=BASE, texts=TEXTS) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) per row."""
+    index = Index(texts)
+    phrases = [(label, p.split(), index.rarest(p.split())) for label, p in base]
+    rare = sorted({w for w, *_ in index.postings} | {p[i] for _, p, i in phrases})
+    buckets: list[list] = [[] for _ in range(BUCKETS)]
+    for w, t, r, _ in index.postings:
+        buckets[(xxhash.xxh64_intdigest(w.encode(), 42) - (1 << 64)) % BUCKETS].append({"w": w, "t": t, "r": r})
+    table = _constant(buckets, "array<array<struct<w:string,t:bigint,r:int>>>")
+    kept = _constant([t.words for t in index.templates], "array<array<string>>")
+    must = _constant([t.must for t in index.templates], "array<array<int>>")
+    labels = _constant([t.label for t in index.templates], "array<string>")
+    longest = max((len(t.words) for t in index.templates), default=0)
+
     tokens = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("words"))
-    split = lambda x: x.split()
-    vocabulary = sorted({w for _, p in base for w in split(p)} | {w for _, t, _ in templates for w in split(t)})
-    rows, frequency = document_frequencies(tokens, vocabulary)
-    by_base = [(label, split(p), anchors(split(p), rows, frequency, 1)) for label, p in base]
-    by_template = [(label, split(t), split(k), anchors(split(t), rows, frequency, ANCHORS)) for label, t, k in templates]
-    rare = sorted({w for *_, index in [*by_base, *by_template] for w, _ in index})
-    # positions are taken only in files that hold an anchor
+    # positions are taken only in files that hold a word of the index
     none = F.array().cast("array<struct<i:int,w:string>>")
     places = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: x["w"].isin(rare))
-    hits = F.when(F.arrays_overlap("words", F.array(*map(F.lit, rare))), places).otherwise(none)
-    found = tokens.select("doc_id", "words", hits.alias("hits"))
-
-    def kept(phrase: list[str], index: list) -> Column:
-        return F.filter(_starts(F.col("hits"), index), lambda s: _stands(F.col("words"), s, phrase))
-
-    def matched(template: list[str], phrase: list[str], index: list) -> Column:
-        return F.transform(_starts(F.col("hits"), index), lambda s: F.struct(
-            _aligned(F.col("words"), s, template).alias("share"),
-            _stands(F.col("words"), s + _within(template, phrase), phrase).alias("verified"),
-        ))
+    found = tokens.select("doc_id", "words", F.when(F.arrays_overlap("words", F.lit(rare)), places).otherwise(none).alias("hits"))
+
+    def postings(hit: Column) -> Column:
+        own = F.filter(F.get(table, F.pmod(F.xxhash64(hit["w"]), F.lit(BUCKETS)).cast("int")), lambda p: p["w"] == hit["w"])
+        return F.transform(own, lambda p: F.shiftleft(p["t"], 40) + hit["i"] - p["r"] + longest)
+
+    proposed = F.sort_array(F.flatten(F.transform("hits", postings)))
+    found = found.withColumn("proposed", F.when(F.size("hits") >= AGREEING, proposed).otherwise(F.array().cast("array<bigint>")))
+    agreed = F.array_distinct(F.filter("proposed", lambda x, k: x == F.get("proposed", k - (AGREEING - 1))))
+    starts = F.transform(agreed, lambda x: F.struct(F.shiftright(x, 40).cast("int").alias("t"), (x.bitwiseAND(F.lit((1 << 40) - 1)) - longest).cast("int").alias("s")))
+    found = found.withColumn("starts", starts)
+
+    def aligned(x: Column) -> Column:
+        own = F.get(kept, x["t"])
+        same = F.size(F.filter(own, lambda w, k: F.get("words", x["s"] + k) == w))
+        verified = F.coalesce(F.forall(F.get(must, x["t"]), lambda k: F.get("words", x["s"] + k) == F.get(F.get(kept, x["t"]), k)), F.lit(False))
+        over, under = MATCHED
+        label = F.when(verified & (same * under >= F.size(own) * over), F.get(labels, x["t"]))
+        return F.struct((same / F.size(own)).alias("share"), label.alias("label"))
+
+    def stands(phrase: list[str], at: int) -> Column:
+        """Starts of the phrase."""
+        begin = F.transform(F.filter("hits", lambda h: h["w"] == phrase[at]), lambda h: h["i"] - at)
+        whole = lambda s: F.forall(F.sequence(F.lit(0), F.lit(len(phrase) - 1)), lambda k: F.coalesce(F.get("words", s + k) == F.get(F.lit(phrase), k), F.lit(False)))
+        return F.filter(begin, whole)
 
     found = found.select(
-        "doc_id", F.size("words").cast("long").alias("n_words"), "words",
-        *[kept(p, index).alias(f"base_{i}") for i, (_, p, index) in enumerate(by_base)],
-        *[matched(t, k, index).alias(f"template_{i}") for i, (_, t, k, index) in enumerate(by_template)],
+        "doc_id", F.size("words").cast("long").alias("n_words"), F.transform("starts", aligned).alias("aligned"),
+        *[stands(p, at).alias(f"base_{i}") for i, (_, p, at) in enumerate(phrases)],
     )
-    places = F.concat(*[F.col(f"base_{i}") for i in range(len(by_base))])
-    base_labels = F.array_compact(F.array(*[F.when(F.size(f"base_{i}") > 0, F.lit(label)) for i, (label, *_) in enumerate(by_base)]))
-    own = F.array_compact(F.array(*[
-        F.when(F.exists(f"template_{i}", lambda x: x["verified"] & (x["share"] >= MATCHED)), F.lit(label)) for i, (label, *_) in enumerate(by_template)
-    ]))
-    shares = F.flatten(F.array(*[F.col(f"template_{i}")["share"] for i in range(len(by_template))]))
-    joined = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
+    every = F.concat(*[F.col(f"base_{i}") for i in range(len(phrases))])
+    base_labels = F.array_compact(F.array(*[F.when(F.size(f"base_{i}") > 0, F.lit(label)) for i, (label, *_) in enumerate(phrases)]))
+    joined = lambda x: F.array_join(F.sort_array(F.array_distinct(x)), ",")
     return found.select(
-        "doc_id", "n_words", F.size(places).cast("long").alias("n_base"),
-        F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"),
-        joined(base_labels).alias("base_labels"), joined(F.concat(base_labels, own)).alias("labels"),
-        F.coalesce(F.array_max(shares), F.lit(0.0)).alias("score"),
+        "doc_id", "n_words", F.size(every).cast("long").alias("n_base"),
+        F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"),
+        joined(base_labels).alias("base_labels"), joined(F.concat(base_labels, F.array_compact(F.col("aligned")["label"]))).alias("labels"),
+        F.coalesce(F.array_max(F.col("aligned")["share"]), F.lit(0.0)).alias("score"),
     )
 
 
-def _within(template: list[str], phrase: list[str]) -> int:
-    return next(i for i in range(len(template)) if template[i : i + len(phrase)] == phrase)
-
-
 def op4_licences(spark, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
