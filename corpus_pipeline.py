@@ -52,8 +52,8 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 ids, mixed by source, with their ids (unsigned 32-bit, little-endian)."""
-    return packing.pack(docs, "byte_bpe_50k.json", 1, by_window=True, queue_col="source")
+    """Pieces of sequences of 2048 ids, sources in the target shares, with their ids (unsigned 32-bit, little-endian)."""
+    return packing.pack(docs, "byte_bpe_50k.json", 1, shares=packing.SHARES, by_window=True, queue_col="source")
 
 
 def _with_text(rows: DataFrame, text: str) -> DataFrame:
