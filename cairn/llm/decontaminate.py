@@ -1,57 +1,90 @@
 """Benchmark decontamination by FM-indexes over shards of the training texts.
 
 A test phrase is a window of `size` consecutive words of a benchmark item, or the whole of a
-shorter item. Each task turns its documents into shards of about SHARD_WORDS words, keeps the
-stretches of benchmark words in which a phrase fits, sorts their suffixes, and stores the
-Burrows-Wheeler transform in a wavelet matrix. All phrases are searched backward at once;
-their occurrences are located by walking to sampled suffix positions. Hit words, merged, are
-the spans to remove. No rows are shuffled.
+shorter item. Spark cuts the items into distinct (phrase, item) pairs and writes them down in files of
+at most BLOCK_ROWS. Each task turns its documents into shards of about SHARD_WORDS words, numbers all of a shard's words,
+sorts its suffixes, and stores the Burrows-Wheeler transform in a wavelet matrix. A shard's index doesn't
+depend on the benchmark: it is built once, and the files of phrases are searched in it one after the other, all
+phrases of a file backward at once; their occurrences are located by walking to sampled suffix
+positions. Hit words, merged, are the spans to remove. No rows of documents are shuffled.
+
+Documents of more words than a shard are indexed in pieces that overlap by a phrase. Words of more than LONGEST bytes
+stand for themselves by their SHA-256.
 
 Null texts have no words. Benchmark rows with no words match nothing; rows with a null id hit
-words but are not listed. Repeated rows are searched each on its own. A benchmark of more than
-QUERY_CHARS characters is searched in several passes, one block of items at a time.
+words but are not listed. Repeated rows are searched each on its own.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.texts import alnum_words, slices
+from cairn.llm import files
+from cairn.llm.texts import alnum, alnum_words, slices
+from cairn.session import materialise, scratch
 
 SHARD_WORDS = 1 << 20
 #: Every so many positions of a shard are kept with their suffixes.
 SAMPLED = 8
-#: Benchmark characters that a pass searches for.
-QUERY_CHARS = 1 << 25
+#: (phrase, item) pairs in a file of phrases at most, and bytes of a word in it.
+BLOCK_ROWS, LONGEST = 1 << 16, 64
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
+def short(words: list[bytes], longest: int) -> list[bytes]:
+    """Long words replaced by their hashes."""
+    return [w if len(w) <= longest else hashlib.sha256(w).hexdigest().encode() for w in words]
+
+
+def write_phrases(benchmark: DataFrame, size: int, item_col: str, text_col: str, block_rows: int, longest: int) -> list[str]:
+    """Writes the distinct (phrase, item) pairs; the URIs of the files."""
+    words = alnum(F.col(text_col))
+    brief = F.transform(words, lambda w: F.when(F.octet_length(w) > longest, F.sha2(w, 256)).otherwise(w))
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), brief.alias("words")).where(F.size("words") > 0)
+    starts = items.select("item", "words", F.explode(F.sequence(F.lit(1), F.greatest(F.size("words") - (size - 1), F.lit(1)))).alias("start"))
+    pairs = starts.select(F.array_join(F.slice("words", F.col("start"), size), " ").alias("phrase"), "item").distinct()
+    pairs = materialise(pairs, "phrases")
+    path, spark = scratch(benchmark.sparkSession, "phrase-files"), benchmark.sparkSession
+    full = pairs.coalesce(max(1, -(-pairs.count() // block_rows)))
+    full.sortWithinPartitions("phrase", "item").write.option("maxRecordsPerFile", block_rows).parquet(path)
+    return sorted(spark.read.schema("phrase string, item long").parquet(path).inputFiles())
+
+
 class Phrases:
-    """The distinct test phrases of some items as rows of word numbers, aligned at the end."""
-
-    def __init__(self, items: list[tuple[int | None, str | None]], size: int) -> None:
-        found: dict[tuple, set] = {}
-        for item, text in items:
-            words = alnum_words(text)
-            for i in range(max(1, len(words) - size + 1) if words else 0):
-                found.setdefault(tuple(words[i : i + size]), set()).add(item)
-        self.number = {w: i for i, w in enumerate(sorted({w for p in found for w in p}), 1)}
+    """The distinct phrases of a file as rows of word numbers from 1, aligned at the end, with 0s before them."""
+
+    def __init__(self, pairs: pa.Table) -> None:
+        coded = pairs.column("phrase").combine_chunks().dictionary_encode()
+        which = coded.indices.to_numpy()
+        found = [p.encode().split(b" ") for p in coded.dictionary.to_pylist()]
+        number: dict[bytes, int] = {}
         self.lengths = np.array([len(p) for p in found], np.int64)
         self.rows = np.zeros((len(found), int(self.lengths.max(initial=0))), np.int32)
         for row, p in zip(self.rows, found):
-            row[len(row) - len(p) :] = [self.number[w] for w in p]
-        self.items = [sorted(x for x in own if x is not None) for own in found.values()]
+            row[len(row) - len(p) :] = [number.setdefault(w, len(number) + 1) for w in p]
+        self.words = list(number)
+        item = pairs.column("item").combine_chunks()
+        known = item.is_valid().to_numpy(zero_copy_only=False)
+        order = np.argsort(which[known], kind="stable")
+        #: Items of phrase i: items[bounds[i] : bounds[i + 1]].
+        self.items = item.drop_null().to_numpy()[order]
+        self.bounds = np.searchsorted(which[known][order], np.arange(len(found) + 1))
+
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        """Numbers of the words, 0 of those in no phrase."""
-        return np.fromiter(map(self.number.get, words, repeat(0)), np.int32, len(words))
+@lru_cache(maxsize=2)
+def read_phrases(uri: str) -> Phrases:
+    system, path = files.at(uri)
+    with system.open_input_file(path) as f:
+        return Phrases(pq.read_table(f))
 
 
 class Bits:
@@ -107,16 +140,22 @@ def sort_suffixes(text: np.ndarray) -> np.ndarray:
     """The suffix array of a text that ends in 0; each 0 is smaller than all symbols and all later 0s."""
     zero = text == 0
     rank = np.where(zero, np.cumsum(zero) - 1, text + int(zero.sum()) - 1).astype(np.int64)
-    step, last = 1, np.arange(len(text))
-    while True:
-        order = np.argsort(rank, kind="stable")
-        ordered = rank[order]
-        dense = np.zeros(len(text), np.int64)
-        dense[order] = np.cumsum(np.diff(ordered, prepend=ordered[:1]) != 0)
-        if len(text) == 0 or dense[order[-1]] == len(text) - 1:
-            return order
-        rank = dense * (len(text) + 1) + dense[np.minimum(last + step, len(text) - 1)]
-        step *= 2
+    n, step = len(text), 1
+    # by pairs of pairs; then only what still shares its rank is sorted on, with the double depth each time
+    place, order = np.arange(n), np.arange(n)
+    while len(place):
+        own = order[place]
+        key = rank[own] * (n + 1) + rank[np.minimum(own + step, n - 1)] if step > 1 else rank[own] * (int(rank.max()) + 1) + rank[np.minimum(own + 1, n - 1)]
+        # places of one group stand together, so that the sorted keys stay in the group's places
+        by = np.argsort(key)
+        own, key = own[by], key[by]
+        order[place] = own
+        begins = np.diff(key, prepend=-1) != 0
+        first = place[np.maximum.accumulate(np.where(begins, np.arange(len(place)), 0))]
+        rank[own] = first
+        alone = begins & np.append(begins[1:], True)
+        place, step = place[~alone], step * 2
+    return order
 
 
 class FMIndex:
@@ -154,27 +193,60 @@ class FMIndex:
         return found
 
 
-def occurrences(numbers: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
-    """(position, phrase) of all occurrences in a shard; 0s in `numbers` separate."""
-    none = np.zeros(0, np.int64)
-    at = np.flatnonzero(numbers)
-    if not len(at) or not len(phrases.rows):
-        return none, none
-    begins = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-    sizes = np.diff(np.append(begins, len(at)))
-    fits = np.repeat(sizes >= phrases.lengths.min(), sizes)  # no phrase fits into a shorter stretch
-    at = at[fits]
-    if not len(at):
-        return none, none
-    ends = np.flatnonzero(np.diff(at, append=at[-1] + 2) != 1) + 1
-    text = np.insert(numbers[at], ends, 0)
-    place = np.insert(at, ends, -1)
-    index = FMIndex(text, len(phrases.number) + 1)
-    low, high = index.search(phrases.rows, phrases.lengths)
-    n = np.maximum(high - low, 0)
-    which = np.repeat(np.arange(len(n)), n)
-    suffix = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-    return place[index.locate(suffix)], which
+class Shard:
+    """Pieces of documents under one index: each a document's number, the place of its first word, and its words."""
+
+    def __init__(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.pieces: list[np.ndarray] = []
+        self.owners: list[int] = []
+        self.bases: list[int] = []
+        self.size = 0
+
+    def add(self, owner: int, base: int, words: list[bytes]) -> None:
+        number = self.number
+        for w in set(words).difference(number):
+            number[w] = len(number) + 1
+        self.pieces.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+        self.owners.append(owner)
+        self.bases.append(base)
+        self.size += len(words)
+
+    def search(self, uris: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each file of phrases: document, first word and end of all occurrences; (document, item) pairs."""
+        sizes = np.array([len(x) for x in self.pieces], np.int64)
+        starts = np.cumsum(sizes + 1) - sizes - 1  # a separator stands after each piece
+        index = FMIndex(np.concatenate([x for own in self.pieces for x in (own, np.zeros(1, np.int32))]), len(self.number) + 1)
+        owners, bases = np.array(self.owners), np.array(self.bases, np.int64)
+        for phrases in map(read_phrases, uris):
+            if not phrases.words:
+                continue
+            own = np.fromiter((self.number.get(w, -1) for w in phrases.words), np.int64, len(phrases.words))
+            rows = np.concatenate([[0], own])[phrases.rows]
+            known = np.flatnonzero((rows >= 0).all(1))
+            low, high = index.search(rows[known], phrases.lengths[known])
+            n = np.maximum(high - low, 0)
+            which = np.repeat(known, n)
+            at = index.locate(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n))
+            piece = np.searchsorted(starts, at, side="right") - 1
+            first = at - starts[piece] + bases[piece]
+            document = owners[piece]
+            pair = np.unique(np.stack([document, which]), axis=1) if len(which) else np.zeros((2, 0), np.int64)
+            many = phrases.bounds[pair[1] + 1] - phrases.bounds[pair[1]]
+            item = phrases.items[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(phrases.bounds[pair[1]], many)]
+            yield document, first, first + phrases.lengths[which], np.stack([np.repeat(pair[0], many), item])
+
+
+def merge(document: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ranges of each document, those that meet or overlap joined."""
+    order = np.lexsort((first, document))
+    document, first, end = document[order], first[order], end[order]
+    # far enough apart that no range reaches the next document
+    shift = document * (int(end.max(initial=0)) + 1)
+    reach = np.maximum.accumulate(end + shift) if len(end) else end
+    begins = np.flatnonzero(np.append(True, first[1:] + shift[1:] > reach[:-1])) if len(end) else np.zeros(0, np.int64)
+    last = np.append(begins[1:] - 1, len(end) - 1) if len(end) else begins
+    return document[begins], first[begins], reach[last] - shift[last]
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
@@ -188,69 +260,58 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*parts, raw[at:]]).decode()
 
 
-def _search(batches: Iterator[pa.RecordBatch], phrases: Phrases, shard_words: int) -> Iterator[pa.RecordBatch]:
-    """Adds the hits of `phrases` to each row's spans and items."""
+def _search(batches: Iterator[pa.RecordBatch], uris: list[str], size: int, shard_words: int, longest: int) -> Iterator[pa.RecordBatch]:
+    """Adds n_words, n_hit, spans and items to the rows."""
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     rows: list[pa.RecordBatch] = []
-    numbers: list[np.ndarray] = []
-    total = 0
-
-    def shard() -> pa.RecordBatch:
+    counts: list[int] = []
+    hits: list[tuple] = []
+    shard = Shard()
+
+    def search() -> None:
+        nonlocal shard
+        if shard.size and uris:
+            hits.extend(tuple(x) for x in shard.search(uris))
+        shard = Shard()
+
+    def done() -> pa.RecordBatch:
+        search()
         table = pa.Table.from_batches(rows).combine_chunks()
-        sizes = np.array([len(x) for x in numbers], np.int64)
-        starts = np.cumsum(sizes + 1) - sizes - 1  # a separator stands after each document
-        place, which = occurrences(np.concatenate([x for own in numbers for x in (own, np.zeros(1, np.int32))]), phrases)
-        edge = np.zeros(int((sizes + 1).sum()) + 1, np.int64)
-        np.add.at(edge, place, 1)
-        np.add.at(edge, place + phrases.lengths[which], -1)
-        old = table.column("spans").to_pylist()
-        for start, spans in zip(starts, old):
-            for s in spans or ():
-                edge[start + s["start"]] += 1
-                edge[start + s["end"]] -= 1
-        covered = np.cumsum(edge) > 0
-        turns = np.flatnonzero(np.diff(covered, prepend=False))
-        owner = np.searchsorted(starts, turns[::2], side="right") - 1
-        spans = [[] for _ in numbers]
-        for k, a, b in zip(owner.tolist(), turns[::2].tolist(), turns[1::2].tolist()):
-            spans[k].append({"start": a - int(starts[k]), "end": b - int(starts[k])})
-        items = [set(x or ()) for x in table.column("items").to_pylist()]
-        owner = np.searchsorted(starts, place, side="right") - 1
-        for pair in np.unique(owner * max(1, len(phrases.items)) + which).tolist():
-            items[pair // len(phrases.items)].update(phrases.items[pair % len(phrases.items)])
-        hit = [sum(s["end"] - s["start"] for s in own) for own in spans]
-        done = table.drop_columns(["n_words", "n_hit", "spans", "items"])
-        columns = [pa.array(sizes), pa.array(hit, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([sorted(x) for x in items], pa.list_(pa.int64()))]
-        done = done.combine_chunks().to_batches(max_chunksize=max(1, table.num_rows))[0]
-        return pa.RecordBatch.from_arrays([*done.columns, *columns], [*done.schema.names, "n_words", "n_hit", "spans", "items"])
+        spans, items, hit = [[] for _ in counts], [[] for _ in counts], [0] * len(counts)
+        if hits:
+            document, first, end = merge(*(np.concatenate([h[k] for h in hits]) for k in range(3)))
+            for k, a, b in zip(document.tolist(), first.tolist(), end.tolist()):
+                spans[k].append({"start": a, "end": b})
+                hit[k] += b - a
+            for k, item in np.unique(np.concatenate([h[3] for h in hits], axis=1), axis=1).T.tolist():
+                items[k].append(item)
+        (batch,) = table.to_batches(max_chunksize=max(1, table.num_rows))
+        columns = [pa.array(counts, pa.int64()), pa.array(hit, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "n_words", "n_hit", "spans", "items"])
 
     for part in slices(batches, "text"):
-        own = [phrases.numbers(alnum_words(t)) for t in part.column("text").to_pylist()]
         rows.append(part)
-        numbers += own
-        total += sum(map(len, own))
-        if total >= shard_words:
-            yield shard()
-            rows, numbers, total = [], [], 0
+        for text in part.column("text").to_pylist():
+            words = short(alnum_words(text), longest)
+            for base in range(0, len(words), shard_words):
+                shard.add(len(counts), base, words[base : base + shard_words + size - 1])
+                if shard.size >= shard_words and len(words) > shard_words:
+                    search()
+            counts.append(len(words))
+        if sum(counts) >= shard_words:
+            yield done()
+            rows, counts, hits = [], [], []
     if rows:
-        yield shard()
+        yield done()
 
 
-def find(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", phrase_col: str = "text", keep: tuple = (), shard_words: int = SHARD_WORDS) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", phrase_col: str = "text", keep: tuple = (), shard_words: int = SHARD_WORDS, block_rows: int = BLOCK_ROWS, longest: int = LONGEST) -> DataFrame:
     """(doc_id, text, *keep, n_words, n_hit, spans, items) per row; spans are merged word ranges."""
-    spark = docs.sparkSession
-    tests = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(phrase_col).alias("text"))
-    chars = tests.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = 1 + chars // QUERY_CHARS
-    found = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep],
-        F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"),
-        F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.array().cast("array<bigint>").alias("items"),
-    )
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
-    for k in range(blocks):
-        own = tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else tests
-        phrases = spark.sparkContext.broadcast(Phrases([(r.item, r.text) for r in own.toLocalIterator()], size))
-        found = found.mapInArrow(lambda it, p=phrases: _search(it, p.value, shard_words), schema)
+    uris = write_phrases(benchmark, size, item_col, phrase_col, block_rows, longest)
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
+    added = "n_words bigint, n_hit bigint, spans array<struct<start:bigint,end:bigint>>, items array<bigint>"
+    found = source.mapInArrow(lambda it: _search(it, uris, size, shard_words, longest), f"{schema}, {added}")
     return found.select("doc_id", "text", *[F.col(f"keep_{c}").alias(c) for c in keep], "n_words", "n_hit", "spans", "items")
 
 

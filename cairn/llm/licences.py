@@ -27,8 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.licence_texts import TEXTS
+from cairn.llm.texts import alnum
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Least share of a template's words in place, as a fraction, and live postings that must agree on a start.
 MATCHED, AGREEING = (4, 5), 2
 #: Phrases whose every place counts.
@@ -41,13 +41,6 @@ BUCKETS = 1 << 10
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
-def words(text: Column) -> Column:
-    """Runs of 0-9, a-z and non-ASCII characters, A-Z lower-cased."""
-    blank = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
-    trimmed = F.trim(blank)
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, " ", -1))
-
-
 @dataclass
 class Template:
     label: str
@@ -99,7 +92,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=B
     labels = _constant([t.label for t in index.templates], "array<string>")
     longest = max((len(t.words) for t in index.templates), default=0)
 
-    tokens = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("words"))
+    tokens = docs.select(F.col(id_col).alias("doc_id"), alnum(F.col(text_col)).alias("words"))
     # positions are taken only in files that hold a word of the index
     none = F.array().cast("array<struct<i:int,w:string>>")
     places = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: x["w"].isin(rare))

@@ -55,11 +55,11 @@ def test_matches_brute_force(spark):
         assert sorted((tuple(r) for r in got), key=repr) == brute(docs, bench, 10)
 
 
-def test_blocks_of_items_give_the_same(spark, monkeypatch):
+def test_blocks_of_phrases_give_the_same(spark):
     docs, bench = data(True)
     frame, tests = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
-    monkeypatch.setattr(dc, "QUERY_CHARS", 300)
-    got = dc.find(frame, tests).select("doc_id", "n_words", "n_hit", "items").collect()
+    # nearly all words are hashed
+    got = dc.find(frame, tests, block_rows=7, longest=2).select("doc_id", "n_words", "n_hit", "items").collect()
     assert sorted((tuple(r) for r in got), key=repr) == brute(docs, bench, 10)
 
 
@@ -72,6 +72,23 @@ def test_removal_leaves_no_hit(spark):
         assert (r.text == text) if not r.n_hit else len(words(r.text)) == r.n_words - r.n_hit
 
 
+def test_long_documents_are_cut_into_pieces(spark):
+    docs, bench = data(True)
+    docs += [(200, " ".join(["noise"] * 95 + bench[0][1].split() + ["more"] * 90 + bench[1][1].split()[:11]))]
+    frame, tests = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    for words in (1, 10, 100):
+        got = dc.find(frame, tests, shard_words=words).select("doc_id", "n_words", "n_hit", "items").collect()
+        assert sorted((tuple(r) for r in got), key=repr) == brute(docs, bench, 10)
+
+
+def test_suffixes_in_order():
+    rng = np.random.default_rng(6)
+    for text in ([0], [1, 0], [1, 1, 1, 1, 1, 0], [1, 2, 0] * 50, rng.integers(0, 3, 400).tolist() + [0], ([3] * 40 + [0]) * 5):
+        zeros = iter(range(len(text)))
+        plain = [(0, next(zeros)) if x == 0 else (1, x) for x in text]
+        assert dc.sort_suffixes(np.array(text, np.int32)).tolist() == sorted(range(len(text)), key=lambda i: plain[i:])
+
+
 def test_suffixes_and_search():
     rng = np.random.default_rng(4)
     text = np.append(rng.integers(0, 4, 600), 0).astype(np.int32)
