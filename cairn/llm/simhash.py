@@ -7,7 +7,7 @@ kept, null ids too (they never become a component's id). Long texts are hashed i
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +23,10 @@ SEED = 42
 #: Segment widths of the ring; they add up to 64.
 WIDTHS = (13, 13, 13, 13, 12)
 SHIFTS = tuple(accumulate(WIDTHS, initial=0))[:-1]
-#: A bucket with more members is compared block against block, in as many tasks.
+#: A bucket with more members is dealt by longer keys, and if these are crowded too compared block against block, in as many tasks.
 BLOCK = 1024
+#: Bits of a key that say at which segment its chain starts.
+START_SHIFT, START_MASK = 33, 7
 
 
 def fingerprint(words: list[bytes], size: int) -> int:
@@ -73,6 +75,26 @@ def ring_keys(fp):
     return F.array(*keys)
 
 
+def longer_keys(fp, key):
+    """Keys of a crowded bucket's member: its key and three more halves of segments.
+
+    Seven halves are outside the key. At most 4 of their bits differ, so that three halves at least are equal.
+    """
+    halves = []
+    for shift, width in zip(SHIFTS, WIDTHS):
+        low = width // 2
+        halves += [(shift, low), (shift + low, width - low)]
+    value = F.array(*[F.shiftrightunsigned(fp, s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in halves])
+    number = F.shiftright(key, 32).cast("int")
+    half = F.pmod(number, F.lit(2))
+    # places in the ring from the start segment on: the rest of the second segment, and all of the others
+    rest = [F.lit(3) - half, *[F.lit(k) for k in range(4, 2 * len(WIDTHS))]]
+    own = [F.get(value, F.pmod(number - half + place, F.lit(2 * len(WIDTHS)))) for place in rest]
+    start = key.bitwiseAND(F.lit(START_MASK << START_SHIFT))
+    outside = F.lit(~(START_MASK << START_SHIFT))
+    return F.array(*[F.xxhash64(key, F.lit(n), *[own[i] for i in some]).bitwiseAND(outside).bitwiseOR(start) for n, some in enumerate(combinations(range(len(rest)), 3))])
+
+
 def _chains(a: np.ndarray, b: np.ndarray, start: np.ndarray, bits: int) -> np.ndarray:
     """Whether pairs pass the chain from segment `start`, then the full check."""
     x, m = a ^ b, len(WIDTHS)
@@ -93,7 +115,7 @@ def _pairs(keys: np.ndarray, cross: np.ndarray, side: np.ndarray, fps: np.ndarra
         first = first[first + gap < len(keys)]
         first = first[keys[first] == keys[first + gap]]
         use = first[~cross[first] | (side[first] != side[first + gap])]
-        hit = use[_chains(fps[use], fps[use + gap], (keys[use, None] >> 33).ravel() % 8, bits)] if len(use) else use
+        hit = use[_chains(fps[use], fps[use + gap], keys[use] >> START_SHIFT & START_MASK, bits)] if len(use) else use
         yield from zip(fps[hit].view(np.int64).tolist(), fps[hit + gap].view(np.int64).tolist())
         gap += 1
 
@@ -120,11 +142,15 @@ def links(distinct: DataFrame, bits: int = 4, block: int = BLOCK) -> DataFrame:
     if not 0 < bits < len(WIDTHS):
         raise ValueError("this ring has one bit less than segments to spend")
     index = distinct.select("fp", F.explode(ring_keys(F.col("fp"))).alias("key"))
-    crowded = index.groupBy("key").count().where(F.col("count") > block)
+    crowded = lambda rows: materialise(rows.groupBy("key").count().where(F.col("count") > block), "simhash-crowded")
+    first = index.join(crowded(index), "key", "left")
+    refined = materialise(
+        first.where("count is not null").select("fp", F.explode(longer_keys(F.col("fp"), F.col("key"))).alias("key")), "simhash-refined"
+    )
     parts = F.ceil(F.col("count") / block).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     dealt = (
-        index.join(crowded, "key", "left")
+        first.where("count is null").unionByName(refined.join(crowded(refined), "key", "left"))
         .withColumn("parts", F.coalesce(parts, F.lit(1))).withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "fp")
@@ -136,7 +162,7 @@ def links(distinct: DataFrame, bits: int = 4, block: int = BLOCK) -> DataFrame:
 
         def edges(x: pa.Table) -> pa.RecordBatch:
             key, a, b, own, fp = (x.column(c).to_numpy() for c in ("key", "a", "b", "own", "fp"))
-            # a crowded bucket's block pairs are told apart; the start segment stays in bits 33 and up
+            # a crowded bucket's block pairs are told apart
             _, group = np.unique(np.stack([key, a, b]), axis=1, return_inverse=True) if b.any() else (None, None)
             if group is None:
                 found = _pairs(key, np.zeros(len(key), bool), own, fp.view(np.uint64), bits)
@@ -174,9 +200,9 @@ def near_duplicates(
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     edges = materialise(links(classes.select("fp"), bits), "simhash-links")
     labels = connected_components(edges).withColumnRenamed("id", "fp")
-    whole = classes.join(labels, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = whole.groupBy("component").agg(F.min("least").alias("component_id"))
-    # written down, so that a fingerprint of many copies can be split in the join below
+    # written down, as what follows, so that a component of many fingerprints and a fingerprint of many copies can be split in the joins below
+    whole = materialise(classes.join(labels, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "simhash-whole")
+    least = materialise(whole.groupBy("component").agg(F.min("least").alias("component_id")), "simhash-least")
     named = materialise(whole.join(least, "component").select("fp", "component_id"), "simhash-classes")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
