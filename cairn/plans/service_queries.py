@@ -279,22 +279,46 @@ def m4_retries(spark, sf):
     return M.retry_until_grounded(rows, model, issues).select("key", "attempts", "abstained")
 
 
-@query("""SELECT date::DATE::VARCHAR AS key, count(*) AS commits, count(DISTINCT author) AS authors, count(*) FILTER (risk_score >= 0.5) AS high_risk,
- len(string_agg(sha, '')) AS shas FROM commits WHERE enriched_at IS NOT NULL GROUP BY 1""")
+#: A commit's lines, intents with their headings, and a digest of rows (key, title, commits of a summary each).
+DIGEST = """i AS (SELECT * FROM (VALUES (0, 'feature', 'Features'), (1, 'fix', 'Fixes'), (2, 'refactor', 'Refactors'), (3, 'chore', 'Chore'), (4, 'docs', 'Documentation'), (5, 'test', 'Tests'), (6, 'unknown', 'Unknown')) v(place, intent, label)),
+l AS (SELECT *, '- `' || intent || '`: ' || subject || CASE WHEN risk_score >= 0.5 THEN ' ⚠️ Risk: ' || printf('%.1f', risk_score) ELSE '' END || ' → (`' || left(sha, 7) || '`)'
+  || CASE WHEN len(modules) > 0 THEN chr(10) || '  Modules: `' || array_to_string(modules, ', ') || '`' ELSE '' END
+  || CASE WHEN starts_with(summary, '[INSUFFICIENT_EVIDENCE]') THEN chr(10) || '  _Summary unavailable_' WHEN summary <> '' AND summary <> subject THEN chr(10) || '  _' || left(summary, 200) || '_' ELSE '' END AS line FROM k),
+p AS (SELECT key, place, label, count(*) AS n, string_agg(line, chr(10) ORDER BY date, sha) AS lines FROM l JOIN i USING (intent) GROUP BY ALL),
+b AS (SELECT key, string_agg('## ' || label || ' (' || n || ')' || chr(10) || chr(10) || lines || chr(10) || chr(10), '' ORDER BY place) AS sections FROM p GROUP BY 1),
+c AS (SELECT key, title, count(*) AS commits, count(DISTINCT author) AS authors, count(*) FILTER (risk_score >= 0.5) AS high_risk FROM k GROUP BY 1, 2)
+SELECT key, commits, authors, high_risk, '# ' || title || chr(10) || chr(10) || '**' || commits || CASE commits WHEN 1 THEN ' commit**' ELSE ' commits**' END || chr(10) || 'by ' || authors || CASE authors WHEN 1 THEN ' author.' ELSE ' authors.' END || chr(10)
+  || CASE WHEN high_risk > 0 THEN '**' || high_risk || CASE high_risk WHEN 1 THEN ' high-risk** change.' ELSE ' high-risk** changes.' END || chr(10) ELSE '' END || chr(10) || sections
+  || '---' || chr(10) || chr(10) || '*Generated from the change history.*' || chr(10) AS body FROM c JOIN b USING (key)"""
+#: Summaries that repeat the subject, abstain, say more, or are missing.
+SUMMARY = """CASE ascii(sha) % 4 WHEN 0 THEN subject WHEN 1 THEN '[INSUFFICIENT_EVIDENCE] of ' || subject WHEN 2 THEN repeat(subject || '. ', 30) ELSE '' END"""
+
+
+def _summarised(spark, sf):
+    kind = F.ascii("sha") % 4
+    summary = F.when(kind == 0, F.col("subject")).when(kind == 1, F.concat(F.lit(T.ABSTAIN + " of "), "subject")).when(kind == 2, F.repeat(F.concat("subject", F.lit(". ")), F.lit(30))).otherwise("")
+    return A.commits(spark, sf).withColumn("summary", summary)
+
+
+def _digest(found):
+    return found.select(F.col("key").cast("string").alias("key"), "commits", "authors", "high_risk", "body")
+
+
+@query(f"""WITH k AS (SELECT date::DATE::VARCHAR AS key, 'Changelog — ' || date::DATE::VARCHAR AS title, *, {SUMMARY} AS summary FROM commits WHERE enriched_at IS NOT NULL), {DIGEST}""")
 def n2_daily_digest(spark, sf):
-    found = TP.daily(A.commits(spark, sf).withColumn("summary", F.col("subject")))
-    entries = F.size(F.regexp_extract_all("body", F.lit(r"\(([0-9a-f]{7})\)"), 1)).cast("long") * 32
-    return found.select(F.col("key").cast("string").alias("key"), "commits", "authors", "high_risk", entries.alias("shas"))
+    return _digest(TP.daily(_summarised(spark, sf)))
 
 
-@query("""SELECT count(*) AS commits, count(DISTINCT author) AS authors FROM commits WHERE enriched_at IS NOT NULL AND date::DATE BETWEEN DATE '1997-03-01' AND DATE '1997-03-07' HAVING count(*) > 0""")
+@query(f"""WITH k AS (SELECT '1997-03-07' AS key, 'Weekly Changelog — 1997-03-01 to 1997-03-07' AS title, *, {SUMMARY} AS summary FROM commits WHERE enriched_at IS NOT NULL AND date::DATE BETWEEN DATE '1997-03-01' AND DATE '1997-03-07'), {DIGEST}""")
 def n3_weekly_digest(spark, sf):
-    return TP.weekly(A.commits(spark, sf).withColumn("summary", F.lit("")), "1997-03-07").select("commits", "authors")
+    return _digest(TP.weekly(_summarised(spark, sf), "1997-03-07"))
 
 
-@query("""SELECT m AS key, count(*) AS commits, count(DISTINCT author) AS authors FROM (SELECT unnest(modules) AS m, author FROM commits WHERE enriched_at IS NOT NULL) GROUP BY 1""")
+@query(f"""WITH m AS (SELECT unnest(modules) AS key, *, {SUMMARY} AS summary FROM commits WHERE enriched_at IS NOT NULL),
+k AS (SELECT * FROM (SELECT *, 'Changelog — Module: ' || key AS title, row_number() OVER (PARTITION BY key ORDER BY date DESC, sha DESC) AS n FROM m) WHERE n <= 100), {DIGEST}""")
 def n4_module_digest(spark, sf):
-    return TP.by_module(A.commits(spark, sf).withColumn("summary", F.lit(""))).select("key", "commits", "authors")
+    """The newest hundred commits of each module."""
+    return _digest(TP.by_module(_summarised(spark, sf)))
 
 
 @query("""WITH d AS (SELECT date::DATE AS day, count(*) AS n FROM commits GROUP BY 1), c AS (SELECT unnest(generate_series((SELECT min(day) FROM d)::TIMESTAMP, (SELECT max(day) FROM d)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day)

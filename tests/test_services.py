@@ -48,9 +48,21 @@ def test_digests(spark):
     c = spark.createDataFrame(rows, "sha string, author string, date timestamp, subject string, intent string, risk_score double, enriched_at timestamp, modules array<string>, summary string")
     (r,) = TP.daily(c).collect()
     assert (r.commits, r.authors, r.high_risk) == (2, 2, 1)
-    assert r.body.index("## Features (1)") < r.body.index("## Fixes (1)") and "[risk 0.6]" in r.body and "Summary unavailable" in r.body
+    assert r.body == (
+        "# Changelog — 2024-01-05\n\n**2 commits**\nby 2 authors.\n**1 high-risk** change.\n\n## Features (1)\n\n- `feature`: Add x ⚠️ Risk: 0.6 → (`aaaaaaa`)\n  Modules: `m`\n  _Adds x_\n\n"
+        "## Fixes (1)\n\n- `fix`: Fix y → (`bbbbbbb`)\n  _Summary unavailable_\n\n---\n\n*Generated from the change history.*\n"
+    )
+    assert TP.weekly(c, "2024-01-11").first().body.startswith("# Weekly Changelog — 2024-01-05 to 2024-01-11\n\n**2 commits**")
+    assert TP.by_module(c, most=1).first().body.startswith("# Changelog — Module: m\n\n**1 commit**\nby 1 author.")
     assert TP.weekly(c, "2024-01-11").first().commits == 2 and TP.weekly(c, "2024-01-12").count() == 0
     assert TP.by_module(c).first().key == "m" and '"commits":2' in TP.as_json(TP.daily(c)).first().json
+    assert '"by_intent":{"Features":1,"Fixes":1}' in TP.as_json(TP.daily(c)).first().json
+
+
+def test_risk_is_rounded_like_its_binary_value(spark):
+    values = [i / 100 for i in range(50, 101)] + [0.25, 0.849999]
+    got = [r.t for r in spark.createDataFrame([(v,) for v in values], "x double").select(TP.tenths(F.col("x")).alias("t")).collect()]
+    assert got == [f"{v:.1f}" for v in values]
 
 
 def test_triplets(spark):
