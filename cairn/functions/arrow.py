@@ -8,6 +8,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
+
+
+def read_block(uri: str) -> pa.Table:
+    """A Parquet file of the shared folder (file, hdfs, s3, gs), as a task reads it."""
+    system, path = fs.FileSystem.from_uri(uri)
+    with system.open_input_file(path) as f:
+        return pq.read_table(f)
 
 
 def trim() -> None:

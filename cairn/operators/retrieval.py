@@ -6,69 +6,103 @@ Queries are (query_id, embedding), the index is (id, embedding) with any further
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import DataType
 
-#: Queries that one pass over the index compares, so that what is sent to all tasks is bounded.
-QUERY_BLOCK = 4096
+from cairn.functions.arrow import read_block
+from cairn.session import block_files
+
+#: Queries in a block, bytes of vectors of the index that meet all blocks at once, and rows of them that are scored at a time.
+QUERY_BLOCK, SLAB_BYTES, SCORED = 1024, 64 << 20, 2048
 SYNTHESIS = r"^L\d+$"
 
 
-def _unit(vectors: np.ndarray) -> np.ndarray:
+def _unit(column: pa.Array) -> np.ndarray:
+    """Vectors of length 1, null ones of length 0, as rows."""
+    rows = len(column)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if rows and len(flat) % rows or len(pc.unique(pc.list_value_length(column))) > 1:
+        raise ValueError("vectors differ in length")
+    vectors = flat.reshape(rows, -1)
     size = np.linalg.norm(vectors, axis=1, keepdims=True)
     return np.divide(vectors, size, out=np.zeros_like(vectors), where=size > 0)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64)
+@lru_cache(maxsize=2)
+def _queries(uri: str) -> tuple[pa.Array, np.ndarray]:
+    block = read_block(uri).combine_chunks()
+    return block.column("query_id").combine_chunks(), _unit(block.column("embedding").combine_chunks())
 
 
-def _pass(index: DataFrame, ids: list, queries: np.ndarray, k: int, kind: DataType) -> DataFrame:
-    """The k best of every task for each query of a block."""
-    own_kind = index.schema["id"].dataType
-    arrow = [to_arrow_type(kind), to_arrow_type(own_kind), pa.float64()]
+def _best(queries: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
+    """For each query the k largest of (score in millionths, first row) as one number each; -1 where there are fewer."""
+    best = np.full((len(queries), k), -1, np.int64)
+    for a in range(0, len(vectors), SCORED):
+        part = vectors[a : a + SCORED]
+        score = np.rint(np.round(queries @ part.T, 6) * 1e6).astype(np.int64) + 2_000_000
+        keys = np.hstack([best, (score << 32) + ((1 << 32) - 1 - a - np.arange(len(part)))])
+        best = np.partition(keys, -k, axis=1)[:, -k:]
+    return best
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, score = np.zeros((len(ids), 0), object), np.zeros((len(ids), 0))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = np.array(batch.column("id").to_pylist(), object)
-            found = np.round(queries @ _unit(_matrix(batch.column("embedding"))).T, 6)
-            score = np.hstack([score, found])
-            names = np.hstack([names, np.broadcast_to(own, found.shape)])
-            if score.shape[1] > k:
-                rows = [np.lexsort((n, -s))[:k] for n, s in zip(names, score)]
-                names, score = (np.stack([x[r] for x, r in zip(m, rows)]) for m in (names, score))
-        for i, q in enumerate(ids):
-            n = score.shape[1]
-            columns = [pa.array(c, t) for c, t in zip(([q] * n, names[i].tolist(), score[i]), arrow)]
-            yield pa.RecordBatch.from_arrays(columns, ["query_id", "id", "score"])
-
-    return index.select("id", "embedding").mapInArrow(run, f"query_id {kind.simpleString()}, id {own_kind.simpleString()}, score double")
-
-
-def cosine_top_k(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
+
+def cosine_top_k(queries: DataFrame, index: DataFrame, k: int, by: str | None = None) -> DataFrame:
     """(query_id, id, score, rank): the k rows of the index nearest to each query; ties by id.
 
-    Every task keeps its k best for each query, so only k rows a task and query are shuffled.
+    With `by`, a column of the index, the k nearest of each of its values, and that column. Queries are written down in
+    blocks; every task scans its part of the index once and reads the blocks one after the other, so neither side passes the driver.
+    Each task keeps its k best for each query, so only these are shuffled.
     """
-    kind = queries.schema["query_id"].dataType
-    own = queries.select("query_id", "embedding").where("embedding is not null")
-    rows, passes = own.toLocalIterator(prefetchPartitions=True), []
-    while block := [r for _, r in zip(range(QUERY_BLOCK), rows)]:
-        vectors = _unit(np.array([r.embedding for r in block], np.float64))
-        passes.append(_pass(index.where("embedding is not null"), [r.query_id for r in block], vectors, k, kind))
-    if not passes:
-        return index.sparkSession.createDataFrame([], f"query_id {kind.simpleString()}, id {index.schema['id'].dataType.simpleString()}, score double, rank int")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return reduce(DataFrame.unionByName, passes).withColumn("rank", rank).where(F.col("rank") <= k)
+    uris = block_files(queries.select("query_id", "embedding").where("embedding is not null"), QUERY_BLOCK, "queries")
+    names = ["query_id", "id", "score", *([by] if by else [])]
+    kinds = {"query_id": queries.schema["query_id"].dataType, **{c: index.schema[c].dataType for c in names if c in index.columns}}
+    arrow = {n: to_arrow_type(t) for n, t in kinds.items()}
+
+    def slab(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(parts)
+        table = table.take(pc.sort_indices(table, [(c, "ascending") for c in [by, "id"] if c])).combine_chunks()
+        ids, vectors = table.column("id").combine_chunks(), _unit(table.column("embedding").combine_chunks())
+        runs = [(0, len(ids), None)]
+        if by:
+            value = table.column(by).combine_chunks()
+            code = value.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            starts = np.flatnonzero(np.diff(code, prepend=-1) != 0).tolist()
+            runs = [(a, b, value[a].as_py()) for a, b in zip(starts, [*starts[1:], len(ids)])]
+        for uri in uris:
+            who, wanted = _queries(uri)
+            for a, b, group in runs:
+                best = _best(wanted, vectors[a:b], k)
+                own, at = np.nonzero(best >= 0)
+                found = best[own, at]
+                row = a + (1 << 32) - 1 - (found & ((1 << 32) - 1))
+                columns = {"query_id": who.take(pa.array(own)), "id": ids.take(pa.array(row)), "score": pa.array(((found >> 32) - 2_000_000) / 1e6)}
+                if by:
+                    columns[by] = pa.array([group] * len(own), arrow[by])
+                yield pa.RecordBatch.from_arrays([columns[n].cast(arrow[n]) if n in arrow else columns[n] for n in names], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            step = max(1, SLAB_BYTES * batch.num_rows // max(1, batch.nbytes))
+            for a in range(0, batch.num_rows, step):
+                held.append(batch.slice(a, step))
+                size += held[-1].nbytes
+                if size >= SLAB_BYTES:
+                    yield from slab(held)
+                    held, size = [], 0
+        if held:
+            yield from slab(held)
+
+    schema = ", ".join(f"`{n}` {kinds[n].simpleString() if n in kinds else 'double'}" for n in names)
+    rows = index.where("embedding is not null").select(*[c for c in ["id", "embedding", by] if c])
+    rank = F.row_number().over(Window.partitionBy("query_id", *([by] if by else [])).orderBy(F.desc("score"), "id"))
+    found = rows.mapInArrow(run, schema).withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.select("query_id", "id", "score", "rank", *([by] if by else []))
 
 
 def filtered(index: DataFrame, levels: list[str] | None = None, module: str | None = None, content_type: str | None = None) -> DataFrame:
@@ -101,14 +135,23 @@ def merge_hits(hits: DataFrame, k: int) -> DataFrame:
 
 
 def hierarchical(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """Half of k from synthesis levels and half from the rest, merged; all levels if both have none."""
+    """Half of k from synthesis levels and half from the rest, merged; all levels if both have none.
+
+    One search finds both halves. Hits carry the first 100 characters of their texts (`with_texts` adds the whole).
+    """
     half = max(k // 2, 2)
     upper = F.col("doc_level").rlike(SYNTHESIS) & (F.col("doc_level") != "L3")
     lower = F.col("doc_level").isin("L3", "code", "context")
-    found = cosine_top_k(queries, index.where(upper), half).unionByName(cosine_top_k(queries, index.where(lower), half))
-    if index.where(upper | lower).isEmpty():
-        found = cosine_top_k(queries, index, k)
-    return merge_hits(found.drop("rank").join(index.drop("embedding"), "id"), k)
+    sides = index.withColumn("upper", F.when(upper, F.lit(True)).when(lower, F.lit(False)))
+    known = sides.where("upper is not null")
+    found = cosine_top_k(queries, index, k) if known.isEmpty() else cosine_top_k(queries, known, half, "upper")
+    heads = index.drop("embedding").withColumn("text", F.left("text", F.lit(100)))
+    return merge_hits(found.select("query_id", "id", "score").join(heads, "id"), k)
+
+
+def with_texts(hits: DataFrame, index: DataFrame) -> DataFrame:
+    """Hits with the whole texts of the index (id, text)."""
+    return hits.drop("text").join(index.select("id", "text"), "id")
 
 
 def boost(hits: DataFrame, near: DataFrame, factor: float = 0.3) -> DataFrame:

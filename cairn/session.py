@@ -42,6 +42,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def block_files(df: DataFrame, rows: int, name: str) -> list[str]:
+    """Writes `df` to the shared folder in as few files as `rows` a file allow; their URIs.
+
+    So tasks can read a table of any size block by block (functions.arrow.read_block), without it passing the driver.
+    """
+    whole, path = materialise(df, name), scratch(df.sparkSession, f"{name}-blocks")
+    if not (n := whole.count()):
+        return []
+    whole.coalesce(-(-n // rows)).write.option("maxRecordsPerFile", rows).parquet(path)
+    return sorted(df.sparkSession.read.schema(df.schema).parquet(path).inputFiles())
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once to the shared folder and go on from there.
 

@@ -207,3 +207,25 @@ def test_structure_reads_every_document_in_its_language(spark):
     seen = {(r.ext, r.type) for r in nodes.select(T.extension(F.col("file_path")).alias("ext"), "type").distinct().collect()}
     assert seen >= {(e, t) for e in (".py", ".java", ".js", ".ts", ".go") for t in ("Class", "Method")} | {(".java", "Field")}
     assert {r.relation for r in edges.select("relation").distinct().collect()} == {"calls", "contains", "imports", "extends", "implements"}
+
+
+def test_search_equals_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = rng.integers(-2, 3, (300, 4)).astype(float)  # many ties
+    v[5] = 0
+    u = np.divide(v, np.linalg.norm(v, axis=1, keepdims=True), out=np.zeros_like(v), where=np.linalg.norm(v, axis=1, keepdims=True) > 0)
+    index = spark.createDataFrame([(f"k{i:03}", x.tolist(), None if i % 10 == 0 else "ab"[i % 2]) for i, x in enumerate(v)], "id string, embedding array<double>, side string").repartition(3)
+    queries = index.select(F.col("id").alias("query_id"), "embedding").unionByName(spark.createDataFrame([("none", None)], "query_id string, embedding array<double>"))
+    score = np.round(u @ u.T, 6)
+    side = lambda j: None if j % 10 == 0 else "ab"[j % 2]
+    for by in (None, "side"):
+        want = set()
+        for i in range(300):
+            for own in ([None, "a", "b"] if by else ["all"]):
+                near = sorted((j for j in range(300) if not by or side(j) == own), key=lambda j: (-score[i, j], j))[:7]
+                want |= {(f"k{i:03}", f"k{j:03}", r, *([own] if by else [])) for r, j in enumerate(near, 1)}
+        got = R.cosine_top_k(queries, index, 7, by).drop("score").collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+    large = np.sort(R._best(u, u, 7))
+    monkeypatch.setattr(R, "SCORED", 16)
+    assert (np.sort(R._best(u, u, 7)) == large).all()
