@@ -12,9 +12,14 @@ import pyarrow.parquet as pq
 from pyarrow import fs
 
 
+def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI (file, hdfs, s3, gs), or the local one of a plain path, and the path in it."""
+    return fs.FileSystem.from_uri(uri) if ":" in uri else (fs.LocalFileSystem(), uri)
+
+
 def read_block(uri: str) -> pa.Table:
     """A Parquet file of the shared folder (file, hdfs, s3, gs), as a task reads it."""
-    system, path = fs.FileSystem.from_uri(uri)
+    system, path = filesystem(uri)
     with system.open_input_file(path) as f:
         return pq.read_table(f)
 

@@ -117,22 +117,19 @@ def nearest_hop(seeds: DataFrame, edges: DataFrame, max_hops: int) -> DataFrame:
     return hops(seeds, edges, max_hops).groupBy("id").agg(F.min("hop").alias("hop"))
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int = 50) -> DataFrame:
-    """One row with the smallest of the shortest directed paths; none if there isn't one."""
+def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """One row with the smallest of the shortest directed paths, however long; none if there isn't one."""
     spark = edges.sparkSession
     way = materialise(edges.select("source_id", "target_id").distinct(), "path-edges")
     level = spark.createDataFrame([(source, [source])], "id string, path array<string>")
     seen = level.select("id")
-    for _ in range(max_depth):
-        found = level.where(F.col("id") == target)
-        if not found.isEmpty():
-            return found.select("path")
+    while (found := level.where(F.col("id") == target)).isEmpty():
         grown = level.join(way, F.col("id") == F.col("source_id")).select(F.col("target_id").alias("id"), F.concat("path", F.array("target_id")).alias("path"))
         level = materialise(grown.join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")), "path")
         if level.isEmpty():
             break
         seen = seen.unionByName(level.select("id"))
-    return level.where(F.col("id") == target).select("path")
+    return found.select("path")
 
 
 def impact(edges: DataFrame, node: str, hub_degree: int = 20) -> DataFrame:
@@ -172,7 +169,7 @@ def containment(files: DataFrame) -> DataFrame:
     """(parent, child, kind): folders within folders, and files (path) within folders."""
     above = files.select("path", ancestors(F.col("path")).alias("dirs"))
     direct = above.select(F.element_at("dirs", -1).alias("parent"), F.col("path").alias("child"), F.lit("File").alias("kind"))
-    pairs = above.select(F.explode(F.transform(F.slice("dirs", 2, 1 << 20), lambda d, i: F.struct(F.get("dirs", i).alias("parent"), d.alias("child")))).alias("p"))
+    pairs = above.select(F.explode(F.transform(F.slice("dirs", F.lit(2), F.size("dirs")), lambda d, i: F.struct(F.get("dirs", i).alias("parent"), d.alias("child")))).alias("p"))
     return direct.distinct().unionByName(pairs.select("p.parent", "p.child", F.lit("Module").alias("kind")).distinct())
 
 

@@ -52,18 +52,28 @@ def call_metrics(calls: DataFrame, window: str = "1 hour") -> DataFrame:
     return own.select(F.col("w.start").alias("start"), "tool", "n", "mean_ms", "failures")
 
 
+#: Numbers whose events are folded together.
+SLICE = 1 << 12
+
+
 def clamped_scores(events: DataFrame, low: float = 0.0, high: float = 100.0, start: float = 50.0, quarantine: float = 30.0) -> DataFrame:
     """(tool, score, quarantined): deltas added in order of (day, n), clamped after each.
 
-    A run of steps is itself a clamp and a shift, x -> min(max(x + a, b), c), so days fold on their own
-    and only a step for each day meets in a tool's row.
+    A run of steps is itself a clamp and a shift, x -> min(max(x + a, b), c). So slices of SLICE consecutive n fold on their
+    own, then their steps in each day, and only a step for each day meets in a tool's row.
     """
     step = lambda s, d: F.struct(
         (s["a"] + d).alias("a"), F.least(F.greatest(s["b"] + d, F.lit(low)), F.lit(high)).alias("b"), F.least(F.greatest(s["c"] + d, F.lit(low)), F.lit(high)).alias("c"),
     )
     identity = F.struct(F.lit(0.0).alias("a"), F.lit(low).alias("b"), F.lit(high).alias("c"))
-    daily = events.groupBy("tool", "day").agg(F.array_sort(F.collect_list(F.struct("n", "delta"))).alias("d"))
-    daily = daily.select("tool", "day", F.aggregate("d.delta", identity, step).alias("f"))
+    # first f, then g
+    then = lambda f, g: F.struct(
+        (f["a"] + g["a"]).alias("a"), F.least(F.greatest(f["b"] + g["a"], g["b"]), g["c"]).alias("b"), F.least(F.greatest(f["c"] + g["a"], g["b"]), g["c"]).alias("c"),
+    )
+    sliced = events.groupBy("tool", "day", F.floor(F.col("n") / SLICE).alias("slice")).agg(F.array_sort(F.collect_list(F.struct("n", "delta"))).alias("d"))
+    sliced = sliced.select("tool", "day", "slice", F.aggregate("d.delta", identity, step).alias("f"))
+    daily = sliced.groupBy("tool", "day").agg(F.array_sort(F.collect_list(F.struct("slice", "f"))).alias("d"))
+    daily = daily.select("tool", "day", F.aggregate("d.f", identity, then).alias("f"))
     apply = lambda x, f: F.least(F.greatest(x + f["a"], f["b"]), f["c"])
     whole = daily.groupBy("tool").agg(F.array_sort(F.collect_list(F.struct("day", "f"))).alias("days"))
     score = F.aggregate("days.f", F.lit(start), apply)

@@ -139,15 +139,16 @@ def h2_nearest_hop(spark, sf):
     return G.nearest_hop(seeds, A.edges(spark, sf), 2)
 
 
-@query("""WITH RECURSIVE r AS (SELECT 'n0' AS id, 0 AS hop UNION SELECT target_id, hop + 1 FROM r JOIN edges ON source_id = id),
-m AS (SELECT id, max(hop) AS hop FROM r GROUP BY id)
-SELECT (SELECT count(DISTINCT source_id) FROM edges WHERE target_id = 'n0' AND relation = 'calls') AS callers,
-  (SELECT count(DISTINCT target_id) FROM edges WHERE source_id = 'n0' AND relation = 'calls') AS callees,
-  (SELECT count(*) FROM (SELECT DISTINCT source_id, target_id FROM edges WHERE source_id = 'n0' OR target_id = 'n0')) AS degree,
-  (SELECT count(*) FROM m WHERE id <> 'n0') AS reachable, 0 AS dependents,
-  (SELECT count(*) FROM (SELECT DISTINCT source_id, target_id FROM edges WHERE source_id = 'n0' OR target_id = 'n0')) > 20 AS is_hub""")
+@query("""WITH RECURSIVE q AS (SELECT source_id AS id FROM edges WHERE source_id IN (SELECT target_id FROM edges) GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), r AS (SELECT id FROM q UNION SELECT target_id FROM r JOIN edges ON source_id = id), u AS (SELECT id FROM q UNION SELECT source_id FROM u JOIN edges ON target_id = id),
+own AS (SELECT DISTINCT source_id, target_id FROM edges, q WHERE source_id = id OR target_id = id)
+SELECT (SELECT count(DISTINCT source_id) FROM edges JOIN q ON target_id = id WHERE relation = 'calls') AS callers, (SELECT count(DISTINCT target_id) FROM edges JOIN q ON source_id = id WHERE relation = 'calls') AS callees,
+  (SELECT count(*) FROM own) AS degree, (SELECT count(*) - 1 FROM r) AS reachable, (SELECT count(*) - 1 FROM u) AS dependents, (SELECT count(*) FROM own) > 20 AS is_hub""")
 def h4_impact(spark, sf):
-    return G.impact(A.edges(spark, sf), START)
+    """Of the node with the most edges out of it, of those with edges into them."""
+    edges = materialise(A.edges(spark, sf), "edges")
+    between = edges.join(edges.select(F.col("target_id").alias("source_id")), "source_id", "left_semi")
+    node = between.groupBy("source_id").count().orderBy(F.desc("count"), "source_id").first()[0]
+    return G.impact(edges, node)
 
 
 @query("""WITH RECURSIVE way AS (SELECT source_id AS s, target_id AS t FROM (SELECT * FROM edges WHERE weight >= 3) UNION SELECT target_id, source_id FROM (SELECT * FROM edges WHERE weight >= 3)),
@@ -291,7 +292,9 @@ def e1_overloads(spark, sf):
     return G.add_ordinals(rows).select("col", "id")
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT 'n0' AS id, ['n0'] AS path, 0 AS hop UNION ALL SELECT target_id, min(list_append(path, target_id)), hop + 1 FROM r JOIN (SELECT DISTINCT source_id, target_id FROM edges) ON source_id = id GROUP BY target_id, hop),
+f AS (SELECT id, min(hop) AS hop FROM r GROUP BY 1)
+SELECT array_to_string(path, ' ') AS path FROM r WHERE (id, hop) = (SELECT (id, hop) FROM f ORDER BY hop DESC, id LIMIT 1)""")
 def h3_shortest_path(spark, sf):
     """From the first node to one of those farthest from it."""
     edges = materialise(A.edges(spark, sf), "edges")

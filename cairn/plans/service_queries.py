@@ -268,7 +268,9 @@ def m5_tasks(spark, sf):
     return M.parse_tasks(answers).groupBy("key", "filepath", "action").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH w AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '[^a-zA-Z0-9_\\x{80}-\\x{10FFFF}]', ' ', 'g'), ' +')) AS w FROM documents),
+n AS (SELECT DISTINCT doc_id FROM w WHERE regexp_full_match(w, '[A-Z][A-Z0-9]{2,}(_[A-Z0-9]+)*'))
+SELECT d.doc_id AS key, CASE WHEN n.doc_id IS NULL THEN 1 ELSE 2 END AS attempts, FALSE AS abstained FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id""")
 def m4_retries(spark, sf):
     """A stand-in model repeats its prompt; names in capitals are rejected until told to avoid them."""
     def model(texts):
@@ -349,7 +351,9 @@ def n1_stream_counts(spark, sf):
     return spark.read.parquet(f"{path}/out").groupBy(F.col("event_type").alias("tool")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT tool, CASE WHEN success THEN 1.0::DOUBLE ELSE -2.0 END - CASE WHEN duration_ms > 50 THEN 1.5::DOUBLE ELSE 0 END AS delta, row_number() OVER (PARTITION BY tool ORDER BY ts::DATE, event_id) AS k FROM tool_calls),
+r AS (SELECT DISTINCT tool, 0 AS k, 50.0::DOUBLE AS score FROM o UNION ALL SELECT o.tool, o.k, least(greatest(score + delta, 0), 100) FROM r JOIN o ON o.tool = r.tool AND o.k = r.k + 1)
+SELECT tool, arg_max(score, k) AS score, arg_max(score, k) < 30 AS quarantined FROM r GROUP BY 1""")
 def p6_credit_scores(spark, sf):
     calls = A.tool_calls(spark, sf)
     delta = F.when(F.col("success"), F.lit(1.0)).otherwise(F.lit(-2.0)) - F.when(F.col("duration_ms") > 50, F.lit(1.5)).otherwise(F.lit(0.0))

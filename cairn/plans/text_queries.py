@@ -270,4 +270,4 @@ def n7_index_stream(spark, sf):
     A.files(spark, sf).select("path", "content").write.parquet(f"{path}/in")
     stream = live.read_files(spark, f"{path}/in", "path string, content string")
     live.index_stream(stream, f"{path}/table", f"{path}/log").awaitTermination()
-    return spark.read.parquet(f"{path}/table").groupBy("source").agg(F.count("*").alias("n"))
+    return live.read_index(spark, f"{path}/table").groupBy("source").agg(F.count("*").alias("n"))

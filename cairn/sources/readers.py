@@ -44,7 +44,7 @@ def normalised_hash(text: Column) -> Column:
 def parse_commit_log(lines: DataFrame) -> DataFrame:
     """(sha, author, date, subject, body) of lines with fields split at 0x1f; shorter lines are dropped."""
     parts = F.split("value", "\x1f", -1)
-    body = F.when(F.size(parts) > 4, F.array_join(F.slice(parts, 5, 1 << 20), "\x1f")).otherwise("")
+    body = F.when(F.size(parts) > 4, F.array_join(F.slice(parts, F.lit(5), F.size(parts)), "\x1f")).otherwise("")
     return lines.where(F.size(parts) >= 4).select(*[F.trim(parts[i]).alias(n) for i, n in enumerate(("sha", "author", "date", "subject"))], F.trim(body).alias("body"))
 
 
@@ -77,7 +77,7 @@ def parse_blame(texts: DataFrame) -> DataFrame:
     """(key, sha, author, line): porcelain annotations; a line of code begins with a tab."""
     head = F.col("line").rlike("^[0-9a-f]{40} ")
     lines = _filled(texts, head)
-    author = F.last(F.when(F.col("line").startswith("author "), F.substring("line", 8, 1 << 20)), ignorenulls=True).over(Window.partitionBy("key").orderBy("pos"))
+    author = F.last(F.when(F.col("line").startswith("author "), F.regexp_replace("line", "^author ", "")), ignorenulls=True).over(Window.partitionBy("key").orderBy("pos"))
     code = lines.withColumn("author", author).where(F.col("line").startswith("\t"))
     return code.select("key", F.substring("mark", 1, 40).alias("sha"), "author", F.split("mark", " ")[2].cast("int").alias("line"))
 

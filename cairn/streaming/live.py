@@ -7,12 +7,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
+from cairn.functions.arrow import filesystem
 from cairn.operators.chunks import chunk
 from cairn.operators.upsert import diff, replace_sources
 from cairn.session import materialise
@@ -28,29 +31,66 @@ def upsert_stream(stream: DataFrame, apply: Callable[[DataFrame, int], None], ch
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def refresh_buckets(path: str, fresh: DataFrame, sources: DataFrame, buckets: int = 64) -> None:
+#: Buckets of a table of chunks, fixed when it is begun; about one for each GB is a good number.
+BUCKETS = 64
+INDEX = "source string, chunk_index int, text string, line_start int, line_end int, id string"
+
+
+def _versions(path: str) -> list[tuple[int, str]]:
+    """Numbers and files of a table's versions, in order."""
+    system, root = filesystem(f"{path}/versions")
+    found = system.get_file_info(fs.FileSelector(root, allow_not_found=True))
+    return sorted((int(f.base_name.removesuffix(".parquet")), f.path) for f in found if f.base_name.endswith(".parquet"))
+
+
+def _version(path: str, before: int | None = None) -> tuple[dict[int, int], int]:
+    """The batch that wrote each bucket, and how many buckets the table has, in the last version (before a batch)."""
+    files = [f for n, f in _versions(path) if before is None or n < before]
+    if not files:
+        return {}, 0
+    system, _ = filesystem(path)
+    with system.open_input_file(files[-1]) as f:
+        rows = pq.read_table(f)
+    return dict(zip(rows["bucket"].to_pylist(), rows["batch"].to_pylist())), int(rows.schema.metadata[b"buckets"])
+
+
+def read_index(spark: SparkSession, path: str, buckets: list[int] | None = None, before: int | None = None) -> DataFrame:
+    """The last version of a table that `refresh_buckets` keeps, or some of its buckets; empty if there is none."""
+    own = [f"{path}/data/batch={b}/bucket={k}" for k, b in sorted(_version(path, before)[0].items()) if buckets is None or k in buckets]
+    return spark.read.schema(INDEX).parquet(*own) if own else spark.createDataFrame([], INDEX)
+
+
+def refresh_buckets(path: str, fresh: DataFrame, sources: DataFrame, batch: int = 0, buckets: int = BUCKETS) -> None:
     """Replaces the chunks of `sources` in a table laid out by bucket of the source.
 
-    Only buckets that hold such a source are read and written again; a batch that is repeated gives the same table.
+    Only buckets that hold such a source are read, and written anew beside the old ones. A small file then names the batch that each bucket
+    is read from; buckets without a row are in no version. Readers see a batch whole or not at all, and a batch that is repeated gives the same table.
     """
     spark = fresh.sparkSession
-    put = lambda df: df.withColumn("bucket", F.pmod(F.xxhash64("source"), F.lit(buckets)).cast("int"))
-    touched = put(sources).select("bucket").distinct()
-    new = put(fresh)
-    try:
-        old = spark.read.parquet(path).join(F.broadcast(touched), "bucket", "left_semi").select(*new.columns)  # `buckets` rows at most
-    except AnalysisException:  # the first batch
-        old = spark.createDataFrame([], new.schema)
-    kept = materialise(replace_sources(old, new, sources), "buckets")
-    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-
-
-def index_stream(files: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the chunks of a stream of files (path, content) in a table; a file that comes again replaces its chunks."""
+    last, held = _version(path, batch)
+    buckets = held or buckets
+    put = F.pmod(F.xxhash64("source"), F.lit(buckets)).cast("int")
+    touched = sources.agg(F.collect_set(put).alias("b")).first().b  # `buckets` numbers at most
+    kept = replace_sources(read_index(spark, path, touched, batch), fresh.select(*[c.split()[0] for c in INDEX.split(", ")]), sources)
+    kept.withColumn("bucket", put).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/batch={batch}")
+    system, root = filesystem(f"{path}/data/batch={batch}")
+    written = [int(f.base_name.removeprefix("bucket=")) for f in system.get_file_info(fs.FileSelector(root)) if f.base_name.startswith("bucket=")]
+    now = {k: b for k, b in last.items() if k not in touched} | {k: batch for k in written}
+    rows = pa.table({"bucket": pa.array(list(now), pa.int32()), "batch": pa.array(list(now.values()), pa.int64())}).replace_schema_metadata({"buckets": str(buckets)})
+    system, root = filesystem(f"{path}/versions")
+    system.create_dir(root, recursive=True)
+    pq.write_table(rows, f"{root}/.{batch:012}", filesystem=system)
+    system.move(f"{root}/.{batch:012}", f"{root}/{batch:012}.parquet")
+
+
+def index_stream(files: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Keeps the chunks of a stream of files (path, content) in a table; a file that comes again replaces its chunks, an empty one has none."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        fresh = chunk(batch).withColumn("id", F.md5(F.concat("source", F.lit(":"), F.col("chunk_index").cast("string"), F.lit(":"), "text")))
-        refresh_buckets(path, fresh, batch.select(F.col("path").alias("source")).distinct())
+        # of a file that comes twice in a batch one content counts
+        own = batch.groupBy("path").agg(F.max("content").alias("content"))
+        fresh = chunk(own).withColumn("id", F.md5(F.concat("source", F.lit(":"), F.col("chunk_index").cast("string"), F.lit(":"), "text")))
+        refresh_buckets(path, materialise(fresh, "chunks"), own.select(F.col("path").alias("source")), number, buckets)
 
     return upsert_stream(files, apply, checkpoint)
 

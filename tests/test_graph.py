@@ -44,6 +44,8 @@ def test_shortest_path_and_hops(spark):
     assert G.shortest_path(e, "a", "e").first().path == ["a", "b", "d", "e"]
     assert G.shortest_path(e, "a", "x").count() == 0
     assert G.shortest_path(e, "a", "a").first().path == ["a"]
+    chain = edges(spark, [(f"n{i:03}", f"n{i + 1:03}") for i in range(60)])
+    assert G.shortest_path(chain, "n000", "n060").first().path == [f"n{i:03}" for i in range(61)]
     seeds = spark.createDataFrame([("a",), ("none",)], "seed string")
     got = {(r.seed, r.id): r.hop for r in G.hops(seeds, e, 1).collect()}
     assert got == {("a", "a"): 0, ("a", "b"): 1, ("a", "c"): 1, ("a", "x"): 1, ("a", "e"): 1, ("none", "none"): 0}

@@ -185,11 +185,31 @@ def test_index_stream_replaces_sources(spark, tmp_path):
     for rows in ([("a", "one"), ("b", "two")], [("a", "x" * 2000), ("c", "three")]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     live.index_stream(live.read_files(spark, f"{tmp_path}/in", schema, 1), f"{tmp_path}/t", f"{tmp_path}/log").awaitTermination()
-    got = sorted((r.source, r.chunk_index, len(r.text)) for r in spark.read.parquet(f"{tmp_path}/t").collect())
+    got = sorted((r.source, r.chunk_index, len(r.text)) for r in live.read_index(spark, f"{tmp_path}/t").collect())
     assert got in ([("a", 0, 1500), ("a", 1, 700), ("b", 0, 3), ("c", 0, 5)], [("a", 0, 3), ("b", 0, 3), ("c", 0, 5)])
     assert live.changed_paths(spark.createDataFrame([("a", "1")], "path string, hash string"), spark.createDataFrame([("b", "1")], "path string, hash string")).count() == 2
 
 
+def test_index_forgets_emptied_files_and_repeated_batches(spark, tmp_path):
+    schema, table = "path string, content string", f"{tmp_path}/t"
+    rows = lambda: sorted((r.source, r.text) for r in live.read_index(spark, table).collect())
+
+    def send(files, number, buckets=1 << 10):
+        own = spark.createDataFrame(files, schema)
+        fresh = live.chunk(own).withColumn("id", F.md5(F.concat("source", F.lit(":"), "text")))
+        live.refresh_buckets(table, fresh, own.select(F.col("path").alias("source")), number, buckets)
+
+    assert rows() == []
+    send([("a.py", "one"), ("b.py", "two")], 0)
+    send([("a.py", "")], 1)
+    assert rows() == [("b.py", "two")]
+    send([("b.py", " ")], 2)
+    assert rows() == []
+    send([("a.py", "three"), ("c.py", "four")], 3)
+    send([("a.py", "three"), ("c.py", "four")], 3, buckets=2)  # the table keeps its buckets
+    assert rows() == [("a.py", "three"), ("c.py", "four")]
+
+
 def test_structure_reads_every_document_in_its_language(spark):
     from cairn.operators import extraction as X
     from cairn.plans import adapters as A
