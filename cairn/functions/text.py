@@ -24,8 +24,8 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"[^/.][^/]*?(\.[^./]*)$", 1))
 
 
-def language(path: Column) -> Column:
-    known = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
+def language(path: Column, languages: dict[str, str] = LANGUAGES) -> Column:
+    known = F.create_map(*[F.lit(x) for kv in languages.items() for x in kv])
     return F.coalesce(F.try_element_at(known, extension(path)), F.lit("unknown"))
 
 
@@ -45,20 +45,25 @@ def doc_level(path: Column, label: Column) -> Column:
     )
 
 
-def block(path: Column) -> Column:
-    has, ends = path.contains, path.endswith
-    return (
-        F.when(has("backend") | ends(".java") | ends(".py"), "backend").when(has("frontend") | ends(".js") | ends(".ts"), "frontend")
-        .when(has("database") | ends(".sql"), "database").when(has("test") | has("spec"), "tests").when(has("infra") | has("deploy"), "infrastructure").otherwise("other")
-    )
+#: Rules (value, pattern) on a path, the first that fits counts; settings may bring others.
+BLOCKS = (("backend", r"backend|\.(java|py)$"), ("frontend", r"frontend|\.(js|ts)$"), ("database", r"database|\.sql$"), ("tests", "test|spec"), ("infrastructure", "infra|deploy"))
+CONTENT_TYPES = (("codex_doc", "codex_"), ("synthesis", "synthesis"), ("config", r"config|\.(yaml|yml|json)$"), ("test", "test|spec"))
 
 
-def content_type(path: Column, label: Column) -> Column:
-    has = path.contains
-    return (
-        F.when(label == "workspace", "code").when(has("codex_"), "codex_doc").when(has("synthesis"), "synthesis")
-        .when(has("config") | path.rlike(r"\.(yaml|yml|json)$"), "config").when(has("test") | has("spec"), "test").otherwise("context")
-    )
+def first_rule(path: Column, rules: tuple, otherwise: str) -> Column:
+    """The value of the first rule whose pattern is found in the path."""
+    found = F.lit(otherwise)
+    for value, pattern in reversed(rules):
+        found = F.when(path.rlike(pattern), value).otherwise(found)
+    return found
+
+
+def block(path: Column, rules: tuple = BLOCKS) -> Column:
+    return first_rule(path, rules, "other")
+
+
+def content_type(path: Column, label: Column, rules: tuple = CONTENT_TYPES) -> Column:
+    return F.when(label == "workspace", "code").otherwise(first_rule(path, rules, "context"))
 
 
 def module_path(path: Column) -> Column:
@@ -119,21 +124,38 @@ def strip_abstain(text: Column) -> Column:
     return F.replace(F.array_join(lines, "\n"), F.lit(ABSTAIN), F.lit("(unknown)"))
 
 
-#: Patterns of identifiers in source text; the first group is the name.
-DEFINITIONS = (
-    r"\b(?:class|interface|enum|record)\s+([A-Z][A-Za-z0-9_]+)", r"\bdef\s+([a-z_][a-zA-Z0-9_]+)\s*\(",
-    r"\b(?:public|protected|private|static|final|abstract|synchronized)\s+\w[\w<>, ]*\s+([a-z_][A-Za-z0-9_]+)\s*\(",
-)
+#: Patterns of identifiers in source text, of which the first group is the name, and English words that are none.
+DEFINITIONS = (r"\b(?:class|interface|enum|record)\s+([A-Z][A-Za-z0-9_]+)", r"\bdef\s+([a-z_][a-zA-Z0-9_]+)\s*\(")
+MODIFIERS = ("public", "protected", "private", "static", "final", "abstract", "synchronized")
 TOKENS = (r"\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\b", r"\b([a-z][a-z0-9_]{3,})\b", r"\b([a-z][a-z0-9_]+(?:\.[a-z][a-z0-9_]+)+)\b")
+STOPWORDS = (
+    "the", "and", "for", "are", "but", "not", "you", "all", "can", "her", "was", "one", "our", "out", "day", "get", "has", "him", "his", "how", "man", "new",
+    "now", "old", "see", "two", "way", "who", "boy", "did", "its", "let", "put", "say", "she", "too", "use", "with", "this", "that", "from", "have", "will",
+    "your", "what", "when", "make", "like", "time", "just", "know", "take", "people", "into", "year", "good", "some", "could", "them", "than", "then", "also", "very",
+    "after", "should", "world", "would", "there", "their", "about", "which", "these", "those", "other", "such", "only", "more", "most", "many", "much", "here", "over",
+    "under", "again", "further", "once", "where", "why", "before", "right", "too",
+)
 
 
 def _all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit("(?U)" + pattern), 1)
 
 
-def identifiers(text: Column, stopwords: list[str] = ()) -> Column:
-    """Distinct names of four characters or more: definitions, then words that aren't stopwords."""
-    defined = F.flatten(F.array(*[_all(text, p) for p in DEFINITIONS]))
+def methods(text: Column) -> Column:
+    """Names before an opening bracket that a type stands before, and before that a modifier or any other word.
+
+    Each run of words, blanks, commas and angle brackets before a bracket is looked at once, so that long prose takes no more than its length.
+    """
+    runs = _all(text, r"(?<![\w<>,\s])([\w<>,\s]++)\(")
+    named = F.filter(F.transform(runs, lambda r: F.struct(r.alias("run"), F.regexp_extract(r, r"(?U)\s([a-z_][A-Za-z0-9_]+)\s*$", 1).alias("name"))), lambda x: x["name"] != "")
+    before = F.transform(named, lambda x: F.struct(x["name"].alias("name"), F.regexp_replace(x["run"], r"(?U)\s+\S+\s*$", "").alias("rest")))
+    typed = rf"(?U)\w\s+\w|\b(?:{'|'.join(MODIFIERS)})\w"
+    return F.transform(F.filter(before, lambda x: x["rest"].rlike(typed)), lambda x: x["name"])
+
+
+def identifiers(text: Column, stopwords: tuple | list = STOPWORDS) -> Column:
+    """Distinct names of four characters or more: definitions, methods, then words that aren't stopwords."""
+    defined = F.flatten(F.array(*[_all(text, p) for p in DEFINITIONS], methods(text)))
     words = F.flatten(F.array(*[_all(text, p) for p in TOKENS]))
     words = F.filter(words, lambda w: ~F.lower(w).isin(*stopwords)) if stopwords else words
     return F.array_sort(F.array_distinct(F.filter(F.concat(defined, words), lambda w: F.length(w) >= 4)))
@@ -146,7 +168,7 @@ def annotations(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(r"@([A-Z][A-Za-z0-9_]*)"), 1), pieces)))
 
 
-#: Kinds of identifiers in prose.
+#: Kinds of identifiers in prose.
 CANDIDATES = (
     ("camelcase", r"\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\b"), ("snake_case", r"\b([a-z][a-z0-9]*(?:_[a-z0-9]+)+)\b"), ("all_caps", r"\b([A-Z][A-Z0-9]{2,}(?:_[A-Z0-9]+)*)\b"),
     ("dotted", r"\b([A-Za-z_][A-Za-z0-9_]+(?:\.[A-Za-z_][A-Za-z0-9_]+)+)\b"), ("backticked", r"`([^`]+)`"),

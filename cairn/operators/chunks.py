@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,3 +96,65 @@ def pack_lines(files: DataFrame, most: int = 24_000) -> DataFrame:
 
     packed = F.aggregate("lines", state, step, lambda s: F.concat(s["done"], F.array(s["held"])))
     return files.select("module", "path", lines.alias("lines")).select("module", "path", F.posexplode(packed).alias("part", "text"))
+
+
+def pack_modules(files: DataFrame, most: int = 24_000) -> DataFrame:
+    """(module, task, part, paths, text): a module's files (module, path, content) in order of their paths, each with a
+    banner, cut at lines into parts of up to `most` characters. A longer line is a part of its own.
+
+    Files are dealt in order, so that a module is packed through within a task; one too large for a task goes on in the next,
+    with a part of its own.
+    """
+    banner = F.concat(F.lit("=" * 60 + "\n[FILE: "), "path", F.lit("]\n" + "=" * 60 + "\n"))
+    rows = files.select("module", "path", F.concat(banner, F.coalesce("content", F.lit(""))).alias("text")).repartitionByRange("module", "path").sortWithinPartitions("module", "path")
+    names, kinds = ["module", "task", "part", "paths", "text"], [pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, module, part, held, size, paths = TaskContext.get().partitionId(), None, 0, [], 0, []
+
+        def cut() -> tuple:
+            nonlocal part, held, size, paths
+            row = (module, task, part, paths, "".join(held))
+            part, held, size, paths = part + 1, [], 0, []
+            return row
+
+        for batch in slices(batches, "text"):
+            done = []
+            for own, path, text in zip(*(batch.column(c).to_pylist() for c in ("module", "path", "text"))):
+                if own != module:
+                    done += [cut()] if held else []
+                    module, part = own, 0
+                for line in text.split("\n"):
+                    if held and size + len(line) + 1 > most:
+                        done.append(cut())
+                    held.append(line + "\n")
+                    size += len(line) + 1
+                    if not paths or paths[-1] != path:
+                        paths.append(path)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done) if done else [()] * 5, kinds)], names)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(cut()), kinds)], names)
+
+    return rows.mapInArrow(run, "module string, task int, part int, paths array<string>, text string")
+
+
+def build_index(corpora: dict[str, DataFrame], state: DataFrame, stored: DataFrame, extensions: list[str], skip_dirs: list[str] = (), most_bytes: int = 1 << 20, cap: int | None = None) -> DataFrame:
+    """Chunks to add to an index, from corpora (path, content, size_bytes) by label.
+
+    Of the files that the scan rules keep, those of another hash than in `state` (path, hash) get a header line, are chunked and get their line of
+    context; all corpora together are cut to the first `cap` chunks by source, and each text that isn't `stored` (id) is kept once.
+    """
+    from cairn.operators.upsert import to_process
+    from cairn.sources.readers import kept_paths, likely_binary, normalised_hash, skipped_file
+
+    parts = []
+    for label, files in corpora.items():
+        path, size = F.col("path"), F.col("size_bytes")
+        rows = files.where(kept_paths(path, size, extensions, list(skip_dirs), most_bytes) & ~skipped_file(path, size, extensions, most_bytes) & ~likely_binary(F.col("content")))
+        todo = to_process(rows.withColumn("hash", normalised_hash(F.col("content"))), state).where("todo")
+        full = todo.where(F.trim("content") != "").select("path", "content")
+        parts.append(with_breadcrumbs(chunk(with_header(full)), label))
+    every = reduce(DataFrame.unionByName, parts)
+    if cap is not None:
+        every = every.orderBy("source", "chunk_index").limit(cap)
+    return new_chunks(every, stored)

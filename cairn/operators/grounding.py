@@ -86,19 +86,23 @@ def split_sources(sources: DataFrame, index: DataFrame) -> DataFrame:
     return sources.join(index.select("path", F.lit(True).alias("valid")).distinct(), "path", "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
 
 
-def mentions(prose: DataFrame, labels: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, id): labels (id, label) of up to `words` words that stand in a text, as whole words.
+def mentions(prose: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, id): labels (id, label) that stand in a text, as whole words.
 
-    Labels meet the texts' n-grams of words in an equi-join.
+    Labels meet the texts' n-grams of words in an equi-join, for each number of words that some label has.
     """
-    tokens = F.filter(F.split(F.lower("text"), "[^\\p{L}\\p{N}_]+"), lambda w: w != "")
+    tokens = lambda c: F.filter(F.split(F.lower(c), "[^\\p{L}\\p{N}_]+"), lambda w: w != "")
+    wanted = labels.where(F.length("label") >= 3).select("id", tokens("label").alias("w")).where(F.size("w") > 0)
+    wanted = wanted.select("id", F.array_join("w", " ").alias("label"), F.size("w").alias("n"))
+    sizes = wanted.agg(F.array_sort(F.collect_set("n")).alias("n")).first().n  # no more than the longest label has words
 
     def of(n: int) -> Column:
         every = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))
         return F.when(F.size("w") >= n, every).otherwise(F.array().cast("array<string>"))
 
-    spoken = prose.select("doc_id", tokens.alias("w")).select("doc_id", F.explode(F.array_distinct(F.concat(*[of(n) for n in range(1, words + 1)]))).alias("label"))
-    return spoken.join(labels.where(F.length("label") >= 3).select("id", F.lower("label").alias("label")), "label").select("doc_id", "id")
+    every = F.concat(*map(of, sizes)) if sizes else F.array().cast("array<string>")
+    spoken = prose.select("doc_id", tokens("text").alias("w")).select("doc_id", F.explode(F.array_distinct(every)).alias("label"))
+    return spoken.join(wanted, "label").select("doc_id", "id")
 
 
 def similar_mentions(words: DataFrame, labels: DataFrame, threshold: float = 0.75, native: bool = False) -> DataFrame:

@@ -224,17 +224,31 @@ def k7_rerank(spark, sf):
     return R.projected(R.rerank(hits, scores, 5)).select("query_id", "id", "rank", "score")
 
 
-@query(f"""WITH {HIERARCHY} SELECT query_id, string_agg('[Source ' || rank || '] ' || source || ' (' || doc_level || ')', '|' ORDER BY rank) AS text FROM k WHERE rank <= 8 GROUP BY 1""")
+@query(f"""WITH {HIERARCHY} SELECT query_id, string_agg('[Source ' || rank || '] ' || source || ' (' || doc_level || ', score ' || printf('%.2f', score) || ')' || CASE WHEN id % 2 = 0 THEN ' +graph' ELSE '' END || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS text FROM k WHERE rank <= 8 GROUP BY 1""")
 def j15_context_blocks(spark, sf):
-    hits = R.hierarchical(*_index(spark, sf), 8).withColumn("graph_boosted", F.lit(False)).withColumn("text", F.lit(""))
-    blocks = R.context_blocks(hits)
-    return blocks.select("query_id", F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ", score [-0-9.]+\\)", ")"), "\n+\\[", "|["), "\n+$", "").alias("text"))
+    queries, index = _index(spark, sf)
+    hits = R.with_texts(R.hierarchical(queries, index, 8), index)
+    return R.context_blocks(hits.withColumn("graph_boosted", F.col("id") % 2 == 0))
 
 
-@query("""WITH w AS (SELECT DISTINCT source_id, target_id, relation, row_number() OVER (PARTITION BY source_id ORDER BY relation, target_id) AS k FROM edges) SELECT string_agg(source_id || ' --' || relation || '--> ' || target_id, chr(10) ORDER BY source_id, k) AS text FROM (SELECT * FROM w WHERE k <= 3 ORDER BY source_id, k LIMIT 50)""")
+@query("""WITH n AS (SELECT id, line_start AS q, CASE type WHEN 'Class' THEN 0 ELSE 1 END AS hop FROM nodes), r AS (SELECT DISTINCT s.q, s.hop, source_id, relation, target_id FROM edges JOIN n s ON source_id = s.id JOIN n t ON target_id = t.id AND s.q = t.q),
+w AS (SELECT *, row_number() OVER (PARTITION BY q, source_id ORDER BY relation, target_id) AS k FROM r), p AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY hop, source_id, k) AS place FROM w WHERE k <= 3)
+SELECT q AS query_id, string_agg(source_id || ' --' || relation || '--> ' || target_id, chr(10) ORDER BY place) AS text FROM p WHERE place <= 50 GROUP BY 1""")
 def e7_subgraph_lines(spark, sf):
-    near = A.nodes(spark, sf).select(F.lit(1).alias("query_id"), "id", F.lit(1).alias("hop"))
-    return R.subgraph_lines(A.edges(spark, sf), near).select("text")
+    """The nodes that begin on one line of their files are near a query each; classes are closest."""
+    near = A.nodes(spark, sf).select(F.col("line_start").alias("query_id"), "id", F.when(F.col("type") == "Class", 0).otherwise(1).alias("hop"))
+    return R.subgraph_lines(A.edges(spark, sf), near)
+
+
+@query("""WITH r AS (SELECT event_id AS key, event_type, value, repeat(props || ' ', CASE WHEN event_id % 3 = 0 THEN 30 ELSE 1 END) AS d, event_id % 5 = 4 AS broken FROM events)
+SELECT key, CASE WHEN broken THEN '[INSUFFICIENT_EVIDENCE]' WHEN length(d) > 200 THEN left(d, 197) || '...' ELSE d END AS description, CASE WHEN NOT broken AND event_type IN ('click', 'view') THEN event_type ELSE 'unknown' END AS intent,
+CASE WHEN broken THEN 0 ELSE least(greatest(value / 50 - 0.5, 0), 1) END AS confidence FROM r""")
+def m2_enrichment(spark, sf):
+    """Descriptions of nodes: long ones, unknown intents, confidences out of range, and answers that can't be read."""
+    d = F.repeat(F.concat("props", F.lit(" ")), F.when(F.col("event_id") % 3 == 0, 30).otherwise(1))
+    raw = F.to_json(F.struct(d.alias("description"), F.col("event_type").alias("intent"), (F.col("value") / 50 - 0.5).alias("confidence")))
+    raw = F.when(F.col("event_id") % 5 == 4, F.left(raw, F.lit(20))).otherwise(F.concat(F.lit("Here it is:\n"), raw))
+    return M.parse_enrichment(table(spark, sf, "events").select(F.col("event_id").alias("key"), raw.alias("raw")), ["click", "view"])
 
 
 @query("""SELECT event_id AS key, CASE WHEN event_id % 4 = 3 THEN NULL ELSE (regexp_extract(raw, '"k": (\\d+)', 1))::INT END AS k FROM responses""")
@@ -323,6 +337,66 @@ def n4_module_digest(spark, sf):
     return _digest(TP.by_module(_summarised(spark, sf)))
 
 
+#: The same as (file, body).
+DIGEST_FILES = DIGEST.replace("SELECT key, commits, authors, high_risk, '# '", "SELECT replace(key, '-', '/') || '.md' AS file, '# '")
+
+
+@query(f"""WITH k AS (SELECT date::DATE::VARCHAR AS key, 'Changelog — ' || date::DATE::VARCHAR AS title, *, {SUMMARY} AS summary FROM commits WHERE enriched_at IS NOT NULL), {DIGEST_FILES}""")
+def a15_digest_files(spark, sf):
+    """Daily digests written to a file each, and read back."""
+    from cairn.sources import readers
+
+    root = scratch(spark, "digests")
+    readers.write_digests(TP.daily(_summarised(spark, sf)).select(F.col("key").alias("day"), "body"), root)
+    return readers.read_digests(spark, root).select(F.regexp_extract("path", r"(\d+/\d+/\d+\.md)$", 1).alias("file"), "body")
+
+
+@query("""SELECT type AS kind, count(*) AS n, min(id) AS first FROM nodes GROUP BY 1 UNION ALL SELECT relation, count(*), min(source_id || '>' || target_id) FROM edges GROUP BY 1""")
+def a14_graph_store(spark, sf):
+    """The graph written down and loaded again."""
+    from cairn.sources import readers
+
+    root = scratch(spark, "graph")
+    readers.save_graph(A.nodes(spark, sf), A.edges(spark, sf), root)
+    nodes, edges = readers.load_graph(spark, root)
+    first = edges.select(F.col("relation").alias("kind"), F.concat("source_id", F.lit(">"), "target_id").alias("id"))
+    count = lambda df: df.groupBy("kind").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    return count(nodes.select(F.col("type").alias("kind"), "id")).unionByName(count(first))
+
+
+RISK = """SELECT sha, least(1.0::DOUBLE, round(score::VARCHAR::DECIMAL(30, 20), 2)::DOUBLE) AS risk, n AS files FROM (SELECT sha, n, CASE WHEN n > 5 THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN config THEN 0.2::DOUBLE ELSE 0 END
+  + least(0.4::DOUBLE, greatest(net, 0)::DOUBLE / 100 * 0.1::DOUBLE) AS score FROM (SELECT sha, count(*) AS n, bool_or(path LIKE '%.yaml') AS config, sum(insertions) - sum(deletions) AS net FROM changes GROUP BY 1))"""
+
+
+@query(f"""WITH r AS ({RISK}), k AS (SELECT date::DATE::VARCHAR AS key, 'Changelog — ' || date::DATE::VARCHAR AS title, c.sha, author, date, subject, intent, modules, coalesce(risk, 0) AS risk_score,
+  'Touches ' || len(modules) || ' modules' AS summary FROM commits c LEFT JOIN r ON c.sha = r.sha), {DIGEST_FILES}""")
+def n1_changelog(spark, sf):
+    """The history as a stream of log lines in several batches; digests as written at its end."""
+    from cairn.sources import readers
+    from cairn.streaming import changelog
+
+    path = scratch(spark, "changelog")
+    stat = F.concat("path", F.lit(" | "), (F.col("insertions") + F.col("deletions")).cast("string"), F.lit(" "), F.repeat(F.lit("+"), F.col("insertions")), F.repeat(F.lit("-"), F.col("deletions")))
+    stats = A.changes(spark, sf).groupBy("sha").agg(F.collect_list(stat).alias("stat"))
+    line = F.concat_ws("\x1f", "sha", "author", F.col("date").cast("string"), "subject", F.lit(""))
+    log = A.commits(spark, sf).join(stats, "sha", "left").select(line.alias("value"), F.coalesce("stat", F.array().cast("array<string>")).alias("stat"))
+    log.repartition(3, F.col("value")).write.parquet(f"{path}/log")
+
+    def model(prompts):
+        import json
+
+        kinds, out = {"1": "fix", "2": "feature", "3": "refactor", "5": "docs"}, []
+        for p in prompts:
+            subject, *files = p.split("\n")
+            modules = sorted({"/".join(f.split("/")[:2]) for f in files if f})
+            out.append(json.dumps({"intent": kinds.get(subject[:1], "none"), "summary": f"Touches {len(modules)} modules", "modules_affected": modules}))
+        return out
+
+    stream = live.read_files(spark, f"{path}/log", "value string, stat array<string>", 2)
+    changelog.changelog_stream(stream, f"{path}/out", f"{path}/checkpoint", model).awaitTermination()
+    return readers.read_digests(spark, f"{path}/out/digests").select(F.regexp_extract("path", r"(\d+/\d+/\d+\.md)$", 1).alias("file"), "body")
+
+
 @query("""WITH d AS (SELECT date::DATE AS day, count(*) AS n FROM commits GROUP BY 1), c AS (SELECT unnest(generate_series((SELECT min(day) FROM d)::TIMESTAMP, (SELECT max(day) FROM d)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day)
 SELECT c.day, coalesce(n, 0) AS n FROM c LEFT JOIN d ON c.day = d.day""")
 def n5_timeline(spark, sf):

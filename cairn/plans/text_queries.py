@@ -62,11 +62,32 @@ def j4_packed_lines(spark, sf):
     return sums.select(F.col("path").cast("long").alias("doc_id"), (F.col("lines") - 1).alias("n_lines"), (F.col("chars") - banner).alias("chars"))
 
 
-@query("""WITH w AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '[^a-zA-Z0-9_\\x{80}-\\x{10FFFF}]', ' ', 'g'), ' +')) AS w FROM documents)
-SELECT doc_id, count(DISTINCT w) AS n FROM w WHERE regexp_full_match(w, '[a-z][a-z0-9_]{3,}') AND w NOT IN ('that', 'with') GROUP BY 1""")
+@query(f"""WITH w AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '[^a-zA-Z0-9_\\x{{80}}-\\x{{10FFFF}}]', ' ', 'g'), ' +')) AS w FROM documents)
+SELECT DISTINCT doc_id, w AS name FROM w WHERE length(w) >= 4 AND lower(w) NOT IN {T.STOPWORDS} AND regexp_full_match(w, '[a-z][a-z0-9_]{{3,}}|[A-Z][a-z]+([A-Z][a-z]+)+')""")
 def j5_identifiers(spark, sf):
-    found = table(spark, sf, "documents").select("doc_id", F.explode(T.identifiers(F.col("text"), ["that", "with"])).alias("w"))
-    return found.where(F.col("w").rlike("^[a-z][a-z0-9_]{3,}$")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    """Words and compounds that aren't English; dotted paths and definitions have queries of their own."""
+    found = table(spark, sf, "documents").select("doc_id", F.explode(T.identifiers(F.col("text"))).alias("name"))
+    return found.where(F.col("name").rlike("^([a-z][a-z0-9_]{3,}|[A-Z][a-z]+([A-Z][a-z]+)+)$") & ~F.lower("name").isin(*T.STOPWORDS))
+
+
+@query("""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(replace(text, '(', ' '), '([a-z]+) ([a-z]+) ([a-z]+)[.]', '\\1 \\2 \\3(', 'g'), '([a-z]+), ([a-z]+)', 'class K\\1 def m\\2 (', 'g') AS t FROM documents),
+n AS (SELECT doc_id, unnest(list_concat(regexp_extract_all(t, '[a-z]+ [a-z]+ ([a-z]+)[(]', 1), list_concat(regexp_extract_all(t, '(?:^|[^a-zA-Z0-9_\\x{80}-\\x{10FFFF}])class (K[a-z]+)', 1), regexp_extract_all(t, 'def (m[a-z]+) [(]', 1)))) AS name FROM t)
+SELECT DISTINCT doc_id, name FROM n WHERE length(name) >= 4""")
+def j5_definitions(spark, sf):
+    """Classes, functions and methods in texts whose sentences and enumerations are turned into definitions."""
+    text = F.regexp_replace(F.replace("text", F.lit("("), F.lit(" ")), "([a-z]+) ([a-z]+) ([a-z]+)[.]", "$1 $2 $3(")
+    text = F.regexp_replace(text, "([a-z]+), ([a-z]+)", "class K$1 def m$2 (")
+    named = F.array_distinct(F.concat(T.methods(text), *[F.regexp_extract_all(text, F.lit("(?U)" + p), 1) for p in T.DEFINITIONS]))
+    return table(spark, sf, "documents").select("doc_id", F.explode(named).alias("name")).where(F.length("name") >= 4)
+
+
+@query("""WITH t AS (SELECT doc_id, regexp_replace(text, '([A-Z][a-z]+) ([a-z]+)', '@\\1("/\\2")', 'g') AS t FROM documents)
+SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(t, '@([A-Z][A-Za-z0-9_]*)', 1),
+  list_filter(flatten(list_transform(regexp_extract_all(t, '@[A-Z]\\w*\\s*\\(\\s*"([^"]+)"', 1), lambda x: string_split_regex(x, '[/.\\-_]'))), lambda p: length(p) >= 3)))), '|') AS names FROM t""")
+def j6_annotations(spark, sf):
+    """In texts whose capitalised words are turned into annotations of the next."""
+    text = F.regexp_replace("text", "([A-Z][a-z]+) ([a-z]+)", '@$1("/$2")')
+    return table(spark, sf, "documents").select("doc_id", F.array_join(T.annotations(text), "|").alias("names"))
 
 
 @query("""WITH w AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '[^a-zA-Z0-9_\\x{80}-\\x{10FFFF}]', ' ', 'g'), ' +')) AS w FROM documents)
@@ -76,14 +97,30 @@ def j8_candidates(spark, sf):
     return found.where("c.kind = 'all_caps'").groupBy("doc_id", F.col("c.name").alias("name")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH w AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '[^a-zA-Z0-9_\\x{80}-\\x{10FFFF}]', ' ', 'g'), ' +')) AS w FROM documents),
-n AS (SELECT DISTINCT doc_id, w AS name FROM w WHERE regexp_full_match(w, '[A-Z][A-Z0-9]{2,}(_[A-Z0-9]+)*')),
-k AS (SELECT DISTINCT lower(unnest(string_split_regex(text, '[^a-zA-Z]+'))) AS word FROM benchmark)
-SELECT doc_id, lower(name) AS word FROM n WHERE lower(name) NOT IN (SELECT word FROM k)""")
+#: Some words in a row written as one of each kind of name.
+NAMED = (("([a-z]+) ([a-z]+)[.]", "Aa{1}Bb{2} {1}_{2}."), ("([a-z]+), ([a-z]+)", "`{1}`, {1}.{2}"))
+
+
+def _named(text):
+    for pattern, to in NAMED:
+        text = F.regexp_replace(text, pattern, to.format(None, "$1", "$2"))
+    return text
+
+
+@query("""WITH t AS (SELECT doc_id, doc_id % 3 AS k, regexp_replace(regexp_replace(replace(text, '`', ' '), '([a-z]+) ([a-z]+)[.]', 'Aa\\1Bb\\2 \\1_\\2.', 'g'), '([a-z]+), ([a-z]+)', '`\\1`, \\1.\\2', 'g') AS t FROM documents),
+w AS (SELECT doc_id, t, unnest(string_split_regex(regexp_replace(t, '[^a-zA-Z0-9_\\x{80}-\\x{10FFFF}]', ' ', 'g'), ' +')) AS w FROM t WHERE k < 2),
+n AS (SELECT doc_id, w AS name, CASE WHEN regexp_full_match(w, '[A-Z][a-z]+([A-Z][a-z]+)+') THEN 'camelcase' WHEN regexp_full_match(w, '[a-z][a-z0-9]*(_[a-z0-9]+)+') THEN 'snake_case' WHEN regexp_full_match(w, '[A-Z][A-Z0-9]{2,}(_[A-Z0-9]+)*') THEN 'all_caps' END AS kind FROM w
+  UNION ALL SELECT doc_id, unnest(regexp_extract_all(t, '`([^`]+)`', 1)), 'backticked' FROM t WHERE k < 2),
+o AS (SELECT doc_id, lower(name) AS word, min(CASE kind WHEN 'camelcase' THEN 1 WHEN 'snake_case' THEN 2 WHEN 'all_caps' THEN 3 ELSE 5 END) AS k FROM n WHERE kind IS NOT NULL GROUP BY 1, 2),
+a AS (SELECT DISTINCT lower(unnest(string_split_regex(text, '[^a-zA-Z]+'))) AS word FROM benchmark)
+SELECT o.doc_id, word, CASE o.k WHEN 1 THEN 'camelcase' WHEN 2 THEN 'snake_case' WHEN 3 THEN 'all_caps' ELSE 'backticked' END AS kind
+FROM o JOIN documents d ON o.doc_id = d.doc_id WHERE word NOT IN (SELECT word FROM a) AND NOT contains(lower(left(d.text, 200)), word)""")
 def j9_unknown_names(spark, sf):
+    """Names of four kinds in two of three texts' languages, supported by the benchmark's words or their text's own beginning."""
     allowed = table(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).distinct()
-    prose = table(spark, sf, "documents").select("doc_id", "text", F.lit("").alias("source"), F.lit("java").alias("language"))
-    return GR.unknown_names(prose, allowed).where("kind = 'all_caps'").select("doc_id", F.lower("name").alias("word"))
+    language = F.element_at(F.array(*map(F.lit, ("java", "python", "go"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    prose = table(spark, sf, "documents").select("doc_id", _named(F.replace("text", F.lit("`"), F.lit(" "))).alias("text"), F.left("text", F.lit(200)).alias("source"), language.alias("language"))
+    return GR.unknown_names(prose, allowed).where("kind <> 'dotted'").select("doc_id", F.lower("name").alias("word"), "kind")
 
 
 @query("""WITH w AS (SELECT DISTINCT doc_id, unnest(string_split_regex(text, '[^a-zA-Z0-9_\\x{80}-\\x{10FFFF}]+')) AS name FROM documents),
@@ -97,13 +134,16 @@ def j10_strict_unknown(spark, sf):
 
 @query("""WITH a AS (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations WHERE role = 'assistant'),
 w AS (SELECT DISTINCT doc_id, unnest(string_split_regex(text, '[^a-zA-Z0-9_\\x{80}-\\x{10FFFF}]+')) AS name FROM a),
-k AS (SELECT DISTINCT unnest(string_split_regex(text, '[^a-zA-Z0-9_\\x{80}-\\x{10FFFF}]+')) AS name FROM documents),
-n AS (SELECT doc_id, count(*) AS n FROM w WHERE regexp_full_match(name, '[a-z_][a-z0-9_]{3,}') AND name NOT IN (SELECT name FROM k) GROUP BY 1)
+k AS (SELECT DISTINCT unnest(string_split_regex(text, '[^a-zA-Z0-9_\\x{80}-\\x{10FFFF}]+')) AS name FROM benchmark),
+c AS (SELECT DISTINCT conv_id * 1000 + turn + 1 AS doc_id, unnest(string_split_regex(text, '[^a-zA-Z0-9_\\x{80}-\\x{10FFFF}]+')) AS name FROM conversations),
+n AS (SELECT doc_id, count(*) AS n FROM w WHERE regexp_full_match(name, '[a-z_][a-z0-9_]{3,}') AND name NOT IN (SELECT name FROM k) AND (doc_id, name) NOT IN (SELECT doc_id, name FROM c) GROUP BY 1)
 SELECT a.doc_id, coalesce(n, 0)::INT AS n_unknown, CASE WHEN coalesce(n, 0) = 0 THEN 'passed' WHEN n > 5 THEN 'abstained' ELSE 'cleaned' END AS verdict FROM a LEFT JOIN n ON a.doc_id = n.doc_id""")
 def j11_responses(spark, sf):
     answers = table(spark, sf, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
-    chunks = table(spark, sf, "documents").select("text")
-    return GR.validate_responses(answers, answers.limit(0), chunks, r"(?U)\b([a-z_][a-z0-9_]{3,})\b").select("doc_id", "n_unknown", "verdict")
+    chunks = table(spark, sf, "benchmark").select("text")
+    # an answer cites the turn before it
+    cited = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn") + 1).alias("doc_id"), "text")
+    return GR.validate_responses(answers, cited, chunks, r"(?U)\b([a-z_][a-z0-9_]{3,})\b").select("doc_id", "n_unknown", "verdict")
 
 
 @query("""WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(31), 'g'), chr(31)), lambda x: NOT contains(x, 'the') AND NOT contains(x, 'und')) AS s FROM documents)
@@ -150,12 +190,16 @@ def c11_source_split(spark, sf):
     return GR.split_sources(A.old_files(spark, sf).select("path"), A.new_files(spark, sf).select("path"))
 
 
-@query("""WITH l AS (SELECT DISTINCT lower(regexp_extract(text, '^[a-zA-Z]+')) AS label FROM benchmark),
-w AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+')) AS label FROM documents)
-SELECT doc_id, l.label AS id FROM w JOIN l ON w.label = l.label WHERE length(l.label) >= 3""")
+@query("""WITH b AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda w: w <> '') AS w FROM benchmark),
+l AS (SELECT item_id AS id, array_to_string(w[1:CASE item_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 5 END], ' ') AS label FROM b WHERE length(array_to_string(w[1:CASE item_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 5 END], ', ')) >= 3),
+d AS (SELECT doc_id, ' ' || array_to_string(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda w: w <> ''), ' ') || ' ' AS t FROM documents)
+SELECT doc_id, id FROM d JOIN l ON contains(t, ' ' || label || ' ')""")
 def c14_mentions(spark, sf):
-    labels = table(spark, sf, "benchmark").select(F.lower(F.regexp_extract("text", "^[a-zA-Z]+", 0)).alias("label")).distinct().withColumn("id", F.col("label"))
-    return GR.mentions(table(spark, sf, "documents").select("doc_id", "text"), labels, 1)
+    """Labels of one, two and five words."""
+    words = F.filter(F.split(F.lower("text"), "[^\\p{L}\\p{N}_]+"), lambda w: w != "")
+    n = F.element_at(F.array(F.lit(1), F.lit(2), F.lit(5)), (F.col("item_id") % 3 + 1).cast("int"))
+    labels = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.array_join(F.slice(words, F.lit(1), n), ", ").alias("label"))
+    return GR.mentions(table(spark, sf, "documents").select("doc_id", "text"), labels)
 
 
 @query("""WITH l AS (SELECT DISTINCT lower(regexp_extract(text, '^[a-zA-Z]+')) AS label FROM benchmark), w AS (SELECT DISTINCT unnest(string_split_regex(lower(html), '[^a-z]+')) AS word FROM pages)
@@ -167,6 +211,14 @@ def c15_similar_mentions(spark, sf):
     return GR.similar_mentions(words, labels, 0.75, native=True).select("word", "id", F.round("ratio", 6).alias("ratio"))
 
 
+@query()
+def c15_matching_blocks(spark, sf):
+    """The ratio of matching blocks, which SQL hasn't."""
+    labels = table(spark, sf, "benchmark").select(F.lower(F.regexp_extract("text", "^[a-zA-Z]+", 0)).alias("label")).distinct().withColumn("id", F.col("label"))
+    words = table(spark, sf, "pages").select(F.explode(F.split(F.lower("html"), "[^a-z]+")).alias("word"))
+    return GR.similar_mentions(words, labels, 0.75).select("word", "id", F.round("ratio", 6).alias("ratio"))
+
+
 LEAVES = """l AS (SELECT lang AS block, list_filter(string_split_regex(path, '[/.]'), lambda x: x <> '') AS segs, size_bytes FROM files)"""
 
 
@@ -260,6 +312,58 @@ def l8_index_build(spark, sf):
     return rows.groupBy("module").agg(F.count("*").alias("n"))
 
 
+CORPORA = """corpora AS (SELECT path, '[File: ' || path || ']' || chr(10) || content AS content FROM files LEFT JOIN old_files USING (path) WHERE NOT ends_with(path, '.yaml') AND size_bytes <= 20000 AND trim(content) <> '' AND (hash IS NULL OR hash <> md5(content))
+  UNION ALL SELECT 'notes/' || item_id || '.md', '[File: notes/' || item_id || '.md]' || chr(10) || text FROM benchmark WHERE trim(text) <> '')"""
+
+
+@query(f"""WITH {WALK.replace("FROM files WHERE", "FROM corpora WHERE").replace("RECURSIVE t AS", f"RECURSIVE {CORPORA}, t AS")},
+x AS (SELECT source, chunk_index, CASE WHEN source LIKE 'notes/%' THEN 'other' WHEN regexp_matches(source, '\\.(java|py)$') THEN 'backend' WHEN source LIKE '%.js' THEN 'frontend' ELSE 'other' END AS block,
+  CASE WHEN source LIKE 'notes/%' THEN 'context' ELSE 'code' END AS level, text FROM ch WHERE text <> ''),
+y AS (SELECT *, md5('Context: Block=' || block || ' | Module=' || split_part(source, '/', 1) || ' | Level=' || level || ' | Type=' || level || chr(10) || text) AS id FROM x)
+SELECT id, min((source, chunk_index))[1] AS source, min((source, chunk_index))[2] AS chunk_index FROM y WHERE id NOT IN (SELECT id FROM y WHERE source LIKE 'src1/%') GROUP BY 1""")
+def l8_build_index(spark, sf):
+    """Scan rules, hash state, header, chunks, context line, two corpora, and what is stored already."""
+    files = A.files(spark, sf).select("path", "content", "size_bytes")
+    notes = table(spark, sf, "benchmark").select(F.concat(F.lit("notes/"), F.col("item_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("content"), F.octet_length("text").cast("long").alias("size_bytes"))
+    args = {"workspace": files, "context": notes}, A.old_files(spark, sf)
+    none = spark.createDataFrame([], "id string")
+    extensions = [".py", ".java", ".js", ".md"]
+    stored = CH.build_index(*args, none, extensions, most_bytes=20_000).where(F.col("source").startswith("src1/")).select("id")
+    return CH.build_index(*args, stored, extensions, most_bytes=20_000).select("id", "source", "chunk_index")
+
+
+@query("""SELECT source AS module, sum(len(string_split(text, chr(10))) + 3)::BIGINT AS n_lines, sum(length(text) + length(doc_id::VARCHAR) + 132)::BIGINT AS chars, TRUE AS fits FROM documents GROUP BY 1""")
+def j4_module_parts(spark, sf):
+    """Each source's texts as the files of a module; all lines are there, and no part of more than one line is too long."""
+    files = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"), F.col("source").alias("module"))
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    packed = CH.pack_modules(files, 4000).select("module", lines.alias("lines"), F.length("text").alias("chars"))
+    return packed.groupBy("module").agg(F.sum("lines").alias("n_lines"), F.sum("chars").alias("chars"), F.bool_and((F.col("chars") <= 4000) | (F.col("lines") == 1)).alias("fits"))
+
+
+@query("""SELECT path, CASE WHEN path LIKE '%/de/%' OR path LIKE '%/fr/%' THEN 'continental' WHEN path LIKE '%.js' THEN 'script' ELSE 'other' END AS block, CASE WHEN path LIKE '%.md' THEN 'prose' ELSE 'context' END AS kind,
+CASE WHEN path LIKE '%.yaml' THEN 'settings' WHEN path LIKE '%.py' THEN 'python' ELSE 'unknown' END AS language, CASE WHEN contains(lower(path || ' ' || left(content, 500)), 'licen') THEN 'legal' WHEN contains(lower(path || ' ' || left(content, 500)), 'src1') THEN 'first' ELSE 'other' END AS class FROM files""")
+def o2_settings(spark, sf):
+    """Blocks, content types, languages and classes of a settings file."""
+    import json
+
+    from cairn.functions.arrow import filesystem
+    from cairn.session import shared_dir
+    from cairn.sources import settings
+
+    given = {"blocks": {"continental": ["/de/", "/fr/"], "script": [r"\.js$"]}, "content_types": {"prose": [r"\.md$"]}, "languages": {".yaml": "settings", ".py": "python"}, "classes": {"legal": ["licen"], "first": ["src1"]}}
+    path = f"{shared_dir(spark)}/settings-o2.json"
+    system, own = filesystem(path)
+    system.create_dir(own.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(own, compression=None) as f:
+        f.write(json.dumps(given).encode())
+    own = settings.load(path)
+    files = A.files(spark, sf)
+    classes = H.classify(files.select(F.col("path").alias("doc_id"), F.col("path").alias("stem"), F.col("content").alias("text")), own.class_table(spark)).select(F.col("doc_id").alias("path"), F.col("block").alias("class"))
+    rows = files.select("path", T.block(F.col("path"), own.blocks).alias("block"), T.content_type(F.col("path"), F.lit("context"), own.content_types).alias("kind"), T.language(F.col("path"), own.languages).alias("language"))
+    return rows.join(classes, "path")
+
+
 @query(f"WITH {WALK} SELECT source, count(*) AS n FROM ch WHERE text <> '' GROUP BY 1")
 def n7_index_stream(spark, sf):
     """The files as a stream into a table of chunks."""

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cairn.functions.arrow import filesystem
+from cairn.session import materialise
+
 SHA = "^[0-9a-f]{40}$"
 
 
@@ -124,10 +131,39 @@ def doc_tree(names: DataFrame, most: int = 300) -> DataFrame:
     return ranked.groupBy("level").agg(F.count("*").alias("n"), first.alias("names"))
 
 
-def write_digests(digests: DataFrame, path: str) -> None:
-    """One text file for each day (day date, body string), in folders by year, month and day."""
-    dated = digests.select(F.year("day").alias("year"), F.month("day").alias("month"), F.dayofmonth("day").alias("dom"), "body")
-    dated.write.mode("overwrite").partitionBy("year", "month", "dom").text(path)
+def write_digests(digests: DataFrame, root: str, template: str = "{year}/{month}/{day}.md", week: bool = False) -> DataFrame:
+    """Writes each digest (day date, body string) to a file of its own below `root`; (day, uri) of the files.
+
+    `template` may name {date}, {year}, {month}, {day}, and {week} where digests are weekly. A file is written under another name
+    and then moved, so that readers see it whole and a task that runs twice does no harm.
+    """
+    known = ("date", "year", "month", "day", *["week"] * week)
+    template.format(**dict.fromkeys(known, ""))  # unknown names fail here
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = filesystem(root)
+        for batch in batches:
+            uris = []
+            for day, body in zip(batch.column("day").to_pylist(), batch.column("body").to_pylist()):
+                at = day.isoformat()
+                name = template.format(**dict(zip(known, (at, at[:4], at[5:7], at[8:], at))))
+                path = f"{base}/{name}"
+                folder, _, last = path.rpartition("/")
+                system.create_dir(folder, recursive=True)
+                hidden = f"{folder}/.{last}.{uuid.uuid4().hex}"
+                with system.open_output_stream(hidden, compression=None) as f:
+                    f.write((body or "").encode())
+                system.move(hidden, path)
+                uris.append(f"{root}/{name}")
+            yield pa.RecordBatch.from_arrays([batch.column("day"), pa.array(uris, pa.string())], ["day", "uri"])
+
+    return materialise(digests.select("day", "body").mapInArrow(run, "day date, uri string"), "digest-files")
+
+
+def read_digests(spark: SparkSession, root: str) -> DataFrame:
+    """(path, body) of all digest files below a folder."""
+    found = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
+    return found.select(F.input_file_name().alias("path"), F.col("value").alias("body"))
 
 
 def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:

@@ -249,3 +249,24 @@ def test_search_equals_brute_force(spark, monkeypatch):
     large = np.sort(R._best(u, u, 7))
     monkeypatch.setattr(R, "SCORED", 16)
     assert (np.sort(R._best(u, u, 7)) == large).all()
+
+
+def test_changelog_keeps_what_the_model_said(spark, tmp_path):
+    from cairn.sources import readers
+    from cairn.streaming import changelog
+
+    def send(*rows):
+        made = [("\x1f".join([c * 40, "Ann", day, subject, ""]), [f"src/m/{c}.py | 3 ++-"]) for c, day, subject in rows]
+        spark.createDataFrame(made, "value string, stat array<string>").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = live.read_files(spark, f"{tmp_path}/in", "value string, stat array<string>")
+        changelog.changelog_stream(stream, f"{tmp_path}/out", f"{tmp_path}/log", model).awaitTermination()
+
+    def model(texts):
+        return [f'{{"intent": "fix", "summary": "said of {t.splitlines()[0]}", "modules_affected": ["src/m"]}}' for t in texts]
+
+    send(("a", "2024-01-05 10:00:00", "first"), ("b", "2024-01-06 10:00:00", "other day"))
+    send(("a", "2024-01-05 10:00:00", "renamed"), ("c", "2024-01-05 11:00:00", "later"))
+    got = {r.sha[0]: (r.subject, r.summary, r.intent, r.risk_score) for r in changelog.read_commits(spark, f"{tmp_path}/out").collect()}
+    assert got == {"a": ("renamed", "said of first", "fix", 0.0), "b": ("other day", "said of other day", "fix", 0.0), "c": ("later", "said of later", "fix", 0.0)}
+    bodies = {r.path[-13:]: r.body for r in readers.read_digests(spark, f"{tmp_path}/out/digests").collect()}
+    assert set(bodies) == {"2024/01/05.md", "2024/01/06.md"} and "**2 commits**\nby 1 author." in bodies["2024/01/05.md"] and "_said of later_" in bodies["2024/01/05.md"]

@@ -1,6 +1,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from cairn.sources import readers as R
@@ -50,7 +51,11 @@ def test_query_log_and_sinks(spark, tmp_path):
     log.write_text(json.dumps({"id": "1", "agent": "a", "response_length": 3}) + "\nnot json\n")
     assert [r.id for r in R.read_query_log(spark, str(log)).collect()] == ["1"]
     R.write_digests(spark.sql("select date'2024-02-03' day, 'hello' body"), str(tmp_path / "digests"))
-    assert spark.read.text(str(tmp_path / "digests/year=2024/month=2/dom=3")).first().value == "hello"
+    assert (tmp_path / "digests/2024/02/03.md").read_text() == "hello"
+    made = R.write_digests(spark.sql("select date'2024-02-05' day, 'a\nb\n' body"), str(tmp_path / "weeks"), "w-{week}/{date}.md", week=True)
+    assert made.first().uri.endswith("w-2024-02-05/2024-02-05.md") and R.read_digests(spark, str(tmp_path / "weeks")).first().body == "a\nb\n"
+    with pytest.raises(KeyError):
+        R.write_digests(spark.sql("select date'2024-02-05' day, '' body"), str(tmp_path), "{hour}.md")
     nodes, edges = spark.createDataFrame([("n",)], "id string"), spark.createDataFrame([("n", "n")], "source string, target string")
     R.save_graph(nodes, edges, str(tmp_path / "graph"))
     assert [x.count() for x in R.load_graph(spark, str(tmp_path / "graph"))] == [1, 1]
@@ -59,3 +64,20 @@ def test_query_log_and_sinks(spark, tmp_path):
 def test_truncated_diff(spark):
     df = spark.createDataFrame([("a\nb\nc",), ("a",)], "d string")
     assert [r[0] for r in df.select(R.truncate_diff(F.col("d"), 2)).collect()] == ["a\nb\n... (1 lines omitted)", "a"]
+
+
+def test_settings(spark, tmp_path):
+    from cairn.functions import text as T
+    from cairn.operators import extraction as X
+    from cairn.sources import settings
+
+    path = tmp_path / "s.json"
+    path.write_text(json.dumps({"blocks": {"ui": ["web/", r"\.vue$"]}, "patterns": {"python": {"Class": [r"^\s*record (\w+)"]}}, "classes": {"a": ["x", "y"]}}))
+    own = settings.load(str(path))
+    rows = spark.createDataFrame([("web/a.py", "record Foo\nclass Bar"), ("b.vue", ""), ("c.py", "")], "path string, content string")
+    assert [r[0] for r in rows.select(T.block(F.col("path"), own.blocks)).collect()] == ["ui", "ui", "other"]
+    assert [(r.type, r.name) for r in X.extract(rows, own.pattern_table(spark))[0].collect()] == [("Class", "Foo")]
+    assert [tuple(r) for r in own.class_table(spark).collect()] == [("a", 0, "x"), ("a", 1, "y")] and own.stopwords == T.STOPWORDS
+    path.write_text('{"odd": 1}')
+    with pytest.raises(ValueError):
+        settings.load(str(path))

@@ -106,3 +106,41 @@ def test_sentences_and_weights(spark):
     c = spark.createDataFrame([("p", "a", 10, 10240), ("p", "b", 1, 100), ("p", "c", 0, 0)], "parent string, child string, leaves int, size_bytes int")
     got = {r.child: (round(r.score, 2), r.weight) for r in H.child_weights(c).collect()}
     assert got == {"a": (1.0, "major"), "b": (0.1, "minor"), "c": (0.1, "minor")}
+
+
+def test_methods_equal_their_pattern(spark):
+    import random
+    import re
+
+    rng = random.Random(1)
+    pattern = re.compile(r"\b(?:" + "|".join(T.MODIFIERS) + r"|\s)+\w[\w<>,\s]*\s+([a-z_][A-Za-z0-9_]+)\s*\(")
+    parts = ["public", "static", "finally", "int", "Map<String,", "Integer>", "getUser", "é", "x1", "_a", "Foo", "(", ")", ";", "{", "new", ","]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " ", "\n"]) for _ in range(rng.randint(1, 14))) for _ in range(3000)] + ["word " * 50_000, "a b " * 30_000 + "c("]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for r in rows.select("i", T.methods(F.col("t")).alias("m")).collect():
+        assert r.i >= 3000 or r.m == pattern.findall(texts[r.i]), texts[r.i]
+    assert "getUser" in one(spark, "return String getUser(int id)", T.identifiers) and "that" not in one(spark, "that thing", T.identifiers)
+
+
+def test_modules_are_packed_through(spark):
+    files = spark.createDataFrame([("m", "a", "12345\n67"), ("m", "b", "x"), ("n", "a", None)], "module string, path string, content string")
+    head = lambda p: ["=" * 60, f"[FILE: {p}]", "=" * 60]
+    lines = {"m": [*head("a"), "12345", "67", *head("b"), "x"], "n": [*head("a"), ""]}
+    for most in (20, 130, 1000):
+        got = C.pack_modules(files.coalesce(1), most).orderBy("module", "task", "part").collect()
+        for module, own in lines.items():
+            want, held = [], ""
+            for line in own:
+                if held and len(held) + len(line) + 1 > most:
+                    want.append(held)
+                    held = ""
+                held += line + "\n"
+            assert [r.text for r in got if r.module == module] == [*want, held]
+    assert got[0].paths == ["a", "b"] and C.pack_modules(files.limit(0)).count() == 0
+
+
+def test_labels_of_any_length(spark):
+    prose = spark.createDataFrame([(1, "One two, three four-five six seven."), (2, "two three")], "doc_id int, text string")
+    labels = spark.createDataFrame([(1, "two three four five six"), (2, "Two Three"), (3, "seven"), (4, "ve"), (5, "...")], "id int, label string")
+    assert sorted(tuple(r) for r in GR.mentions(prose, labels).collect()) == [(1, 1), (1, 2), (1, 3), (2, 2)]
+    assert GR.mentions(prose, labels.limit(0)).count() == 0
