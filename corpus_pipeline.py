@@ -19,7 +19,7 @@ SURE = 0.5
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter, and those without a language for at least half of their words."""
-    langs, model = langid.train(docs.where(~langid.held_out()))
+    _, model = langid.train(docs)
 
     def sure(batches):
         import pyarrow as pa
