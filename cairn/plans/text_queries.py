@@ -11,7 +11,7 @@ from cairn.operators import hierarchy as H
 from cairn.operators import upsert as U
 from cairn.plans import adapters as A
 from cairn.plans.catalog import query
-from cairn.session import table
+from cairn.session import materialise, table
 
 #: Chunks of files of 1500 characters with an overlap of 200, as a recursive walk over starts.
 WALK = """RECURSIVE t AS (SELECT path, replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS c FROM files WHERE trim(content) <> ''),
@@ -43,7 +43,7 @@ def j2_breadcrumbs(spark, sf):
 @query(f"""WITH {WALK}, u AS (SELECT md5(text) AS id, min((source, chunk_index)) AS f FROM ch WHERE text <> '' GROUP BY 1),
 s AS (SELECT md5(text) AS id FROM ch WHERE source LIKE 'src1/%') SELECT id, f[1] AS source, f[2] AS chunk_index FROM u WHERE id NOT IN (SELECT id FROM s)""")
 def c7_new_chunks(spark, sf):
-    every = _chunks(spark, sf)
+    every = materialise(_chunks(spark, sf), "chunks")  # read twice below
     stored = every.where(F.col("source").startswith("src1/")).select(F.md5("text").alias("id"))
     return CH.new_chunks(every, stored).select("id", "source", "chunk_index")
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+from cairn.functions.arrow import filesystem
+
 
 def build(app: str = "cairn", **conf: str) -> SparkSession:
     """A session with UTC time and adaptive execution; `conf` overrides."""
@@ -28,18 +31,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (spark.checkpoint.dir).
 
-    Only a session without that setting, as in tests, gets a local folder.
+    Only a session in local mode without that setting, as in tests, gets a local folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not (master := spark.conf.get("spark.master", "")).startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new, unused path below the application's part of the shared folder."""
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/{spark.conf.get('spark.app.id')}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all that this application has written down, once its results are no longer read."""
+    system, path = filesystem(_own(spark))
+    if system.get_file_info(path).type == fs.FileType.Directory:
+        system.delete_dir(path)
 
 
 def block_files(df: DataFrame, rows: int, name: str) -> list[str]:

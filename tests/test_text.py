@@ -144,3 +144,35 @@ def test_labels_of_any_length(spark):
     labels = spark.createDataFrame([(1, "two three four five six"), (2, "Two Three"), (3, "seven"), (4, "ve"), (5, "...")], "id int, label string")
     assert sorted(tuple(r) for r in GR.mentions(prose, labels).collect()) == [(1, 1), (1, 2), (1, 3), (2, 2)]
     assert GR.mentions(prose, labels.limit(0)).count() == 0
+
+
+def test_similar_words_equal_all_pairs(spark):
+    import difflib
+    import random
+
+    rng = random.Random(3)
+    labels = ["".join(rng.choices("abcd", k=rng.randint(2, 12))) for _ in range(60)]
+    words = set()
+    for x in labels * 6:
+        w = list(x)
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(w) + 1)
+            w[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "z", "bc"])
+        words.add("".join(w))
+    frame = spark.createDataFrame([(w,) for w in words], "word string")
+    table = spark.createDataFrame(list(enumerate(labels)), "id int, label string")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    for threshold in (0.6, 0.75, 0.9):
+        for native in (True, False):
+            ratio = (lambda a, b: 1 - distance(a, b) / max(len(a), len(b))) if native else (lambda a, b: difflib.SequenceMatcher(None, a, b).ratio())
+            near = lambda a, b: 2 * min(len(a), len(b)) / (len(a) + len(b)) >= threshold
+            want = {(w, i) for w in words for i, x in enumerate(labels) if min(len(w), len(x)) >= 3 and near(w, x) and ratio(w, x) >= threshold}
+            assert {(r.word, r.id) for r in GR.similar_mentions(frame, table, threshold, native).collect()} == want
