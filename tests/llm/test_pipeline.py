@@ -54,3 +54,34 @@ def test_last_stage_writes_the_ids(spark):
         pieces.setdefault(r.doc_id, []).append((r.start, np.frombuffer(r.ids, "<u4").tolist()))
     ids = tokens.encoder("byte_bpe_50k.json").tokenizer
     assert {d: sum((x for _, x in sorted(p)), []) for d, p in pieces.items()} == {d: [*ids.encode(t or "", add_special_tokens=False).ids, 1] for d, t in texts.items()}
+
+
+def test_stages_equal_brute_force(spark, tmp_path):
+    """Each stage against plain loops over its own input."""
+    import test_decontaminate
+    import test_linededup
+    import test_nearcopies
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {}
+    for name, stage in pipeline.STAGES[:-1]:
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        rows[name] = sorted((r.doc_id, r.text) for r in docs.collect())
+        assert all(r.n_chars == len(r.text) for r in docs.collect()) or name in ("language_id", "near_dedup")
+    assert rows["line_dedup"] == sorted((d, t) for d, t, _, _ in test_linededup.brute(rows["language_id"]))
+    least = dict(test_nearcopies.brute(rows["line_dedup"]))
+    assert rows["near_dedup"] == [(d, t) for d, t in rows["line_dedup"] if least[d] == d] and len(rows["near_dedup"]) < len(rows["line_dedup"])
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    found = {d: (n, hit) for d, n, hit, _ in test_decontaminate.brute(rows["near_dedup"], bench, 10)}
+    assert any(hit for _, hit in found.values())
+    for (d, before), (e, after) in zip(rows["near_dedup"], rows["decontamination"]):
+        assert d == e and (before == after if not found[d][1] else len(test_decontaminate.words(after)) == found[d][0] - found[d][1])
+
+
+def test_clashing_columns_and_a_very_long_text(spark):
+    rows = [(1, "Word one " * 20_000, "en", "a", 1), (2, "A short text of some words.", "en", "b", 2), (3, "A short text of some words.", None, None, None)]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, component_id string, n_words int")
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == ({1, 2} if name == "near_dedup" else {1, 2, 3})
