@@ -46,10 +46,9 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v") -> Da
     minimum (combined before the shuffle) and an equi-join. The minima are written down, so that
     adaptive execution can split a vertex of many edges in that join.
     """
-    base = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
+    base = materialise(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null").distinct(), "cc-edges")
     vertices = base.select(F.col("u").alias("id")).unionByName(base.select(F.col("v").alias("id"))).distinct()
-    current = materialise(base.where("u <> v").distinct(), "cc-edges")
-    before = None
+    current, before = base.where("u <> v"), None
     while (now := _digest(current)) != before and now[0]:
         before = now
         current = materialise(_small_star(_large_star(current)), "cc-edges")
