@@ -1,7 +1,8 @@
 """Near copies by exact similarity: groups of documents linked at a Jaccard similarity of 0.8 or more.
 
 A document is the set of its five-word shingles (64-bit hashes). Rows of equal sets are one class.
-Classes are proposed to each other by 40 bands of 4 MinHashes: a pair at 0.8 shares none of them
+Classes are proposed to each other by the SimHash operator, whose groups link fingerprints of few differing bits, and, as
+64 bits can't tell similarities near 0.8 apart, by 40 bands of 4 MinHashes: a pair at 0.8 shares none of the bands
 with probability (1 - 0.8^4)^40 = 7e-10, a closer one less. Every proposed pair that isn't joined yet is then held
 against the sets themselves, so no link is below the threshold.
 
@@ -11,7 +12,6 @@ Null, empty and blank texts have the empty set and link to each other. Null ids
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm.simhash import components, majority, shingle_hashes
 from cairn.llm.texts import slices, space_words
 from cairn.operators.components import connected_components
 from cairn.session import materialise
@@ -35,14 +36,7 @@ FACTORS = np.random.default_rng(SEED).integers(1 << 62, size=BANDS * ROWS, dtype
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     """The different hashes of a text's shingles, in order; those of fewer words are one shingle."""
-    words = space_words(text)
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined, n = b" ".join(words), max(1, len(words) - size + 1)
-    starts = list(accumulate((len(w) + 1 for w in words), initial=0))
-    ends = [starts[i + size] - 1 if i + size < len(starts) else len(joined) for i in range(n)]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends)], np.uint64))
+    return np.unique(shingle_hashes(space_words(text), size))
 
 
 def bands(own: np.ndarray) -> list[int]:
@@ -68,17 +62,18 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(doc_id, c, bands, text) per row; c names the class of equal sets."""
+    """(doc_id, c, fp, bands, text) per row; c names the class of equal sets, fp is a fingerprint of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            sets = [shingle_set(t, size) for t in part.column("text").to_pylist()]
+            hashes = [shingle_hashes(space_words(t), size) for t in part.column("text").to_pylist()]
+            prints, sets = pa.array(map(majority, hashes), pa.int64()), list(map(np.unique, hashes))
             names = [xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in sets]
             keys = pa.array([bands(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.int64()), keys, part.column("text")], ["doc_id", "c", "bands", "text"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.int64()), prints, keys, part.column("text")], ["doc_id", "c", "fp", "bands", "text"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "doc_id long, c long, bands array<long>, text string")
+    return source.mapInArrow(run, "doc_id long, c long, fp long, bands array<long>, text string")
 
 
 def _compare(rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -174,7 +169,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     """(doc_id, component_id) per row; component_id is the smallest doc_id reachable over links."""
     rows = materialise(_sets(docs, id_col, text_col, size), "copies-rows")
     # rows of one class have the same bands
-    classes = materialise(rows.groupBy("c").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "copies-classes")
+    found = materialise(rows.groupBy("c").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "copies-sets-of-rows")
+    named = materialise(components(found.select("fp").distinct()), "copies-simhash")
+    # a group of fingerprints is a bucket as a band is
+    key = F.xxhash64(F.lit("simhash"), F.coalesce("component", "fp"))
+    classes = found.join(named, "fp", "left").withColumn("bands", F.when(F.size("bands") > 0, F.concat("bands", F.array(key))).otherwise(F.col("bands")))
+    classes = materialise(classes.select("c", "least", "bands"), "copies-classes")
     edges = materialise(links(classes, rows.select("c", "text"), size, block), "copies-edges")
     labels = connected_components(edges).withColumnRenamed("id", "c")
     whole = materialise(classes.select("c", "least").join(labels, "c", "left").withColumn("component", F.coalesce("component", "c")), "copies-whole")

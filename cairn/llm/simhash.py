@@ -29,19 +29,29 @@ BLOCK = 1024
 START_SHIFT, START_MASK = 33, 7
 
 
-def fingerprint(words: list[bytes], size: int) -> int:
-    """The majority bits of the shingles' hashes; 0 without words."""
+def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
+    """The hash of each shingle, repeats included; fewer words are one shingle."""
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, n = b" ".join(words), max(1, len(words) - size + 1)
     starts = list(accumulate((len(w) + 1 for w in words), initial=0))
     ends = [starts[i + size] - 1 if i + size < len(starts) else len(joined) for i in range(n)]
-    votes, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    for a in range(0, n, 1 << 16):
-        hashes = [digest(joined[s:e], SEED) for s, e in zip(starts[a : a + (1 << 16)], ends[a : a + (1 << 16)])]
-        octets = np.array(hashes, np.uint64).astype(">u8").view(np.uint8).reshape(-1, 8)
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, ends)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are 1 in over half of the hashes, as a signed number; 0 without any."""
+    votes = np.zeros(64, np.int64)
+    for a in range(0, len(hashes), 1 << 16):
+        octets = hashes[a : a + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
         votes += np.unpackbits(octets, axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big", signed=True)
+    return int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big", signed=True)
+
+
+def fingerprint(words: list[bytes], size: int) -> int:
+    """The majority bits of the shingles' hashes; 0 without words."""
+    return majority(shingle_hashes(words, size))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
@@ -192,14 +202,18 @@ def links(distinct: DataFrame, bits: int = 4, block: int = BLOCK) -> DataFrame:
     return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "u long, v long")
 
 
+def components(distinct: DataFrame, bits: int = 4) -> DataFrame:
+    """(fp, component) of those fingerprints of `distinct` (fp) that are linked to another."""
+    return connected_components(materialise(links(distinct, bits), "simhash-links")).withColumnRenamed("id", "fp")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bits: int = 4
 ) -> DataFrame:
     """(doc_id, fp, component_id) per row; component_id is the smallest doc_id reachable."""
     prints = materialise(fingerprints(docs, id_col, text_col, shingle), "simhash")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    edges = materialise(links(classes.select("fp"), bits), "simhash-links")
-    labels = connected_components(edges).withColumnRenamed("id", "fp")
+    labels = components(classes.select("fp"), bits)
     # written down, as what follows, so that a component of many fingerprints and a fingerprint of many copies can be split in the joins below
     whole = materialise(classes.join(labels, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "simhash-whole")
     least = materialise(whole.groupBy("component").agg(F.min("least").alias("component_id")), "simhash-least")
