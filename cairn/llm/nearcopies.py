@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from cairn.llm.simhash import components, majority, shingle_hashes
 from cairn.llm.texts import slices, space_words
 from cairn.operators.components import connected_components
-from cairn.session import materialise
+from cairn.session import materialise, small
 
 SEED = 42
 #: Least Jaccard similarity of a link, as a fraction.
@@ -133,12 +133,14 @@ def links(classes: DataFrame, texts: DataFrame, size: int = 5, block: int = BLOC
     compared with each other.
     """
     index = classes.select("c", F.explode("bands").alias("key"))
-    sizes = index.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("c")).alias("x"), F.min("c").alias("least"), F.max("c").alias("most")).where("n > 1")
+    shared = materialise(index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "copies-shared")
+    every = materialise(index.join(small(shared), "key"), "copies-buckets")
+    sizes = every.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("c")).alias("x"), F.min("c").alias("least"), F.max("c").alias("most"))
     # one key for each set of members
-    kept = materialise(sizes.groupBy("n", "x", "least", "most").agg(F.min("key").alias("key")), "copies-buckets")
+    kept = materialise(sizes.groupBy("n", "x", "least", "most").agg(F.min("key").alias("key")), "copies-kept")
     parts = F.ceil(F.col("n") / block).cast("int")
     members = materialise(
-        index.join(kept.select("key", "n", "least"), "key").select("key", "c", "least", parts.alias("parts"))
+        every.join(small(kept.select("key", "n", "least")), "key").select("key", "c", "least", parts.alias("parts"))
         .withColumn("own", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")), "copies-members",
     )
 
@@ -147,8 +149,9 @@ def links(classes: DataFrame, texts: DataFrame, size: int = 5, block: int = BLOC
             raw = [shingle_set(t, size).tobytes() for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("c"), pa.array(raw, pa.binary())], ["c", "hashes"])
 
-    wanted = members.select("c").distinct()
-    once = texts.join(wanted, "c").groupBy("c").agg(F.first("text").alias("text"))
+    wanted = small(materialise(members.select("c").distinct(), "copies-wanted"))
+    # a text of each class is chosen before the shuffle, so that many copies aren't sent to one task; Spark moves the join below if it is a broadcast
+    once = texts.groupBy("c").agg(F.min("text").alias("text")).join(wanted, "c", "left_semi")
     sets = materialise(once.mapInArrow(hashed, "c long, hashes binary"), "copies-sets")
     stars = members.select("key", F.col("own").alias("a"), F.col("own").alias("b"), "own", "c", F.col("c").alias("label"))
     hubs = kept.where(F.col("n") > block).select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("a"), F.col("least").alias("c"))
