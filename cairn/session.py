@@ -71,8 +71,8 @@ def block_files(df: DataFrame, rows: int, name: str) -> list[str]:
     return sorted(df.sparkSession.read.schema(df.schema).parquet(path).inputFiles())
 
 
-def small(df: DataFrame, rows: int = 1 << 20) -> DataFrame:
-    """A written table of few columns, to be broadcast where it has no more than `rows` rows; beyond them joins shuffle."""
+def small(df: DataFrame, rows: int = 1 << 18) -> DataFrame:
+    """A written table of few columns, to be broadcast where it has no more than `rows` rows (some 100 bytes each); beyond them joins shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
