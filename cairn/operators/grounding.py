@@ -18,13 +18,17 @@ def unknown_names(prose: DataFrame, allowed: DataFrame) -> DataFrame:
     Names count once a document, whatever their case. They are supported by `allowed` (word, lower case) or
     by standing in the document's source. Only Java and Python documents are checked.
     """
-    named = prose.where(F.col("language").isin("java", "python")).select("doc_id", "text", "source", F.posexplode(T.candidates(F.col("text"))).alias("pos", "c"))
-    first = named.groupBy("doc_id", F.lower("c.name").alias("word")).agg(F.min(F.struct("pos", "c", "text", "source")).alias("f"))
-    left = first.join(allowed, "word", "left_anti").where(F.instr(F.lower("f.source"), F.col("word")) == 0)
-    at = F.position(F.col("f.c.name"), F.col("f.text"))
-    start = F.greatest(at - 60, F.lit(1))
-    snippet = F.substring(F.col("f.text"), start, at + F.length("f.c.name") + 60 - start)
-    return left.select("doc_id", F.col("f.c.name").alias("name"), F.col("f.c.kind").alias("kind"), F.replace(snippet, F.lit("\n"), F.lit(" ")).alias("snippet"))
+    # only short structs leave the row of a text
+    def seen(c: Column) -> Column:
+        at = F.position(c["name"], F.col("text"))
+        start = F.greatest(at - 60, F.lit(1))
+        snippet = F.substring(F.col("text"), start, at + F.length(c["name"]) + 60 - start)
+        return F.struct(F.lower(c["name"]).alias("word"), c["name"].alias("name"), c["kind"].alias("kind"), F.replace(snippet, F.lit("\n"), F.lit(" ")).alias("snippet"))
+
+    checked = prose.where(F.col("language").isin("java", "python")).select("doc_id", "text", F.lower("source").alias("source"), T.candidates(F.col("text")).alias("c"))
+    left = checked.select("doc_id", F.posexplode(F.transform(F.filter("c", lambda c: F.instr(F.col("source"), F.lower(c["name"])) == 0), seen)).alias("pos", "c"))
+    first = left.select("doc_id", "pos", "c.*").groupBy("doc_id", "word").agg(F.min(F.struct("pos", "name", "kind", "snippet")).alias("f"))
+    return first.join(allowed, "word", "left_anti").select("doc_id", "f.name", "f.kind", "f.snippet")
 
 
 def unknown_words(prose: DataFrame, allowed: DataFrame, pattern: str) -> DataFrame:
