@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.llm import decontaminate, huffman, langid, licences, linededup, packing, quality, simhash, urlfilter, warc
+from cairn.llm import decontaminate, huffman, langid, licences, linededup, merkle, neighbours, packing, quality, resample, simhash, urlfilter, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,18 @@ def queries() -> dict:
         "op8_urlfilter": urlfilter.op8_urlfilter,
         "op9_quality": quality.op9_quality,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "op11_merkle": merkle.op11_merkle,
+        "op12_resample": resample.op12_resample,
+        "op13_neighbours": neighbours.op13_neighbours,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.OP3_SQL, "op5_linededup": linededup.OP5_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
+    return {
+        "op3_warc": warc.OP3_SQL,
+        "op5_linededup": linededup.OP5_SQL,
+        "op10_decontaminate": decontaminate.OP10_SQL,
+        "op11_merkle": merkle.OP11_SQL,
+        "op12_resample": resample.OP12_SQL,
+        "op13_neighbours": neighbours.OP13_SQL,
+    }
