@@ -36,3 +36,14 @@ def test_matches_brute_force(spark):
 
 def test_empty_table(spark):
     assert linededup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_million_blanks_take_no_time(spark):
+    import time
+
+    texts = ["a" + " \t" * 500_000 + "b", " " * 1_000_000 + "x" * 30 + "\r" * 1_000_000, "x" * 30]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(9, "X" * 30)], "doc_id long, text string")
+    linededup.dedup_lines(docs.limit(0)).count()
+    began = time.time()
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in linededup.dedup_lines(docs).collect()}
+    assert got == {0: (1, 0), 1: (1, 1), 2: (1, 1), 9: (1, 0)} and time.time() - began < 15
