@@ -83,4 +83,4 @@ def dedup_sentences(docs: DataFrame) -> DataFrame:
     joined = first.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("f"))["s"], " ").alias("text"))
     full = docs.select("doc_id").join(joined, "doc_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
     ends = F.col("text").rlike(r"(?s)[.!?]\z") | (F.col("text") == "")
-    return full.withColumn("text", F.when(ends, F.col("text")).otherwise(F.concat(F.regexp_replace("text", r"(?U)\s+\z", ""), F.lit("..."))))
+    return full.withColumn("text", F.when(ends, F.col("text")).otherwise(F.concat(T.rstrip(F.col("text")), F.lit("..."))))

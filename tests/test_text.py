@@ -176,3 +176,16 @@ def test_similar_words_equal_all_pairs(spark):
             near = lambda a, b: 2 * min(len(a), len(b)) / (len(a) + len(b)) >= threshold
             want = {(w, i) for w in words for i, x in enumerate(labels) if min(len(w), len(x)) >= 3 and near(w, x) and ratio(w, x) >= threshold}
             assert {(r.word, r.id) for r in GR.similar_mentions(frame, table, threshold, native).collect()} == want
+
+
+def test_stripping_is_linear(spark):
+    import time
+
+    from cairn.functions import text as T
+
+    texts = ["a" + " " * 300_000 + "b", "  x　\x85\xa0", "\n\t", "", None, "no ends", "​kept​"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    began = time.time()
+    got = rows.select(T.strip(F.col("t")).alias("s"), T.rstrip(F.col("t")).alias("r")).collect()
+    assert [r.s for r in got] == [t and t.strip() for t in texts] and [r.r for r in got] == [t and t.rstrip() for t in texts]
+    assert time.time() - began < 10
