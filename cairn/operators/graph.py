@@ -99,7 +99,9 @@ def hops(seeds: DataFrame, edges: DataFrame, max_hops: int | None = None, direct
     way = edges.select("source_id", "target_id")
     if not directed:
         way = way.unionByName(edges.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id")))
-    way = materialise(way.where("source_id is not null and target_id is not null").distinct(), "hops-edges")
+    way = way.where("source_id is not null and target_id is not null")
+    # one hop reads the edges once
+    way = way if max_hops == 1 else materialise(way.distinct(), "hops-edges")
     frontier = materialise(seeds.select("seed", F.col("seed").alias("id")).where("seed is not null").distinct(), "hops")
     seen, hop = frontier.withColumn("hop", F.lit(0)), 0
     while max_hops is None or hop < max_hops:

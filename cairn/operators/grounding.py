@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import text as T
+from cairn.operators.matching import containing
+from cairn.session import materialise
 
 
 def unknown_names(prose: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -90,23 +92,10 @@ def split_sources(sources: DataFrame, index: DataFrame) -> DataFrame:
     return sources.join(index.select("path", F.lit(True).alias("valid")).distinct(), "path", "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
 
 
-def mentions(prose: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, id): labels (id, label) that stand in a text, as whole words.
-
-    Labels meet the texts' n-grams of words in an equi-join, for each number of words that some label has.
-    """
-    tokens = lambda c: F.filter(F.split(F.lower(c), "[^\\p{L}\\p{N}_]+"), lambda w: w != "")
-    wanted = labels.where(F.length("label") >= 3).select("id", tokens("label").alias("w")).where(F.size("w") > 0)
-    wanted = wanted.select("id", F.array_join("w", " ").alias("label"), F.size("w").alias("n"))
-    sizes = wanted.agg(F.array_sort(F.collect_set("n")).alias("n")).first().n  # no more than the longest label has words
-
-    def of(n: int) -> Column:
-        every = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))
-        return F.when(F.size("w") >= n, every).otherwise(F.array().cast("array<string>"))
-
-    every = F.concat(*map(of, sizes)) if sizes else F.array().cast("array<string>")
-    spoken = prose.select("doc_id", tokens("text").alias("w")).select("doc_id", F.explode(F.array_distinct(every)).alias("label"))
-    return spoken.join(wanted, "label").select("doc_id", "id")
+def mentions(prose: DataFrame, labels: DataFrame, least: int = 3) -> DataFrame:
+    """(doc_id, id): labels (id, label) of `least` characters or more that stand anywhere in a text, whatever their case."""
+    wanted = labels.where(F.length("label") >= least).select("id", F.lower("label").alias("label"))
+    return containing(prose.select("doc_id", F.lower("text").alias("text")), wanted)
 
 
 def similar_mentions(words: DataFrame, labels: DataFrame, threshold: float = 0.75, native: bool = False) -> DataFrame:
@@ -144,16 +133,16 @@ def similar_mentions(words: DataFrame, labels: DataFrame, threshold: float = 0.7
     return scored.where(F.col("ratio") >= threshold).select("word", "id", "ratio")
 
 
-def find_entities(prose: DataFrame, labels: DataFrame, threshold: float = 0.75, enough: int = 3) -> DataFrame:
+def find_entities(prose: DataFrame, labels: DataFrame, threshold: float = 0.75, enough: int = 3, native: bool = False) -> DataFrame:
     """(doc_id, id, confidence): exact mentions at 1.0; texts with fewer than `enough` also get similar ones.
 
-    Of similar words the first in the text counts.
+    Of similar words the first in the text counts; `native` as for `similar_mentions`.
     """
-    exact = mentions(prose, labels).withColumn("confidence", F.lit(1.0))
+    exact = materialise(mentions(prose, labels), "mentions").withColumn("confidence", F.lit(1.0))
     rich = exact.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") >= enough).select("doc_id")
     poor = prose.join(rich, "doc_id", "left_anti")
     bare = F.regexp_replace(F.lower("w"), "^[.,;:!?()]+|[.,;:!?()]+$", "")
     spoken = poor.select("doc_id", F.posexplode(F.split("text", "\\s+")).alias("pos", "w")).select("doc_id", "pos", bare.alias("word")).where(F.length("word") >= 3)
-    alike = spoken.join(similar_mentions(spoken, labels, threshold), "word")
+    alike = spoken.join(similar_mentions(spoken, labels, threshold, native), "word")
     first = alike.groupBy("doc_id", "id").agg(F.min_by("ratio", "pos").alias("confidence")).join(exact.select("doc_id", "id"), ["doc_id", "id"], "left_anti")
     return exact.unionByName(first)

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as T
 from cairn.operators import extraction as X
+from cairn.operators import grounding as GR
 from cairn.operators import model_rows as M
 from cairn.operators import quality as Q
 from cairn.operators import retrieval as R
 from cairn.operators import temporal as TP
+from cairn.operators import vector_index as V
 from cairn.operators.upsert import last_writes
 from cairn.plans import adapters as A
 from cairn.plans.catalog import query
@@ -181,6 +183,20 @@ def l2_filtered_search(spark, sf):
     return R.cosine_top_k(queries, R.filtered(index, ["L1", "code"]), 5).select("query_id", "id", "score")
 
 
+@query(f"WITH {SCORES} SELECT query_id, id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10")
+def l1_pruned_top_k(spark, sf):
+    """The same search by way of the index of cells."""
+    queries, every = _vectors(spark, sf)
+    return V.search(queries, V.build(every), 10)[0]
+
+
+@query(f"WITH {SCORES}, {INDEXED} SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM x WHERE doc_level IN ('L1', 'code')) WHERE rank <= 5")
+def l2_pruned_filtered_search(spark, sf):
+    queries, index = _index(spark, sf)
+    built = V.build(index.select("id", "embedding", "doc_level"))
+    return V.search(queries, built.where(F.col("doc_level").isin("L1", "code")), 5)[0].select("query_id", "id", "score")
+
+
 @query("SELECT DISTINCT doc_level FROM files WHERE doc_level LIKE 'L%' AND doc_level <> 'L3'")
 def l3_levels(spark, sf):
     return R.synthesis_levels(A.files(spark, sf))
@@ -196,24 +212,49 @@ def l4_hierarchical(spark, sf):
     return R.hierarchical(*_index(spark, sf), 8).select("query_id", "id", "score", "rank")
 
 
-@query(f"""WITH {HIERARCHY}, e AS (SELECT source_id AS s, target_id AS t FROM edges UNION SELECT target_id, source_id FROM edges),
-near AS (SELECT vec_id AS query_id, vec_id AS id, 0 AS hop FROM embeddings WHERE vec_id % 50 = 0 UNION ALL SELECT v.vec_id, substr(t, 2)::BIGINT, 1 FROM embeddings v JOIN e ON s = 'n' || v.vec_id WHERE v.vec_id % 50 = 0),
-b AS (SELECT k.query_id, k.id, hop IS NOT NULL AS graph_boosted, round(score * (1 + CASE WHEN hop IS NULL THEN 0 ELSE 0.3 / greatest(hop, 1) END), 6) AS score FROM k LEFT JOIN near n ON n.query_id = k.query_id AND n.id = k.id WHERE rank <= 8)
-SELECT * FROM b""")
+ENDS = """e AS (SELECT source_id AS s, target_id AS t FROM edges UNION SELECT target_id, source_id FROM edges)"""
+
+
+def _questions(spark, sf, words: str):
+    """(doc_id, text): a question a query, made of the names ($0, $1, $2) of the parts numbered from the query's on."""
+    name = lambda k: table(spark, sf, "part").select((F.col("p_partkey") - k).alias("doc_id"), F.col("p_name").alias(f"n{k}"))
+    asked = _vectors(spark, sf)[0].select(F.col("query_id").alias("doc_id"))
+    for k in range(3):
+        asked = asked.join(name(k), "doc_id")
+    text = F.lit(words)
+    for k in range(3):
+        text = F.replace(text, F.lit(f"${k}"), F.col(f"n{k}"))
+    return asked.select("doc_id", text.alias("text"))
+
+
+@query(f"""WITH {HIERARCHY}, {ENDS}, q AS (SELECT a.p_partkey AS q, 'How does the ' || a.p_name || ' fit ' || b.p_name || 's, or (' || c.p_name || ')?' AS text FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 JOIN part c ON c.p_partkey = a.p_partkey + 2 JOIN embeddings ON vec_id = a.p_partkey WHERE vec_id % 50 = 0),
+mm AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY id) AS n FROM q JOIN nodes ON contains(lower(text), lower(name))),
+near AS (SELECT q, id, 0 AS hop FROM mm WHERE n <= 5 UNION ALL SELECT q, t, 1 FROM mm JOIN e ON s = id WHERE n <= 5),
+b AS (SELECT q, path AS source, min(hop) AS hop FROM near JOIN files ON id = 'n' || doc_id JOIN embeddings ON vec_id = doc_id GROUP BY 1, 2)
+SELECT k.query_id, k.id, hop IS NOT NULL AS graph_boosted, round(score * (1 + CASE WHEN hop IS NULL THEN 0 ELSE 0.3 / greatest(hop, 1) END), 6) AS score FROM k LEFT JOIN b ON q = k.query_id AND b.source = k.source WHERE rank <= 8""")
 def l5_hybrid(spark, sf):
+    """Questions in words, whose entities are found in them; their vectors are the search's."""
     queries, index = _index(spark, sf)
-    node = F.concat(F.lit("n"), F.col("query_id").cast("string"))
-    entities = queries.select("query_id", node.alias("id"), F.lit(1.0).alias("confidence"))
+    asked = _questions(spark, sf, "How does the $0 fit $1s, or ($2)?")
+    found = GR.find_entities(asked, A.nodes(spark, sf).select("id", F.col("name").alias("label")), 0.75)
     sources = index.select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("id"), "source")
-    found = R.hybrid(queries, index, entities, A.edges(spark, sf), sources, 8, max_hops=1)
-    return found.where("source <> 'knowledge_graph'").select("query_id", "id", "graph_boosted", F.round("score", 6).alias("score"))
+    hits = R.hybrid(queries, index, found.withColumnRenamed("doc_id", "query_id"), A.edges(spark, sf), sources, 8, max_hops=1)
+    return hits.where("source <> 'knowledge_graph'").select("query_id", "id", "graph_boosted", F.round("score", 6).alias("score"))
 
 
-@query("""WITH e AS (SELECT source_id AS s, target_id AS t FROM edges UNION SELECT target_id, source_id FROM edges), q AS (SELECT vec_id, 'n' || vec_id AS id FROM embeddings WHERE vec_id % 50 = 0)
-SELECT q.vec_id AS query_id, 1 AS matches, count(DISTINCT t) AS neighbours FROM q LEFT JOIN e ON q.id = e.s GROUP BY 1""")
+@query(f"""WITH {ENDS}, q AS (SELECT vec_id AS q, 'where are ' || replace(p_name, ' ', '') || ', ' || left(p_name, 4) || 's and ' || replace(p_name, ' ', '_') || ' kept' AS text FROM embeddings JOIN part ON p_partkey = vec_id WHERE vec_id % 50 = 0),
+w AS (SELECT q, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS pos FROM q), v AS (SELECT q, pos, trim(w, '.,;:!?()') AS w FROM w),
+f AS (SELECT q, name, 1 - levenshtein(w, name) / greatest(length(w), length(name)) AS ratio, pos FROM v, (SELECT DISTINCT lower(name) AS name FROM nodes) WHERE length(w) >= 3 AND 2.0 * least(length(w), length(name)) / (length(w) + length(name)) >= 0.6),
+b AS (SELECT q, name, arg_min(ratio, pos) AS c FROM f WHERE ratio >= 0.6 GROUP BY 1, 2), m AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY c DESC, id) AS n FROM b JOIN nodes ON lower(nodes.name) = b.name),
+t AS (SELECT q, count(*) AS matches FROM m GROUP BY 1), h AS (SELECT q, count(DISTINCT e.t) AS n FROM m JOIN e ON s = id WHERE n <= 3 GROUP BY 1)
+SELECT t.q AS query_id, matches, coalesce(h.n, 0) AS neighbours FROM t LEFT JOIN h ON t.q = h.q""")
 def l6_entity_search(spark, sf):
-    queries, _ = _vectors(spark, sf)
-    return R.entity_search(queries.select("query_id", F.concat(F.lit("n"), F.col("query_id").cast("string")).alias("id"), F.lit(0.9).alias("confidence")), A.edges(spark, sf))
+    """Questions with names that are no label's own, found by similarity; words and labels differ in blanks and letters."""
+    name = F.col("p_name")
+    text = F.concat(F.lit("where are "), F.replace(name, F.lit(" "), F.lit("")), F.lit(", "), F.left(name, F.lit(4)), F.lit("s and "), F.replace(name, F.lit(" "), F.lit("_")), F.lit(" kept"))
+    asked = table(spark, sf, "part").join(_vectors(spark, sf)[0], F.col("p_partkey") == F.col("query_id")).select(F.col("query_id").alias("doc_id"), text.alias("text"))
+    found = GR.find_entities(asked, A.nodes(spark, sf).select("id", F.col("name").alias("label")), 0.6, native=True)
+    return R.entity_search(found.withColumnRenamed("doc_id", "query_id"), A.edges(spark, sf))
 
 
 @query(f"WITH {SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s), c AS (SELECT *, CASE WHEN label = 3 THEN 2.0 - score ELSE score END AS final FROM r JOIN embeddings ON vec_id = id WHERE rank <= 10), f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, id)::INT AS place FROM c) SELECT query_id, id, place AS rank, round(final, 4) AS score FROM f WHERE place <= 5")

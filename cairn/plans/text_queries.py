@@ -190,15 +190,12 @@ def c11_source_split(spark, sf):
     return GR.split_sources(A.old_files(spark, sf).select("path"), A.new_files(spark, sf).select("path"))
 
 
-@query("""WITH b AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda w: w <> '') AS w FROM benchmark),
-l AS (SELECT item_id AS id, array_to_string(w[1:CASE item_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 5 END], ' ') AS label FROM b WHERE length(array_to_string(w[1:CASE item_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 5 END], ', ')) >= 3),
-d AS (SELECT doc_id, ' ' || array_to_string(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda w: w <> ''), ' ') || ' ' AS t FROM documents)
-SELECT doc_id, id FROM d JOIN l ON contains(t, ' ' || label || ' ')""")
+@query("""WITH l AS (SELECT item_id AS id, array_to_string(string_split(text, ' ')[1:[1, 2, 5, 1000][item_id % 4 + 1]], ' ') AS label FROM benchmark)
+SELECT doc_id, id FROM documents JOIN l ON contains(lower(text), lower(label)) WHERE length(label) >= 3""")
 def c14_mentions(spark, sf):
-    """Labels of one, two and five words."""
-    words = F.filter(F.split(F.lower("text"), "[^\\p{L}\\p{N}_]+"), lambda w: w != "")
-    n = F.element_at(F.array(F.lit(1), F.lit(2), F.lit(5)), (F.col("item_id") % 3 + 1).cast("int"))
-    labels = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.array_join(F.slice(words, F.lit(1), n), ", ").alias("label"))
+    """Labels of one, two and five words, and whole texts, wherever they stand."""
+    n = F.element_at(F.array(*map(F.lit, (1, 2, 5, 1000))), (F.col("item_id") % 4 + 1).cast("int"))
+    labels = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.array_join(F.slice(F.split("text", " "), F.lit(1), n), " ").alias("label"))
     return GR.mentions(table(spark, sf, "documents").select("doc_id", "text"), labels)
 
 

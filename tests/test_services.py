@@ -270,3 +270,27 @@ def test_changelog_keeps_what_the_model_said(spark, tmp_path):
     assert got == {"a": ("renamed", "said of first", "fix", 0.0), "b": ("other day", "said of other day", "fix", 0.0), "c": ("later", "said of later", "fix", 0.0)}
     bodies = {r.path[-13:]: r.body for r in readers.read_digests(spark, f"{tmp_path}/out/digests").collect()}
     assert set(bodies) == {"2024/01/05.md", "2024/01/06.md"} and "**2 commits**\nby 1 author." in bodies["2024/01/05.md"] and "_said of later_" in bodies["2024/01/05.md"]
+
+
+def test_pruned_search_equals_a_full_scan(spark):
+    import numpy as np
+
+    from cairn.operators import vector_index as V
+
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 24))
+    x = centres[rng.integers(40, size=6000)] + rng.normal(size=(6000, 24)) * 0.15
+    x[5000:5900] = x[5000]  # a crowded place, with ties
+    x[17] = 0
+    rows = [(i, v) for i, v in enumerate(x.tolist())] + [(9000, None)]
+    index = spark.createDataFrame(rows, "id long, embedding array<double>").withColumn("kind", F.col("id") % 3).repartition(6)
+    queries = index.where("id % 50 = 0 or id = 17").select(F.col("id").alias("query_id"), "embedding")
+    queries = queries.unionByName(spark.createDataFrame([(-1, rng.normal(size=24).tolist())], "query_id long, embedding array<double>"))
+    built = V.build(index)
+    for own, plain in ((built, index), (built.where("kind = 1"), index.where("kind = 1")), (V.open_index(spark, built.path), index)):
+        hits, cost = V.search(queries, own, 7)
+        assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, R.cosine_top_k(queries, plain, 7).collect()))
+        scored, pairs = cost.first()
+        assert 0 < scored <= pairs
+    assert V.search(queries, built, 7)[1].select(F.col("scored") / F.col("pairs")).first()[0] < 0.35
+    assert V.search(queries, V.build(index.limit(0)), 7)[0].count() == 0
