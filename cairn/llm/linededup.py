@@ -32,7 +32,8 @@ def dropped_positions(docs: DataFrame, min_chars: int, min_docs: int) -> DataFra
     """(doc_id, text_hash, drop): the positions that each document loses; documents that lose none are absent."""
     lines = (
         docs.where("doc_id is not null")
-        .select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+        .withColumn("text_hash", F.xxhash64("text"))  # by itself, or each line would carry its text
+        .select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
         .withColumn("key", key(F.col("line")))
         .where(F.length("key") >= min_chars)
         .select("doc_id", "text_hash", "pos", line_hash(F.col("key")).alias("h"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import text as T
+from cairn.session import materialise
 
 #: Language, what a line declares, pattern whose first group is the name.
 PATTERNS = (
@@ -23,51 +27,134 @@ PATTERNS = (
     ("typescript", "imports", r"^\s*import\b.*?from\s+['\"]([^'\"]+)"), ("typescript", "extends", r"\bclass\s+\w+\s+extends\s+(\w+)"), ("typescript", "implements", r"\bclass\s+\w+.*?\bimplements\s+(\w+)"),
     ("go", "Class", r"^\s*type\s+(\w+)\s+(?:struct|interface)"), ("go", "Method", r"^\s*func\s+(?:\([^)]*\)\s*)?(\w+)\s*\("), ("go", "imports", r"^\s*(?:import\s+)?\"([\w./-]+)\"$"),
 )
-CALL = r"\b(\w+)\s*\("
+DECLARED = ("Class", "Method", "Field")
+CALL = r"(\w+)\s*\("
+#: What \w stands for in patterns: letters and digits of any script.
+WORD = r"\p{L}\p{M}\p{Nd}_"
 NOT_CALLS = ("if", "for", "while", "switch", "catch", "return", "def", "class", "func", "function", "print", "super", "new", "and", "or", "not", "in", "elif", "with")
 
 
+NODE = ["id", "type", "name", "file_path", "line_start", "line_end"]
+EDGE = ["source_id", "target_id", "relation", "confidence"]
+CLOSING = ")}]"
+
+
+def of_any_script(pattern: str) -> str:
+    return pattern.replace(r"[\w", f"[{WORD}").replace(r"\w", f"[{WORD}]")
+
+
+def _hits(line: Column, language: Column, patterns: list[tuple]) -> Column:
+    """Array of (what, name): what a line declares in its file's language."""
+    found = F.array().cast("array<struct<what:string,name:string>>")
+    for one in sorted({lang for lang, _, _ in patterns}):
+        own = [F.struct(F.lit(what).alias("what"), F.regexp_extract(line, of_any_script(pattern), 1).alias("name")) for lang, what, pattern in patterns if lang == one]
+        found = F.when(language == one, F.filter(F.array(*own), lambda x: x["name"] != "")).otherwise(found)
+    return found
+
+
+class _Sweep:
+    """One pass over the lines of a file: a stack of the open definitions, by ascending indentation.
+
+    A line of no deeper indentation that doesn't begin with a closing bracket ends a definition.
+    """
+
+    def __init__(self, path: str, last: int, rows: list):
+        self.path, self.last, self.rows = path, last, rows
+        self.stack: list[tuple] = []  # (indent, line, ids, types, names)
+        self.seen: set[tuple] = set()
+        self.imported: set[tuple] = set()
+
+    def edge(self, *edge) -> None:
+        seen = self.imported if edge[2] == "imports" else self.seen
+        if edge not in seen:
+            seen.add(edge)
+            self.rows.append((None,) * len(NODE) + edge)
+
+    def close(self, indent: int, line: int) -> None:
+        while self.stack and self.stack[-1][0] >= indent:
+            _, start, ids, types, names = self.stack.pop()
+            self.rows += [(i, t, n, self.path, start, line - 1, None, None, None, None) for i, t, n in zip(ids, types, names)]
+        if not self.stack:
+            self.seen.clear()  # their sources are closed
+
+    def line(self, number: int, indent: int, closing: bool, hits: list[dict], calls: list[str]) -> None:
+        if not closing:
+            self.close(indent, number)
+        kind: dict[str, str] = {}
+        for h in hits:
+            if h["what"] in DECLARED:
+                kind[h["name"]] = min(kind.get(h["name"], h["what"]), h["what"])
+            elif h["what"] == "imports":
+                self.edge(f"Module:{self.path}", f"Module:{h['name']}", "imports", 1.0)
+        if kind:
+            names, count, own = sorted(kind), {}, []
+            for name in names:
+                k = count[kind[name]] = count.get(kind[name], -1) + 1
+                own.append((f"{kind[name]}:{self.path}:{number}" + (f"#{k}" if k else ""), kind[name], name))
+            own.sort(key=lambda n: n[0].encode())
+            ids, types, names = zip(*own)
+            # of equal extents the smaller id is the outer one
+            for i in ids[1:]:
+                self.edge(ids[0], i, "contains", 1.0)
+            if self.stack:
+                self.edge(self.stack[-1][2][0], ids[0], "contains", 1.0)
+            self.stack.append((indent, number, ids, types, names))
+            for h in hits:
+                if h["what"] in ("extends", "implements"):
+                    for i, t in zip(ids, types):
+                        if t == "Class":
+                            self.edge(i, f"UnresolvedClass:{h['name']}", h["what"], 0.5)
+        if self.stack:
+            for callee in calls:
+                if callee not in kind:
+                    self.edge(self.stack[-1][2][0], f"UnresolvedCall:{callee}", "calls", 0.5)
+
+    def end(self) -> None:
+        self.close(-1, self.last + 1)
+
+
+def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    now, rows = None, []
+    for batch in batches:
+        for path, last, number, indent, closing, hits, calls in zip(*(c.to_pylist() for c in batch.columns)):
+            if now is None or path != now.path or number <= before:
+                if now:
+                    now.end()
+                now = _Sweep(path, last, rows)
+            now.line(number, indent, closing, hits, calls)
+            before = number
+        if len(rows) >= 1 << 14:
+            yield _table(rows)
+            rows.clear()
+    if now:
+        now.end()
+    yield _table(rows)
+
+
+def _table(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * 10
+    kinds = [pa.string()] * 4 + [pa.int32()] * 2 + [pa.string()] * 3 + [pa.float64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], NODE + EDGE)
+
+
 def extract(files: DataFrame, patterns: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, type, name, file_path, line_start, line_end) and edges (source_id, target_id, relation, confidence).
 
-    `patterns` (language, what, pattern) may replace the table. A definition ends where the next one of no deeper indentation
-    begins; it holds what lies within, and is the source of the calls there.
+    `patterns` (language, what, pattern), a settings table, may replace the fixed one. A definition ends where the next line of no deeper indentation
+    begins; it holds what lies within, and is the source of the calls there. Patterns are built-in expressions on lines; these stay in the order
+    of their file, so that one sweep with a stack finds extents, nesting and the owners of calls without a shuffle. Rows that share a path are files of their own.
     """
-    spark = files.sparkSession
-    table = patterns if patterns is not None else spark.createDataFrame(list(PATTERNS), "language string, what string, pattern string")
-    lines = files.select("path", T.language(F.col("path")).alias("language"), F.posexplode(F.split("content", "\r?\n")).alias("pos", "line"))
-    lines = lines.where(F.trim("line") != "").withColumns({"line_no": F.col("pos") + 1, "indent": F.length("line") - F.length(F.regexp_replace("line", "^\\s+", ""))})
-    last = lines.groupBy("path").agg(F.max("line_no").alias("last"))
-    hits = lines.join(F.broadcast(table), "language").withColumn("name", F.expr("regexp_extract(line, pattern, 1)")).where("name <> ''")
-    defs = hits.where(F.col("what").isin("Class", "Method", "Field")).groupBy("path", "line_no", "indent", "name").agg(F.min("what").alias("type"))
-    later = defs.alias("d").join(lines.alias("l"), (F.col("d.path") == F.col("l.path")) & (F.col("l.line_no") > F.col("d.line_no")) & (F.col("l.indent") <= F.col("d.indent")) & ~F.trim("l.line").rlike(r"^[})\]]"), "left")
-    ends = later.groupBy("d.path", "d.line_no", "d.indent", "d.name", "d.type").agg(F.min("l.line_no").alias("next"))
-    base = F.concat("type", F.lit(":"), "path", F.lit(":"), F.col("line_no").cast("string"))
-    k = F.row_number().over(Window.partitionBy("path", "type", "line_no").orderBy("indent", "name")) - 1
-    nodes = ends.join(last, "path").select(
-        F.when(k > 0, F.concat(base, F.lit("#"), k.cast("string"))).otherwise(base).alias("id"), "type", "name", F.col("path").alias("file_path"),
-        F.col("line_no").alias("line_start"), F.coalesce(F.col("next") - 1, F.col("last")).alias("line_end"),
+    table = [tuple(r) for r in patterns.select("language", "what", "pattern").collect()] if patterns is not None else list(PATTERNS)
+    lines = files.select("path", T.language(F.col("path")).alias("language"), F.split("content", "\r?\n").alias("lines"))
+    last = F.array_max(F.transform("lines", lambda x, i: F.when(F.trim(x) != "", i + 1)))
+    # by itself, or each line would carry all lines of its file
+    lines = lines.withColumn("last", last).select("path", "language", "last", F.posexplode("lines").alias("pos", "line")).where(F.trim("line") != "")
+    bare = F.regexp_replace("line", "^\\s+", "")
+    calls = F.filter(F.array_distinct(F.regexp_extract_all("line", F.lit(of_any_script(CALL)), 1)), lambda c: ~c.isin(*NOT_CALLS))
+    events = lines.select(
+        "path", "last", (F.col("pos") + 1).alias("number"), (F.length("line") - F.length(bare)).alias("indent"), F.left(F.trim("line"), F.lit(1)).isin(*CLOSING).alias("closing"),
+        _hits(F.col("line"), F.col("language"), table).alias("hits"), calls.alias("calls"),
     )
-    owner = lambda rows, n: _inside(rows, nodes, n)
-    calls = lines.select("path", "line_no", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(CALL), 1))).alias("callee")).where(~F.col("callee").isin(*NOT_CALLS))
-    declared = nodes.select(F.col("file_path").alias("path"), F.col("line_start").alias("line_no"), F.col("name").alias("callee"))
-    calls = calls.join(declared, ["path", "line_no", "callee"], "left_anti")
-    edge = lambda df, source, target, relation, sure: df.select(source.alias("source_id"), target.alias("target_id"), F.lit(relation).alias("relation"), F.lit(sure).alias("confidence"))
-    found = edge(owner(calls, ["callee"]), F.col("id"), F.concat(F.lit("UnresolvedCall:"), "callee"), "calls", 0.5)
-    imports = hits.where("what = 'imports'").select(F.concat(F.lit("Module:"), "path").alias("s"), F.concat(F.lit("Module:"), "name").alias("t"))
-    found = found.unionByName(edge(imports, F.col("s"), F.col("t"), "imports", 1.0))
-    for relation in ("extends", "implements"):
-        heads = hits.where(F.col("what") == relation).select("path", "line_no", F.col("name").alias("base_name"))
-        own = nodes.where("type = 'Class'").join(heads, (F.col("file_path") == F.col("path")) & (F.col("line_start") == F.col("line_no")))
-        found = found.unionByName(edge(own, F.col("id"), F.concat(F.lit("UnresolvedClass:"), "base_name"), relation, 0.5))
-    from cairn.operators.graph import nesting
-
-    held = nesting(nodes).select(F.col("parent").alias("source_id"), F.col("child").alias("target_id"), F.lit("contains").alias("relation"), F.lit(1.0).alias("confidence"))
-    return nodes, found.distinct().unionByName(held)
-
-
-def _inside(rows: DataFrame, nodes: DataFrame, keep: list[str]) -> DataFrame:
-    """The smallest definition around each line; lines outside all are dropped."""
-    around = rows.join(nodes, (F.col("path") == F.col("file_path")) & F.col("line_no").between(F.col("line_start"), F.col("line_end")))
-    best = around.groupBy("path", "line_no", *keep).agg(F.min(F.struct((F.col("line_end") - F.col("line_start")).alias("w"), "id")).alias("b"))
-    return best.select(F.col("b.id").alias("id"), "path", "line_no", *keep)
+    kinds = "id string, type string, name string, file_path string, line_start int, line_end int, source_id string, target_id string, relation string, confidence double"
+    found = materialise(events.mapInArrow(_swept, kinds), "structure")
+    return found.where("id is not null").select(*NODE), found.where("source_id is not null").select(*EDGE)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -175,20 +178,65 @@ def containment(files: DataFrame) -> DataFrame:
     return direct.distinct().unionByName(pairs.select("p.parent", "p.child", F.lit("Module").alias("kind")).distinct())
 
 
+#: Lines whose definitions are told apart at once when a file is cut where no definition spans.
+LINES = 1 << 12
+
+
 def nesting(spans: DataFrame) -> DataFrame:
     """(parent, child): the smallest definition of a file (id, file_path, line_start, line_end) around another.
 
-    Of equal spans the smaller id is the outer one.
+    Of equal spans the smaller id is the outer one; of parents of one length the later, then the smaller id counts. Spans may cross.
+    Files are cut at lines that no definition spans, found from one row for every LINES lines. What lies between cuts is
+    swept once, sorted by where it begins: an index by end line gives each definition the smallest of those that end no earlier.
     """
-    p, c = spans.alias("p"), spans.alias("c")
-    width = F.col("p.line_end") - F.col("p.line_start")
-    wider = width > F.col("c.line_end") - F.col("c.line_start")
-    around = (
-        (F.col("p.file_path") == F.col("c.file_path")) & (F.col("p.line_start") <= F.col("c.line_start")) & (F.col("p.line_end") >= F.col("c.line_end"))
-        & (wider | ((F.col("p.line_start") == F.col("c.line_start")) & (F.col("p.line_end") == F.col("c.line_end")) & (F.col("p.id") < F.col("c.id"))))
-    )
-    best = p.join(c, around).groupBy(F.col("c.id").alias("child")).agg(F.min(F.struct(width.alias("width"), F.negative(F.col("p.line_start")).alias("start"), F.col("p.id").alias("id"))).alias("best"))
-    return best.select(F.col("best.id").alias("parent"), "child")
+    rows = materialise(spans.select("file_path", "line_start", "line_end", "id").where("line_start <= line_end").withColumn("block", F.floor(F.col("line_start") / LINES)), "spans")
+    blocks = rows.groupBy("file_path", "block").agg(F.min("line_start").alias("low"), F.max("line_end").alias("high"))
+    before = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    cut = F.when(F.max("high").over(before) < F.col("low"), 1).otherwise(0)
+    parts = blocks.withColumn("cut", cut).select("file_path", "block", F.sum("cut").over(Window.partitionBy("file_path").orderBy("block")).alias("part"))
+    keyed = rows.join(materialise(parts, "spans-parts"), ["file_path", "block"])
+    order = ["file_path", "part", "line_start", F.desc("line_end"), "id"]
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+
+        def found() -> pa.RecordBatch:
+            pairs = _smallest(held)
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in pairs], kind), pa.array([c for _, c in pairs], kind)], ["parent", "child"])
+
+        for batch in batches:
+            kind = batch.column("id").type
+            for path, part, start, end, own in zip(*(batch.column(c).to_pylist() for c in ("file_path", "part", "line_start", "line_end", "id"))):
+                if (path, part) != at:
+                    if len(held) > 1:
+                        yield found()
+                    held, at = [], (path, part)
+                held.append((start, end, own))
+        if len(held) > 1:
+            yield found()
+
+    name = spans.schema["id"].dataType.simpleString()
+    return keyed.repartition("file_path", "part").sortWithinPartitions(*order).mapInArrow(sweep, f"parent {name}, child {name}")
+
+
+def _smallest(spans: list[tuple]) -> list[tuple]:
+    """(parent, child) of spans (start, end, id) in order: prefix minima over descending ends, as a binary indexed tree."""
+    ends = sorted({end for _, end, _ in spans}, reverse=True)
+    place, best, pairs = {end: n for n, end in enumerate(ends, 1)}, [None] * (len(ends) + 1), []
+    for start, end, own in spans:
+        n, least = place[end], None
+        while n:
+            if best[n] is not None and (least is None or best[n] < least):
+                least = best[n]
+            n &= n - 1
+        if least:
+            pairs.append((least[2], own))
+        n, mine = place[end], (end - start, -start, own)
+        while n < len(best):
+            if best[n] is None or mine < best[n]:
+                best[n] = mine
+            n += n & -n
+    return pairs
 
 
 def neighbourhood_text(edges: DataFrame, nodes: DataFrame) -> DataFrame:

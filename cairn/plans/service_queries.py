@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -494,8 +496,33 @@ def structured(files):
     return files.select(path.alias("path"), made.alias("content"))
 
 
-@query()
+LINE_HITS = " UNION ALL ".join(
+    f"SELECT path, lang, n, ind, '{what}' AS what, regexp_extract(line, '{re.sub(r"[(][?]![^)]*[)]", "", X.of_any_script(pattern)).replace("'", "''")}', 1) AS name FROM li WHERE lang = '{lang}'" for lang, what, pattern in X.PATTERNS
+)
+MADE = " ".join(f"WHEN ends_with(p, '{ext}') THEN regexp_replace(content, '(?m)^(\\p{{L}}+)[^\\n]*?(\\p{{L}}+)\\W*?$', '{re.sub(r"[$]([0-9])", lambda m: chr(92) + m[1], lines).replace("'", "''")}', 'g')" for ext, lines in DEFINITIONS.items())
+
+
+@query(f"""WITH p AS (SELECT replace(replace(path, '.md', '.ts'), '.yaml', '.go') AS p, content FROM files), m AS (SELECT p AS path, CASE {MADE} ELSE content END AS c FROM p),
+a AS (SELECT path, string_split_regex(c, '\r?\n') AS ls FROM m), u AS (SELECT path, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM a),
+li AS MATERIALIZED (SELECT path, CASE regexp_extract(path, '\\.[a-z]+$') WHEN '.py' THEN 'python' WHEN '.java' THEN 'java' WHEN '.js' THEN 'javascript' WHEN '.ts' THEN 'typescript' ELSE 'go' END AS lang, line, n,
+  length(line) - length(regexp_replace(line, '^\\s+', '')) AS ind, left(trim(line, ' '), 1) IN (')', '}}', ']') AS closing FROM u WHERE trim(line, ' ') <> ''),
+z AS (SELECT path, max(n) AS z FROM li GROUP BY 1),
+h AS MATERIALIZED (SELECT * FROM ({LINE_HITS}) WHERE name <> '' AND NOT (lang IN ('javascript', 'typescript') AND what = 'Method' AND name IN ('if', 'for', 'while', 'switch', 'catch'))),
+d AS (SELECT path, n, ind, name, min(what) AS type FROM h WHERE what IN ('Class', 'Method', 'Field') GROUP BY ALL),
+x AS (SELECT d.path, d.n, d.ind, min(li.n) AS nxt FROM (SELECT DISTINCT path, n, ind FROM d) d LEFT JOIN li ON li.path = d.path AND li.n > d.n AND li.ind <= d.ind AND NOT closing GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY path, type, n ORDER BY name) - 1 AS k FROM d),
+nd AS MATERIALIZED (SELECT type || ':' || k.path || ':' || k.n || CASE WHEN k > 0 THEN '#' || k ELSE '' END AS id, type, name, k.path AS file_path, k.n::INT AS line_start, coalesce(nxt - 1, z)::INT AS line_end FROM k JOIN x ON x.path = k.path AND x.n = k.n JOIN z ON z.path = k.path),
+c AS (SELECT DISTINCT path, n, unnest(regexp_extract_all(line, '{X.of_any_script(X.CALL)}', 1)) AS callee FROM li),
+o AS (SELECT c.path, c.n, callee, arg_min(id, (line_end - line_start, id)) AS id FROM c JOIN nd ON file_path = c.path AND c.n BETWEEN line_start AND line_end
+  WHERE callee NOT IN ({", ".join(f"'{w}'" for w in X.NOT_CALLS)}) AND (c.path, c.n, callee) NOT IN (SELECT file_path, line_start, name FROM nd) GROUP BY ALL),
+ct AS (SELECT ch.id AS child, arg_min(pa.id, (pa.line_end - pa.line_start, -pa.line_start, pa.id)) AS parent FROM nd pa JOIN nd ch ON pa.file_path = ch.file_path AND pa.line_start <= ch.line_start AND pa.line_end >= ch.line_end
+  AND (pa.line_end - pa.line_start > ch.line_end - ch.line_start OR (pa.line_start = ch.line_start AND pa.line_end = ch.line_end AND pa.id < ch.id)) GROUP BY 1),
+e AS (SELECT id AS s, 'UnresolvedCall:' || callee AS t, 'calls' AS r, 0.5::DOUBLE AS w FROM o UNION SELECT 'Module:' || path, 'Module:' || name, 'imports', 1.0 FROM h WHERE what = 'imports'
+  UNION SELECT id, 'UnresolvedClass:' || h.name, what, 0.5 FROM h JOIN nd ON file_path = path AND line_start = n AND type = 'Class' WHERE what IN ('extends', 'implements') UNION ALL SELECT parent, child, 'contains', 1.0 FROM ct)
+SELECT id AS source_id, type AS kind, name AS target, line_start, line_end, NULL::DOUBLE AS confidence FROM nd UNION ALL SELECT s, r, t, NULL, NULL, w FROM e""")
 def j7_structure(spark, sf):
-    """Nodes and edges of all texts, in which every line stands within a definition of its own words."""
+    """All nodes and edges of all texts, in which every line stands within a definition of its own words."""
     nodes, edges = X.extract(structured(A.files(spark, sf)))
-    return nodes.groupBy("type").agg(F.count("*").alias("n")).unionByName(edges.groupBy(F.col("relation").alias("type")).agg(F.count("*").alias("n")))
+    none = F.lit(None)
+    own = nodes.select(F.col("id").alias("source_id"), F.col("type").alias("kind"), F.col("name").alias("target"), "line_start", "line_end", none.cast("double").alias("confidence"))
+    return own.unionByName(edges.select("source_id", F.col("relation").alias("kind"), F.col("target_id").alias("target"), none.cast("int").alias("line_start"), none.cast("int").alias("line_end"), "confidence"))

@@ -204,3 +204,79 @@ def test_stripping_is_linear(spark):
     got = rows.select(T.strip(F.col("t")).alias("s"), T.rstrip(F.col("t")).alias("r")).collect()
     assert [r.s for r in got] == [t and t.strip() for t in texts] and [r.r for r in got] == [t and t.rstrip() for t in texts]
     assert time.time() - began < 10
+
+
+def test_extents_of_crossing_lines_and_long_files(spark):
+    """All node and edge rows against plain loops, on ragged indentation and a file of a million lines."""
+    import random
+    import re
+    import time
+
+    rng = random.Random(12)
+    kinds = [(w, re.compile(p)) for lang, w, p in X.PATTERNS if lang == "python"]
+
+    def brute(path, content):
+        lines = [(n, x, len(x) - len(re.sub(r"^\s+", "", x))) for n, x in enumerate(content.split("\n"), 1) if x.strip(" ")]
+        last = max((n for n, _, _ in lines), default=0)
+        nodes, edges, heads = [], set(), []
+        for n, x, indent in lines:
+            hits = [(w, m[1]) for w, p in kinds if (m := p.search(x))]
+            own = {}
+            for w, name in hits:
+                if w in ("Class", "Method", "Field"):
+                    own[name] = min(own.get(name, w), w)
+                elif w == "imports":
+                    edges.add((f"Module:{path}", f"Module:{name}", "imports"))
+                else:
+                    heads.append((n, name, w))
+            count = {}
+            for name in sorted(own):
+                count[own[name]] = k = count.get(own[name], -1) + 1
+                end = next((m for m, y, i in lines if m > n and i <= indent and y.strip(" ")[0] not in ")}]"), last + 1) - 1
+                nodes.append((f"{own[name]}:{path}:{n}" + (f"#{k}" if k else ""), own[name], name, path, n, end))
+        for n, base, w in heads:
+            edges |= {(i, f"UnresolvedClass:{base}", w) for i, t, _, _, s, _ in nodes if s == n and t == "Class"}
+        for n, x, _ in lines:
+            around = [(e - s, i) for i, _, _, _, s, e in nodes if s <= n <= e]
+            for callee in set(re.findall(r"(\w+)\s*\(", x)) - set(X.NOT_CALLS) - {name for _, _, name, _, s, _ in nodes if s == n}:
+                if around:
+                    edges.add((min(around)[1], f"UnresolvedCall:{callee}", "calls"))
+        for i, _, _, _, s, e in nodes:
+            out = [(f - r, -r, j) for j, _, _, _, r, f in nodes if r <= s and f >= e and (f - r > e - s or (r, f) == (s, e) and j < i)]
+            if out:
+                edges.add((min(out)[2], i, "contains"))
+        return nodes, edges
+
+    line = lambda: " " * rng.choice([0, 0, 2, 4, 4, 8, 9]) + rng.choice(["class Aé(Base):", "def go(x):", "class go: # def go", "go(Aé(1))", "}", ")", "import os.path", "", "x = 1", "async def très_long ():", "print(len(y))"])
+    files = {f"f{n}.py": "\n".join(line() for _ in range(rng.randint(0, 60))) for n in range(40)} | {"none.py": "", "blank.py": "  \n"}
+    frame = spark.createDataFrame([(p, c, "x") for p, c in files.items()] + [("void.py", None, "x")], "path string, content string, id string")
+    nodes, edges = X.extract(frame)
+    want = [brute(p, c) for p, c in files.items()]
+    assert sorted(map(tuple, nodes.collect())) == sorted(n for own, _ in want for n in own)
+    assert sorted(tuple(r)[:3] for r in edges.collect()) == sorted(e for _, own in want for e in own)
+    # a million lines below one class
+    long = "class Top:\n" + "    def m(self):\n        call(1)\n" * 500_000
+    began = time.time()
+    nodes, edges = X.extract(spark.createDataFrame([("long.py", long)], "path string, content string"))
+    assert nodes.count() == 500_001 and edges.count() == 1_000_000 and time.time() - began < 90
+
+
+def test_nesting_of_crossing_spans(spark):
+    import random
+
+    from cairn.operators import graph as G
+
+    rng = random.Random(5)
+    spans = [(f"n{i}", rng.choice(["a", "b", "c"]), s := rng.randrange(20_000), s + rng.choice([0, 3, 9, 50, 700])) for i in range(3000)]
+    want = set()
+    by = {}
+    for span in spans:
+        by.setdefault(span[1], []).append(span)
+    for own in by.values():
+        for i, _, s, e in own:
+            out = [(f - r, -r, j) for j, _, r, f in own if r <= s and f >= e and (f - r > e - s or (r, f) == (s, e) and j < i)]
+            if out:
+                want.add((min(out)[2], i))
+    frame = spark.createDataFrame(spans, "id string, file_path string, line_start int, line_end int")
+    assert sorted(tuple(r) for r in G.nesting(frame).collect()) == sorted(want)
+    assert G.nesting(frame.limit(0)).count() == 0
