@@ -3,34 +3,77 @@
 from __future__ import annotations
 
 import difflib
+import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import text as T
+from cairn.functions.arrow import slices
 from cairn.operators.matching import containing
 from cairn.session import materialise
 
 
+#: Characters of text on each side of a name in its snippet, and products of names and source beyond which an automaton looks for them.
+RADIUS, MANY = 60, 1 << 24
+
+
+def _clean(token: str) -> str:
+    """As `functions.text.clean_backticked`."""
+    bare = token.strip().lstrip("@")
+    cut = re.search(r"[(\[< ]", bare[1:])
+    return (bare[: cut.start() + 1] if cut else bare).strip(".,:;\"'`")
+
+
+def _names(text: str) -> dict[str, tuple[str, str, int]]:
+    """The first (name, kind, offset) of each lower-cased name, in order of kinds."""
+    found: dict[str, tuple[str, str, int]] = {}
+    for kind, pattern in T.CANDIDATES:
+        for m in re.finditer(pattern, text):
+            name = _clean(m[1]) if kind == "backticked" else m[1]
+            if name and name.lower() not in found:
+                found[name.lower()] = (name, kind, m.start(1) + (m[1].find(name) if kind == "backticked" else 0))
+    return found
+
+
+def _supported(words: list[str], source: str) -> set[str]:
+    """Those words that stand anywhere in the source."""
+    if len(words) * len(source) < MANY:
+        return {w for w in words if w in source}
+    automaton = ahocorasick.Automaton()
+    for w in words:
+        automaton.add_word(w, w)
+    automaton.make_automaton()
+    return {w for _, w in automaton.iter(source)}
+
+
 def unknown_names(prose: DataFrame, allowed: DataFrame) -> DataFrame:
     """(doc_id, name, kind, snippet) of names in `prose` (doc_id, text, source, language) that nothing supports.
 
     Names count once a document, whatever their case. They are supported by `allowed` (word, lower case) or
-    by standing in the document's source. Only Java and Python documents are checked.
+    by standing in the document's source. Only Java and Python documents are checked. Null texts have no names, null sources support none.
+    A text is read once: names come with their offsets, from which snippets are cut, and only these rows leave the task.
     """
-    # only short structs leave the row of a text
-    def seen(c: Column) -> Column:
-        at = F.position(c["name"], F.col("text"))
-        start = F.greatest(at - 60, F.lit(1))
-        snippet = F.substring(F.col("text"), start, at + F.length(c["name"]) + 60 - start)
-        return F.struct(F.lower(c["name"]).alias("word"), c["name"].alias("name"), c["kind"].alias("kind"), F.replace(snippet, F.lit("\n"), F.lit(" ")).alias("snippet"))
-
-    checked = prose.where(F.col("language").isin("java", "python")).select("doc_id", "text", F.lower("source").alias("source"), T.candidates(F.col("text")).alias("c"))
-    left = checked.select("doc_id", F.posexplode(F.transform(F.filter("c", lambda c: F.instr(F.col("source"), F.lower(c["name"])) == 0), seen)).alias("pos", "c"))
-    first = left.select("doc_id", "pos", "c.*").groupBy("doc_id", "word").agg(F.min(F.struct("pos", "name", "kind", "snippet")).alias("f"))
-    return first.join(allowed, "word", "left_anti").select("doc_id", "f.name", "f.kind", "f.snippet")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            rows = []
+            for doc, text, source in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "source"))):
+                own = _names(text)
+                known = _supported(list(own), (source or "").lower())
+                for word, (name, kind, at) in own.items():
+                    if word not in known:
+                        rows.append((doc, word, name, kind, text[max(0, at - RADIUS) : at + len(name) + RADIUS].replace("\n", " ")))
+            columns = zip(*rows) if rows else ((),) * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [part.schema.field("doc_id").type, *[pa.string()] * 4])], ["doc_id", "word", "name", "kind", "snippet"])
+
+    checked = prose.where(F.col("language").isin("java", "python") & F.col("text").isNotNull()).select("doc_id", "text", "source")
+    left = checked.mapInArrow(run, f"doc_id {checked.schema['doc_id'].dataType.simpleString()}, word string, name string, kind string, snippet string")
+    return left.join(allowed, "word", "left_anti").select("doc_id", "name", "kind", "snippet")
 
 
 def unknown_words(prose: DataFrame, allowed: DataFrame, pattern: str) -> DataFrame:

@@ -18,7 +18,7 @@ from cairn.operators import vector_index as V
 from cairn.operators.upsert import last_writes
 from cairn.plans import adapters as A
 from cairn.plans.catalog import query
-from cairn.session import materialise, scratch, table
+from cairn.session import materialise, scratch, spread, table
 from cairn.streaming import live
 
 
@@ -522,7 +522,7 @@ e AS (SELECT id AS s, 'UnresolvedCall:' || callee AS t, 'calls' AS r, 0.5::DOUBL
 SELECT id AS source_id, type AS kind, name AS target, line_start, line_end, NULL::DOUBLE AS confidence FROM nd UNION ALL SELECT s, r, t, NULL, NULL, w FROM e""")
 def j7_structure(spark, sf):
     """All nodes and edges of all texts, in which every line stands within a definition of its own words."""
-    nodes, edges = X.extract(structured(A.files(spark, sf)))
+    nodes, edges = X.extract(structured(spread(A.files(spark, sf))))
     none = F.lit(None)
     own = nodes.select(F.col("id").alias("source_id"), F.col("type").alias("kind"), F.col("name").alias("target"), "line_start", "line_end", none.cast("double").alias("confidence"))
     return own.unionByName(edges.select("source_id", F.col("relation").alias("kind"), F.col("target_id").alias("target"), none.cast("int").alias("line_start"), none.cast("int").alias("line_end"), "confidence"))

@@ -11,7 +11,7 @@ from cairn.operators import hierarchy as H
 from cairn.operators import upsert as U
 from cairn.plans import adapters as A
 from cairn.plans.catalog import query
-from cairn.session import materialise, table
+from cairn.session import materialise, spread, table
 
 #: Chunks of files of 1500 characters with an overlap of 200, as a recursive walk over starts.
 WALK = """RECURSIVE t AS (SELECT path, replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS c FROM files WHERE trim(content) <> ''),
@@ -108,19 +108,20 @@ def _named(text):
 
 
 @query("""WITH t AS (SELECT doc_id, doc_id % 3 AS k, regexp_replace(regexp_replace(replace(text, '`', ' '), '([a-z]+) ([a-z]+)[.]', 'Aa\\1Bb\\2 \\1_\\2.', 'g'), '([a-z]+), ([a-z]+)', '`\\1`, \\1.\\2', 'g') AS t FROM documents),
-w AS (SELECT doc_id, t, unnest(string_split_regex(regexp_replace(t, '[^a-zA-Z0-9_\\x{80}-\\x{10FFFF}]', ' ', 'g'), ' +')) AS w FROM t WHERE k < 2),
-n AS (SELECT doc_id, w AS name, CASE WHEN regexp_full_match(w, '[A-Z][a-z]+([A-Z][a-z]+)+') THEN 'camelcase' WHEN regexp_full_match(w, '[a-z][a-z0-9]*(_[a-z0-9]+)+') THEN 'snake_case' WHEN regexp_full_match(w, '[A-Z][A-Z0-9]{2,}(_[A-Z0-9]+)*') THEN 'all_caps' END AS kind FROM w
-  UNION ALL SELECT doc_id, unnest(regexp_extract_all(t, '`([^`]+)`', 1)), 'backticked' FROM t WHERE k < 2),
-o AS (SELECT doc_id, lower(name) AS word, min(CASE kind WHEN 'camelcase' THEN 1 WHEN 'snake_case' THEN 2 WHEN 'all_caps' THEN 3 ELSE 5 END) AS k FROM n WHERE kind IS NOT NULL GROUP BY 1, 2),
+s AS (SELECT doc_id, t, regexp_replace(t, '[^a-zA-Z0-9_\\x{80}-\\x{10FFFF}]', ' ', 'g') AS s FROM t WHERE k < 2), w AS (SELECT DISTINCT doc_id, t, s, unnest(string_split_regex(s, ' +')) AS w FROM s),
+n AS (SELECT doc_id, t, w AS name, CASE WHEN regexp_full_match(w, '[A-Z][a-z]+([A-Z][a-z]+)+') THEN 1 WHEN regexp_full_match(w, '[a-z][a-z0-9]*(_[a-z0-9]+)+') THEN 2 WHEN regexp_full_match(w, '[A-Z][A-Z0-9]{2,}(_[A-Z0-9]+)*') THEN 3 END AS k, strpos(' ' || s || ' ', ' ' || w || ' ') AS pos FROM w
+  UNION ALL SELECT doc_id, t, name, 5, strpos(t, '`' || name || '`') + 1 FROM (SELECT doc_id, t, unnest(list_distinct(regexp_extract_all(t, '`([^`]+)`', 1))) AS name FROM s)),
+o AS (SELECT doc_id, lower(name) AS word, arg_min({'name': name, 'k': k, 'pos': pos, 't': t}, (k, pos)) AS f FROM n WHERE k IS NOT NULL GROUP BY 1, 2),
 a AS (SELECT DISTINCT lower(unnest(string_split_regex(text, '[^a-zA-Z]+'))) AS word FROM benchmark)
-SELECT o.doc_id, word, CASE o.k WHEN 1 THEN 'camelcase' WHEN 2 THEN 'snake_case' WHEN 3 THEN 'all_caps' ELSE 'backticked' END AS kind
+SELECT o.doc_id, f.name AS name, CASE f.k WHEN 1 THEN 'camelcase' WHEN 2 THEN 'snake_case' WHEN 3 THEN 'all_caps' ELSE 'backticked' END AS kind,
+  replace(substring(f.t, greatest(f.pos - 60, 1), f.pos + length(f.name) + 60 - greatest(f.pos - 60, 1)), chr(10), ' ') AS snippet
 FROM o JOIN documents d ON o.doc_id = d.doc_id WHERE word NOT IN (SELECT word FROM a) AND NOT contains(lower(left(d.text, 200)), word)""")
 def j9_unknown_names(spark, sf):
     """Names of four kinds in two of three texts' languages, supported by the benchmark's words or their text's own beginning."""
     allowed = table(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).distinct()
     language = F.element_at(F.array(*map(F.lit, ("java", "python", "go"))), (F.col("doc_id") % 3 + 1).cast("int"))
-    prose = table(spark, sf, "documents").select("doc_id", _named(F.replace("text", F.lit("`"), F.lit(" "))).alias("text"), F.left("text", F.lit(200)).alias("source"), language.alias("language"))
-    return GR.unknown_names(prose, allowed).where("kind <> 'dotted'").select("doc_id", F.lower("name").alias("word"), "kind")
+    prose = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", _named(F.replace("text", F.lit("`"), F.lit(" "))).alias("text"), F.left("text", F.lit(200)).alias("source"), language.alias("language"))
+    return GR.unknown_names(prose, allowed).where("kind <> 'dotted'")
 
 
 @query("""WITH w AS (SELECT DISTINCT doc_id, unnest(string_split_regex(text, '[^a-zA-Z0-9_\\x{80}-\\x{10FFFF}]+')) AS name FROM documents),
@@ -196,7 +197,7 @@ def c14_mentions(spark, sf):
     """Labels of one, two and five words, and whole texts, wherever they stand."""
     n = F.element_at(F.array(*map(F.lit, (1, 2, 5, 1000))), (F.col("item_id") % 4 + 1).cast("int"))
     labels = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.array_join(F.slice(F.split("text", " "), F.lit(1), n), " ").alias("label"))
-    return GR.mentions(table(spark, sf, "documents").select("doc_id", "text"), labels)
+    return GR.mentions(spread(table(spark, sf, "documents").select("doc_id", "text")), labels)
 
 
 @query("""WITH l AS (SELECT DISTINCT lower(regexp_extract(text, '^[a-zA-Z]+')) AS label FROM benchmark), w AS (SELECT DISTINCT unnest(string_split_regex(lower(html), '[^a-z]+')) AS word FROM pages)

@@ -280,3 +280,18 @@ def test_nesting_of_crossing_spans(spark):
     frame = spark.createDataFrame(spans, "id string, file_path string, line_start int, line_end int")
     assert sorted(tuple(r) for r in G.nesting(frame).collect()) == sorted(want)
     assert G.nesting(frame.limit(0)).count() == 0
+
+
+def test_names_of_long_texts(spark, monkeypatch):
+    import time
+
+    many = " ".join(f"name_{i}" for i in range(60_000))
+    prose = spark.createDataFrame([(1, many, many[: 5000], "java"), (2, "`@Get(x)` is Foo_x, FooBar and `a b`; fooBAR\nFooBar", None, "python"), (3, "FooBar", "xfoobarx", "java")], "doc_id int, text string, source string, language string")
+    allowed = spark.createDataFrame([("foo_x",)], "word string")
+    began = time.time()
+    got = GR.unknown_names(prose, allowed).collect()
+    assert time.time() - began < 60
+    assert {(r.name, r.kind) for r in got if r.doc_id == 2} == {("FooBar", "camelcase"), ("Get", "backticked"), ("a", "backticked")} and not [r for r in got if r.doc_id == 3]
+    assert next(r.snippet for r in got if r.name == "Get") == "`@Get(x)` is Foo_x, FooBar and `a b`; fooBAR FooBar"[:65]
+    one = {r.name for r in got if r.doc_id == 1}
+    assert one == {f"name_{i}" for i in range(60_000) if f"name_{i}" not in many[:5000]}
