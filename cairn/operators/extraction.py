@@ -144,7 +144,9 @@ def extract(files: DataFrame, patterns: DataFrame | None = None) -> tuple[DataFr
     begins; it holds what lies within, and is the source of the calls there. Patterns are built-in expressions on lines; these stay in the order
     of their file, so that one sweep with a stack finds extents, nesting and the owners of calls without a shuffle. Rows that share a path are files of their own.
     """
-    table = [tuple(r) for r in patterns.select("language", "what", "pattern").collect()] if patterns is not None else list(PATTERNS)
+    table = list(PATTERNS)
+    if patterns is not None:
+        table = [tuple(r) for r in patterns.select("language", "what", "pattern").collect()]  # bounded: a settings table
     lines = files.select("path", T.language(F.col("path")).alias("language"), F.split("content", "\r?\n").alias("lines"))
     last = F.array_max(F.transform("lines", lambda x, i: F.when(F.trim(x) != "", i + 1)))
     # by itself, or each line would carry all lines of its file

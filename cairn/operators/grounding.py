@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +13,7 @@ from pyspark.sql import functions as F
 from cairn.functions import text as T
 from cairn.functions.arrow import slices
 from cairn.operators.matching import containing
+from cairn.operators.similarity import similar
 from cairn.session import materialise
 
 
@@ -142,38 +141,13 @@ def mentions(prose: DataFrame, labels: DataFrame, least: int = 3) -> DataFrame:
 
 
 def similar_mentions(words: DataFrame, labels: DataFrame, threshold: float = 0.75, native: bool = False) -> DataFrame:
-    """(word, id, ratio) of words that resemble a label.
+    """(word, id, ratio) of words that resemble a label (id, label), both of three letters or more.
 
-    The ratio is that of matching blocks, or with `native` 1 - levenshtein / longer. Either way a pair above the threshold is few
-    insertions and deletions apart, and 2 * min / (la + lb) bounds the lengths. A label is cut into one more piece than these, so that one
-    piece stands in the word whole, shifted by no more than their number: words meet labels in an equi-join on (length, piece, its text), for
-    each place where it may stand. Where that many pieces would be empty the length alone is the key.
+    The ratio is that of matching blocks, or with `native` 1 - levenshtein / longer. Null words and labels resemble nothing.
     """
-    w = words.select("word").distinct().withColumn("n", F.length("word")).where("n >= 3")
-    low, high = F.ceil(F.col("n") * threshold / (2 - threshold) - 1e-9).cast("int"), F.floor(F.col("n") * (2 - threshold) / threshold + 1e-9).cast("int")
-    lab = labels.select("id", F.lower("label").alias("label")).where(F.length("label") >= 3).withColumn("m", F.length("label"))
-    # edits between texts of lengths n and m: substitutions count as one for levenshtein, and for blocks as two
-    longest = F.col("m") * (2 - threshold) / threshold
-    edits = F.floor((1 - threshold) * F.greatest(longest, F.col("m")) + 1e-9) if native else F.floor((1 - threshold) * (longest + F.col("m")) + 1e-9)
-    pieces = F.when(edits < F.col("m"), edits.cast("int") + 1).otherwise(1)
-    whole = edits >= F.col("m")
-    begin = lambda k: F.floor(F.col("m") * k / F.col("pieces")).cast("int")
-    cut = lambda df: df.withColumn("edits", edits.cast("int")).withColumn("whole", whole).withColumn("pieces", pieces).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumns({"a": begin(F.col("k")), "b": begin(F.col("k") + 1)})
-    keyed = cut(lab).select("id", "label", "m", "k", F.when(F.col("whole"), "").otherwise(F.substring("label", F.col("a") + 1, F.col("b") - F.col("a"))).alias("piece"))
-    places = F.array_distinct(F.transform(F.sequence(F.greatest(F.col("a") - F.col("edits"), F.lit(0)), F.greatest(F.least(F.col("a") + F.col("edits"), F.col("n")), F.lit(0))), lambda at: F.substring("word", at + 1, F.col("b") - F.col("a"))))
-    met = cut(w.withColumn("m", F.explode(F.sequence(low, high)))).select("word", "n", "m", "k", F.explode(F.when(F.col("whole"), F.array(F.lit(""))).otherwise(places)).alias("piece"))
-    pairs = met.join(keyed, ["m", "k", "piece"]).select("word", "n", "id", "label", "m").distinct()
-    if native:
-        scored = pairs.withColumn("ratio", 1 - F.levenshtein("word", "label") / F.greatest("n", "m"))
-    else:
-
-        @F.pandas_udf("double")
-        def ratio(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-            for a, b in parts:
-                yield pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype=float)
-
-        scored = pairs.withColumn("ratio", ratio("word", "label"))
-    return scored.where(F.col("ratio") >= threshold).select("word", "id", "ratio")
+    spoken = words.select("word").where(F.length("word") >= 3).distinct()
+    known = labels.where(F.length("label") >= 3).select("id", F.lower("label").alias("label")).distinct()
+    return similar(spoken, known, threshold, native)
 
 
 def find_entities(prose: DataFrame, labels: DataFrame, threshold: float = 0.75, enough: int = 3, native: bool = False) -> DataFrame:

@@ -50,7 +50,8 @@ def automata(labels: DataFrame) -> list[str]:
 
     blocks = labels.select("n", "label").repartition(-(-total // BLOCK_CHARS) or 1, "label")
     # only files that a finished task names count
-    return sorted(r.uri for r in materialise(blocks.mapInArrow(build, "uri string"), "automata-names").collect())
+    names = materialise(blocks.mapInArrow(build, "uri string"), "automata-names")
+    return sorted(r.uri for r in names.collect())  # bounded: one for BLOCK_CHARS of labels
 
 
 def containing(texts: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:

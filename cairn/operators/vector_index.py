@@ -172,7 +172,7 @@ def _pass(queries: DataFrame, index: VectorIndex, k: int, pivots: np.ndarray, si
 
 def search(queries: DataFrame, index: VectorIndex, k: int) -> tuple[DataFrame, DataFrame]:
     """(query_id, id, score, rank), as `retrieval.cosine_top_k` gives them, and (scored, pairs): one row with the products computed, of all there are."""
-    cells = index.cells.orderBy("cell").collect()  # a row a pivot
+    cells = index.cells.orderBy("cell").collect()  # bounded: a row a pivot
     pivots = np.array([c.pivot for c in cells]).reshape(len(cells), len(cells[0].pivot) if cells else 0)
     size = np.array([c.n or 0 for c in cells], np.int64)
     asked = materialise(queries.select("query_id", "embedding").where("embedding is not null"), "asked")

@@ -106,7 +106,9 @@ def test_library_does_not_pull_tables_to_the_driver():
     root = pathlib.Path(G.__file__).parents[1]
     for part in ("operators", "sources", "functions", "streaming", "plans"):
         for f in (root / part).glob("*.py"):
-            assert ".collect()" not in f.read_text() and "toPandas" not in f.read_text(), f
+            for line in f.read_text().splitlines():
+                # what comes to the driver says what bounds it
+                assert "toPandas" not in line and (".collect()" not in line or "# bounded" in line), (f, line)
 
 
 def test_provenance(spark):

@@ -295,3 +295,40 @@ def test_names_of_long_texts(spark, monkeypatch):
     assert next(r.snippet for r in got if r.name == "Get") == "`@Get(x)` is Foo_x, FooBar and `a b`; fooBAR FooBar"[:65]
     one = {r.name for r in got if r.doc_id == 1}
     assert one == {f"name_{i}" for i in range(60_000) if f"name_{i}" not in many[:5000]}
+
+
+def test_matching_blocks_equal_the_plain_ratio():
+    import difflib
+    import random
+
+    from cairn.operators import similarity as S
+
+    rng = random.Random(8)
+    word = lambda n, abc: "".join(rng.choices(abc, k=n))
+    pairs = [(word(rng.randint(0, 14), abc), word(rng.randint(0, 14), abc)) for abc in ("ab", "abcdé😀", "abcdefghij") for _ in range(400)]
+    for _ in range(60):  # labels of 200 letters and more have popular ones
+        x = word(rng.randint(150, 420), rng.choice(["abc", "abcdefghijklmnopqrstuvwxyz0123456789" * 4 + "é"]) + "".join(chr(c) for c in range(300, 500)))
+        y = list(x)
+        for _ in range(rng.randint(0, 120)):
+            y[rng.randrange(len(y))] = rng.choice("abcz")
+        pairs.append((x, "".join(y)[rng.randint(0, 30) :]))
+    got = S.matched([a for a, _ in pairs], [b for _, b in pairs]).tolist()
+    assert got == [sum(m.size for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks()) for a, b in pairs]
+
+
+def test_similar_words_of_ten_thousand_letters(spark):
+    import random
+    import time
+
+    rng = random.Random(1)
+    long = ["".join(rng.choices("abcdefghijklmnop", k=10_000)) for _ in range(3)]
+    other = long[0][:4000] + "zz" + long[0][4100:]
+    words = spark.createDataFrame([(w,) for w in [*long, "cart", "carts", None, "ab"]], "word string")
+    short = spark.createDataFrame([(1, "cart"), (2, None), (3, "xy")], "id int, label string")
+    GR.similar_mentions(words.limit(0), short).collect()
+    began = time.time()
+    assert {(r.word, r.id) for r in GR.similar_mentions(words, short).collect()} == {("cart", 1), ("carts", 1)}
+    assert time.time() - began < 20
+    labels = short.union(spark.createDataFrame([(4, other)], "id int, label string"))
+    got = GR.similar_mentions(words, labels, native=True).where("id = 4").collect()
+    assert [r.word for r in got] == [long[0]]
