@@ -33,6 +33,8 @@ from cairn.llm.texts import alnum, alnum_words, slices
 from cairn.session import materialise, scratch
 
 SHARD_WORDS = 1 << 20
+#: Rows and bytes that a task holds at most besides, before it gives them on.
+SHARD_ROWS, SHARD_BYTES = 1 << 16, 32 << 20
 #: Every so many positions of a shard are kept with their suffixes.
 SAMPLED = 8
 #: (phrase, item) pairs in a file of phrases at most, and bytes of a word in it.
@@ -289,8 +291,10 @@ def _search(batches: Iterator[pa.RecordBatch], uris: list[str], size: int, shard
         columns = [pa.array(counts, pa.int64()), pa.array(hit, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.int64()))]
         return pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "n_words", "n_hit", "spans", "items"])
 
+    total = held = 0
     for part in slices(batches, "text"):
         rows.append(part)
+        held += part.nbytes
         for text in part.column("text").to_pylist():
             words = short(alnum_words(text), longest)
             for base in range(0, len(words), shard_words):
@@ -298,9 +302,11 @@ def _search(batches: Iterator[pa.RecordBatch], uris: list[str], size: int, shard
                 if shard.size >= shard_words and len(words) > shard_words:
                     search()
             counts.append(len(words))
-        if sum(counts) >= shard_words:
+            total += len(words)
+        # texts without words count by their rows and bytes
+        if total >= shard_words or len(counts) >= SHARD_ROWS or held >= SHARD_BYTES:
             yield done()
-            rows, counts, hits = [], [], []
+            rows, counts, hits, total, held = [], [], [], 0, 0
     if rows:
         yield done()
 

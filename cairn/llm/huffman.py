@@ -226,7 +226,9 @@ def write_ids(docs: DataFrame, tokenizer: str, end: int, folder: str, limit: int
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([made[0]]), pa.array([made[1]], pa.int64())], ["file", "uri", "n_ids"])
 
     parts = max(1, -(-int(counts.sum()) // file_ids))
-    ordered = coded.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
+    # rows of one doc_id, or without any, are told apart by where they stand, so that they can be dealt over files
+    keyed = coded.withColumn("row", F.monotonically_increasing_id())
+    ordered = keyed.repartitionByRange(parts, "doc_id", "row").sortWithinPartitions("doc_id", "row")
     made = materialise(ordered.select("doc_id", "ids").mapInArrow(run, "file long, uri string, n_ids long"), "ids-manifest")
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     return made.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))

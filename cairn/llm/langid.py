@@ -58,6 +58,10 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return (code >> np.uint32(17)).astype(np.int64), starts, owner
 
 
+#: Languages at most, some 270 MB of model.
+LANGUAGES = 2048
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, code, n) over a task's rows: at most BUCKETS rows a language."""
     seen: dict[str, np.ndarray] = {}
@@ -78,6 +82,9 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
     All rows count, each language adds at most 2**15 sums; the model takes 128 KB a language.
     """
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
+    # refused before any count is made: the model would take 128 KB for each
+    if (n := rows.select("lang").distinct().count()) > LANGUAGES:
+        raise ValueError(f"{n} languages to learn, more than {LANGUAGES}: clean the column of labels first")
     sums = rows.mapInArrow(_counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(sums.lang.unique())
     n = np.zeros((BUCKETS, len(langs)))

@@ -19,10 +19,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm import locators
 from cairn.llm.simhash import components, majority, shingle_hashes
 from cairn.llm.texts import slices, space_words
 from cairn.operators.components import connected_components
-from cairn.session import materialise, small
+from cairn.session import materialise
 
 SEED = 42
 #: Least Jaccard similarity of a link, as a fraction.
@@ -61,8 +62,11 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return common * under >= over * (len(a) + len(b) - common)
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(doc_id, c, fp, bands, text) per row; c names the class of equal sets, fp is a fingerprint of the text."""
+def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, keep: tuple) -> DataFrame:
+    """(doc_id, c, fp, bands, text, keep_...) per row; c names the class of equal sets, fp is a fingerprint of the text."""
+    kept = [F.col(c).alias(f"keep_{c}") for c in keep]
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *kept)
+    more = [f for f in source.schema if f.name.startswith("keep_")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -70,10 +74,11 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
             prints, sets = pa.array(map(majority, hashes), pa.int64()), list(map(np.unique, hashes))
             names = [xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in sets]
             keys = pa.array([bands(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.int64()), prints, keys, part.column("text")], ["doc_id", "c", "fp", "bands", "text"])
+            columns = [part.column("doc_id"), pa.array(names, pa.int64()), prints, keys, part.column("text"), *[part.column(f.name) for f in more]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "c", "fp", "bands", "text", *[f.name for f in more]])
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "doc_id long, c long, fp long, bands array<long>, text string")
+    kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in more)
+    return source.mapInArrow(run, f"doc_id long, c long, fp long, bands array<long>, text string{kinds}")
 
 
 def _compare(rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -125,8 +130,8 @@ def _compare(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return full.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "u long, v long")
 
 
-def links(classes: DataFrame, texts: DataFrame, size: int = 5, block: int = BLOCK) -> DataFrame:
-    """Links (u, v) between classes (c, bands) that keep all components; `texts` (c, text) holds a text or more of each.
+def links(classes: DataFrame, rows: DataFrame, size: int = 5, block: int = BLOCK) -> DataFrame:
+    """Links (u, v) between classes (c, bands, row) that keep all components; `rows` (row, c, text) has the numbered row of each.
 
     First each block of a bucket is compared, with the bucket's smallest class in every block, so that what is like it
     is joined by rows in proportion to the bucket. Only buckets of several blocks that aren't joined then have their blocks
@@ -134,13 +139,13 @@ def links(classes: DataFrame, texts: DataFrame, size: int = 5, block: int = BLOC
     """
     index = classes.select("c", F.explode("bands").alias("key"))
     shared = materialise(index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "copies-shared")
-    every = materialise(index.join(small(shared), "key"), "copies-buckets")
+    every = materialise(index.join(shared, "key"), "copies-buckets")
     sizes = every.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("c")).alias("x"), F.min("c").alias("least"), F.max("c").alias("most"))
     # one key for each set of members
     kept = materialise(sizes.groupBy("n", "x", "least", "most").agg(F.min("key").alias("key")), "copies-kept")
     parts = F.ceil(F.col("n") / block).cast("int")
     members = materialise(
-        every.join(small(kept.select("key", "n", "least")), "key").select("key", "c", "least", parts.alias("parts"))
+        every.join(kept.select("key", "n", "least"), "key").select("key", "c", "least", parts.alias("parts"))
         .withColumn("own", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")), "copies-members",
     )
 
@@ -149,10 +154,9 @@ def links(classes: DataFrame, texts: DataFrame, size: int = 5, block: int = BLOC
             raw = [shingle_set(t, size).tobytes() for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("c"), pa.array(raw, pa.binary())], ["c", "hashes"])
 
-    wanted = small(materialise(members.select("c").distinct(), "copies-wanted"))
-    # a text of each class is chosen before the shuffle, so that many copies aren't sent to one task; Spark moves the join below if it is a broadcast
-    once = texts.groupBy("c").agg(F.min("text").alias("text")).join(wanted, "c", "left_semi")
-    sets = materialise(once.mapInArrow(hashed, "c long, hashes binary"), "copies-sets")
+    # the texts stay where they are: a task makes the sets of those of its rows that are listed
+    wanted = locators.write(classes.join(members.select("c").distinct(), "c").select("row"), "copies-wanted")
+    sets = materialise(locators.pick(rows.select("row", "c", "text"), wanted).select("c", "text").mapInArrow(hashed, "c long, hashes binary"), "copies-sets")
     stars = members.select("key", F.col("own").alias("a"), F.col("own").alias("b"), "own", "c", F.col("c").alias("label"))
     hubs = kept.where(F.col("n") > block).select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("a"), F.col("least").alias("c"))
     hubs = hubs.select("key", "a", F.col("a").alias("b"), F.col("a").alias("own"), "c", F.col("c").alias("label"))
@@ -168,20 +172,39 @@ def links(classes: DataFrame, texts: DataFrame, size: int = 5, block: int = BLOC
     return first.unionByName(materialise(_compare(blocks, sets), "copies-links"))
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, block: int = BLOCK) -> DataFrame:
-    """(doc_id, component_id) per row; component_id is the smallest doc_id reachable over links."""
-    rows = materialise(_sets(docs, id_col, text_col, size), "copies-rows")
-    # rows of one class have the same bands
-    found = materialise(rows.groupBy("c").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "copies-sets-of-rows")
+def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, block: int, keep: tuple = ()) -> tuple[DataFrame, DataFrame]:
+    """The rows, numbered and written down with their class c, and (c, component_id)."""
+    rows = materialise(locators.with_rows(_sets(docs, id_col, text_col, size, keep)), "copies-rows")
+    # rows of one class have the same bands; one of them stands for all
+    found = materialise(rows.groupBy("c").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.min("row").alias("row")), "copies-sets-of-rows")
     named = materialise(components(found.select("fp").distinct()), "copies-simhash")
     # a group of fingerprints is a bucket as a band is
     key = F.xxhash64(F.lit("simhash"), F.coalesce("component", "fp"))
     classes = found.join(named, "fp", "left").withColumn("bands", F.when(F.size("bands") > 0, F.concat("bands", F.array(key))).otherwise(F.col("bands")))
-    classes = materialise(classes.select("c", "least", "bands"), "copies-classes")
-    edges = materialise(links(classes, rows.select("c", "text"), size, block), "copies-edges")
+    classes = materialise(classes.select("c", "least", "bands", "row"), "copies-classes")
+    edges = materialise(links(classes, rows, size, block), "copies-edges")
     labels = connected_components(edges).withColumnRenamed("id", "c")
     whole = materialise(classes.select("c", "least").join(labels, "c", "left").withColumn("component", F.coalesce("component", "c")), "copies-whole")
     least = whole.groupBy("component").agg(F.min("least").alias("component_id"))
-    # written down, so that a class of many rows can be split in the join below
-    named = materialise(whole.join(least, "component").select("c", "component_id"), "copies-named")
+    # written down, so that a class of many rows can be split in a join
+    return rows, materialise(whole.join(least, "component").select("c", "component_id"), "copies-named")
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, block: int = BLOCK) -> DataFrame:
+    """(doc_id, component_id) per row; component_id is the smallest doc_id reachable over links."""
+    rows, named = _classes(docs, id_col, text_col, size, block)
     return rows.select("doc_id", "c").join(named, "c").select("doc_id", "component_id")
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, block: int = BLOCK, keep: tuple = ()) -> DataFrame:
+    """(doc_id, text, *keep) of the rows whose document has the smallest doc_id of its group; rows without an id stay.
+
+    Rows to leave out are listed by number, so that no text is shuffled, however many there are.
+    """
+    rows, named = _classes(docs, id_col, text_col, size, block, keep)
+    own = rows.where("doc_id is not null").select("row", "doc_id", "c").join(named, "c").select("row", "doc_id", "component_id")
+    own = materialise(own, "copies-rows-of-groups")
+    copies = materialise(own.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("copy")).where("copy").select("doc_id"), "copies")
+    gone = locators.write(own.join(copies, "doc_id").select("row"), "copies-gone")
+    kept = locators.pick(rows.drop("c", "fp", "bands"), gone, listed=False)
+    return kept.select("doc_id", "text", *[F.col(f"keep_{c}").alias(c) for c in keep])

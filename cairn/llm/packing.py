@@ -57,6 +57,10 @@ def running_total(rows: DataFrame, order: list[str], value: str, parts: int) ->
     return summed.join(F.broadcast(bases), "number").select(*rows.columns, (F.col("base") + F.col("within")).alias("before"))
 
 
+#: Queues at most; further sources share some.
+QUEUES = 4096
+
+
 def rounds(coded: DataFrame, length: int, shares: dict[str, float] | None = None) -> DataFrame:
     """(part, row, n, queue, round, upto): the round of each document and its queue's ids up to its end.
 
@@ -190,9 +194,30 @@ def credits(coded: DataFrame, length: int, shares: dict[str, float] | None = Non
     return materialise(bases.select("queue", "part", "base", "number"), "packing-bases"), Credits(held, weights, length)
 
 
+def bounded_queues(docs: DataFrame, column: str, shares: dict[str, float] | None, most: int) -> DataFrame:
+    """`docs` with `column` of at most `most` values: sources with a share of their own and the largest of the others stay, the rest share queues by hash.
+
+    Queues without a given share weigh what they hold, so that sources in one queue are sent in the same proportions together.
+    """
+    name = F.col(column).cast("string")
+    sizes = materialise(docs.groupBy(name.alias("source")).agg(F.count("*").alias("n")), "packing-sources")
+    if sizes.count() <= most:
+        return docs
+    given = sorted(shares or {})
+    own = sizes.where(F.col("source").isNotNull() & ~F.col("source").isin(given)).orderBy(F.desc("n"), "source").limit(most // 2).select("source")
+    own = own.select(F.col("source").alias("_name"), F.lit(True).alias("_own"))
+    group = F.concat(F.lit("\x00"), F.pmod(F.xxhash64(name), F.lit(most // 2)).cast("string"))
+    kept = docs.join(F.broadcast(own), name == F.col("_name"), "left")  # most // 2 names
+    named = F.when(F.col("_own") | F.col(column).isNull() | F.col(column).cast("string").isin(given), F.col(column).cast("string")).otherwise(group)
+    return kept.withColumn(column, named).drop("_own", "_name")
+
+
 def pack(docs: DataFrame, tokenizer: str, end: int, length: int = 2048, shares: dict[str, float] | None = None, with_ids: bool = True, by_window: bool = False, **columns: str) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids) per piece."""
     spark = docs.sparkSession
+    if queue := columns.get("queue_col"):
+        docs = docs.select(*{columns.get("id_col", "doc_id"), columns.get("text_col", "text"), queue})
+        docs = bounded_queues(docs, queue, shares, QUEUES)
     coded = materialise(tokens.tokenize(docs, tokenizer, end, **columns), "packing-ids")
     size = coded.agg(F.count("*").alias("rows"), F.sum("n").alias("ids")).first()
     total = size.ids or 0

@@ -108,3 +108,27 @@ def test_empty_tables(spark):
     assert dc.find(docs, tests).count() == 0
     (row,) = dc.find(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), tests).collect()
     assert (row.n_words, row.n_hit, row["items"]) == (2, 0, [])
+
+
+def test_texts_without_words_leave_the_task(monkeypatch):
+    import pyarrow as pa
+
+    from cairn.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "SHARD_ROWS", 10)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": ["... !!"] * 40})
+    given = []
+
+    def batches():
+        for i in range(40):
+            given.append(i)
+            yield batch.slice(i, 1)
+
+    seen, rows = [], 0
+    for out in decontaminate._search(batches(), [], 10, 1 << 20, 64):
+        seen.append(len(given))
+        rows += out.num_rows
+    assert rows == 40 and seen[0] <= 11
+    monkeypatch.setattr(decontaminate, "SHARD_ROWS", 1 << 16)
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 100)
+    assert len(list(decontaminate._search(batches(), [], 10, 1 << 20, 64))) > 5

@@ -115,3 +115,12 @@ def test_held_out_accuracy_on_the_table(spark):
     truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
     rows = found.join(truth, "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
     assert len(rows) > 150 and sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.95
+
+
+def test_too_many_labels_are_refused(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    docs = spark.range(10_000).select(F.lit("some words").alias("text"), F.concat(F.lit("x"), F.col("id").cast("string")).alias("lang"))
+    with pytest.raises(ValueError, match="10000 languages"):
+        langid.train(docs)

@@ -64,3 +64,16 @@ def test_pipeline_drops_copies_that_many_bits_tell_apart(spark):
     kept = sorted(r.doc_id for r in pipeline.drop_near_copies(spark, docs, None).collect())
     # 96 + 20 shingles against 96: 0.83; 96 + 40: 0.71, but 0.7 or less against the one of 20 more
     assert kept == [*range(30), *range(100, 130)]
+
+
+def test_kept_rows_are_those_of_the_groups(spark):
+    rows = texts()
+    docs = spark.createDataFrame([(*r, f"k{i}", 7) for i, r in enumerate(rows)], "doc_id long, text string, row string, c int").repartition(5)
+    kept = nearcopies.without_copies(docs, keep=("row", "c")).collect()
+    least = {}
+    for d, g in brute(rows):
+        least.setdefault(d, []).append(g)
+    want = sorted((d, t, f"k{i}", 7) for i, (d, t) in enumerate(rows) if d is not None and d in least[d])
+    assert sorted(tuple(r) for r in kept if r.doc_id is not None) == want
+    assert sorted(r.row for r in kept if r.doc_id is None) == sorted(f"k{i}" for i, (d, _) in enumerate(rows) if d is None)
+    assert nearcopies.without_copies(docs.limit(0), keep=("row",)).count() == 0

@@ -121,3 +121,18 @@ def test_every_prefix_keeps_the_mixture(spark):
     head = sorted(even, key=lambda r: (r.sequence_id, r.offset))[:60]
     small = sum(r.length for r in head if by[r.doc_id] == "small") / sum(r.length for r in head)
     assert 0.4 < small < 0.6
+
+
+def test_one_document_in_many_rows_is_dealt_over_files(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from cairn.llm import huffman
+
+    docs = spark.range(4000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).cast("long").alias("doc_id"), F.lit("some words of a text ").alias("text")).repartition(4)
+    made = huffman.write_ids(docs, "word_bpe_49k.json", 2, f"file://{tmp_path}/ids", file_ids=2000)
+    sizes = [r.n_ids for r in made.collect()]
+    assert len(sizes) > 5 and max(sizes) < 0.5 * sum(sizes)
+    back = huffman.read_ids(made, with_ids=False).collect()
+    assert len(back) == 4000
+    starts = sorted((r.start, r.n_tokens, r.doc_id) for r in back)
+    assert all(a[0] + a[1] == b[0] for a, b in zip(starts, starts[1:])) and [r[2] for r in starts] == [None] * 2000 + [7] * 2000

@@ -94,3 +94,24 @@ def test_named_shares_are_parts_of_a_window(spark):
     table, length = rows(), 256
     windows = counts(packed(spark, table, length, shares={"hot": 0.25}), table, length)
     assert all(abs(w["hot"] - length / 4) <= 6 for w in windows[: len(windows) // 3])
+
+
+def test_a_hundred_thousand_sources(spark, monkeypatch):
+    """Sources beyond the number of queues share some; all ids are packed once, and a share that is given holds."""
+    from pyspark.sql import functions as F
+
+    from cairn.llm import packing
+
+    monkeypatch.setattr(packing, "QUEUES", 64)
+    many = spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit("a few words").alias("text"), F.concat(F.lit("host"), F.col("id").cast("string")).alias("source"))
+    hot = spark.range(100_000, 140_000).select(F.col("id").alias("doc_id"), F.lit("a few words").alias("text"), F.lit("src0").alias("source"))
+    docs = many.unionByName(hot).unionByName(spark.createDataFrame([(-1, "a few words", None)], "doc_id long, text string, source string"))
+    bounded = packing.bounded_queues(docs, "source", {"src0": 0.25}, 64)
+    assert bounded.select("source").distinct().count() <= 64 + 2 and bounded.count() == 140_001
+    found = packing.pack(docs, "byte_bpe_50k.json", 1, shares={"src0": 0.25}, with_ids=False, by_window=True, queue_col="source")
+    found = found.join(docs.select("doc_id", "source"), "doc_id")
+    size = docs.count() * 4
+    row = found.agg(F.sum("length").alias("n"), F.count_distinct("doc_id").alias("d")).first()
+    assert row.d == 140_001 and row.n == size
+    share = found.where("sequence_id < 100").groupBy("sequence_id").agg((F.sum(F.when(F.col("source") == "src0", F.col("length")).otherwise(0)) / F.sum("length")).alias("s"))
+    assert all(abs(r.s - 0.25) < 0.02 for r in share.collect())
