@@ -7,7 +7,6 @@ import uuid
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cairn.functions.arrow import filesystem
 
@@ -77,11 +76,6 @@ def block_files(df: DataFrame, rows: int, name: str) -> list[str]:
     return sorted(df.sparkSession.read.schema(df.schema).parquet(path).inputFiles())
 
 
-def small(df: DataFrame, rows: int = 1 << 18) -> DataFrame:
-    """A written table of few columns, to be broadcast where it has no more than `rows` rows (some 100 bytes each); beyond them joins shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once to the shared folder and go on from there.
 

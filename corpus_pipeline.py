@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import decontaminate, langid, linededup, nearcopies, packing
-from cairn.session import materialise, small
+from cairn.session import materialise
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Least share of a document's words in its leading language.
@@ -40,9 +40,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest doc_id of each group linked at similarity 0.8; rows without an id stay."""
-    groups = nearcopies.groups(docs).where("doc_id is not null")
-    copies = groups.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("copy")).where("copy").select("doc_id")
-    return docs.select(*COLUMNS).join(small(materialise(copies, "copies")), "doc_id", "left_anti").select(*COLUMNS)
+    return nearcopies.without_copies(docs, keep=("lang", "source", "n_chars")).select(*COLUMNS)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
