@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.session import materialise
+from cairn.session import materialise, scratch
 
 
 def callers(edges: DataFrame, nodes: DataFrame, relation: str = "calls") -> DataFrame:
@@ -80,24 +80,40 @@ def hubs(edges: DataFrame, nodes: DataFrame, threshold: int, most: int = 100) ->
     return found.orderBy(F.desc("degree"), "id").limit(most)
 
 
-def co_change(touched: DataFrame, least: int = 2, most_files: int | None = None) -> DataFrame:
-    """(file_a, file_b, weight): pairs of files that commits (sha, path) share, in order of the alphabet.
+#: Files of one commit that a block holds; two blocks are paired in one group of a join.
+FILES = 1 << 10
 
-    Pairs grow with the square of a commit's files; `most_files` leaves larger commits out.
+
+def co_change(touched: DataFrame, least: int = 2, most_files: int | None = None, block: int = FILES) -> DataFrame:
+    """(file_a, file_b, weight): pairs of files that at least `least` commits (sha, path) share, in order of the alphabet.
+
+    Files of fewer commits are in no such pair and are left out first. Those left of a commit are dealt into blocks, and each pair of
+    blocks is a group of its own, so that a commit of any size is many groups. Pairs grow with the square of these files;
+    `most_files` leaves larger commits out.
     """
-    rows = touched.select("sha", "path").distinct()
+    rows = touched.select("sha", "path").where("sha is not null and path is not null").distinct()
     if most_files:
         small = rows.groupBy("sha").count().where(F.col("count") <= most_files).select("sha")
         rows = rows.join(small, "sha", "left_semi")
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.sha") == F.col("b.sha")) & (F.col("a.path") < F.col("b.path")))
-    return pairs.groupBy(F.col("a.path").alias("file_a"), F.col("b.path").alias("file_b")).agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
+    rows = materialise(rows, "touched")
+    often = rows.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("path")
+    rows = materialise(rows.join(often, "path", "left_semi"), "touched-often")
+    sizes = rows.groupBy("sha").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"), F.count("*").alias("n")).where("n > 1").select("sha", "parts")
+    dealt = rows.join(sizes, "sha").withColumn("own", F.pmod(F.xxhash64("path"), "parts").cast("int"))
+    sides = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    sides = sides.select("sha", "path", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    by = ["sha", "low", "high"]
+    pairs = sides.where("own = low").select(*by, F.col("path").alias("p")).join(sides.where("own = high").select(*by, F.col("path").alias("q")), by)
+    pairs = pairs.where("low < high or p < q").select(F.least("p", "q").alias("file_a"), F.greatest("p", "q").alias("file_b"))
+    return pairs.groupBy("file_a", "file_b").agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
 
 
 def hops(seeds: DataFrame, edges: DataFrame, max_hops: int | None = None, directed: bool = False) -> DataFrame:
     """(seed, id, hop): the fewest edges from each seed (column seed) to what it reaches, itself at 0.
 
-    One join a hop; nodes already reached are taken out, and it ends when nothing is new.
+    One join a hop; nodes already reached are taken out, and it ends when nothing is new. Each hop is a folder of one table, so
+    that the plan of a round, and of the result, is the same at any depth. Where edges lead both ways, what was reached earlier
+    can only be in the last two hops, and no more is read.
     """
     way = edges.select("source_id", "target_id")
     if not directed:
@@ -105,16 +121,19 @@ def hops(seeds: DataFrame, edges: DataFrame, max_hops: int | None = None, direct
     way = way.where("source_id is not null and target_id is not null")
     # one hop reads the edges once
     way = way if max_hops == 1 else materialise(way.distinct(), "hops-edges")
-    frontier = materialise(seeds.select("seed", F.col("seed").alias("id")).where("seed is not null").distinct(), "hops")
-    seen, hop = frontier.withColumn("hop", F.lit(0)), 0
+    start = seeds.select("seed", F.col("seed").alias("id")).where("seed is not null").distinct()
+    spark, path, kind = edges.sparkSession, scratch(edges.sparkSession, "hops"), start.withColumn("hop", F.lit(0)).schema
+    read = lambda low, high: spark.read.schema(kind).option("basePath", path).parquet(*[f"{path}/hop={k}" for k in range(low, high)])
+    start.write.parquet(f"{path}/hop=0")
+    hop = 0
     while max_hops is None or hop < max_hops:
         hop += 1
-        reached = frontier.join(way, F.col("id") == F.col("source_id")).select("seed", F.col("target_id").alias("id")).distinct()
-        frontier = materialise(reached.join(seen, ["seed", "id"], "left_anti"), "hops")
-        if frontier.isEmpty():
+        reached = read(hop - 1, hop).join(way, F.col("id") == F.col("source_id")).select("seed", F.col("target_id").alias("id")).distinct()
+        fresh = reached.join(read(0 if directed else max(hop - 2, 0), hop).select("seed", "id"), ["seed", "id"], "left_anti")
+        fresh.write.parquet(f"{path}/hop={hop}")
+        if read(hop, hop + 1).isEmpty():
             break
-        seen = seen.unionByName(frontier.withColumn("hop", F.lit(hop)))
-    return seen
+    return read(0, hop + 1)
 
 
 def nearest_hop(seeds: DataFrame, edges: DataFrame, max_hops: int) -> DataFrame:
@@ -123,18 +142,38 @@ def nearest_hop(seeds: DataFrame, edges: DataFrame, max_hops: int) -> DataFrame:
 
 
 def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
-    """One row with the smallest of the shortest directed paths, however long; none if there isn't one."""
-    spark = edges.sparkSession
-    way = materialise(edges.select("source_id", "target_id").distinct(), "path-edges")
-    level = spark.createDataFrame([(source, [source])], "id string, path array<string>")
-    seen = level.select("id")
-    while (found := level.where(F.col("id") == target)).isEmpty():
-        grown = level.join(way, F.col("id") == F.col("source_id")).select(F.col("target_id").alias("id"), F.concat("path", F.array("target_id")).alias("path"))
-        level = materialise(grown.join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")), "path")
-        if level.isEmpty():
-            break
-        seen = seen.unionByName(level.select("id"))
-    return found.select("path")
+    """One row with the smallest of the shortest directed paths, however long; none if there isn't one.
+
+    Searched from both ends, the smaller frontier first, until the frontiers meet. A node carries its smallest neighbour towards
+    the target rather than a path: nodes found from the target get it as they are reached, of those found
+    from the source only the ones that lead to where the searches met, once they have. The path then follows these pointers.
+    """
+    spark, kind = edges.sparkSession, "id string, next string"
+    way = materialise(edges.select("source_id", "target_id").where("source_id is not null and target_id is not null").distinct(), "path-edges")
+    begin, end, near = (scratch(spark, f"path-{n}") for n in ("begin", "end", "near"))
+    read = lambda path, *levels: spark.read.schema(kind).parquet(*[f"{path}/{k}" for k in levels])
+    for path, node in ((begin, source), (end, target)):
+        spark.createDataFrame([(node, None)], kind).write.parquet(f"{path}/0")
+    depth, size = {begin: 0, end: 0}, {begin: 1, end: 1}
+    while (met := read(begin, depth[begin]).join(read(end, depth[end]), "id", "left_semi").select("id")).isEmpty():
+        side = min(size, key=size.get)
+        old, new = ("source_id", "target_id") if side == begin else ("target_id", "source_id")
+        grown = read(side, depth[side]).join(way, F.col("id") == F.col(old)).groupBy(F.col(new).alias("found")).agg(F.min(old).alias("next"))
+        fresh = grown.withColumnRenamed("found", "id").join(read(side, *range(depth[side] + 1)).select("id"), "id", "left_anti")
+        depth[side] += 1
+        fresh.write.parquet(f"{side}/{depth[side]}")
+        if not (n := read(side, depth[side]).count()):
+            return spark.createDataFrame([], "path array<string>")
+        size[side] = n
+    for k in reversed(range(depth[begin])):
+        ahead = way.join(met.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
+        onward = read(begin, k).select("id").join(ahead, F.col("id") == F.col("source_id")).groupBy("id").agg(F.min("target_id").alias("next"))
+        onward.write.parquet(f"{near}/{k}")
+        met = read(near, k).select("id")
+    path = [source]
+    for level in [*(read(near, k) for k in range(depth[begin])), *(read(end, k) for k in range(depth[end], 0, -1))]:
+        path.append(level.where(F.col("id") == path[-1]).first().next)
+    return spark.createDataFrame([(path,)], "path array<string>")
 
 
 def impact(edges: DataFrame, node: str, hub_degree: int = 20) -> DataFrame:

@@ -1,3 +1,7 @@
+import itertools
+import random
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from cairn.operators import components as CC
@@ -39,6 +43,61 @@ def test_co_change_weight(spark):
     assert [tuple(r) for r in got] == [("a.py", "b.py", 3)]
 
 
+def test_co_change_of_blocks_equals_all_pairs(spark):
+    rng = random.Random(5)
+    touched = [(f"c{c}", f"f{rng.randrange(40):02}") for c in range(12) for _ in range(30)] + [(None, "f00"), ("c1", None)]
+    frame = spark.createDataFrame(touched, "sha string, path string")
+    commits = {c: sorted({p for s, p in touched if s == c and p}) for c in {s for s, _ in touched if s}}
+    pairs = Counter(pair for files in commits.values() for pair in itertools.combinations(files, 2))
+    for least, block in ((1, 4), (3, 1), (2, 1024)):
+        got = {(r.file_a, r.file_b): r.weight for r in G.co_change(frame, least, block=block).collect()}
+        assert got == {p: n for p, n in pairs.items() if n >= least}
+    assert G.co_change(frame.limit(0)).count() == 0
+
+
+def test_co_change_of_a_mass_commit(spark):
+    mass = spark.range(20000).select(F.lit("mass").alias("sha"), F.format_string("f%05d", "id").alias("path"))
+    some = spark.range(0, 20000, 100).select(F.lit("some").alias("sha"), F.format_string("f%05d", "id").alias("path"))
+    r = G.co_change(mass.unionByName(some)).agg(F.count("*").alias("n"), F.min("weight").alias("low"), F.max("weight").alias("high")).first()
+    assert tuple(r) == (200 * 199 // 2, 2, 2)
+
+
+def test_paths_and_hops_equal_a_plain_search(spark):
+    rng = random.Random(9)
+    pairs = sorted({(f"v{rng.randrange(60):02}", f"v{rng.randrange(60):02}") for _ in range(110)})
+    e, nodes_of = edges(spark, [*pairs, ("v00", None)]), sorted({v for p in pairs for v in p})
+
+    def walk(start, step):
+        seen, level = {start: 0}, [start]
+        while level:
+            level = sorted({w for v in level for w in step(v) if w not in seen})
+            seen |= {w: seen[v] + 1 for v in list(seen) for w in step(v) if w in level and w not in seen}
+        return seen
+
+    out = lambda v: [b for a, b in pairs if a == v]
+    both = lambda v: out(v) + [a for a, b in pairs if b == v]
+    seeds = spark.createDataFrame([("v00",), ("v01",)], "seed string")
+    for directed, step in ((True, out), (False, both)):
+        got = {(r.seed, r.id): r.hop for r in G.hops(seeds, e, directed=directed).collect()}
+        assert got == {(s, v): n for s in ("v00", "v01") for v, n in walk(s, step).items()}
+    far = walk(nodes_of[0], out)
+    for target in (max(far, key=far.get), sorted(far)[-1]):
+        back = walk(target, lambda v: [a for a, b in pairs if b == v])
+        want = [nodes_of[0]]
+        while want[-1] != target:
+            want.append(min(w for w in out(want[-1]) if back.get(w) == back[want[-1]] - 1))
+        assert G.shortest_path(e, nodes_of[0], target).first().path == want
+
+
+def test_plan_of_hops_does_not_grow(spark):
+    e = edges(spark, [(f"n{i:03}", f"n{i + 1:03}") for i in range(40)])
+    seeds = spark.createDataFrame([("n000",)], "seed string")
+    for directed in (True, False):
+        found = G.hops(seeds, e, directed=directed)
+        assert found._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 1
+        assert {r.id: r.hop for r in found.collect()} == {f"n{i:03}": i for i in range(41)}
+
+
 def test_shortest_path_and_hops(spark):
     e = edges(spark, [("a", "b"), ("b", "d"), ("a", "c"), ("c", "d"), ("d", "e"), ("x", "a"), ("e", "a")])
     assert G.shortest_path(e, "a", "e").first().path == ["a", "b", "d", "e"]
