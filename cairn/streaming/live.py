@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+import time
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -12,8 +15,8 @@ import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from cairn.functions.arrow import filesystem
 from cairn.operators.chunks import chunk
@@ -43,10 +46,12 @@ def _versions(path: str) -> list[tuple[int, str]]:
     return sorted((int(f.base_name.removesuffix(".parquet")), f.path) for f in found if f.base_name.endswith(".parquet"))
 
 
-def _version(path: str, before: int | None = None) -> tuple[dict[int, int], int]:
-    """The batch that wrote each bucket, and how many buckets the table has, in the last version (before a batch)."""
-    files = [f for n, f in _versions(path) if before is None or n < before]
+def _version(path: str, before: int | None = None, number: int | None = None) -> tuple[dict[int, int], int]:
+    """The batch that wrote each bucket, and how many buckets the table has, in the last version (before a batch) or that of a number."""
+    files = [f for n, f in _versions(path) if (before is None or n < before) and number in (None, n)]
     if not files:
+        if number is not None:
+            raise ValueError(f"version {number} of {path} has expired")
         return {}, 0
     system, _ = filesystem(path)
     with system.open_input_file(files[-1]) as f:
@@ -54,17 +59,79 @@ def _version(path: str, before: int | None = None) -> tuple[dict[int, int], int]
     return dict(zip(rows["bucket"].to_pylist(), rows["batch"].to_pylist())), int(rows.schema.metadata[b"buckets"])
 
 
-def read_index(spark: SparkSession, path: str, buckets: list[int] | None = None, before: int | None = None) -> DataFrame:
-    """The last version of a table that `refresh_buckets` keeps, or some of its buckets; empty if there is none."""
-    own = [f"{path}/data/batch={b}/bucket={k}" for k, b in sorted(_version(path, before)[0].items()) if buckets is None or k in buckets]
+def read_index(spark: SparkSession, path: str, buckets: list[int] | None = None, before: int | None = None, version: int | None = None) -> DataFrame:
+    """The last version of a table that `refresh_buckets` keeps, or a leased one, or some of its buckets; empty if there is none."""
+    own = [f"{path}/data/batch={b}/bucket={k}" for k, b in sorted(_version(path, before, version)[0].items()) if buckets is None or k in buckets]
     return spark.read.schema(INDEX).parquet(*own) if own else spark.createDataFrame([], INDEX)
 
 
+#: Versions that stay though nobody has leased them: the last one, and that before it, on which a repeated batch builds.
+KEEP = 2
+
+
+def _leases(path: str) -> list[tuple[int, float, str]]:
+    """(version, end in seconds, file) of all leases."""
+    system, root = filesystem(f"{path}/leases")
+    names = [(f.base_name.split("-"), f.path) for f in system.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.base_name[:1] != "."]
+    return [(int(number), float(end), file) for (number, end, _), file in names]
+
+
+@contextmanager
+def leased(path: str, seconds: float = 3600) -> Iterator[int | None]:
+    """The number of the last version, for `read_index`, which stays whole for so long or until the block ends; None if there is no version.
+
+    The lease is written first and the version looked for again afterwards, so that one that expires meanwhile isn't given out.
+    """
+    system, root = filesystem(f"{path}/leases")
+    system.create_dir(root, recursive=True)
+    while found := _versions(path):
+        number = found[-1][0]
+        file = f"{root}/{number:012}-{time.time() + seconds:.0f}-{uuid.uuid4().hex}"
+        with system.open_output_stream(file):
+            pass
+        if any(n == number for n, _ in _versions(path)):
+            try:
+                yield number
+            finally:
+                if system.get_file_info(file).type == fs.FileType.File:
+                    system.delete_file(file)
+            return
+        system.delete_file(file)
+    yield None
+
+
+def expire(path: str, keep: int = KEEP) -> None:
+    """Removes versions that are neither among the last `keep` nor leased, then the buckets that no version left names.
+
+    To be called by the table's one writer. Buckets of batches after the last version aren't touched.
+    """
+    system, root = filesystem(path)
+    now, versions = time.time(), _versions(path)
+    for _, end, file in _leases(path):
+        if end < now:
+            system.delete_file(file)
+    # the last versions are named first: leases are read after that, and a later one is of one of these
+    held = {n for n, _ in versions[-max(keep, 1) :]} | {n for n, _, _ in _leases(path)}
+    for n, file in versions:
+        if n not in held:
+            system.delete_file(file)
+    left = [n for n, _ in versions if n in held]
+    named = {(b, k) for n in left for k, b in _version(path, number=n)[0].items()}
+    folders = lambda at, prefix: [(int(f.base_name.removeprefix(prefix)), f.path) for f in system.get_file_info(fs.FileSelector(at, allow_not_found=True)) if f.base_name.startswith(prefix)]
+    for batch, folder in folders(f"{root}/data", "batch="):
+        if not left or batch > left[-1]:
+            continue
+        own = folders(folder, "bucket=")
+        gone = [p for k, p in own if (batch, k) not in named]
+        for p in [folder] if len(gone) == len(own) else gone:
+            system.delete_dir(p)
+
+
 def refresh_buckets(path: str, fresh: DataFrame, sources: DataFrame, batch: int = 0, buckets: int = BUCKETS) -> None:
     """Replaces the chunks of `sources` in a table laid out by bucket of the source.
 
     Only buckets that hold such a source are read, and written anew beside the old ones. A small file then names the batch that each bucket
-    is read from; buckets without a row are in no version. Readers see a batch whole or not at all, and a batch that is repeated gives the same table.
+    is read from; buckets without a row are in no version. `expire` removes superseded ones. Readers see a batch whole or not at all, and a batch that is repeated gives the same table.
     """
     spark = fresh.sparkSession
     last, held = _version(path, batch)
@@ -72,7 +139,8 @@ def refresh_buckets(path: str, fresh: DataFrame, sources: DataFrame, batch: int
     put = F.pmod(F.xxhash64("source"), F.lit(buckets)).cast("int")
     touched = sources.agg(F.collect_set(put).alias("b")).first().b  # `buckets` numbers at most
     kept = replace_sources(read_index(spark, path, touched, batch), fresh.select(*[c.split()[0] for c in INDEX.split(", ")]), sources)
-    kept.withColumn("bucket", put).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/batch={batch}")
+    # small buckets get a file each, large ones are split
+    kept.withColumn("bucket", put).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/batch={batch}")
     system, root = filesystem(f"{path}/data/batch={batch}")
     written = [int(f.base_name.removeprefix("bucket=")) for f in system.get_file_info(fs.FileSelector(root)) if f.base_name.startswith("bucket=")]
     now = {k: b for k, b in last.items() if k not in touched} | {k: batch for k in written}
@@ -84,13 +152,17 @@ def refresh_buckets(path: str, fresh: DataFrame, sources: DataFrame, batch: int
 
 
 def index_stream(files: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
-    """Keeps the chunks of a stream of files (path, content) in a table; a file that comes again replaces its chunks, an empty one has none."""
+    """Keeps the chunks of a stream of files (path, content) in a table; a file that comes again replaces its chunks, an empty one has none.
+
+    Versions expire as new ones come: who reads one for longer than a batch takes should lease it.
+    """
 
     def apply(batch: DataFrame, number: int) -> None:
         # of a file that comes twice in a batch one content counts
         own = batch.groupBy("path").agg(F.max("content").alias("content"))
         fresh = chunk(own).withColumn("id", F.md5(F.concat("source", F.lit(":"), F.col("chunk_index").cast("string"), F.lit(":"), "text")))
         refresh_buckets(path, materialise(fresh, "chunks"), own.select(F.col("path").alias("source")), number, buckets)
+        expire(path)
 
     return upsert_stream(files, apply, checkpoint)
 
@@ -138,12 +210,33 @@ def _leads(at: np.ndarray, low: int, window: int) -> pd.DataFrame:
     return pd.DataFrame({"at": [*times[keep], LAST], "start": [*at[last[keep]], NEVER], "count": [*(len(at) - last[keep]), len(at)]})
 
 
-def rate_limit(calls: DataFrame, window: float, limit: int) -> DataFrame:
+#: Parts that a group of the tree of blocks has.
+FAN = 64
+
+
+def _after(at: np.ndarray, to: np.ndarray, n: np.ndarray, start: np.ndarray, count: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows (start, count) that others become over a part of a tool's calls, whose rows (at, start, count) are `at`, `to` and `n`."""
+    row = np.searchsorted(at, start + step)
+    on = to[row] == NEVER  # the window outlasts the part
+    return np.where(on, start, to[row]), np.where(on, count + n[row], n[row])
+
+
+def _parts(rows: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(part, at, start, count) in order of time."""
+    rows = rows.sort_values(["part", "at"])
+    part, *columns = (rows[c].to_numpy() for c in ("part", "at", "start", "count"))
+    numbers, first = np.unique(part, return_index=True)
+    for n, a, b in zip(numbers, first, [*first[1:], len(part)]):
+        yield int(n), *(c[a:b] for c in columns)
+
+
+def rate_limit(calls: DataFrame, window: float, limit: int, fan: int = FAN) -> DataFrame:
     """(event_id, tool, allowed) of a batch of calls (event_id, tool, ts), per tool in order of time.
 
     Tools are few and may hold any share of the calls, so they are cut into blocks of SPAN windows' time. Each block says where
-    the windows that can enter it lead; these rows are folded per tool, which gives each block the window it begins in,
-    and the blocks are then decided apart. A call without a time has a window to itself.
+    the windows that can enter it lead. What several blocks do one after the other can be said in the same form, so `fan` at a time are put
+    together, up to one group a tool; from there down each part is told the window it begins in, and the
+    blocks are then decided apart. No group has more than `fan` parts. A call without a time has a window to itself.
     """
     step = math.ceil(round(window * 1e6, 3))
     own = calls.select("event_id", "tool", F.coalesce(F.concat(F.lit("="), F.col("tool").cast("string")), F.lit("")).alias("key"), F.unix_micros("ts").alias("at"))
@@ -152,21 +245,29 @@ def rate_limit(calls: DataFrame, window: float, limit: int) -> DataFrame:
     if step <= 0:
         return alone
     width = step * SPAN
-    blocks = own.where("at is not null").withColumn("low", F.col("at") - F.pmod("at", F.lit(width)))
+    timed = own.where("at is not null")
+    first, last = timed.agg(F.min("at"), F.max("at")).first()
+    if first is None:
+        return alone
+    blocks = timed.withColumn("part", F.expr(f"(at - {first}L) div {width}L"))
 
     def lead(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return _leads(np.sort(rows["at"].to_numpy()), key[1], step).assign(key=key[0], low=key[1])[["key", "low", "at", "start", "count"]]
-
-    def enter(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["low", "at"])
-        low, at, starts, counts = (rows[c].to_numpy() for c in ("low", "at", "start", "count"))
-        lows, first = np.unique(low, return_index=True)
-        start, count, found = NEVER, 0, []
-        for a, b in zip(first, [*first[1:], len(low)]):
-            found.append((start, count))
-            i = a + int(np.searchsorted(at[a:b], start + step))
-            start, count = (start, count + int(counts[i])) if at[i] == LAST else (int(starts[i]), int(counts[i]))
-        return pd.DataFrame(found, columns=["start", "count"]).assign(key=key[0], low=lows)[["key", "low", "start", "count"]]
+        return _leads(np.sort(rows["at"].to_numpy()), first + key[1] * width, step).assign(key=key[0], part=key[1])[["key", "part", "at", "start", "count"]]
+
+    def put_together(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        (_, at, start, count), *others = _parts(rows)
+        for _, *other in others:
+            start, count = _after(*other, start, count, step)
+            keep = np.append((start[1:] != start[:-1]) | (count[1:] != count[:-1]), True)
+            at, start, count = at[keep], start[keep], count[keep]
+        return pd.DataFrame({"key": key[0], "part": key[1], "at": at, "start": start, "count": count})
+
+    def tell(rows: pd.DataFrame, start: int, count: int) -> pd.DataFrame:
+        found, now = [], (np.array([start]), np.array([count]))
+        for part, *own in _parts(rows):
+            found.append((rows["key"].iloc[0], part, int(now[0][0]), int(now[1][0])))
+            now = _after(*own, *now, step)
+        return pd.DataFrame(found, columns=["key", "part", "start", "count"])
 
     def decide(rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["at", "event_id"])
@@ -176,22 +277,60 @@ def rate_limit(calls: DataFrame, window: float, limit: int) -> DataFrame:
             begin = int(at[i])
         return rows[["event_id", "tool"]].assign(allowed=rank < limit)
 
-    leads = blocks.select("key", "low", "at").groupBy("key", "low").applyInPandas(lead, "key string, low long, at long, start long, count long")
-    entries = leads.groupBy("key").applyInPandas(enter, "key string, low long, start long, count long")
+    row, entry = "key string, part long, at long, start long, count long", "key string, part long, start long, count long"
+    above = F.expr(f"part div {fan}L").alias("above")
+    tree, n = [materialise(blocks.select("key", "part", "at").groupBy("key", "part").applyInPandas(lead, row), "leads")], (last - first) // width + 1
+    while n > fan:
+        tree.append(materialise(tree[-1].groupBy("key", above).applyInPandas(put_together, row), "leads"))
+        n = -(-n // fan)
+    entries = tree.pop().groupBy("key").applyInPandas(lambda rows: tell(rows, NEVER, 0), entry)
+    while tree:
+        begun = entries.withColumnRenamed("part", "above").groupBy("key", "above")
+        entries = tree.pop().groupBy("key", above).cogroup(begun).applyInPandas(lambda rows, at: tell(rows, int(at["start"].iloc[0]), int(at["count"].iloc[0])), entry)
     kind = calls.schema["tool"].dataType.simpleString()
-    done = blocks.groupBy("key", "low").cogroup(entries.groupBy("key", "low")).applyInPandas(decide, f"event_id long, tool {kind}, allowed boolean")
+    done = blocks.groupBy("key", "part").cogroup(entries.groupBy("key", "part")).applyInPandas(decide, f"event_id long, tool {kind}, allowed boolean")
     return done.unionByName(alone)
 
 
-def rate_limit_stream(calls: DataFrame, window: float, limit: int) -> DataFrame:
-    """The same for a stream; (window start, count) is each tool's state. Late calls count when they come."""
+class _Admission(StatefulProcessor):
+    """A tool's window (start, count) as its state, which is dropped once no call that may still come can fall into it."""
+
+    def __init__(self, window: float, limit: int):
+        self.window, self.limit = window, limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("window", "start double, count int")
 
-    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, count = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(parts)).sort_values(["at", "event_id"])
-        passed, start, count = admit(rows["at"].tolist(), start, count, window, limit)
-        state.update((start, count))
-        yield rows[["event_id", "tool"]].assign(allowed=passed)
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        start, count = self.state.get() if self.state.exists() else (None, 0)
+        rows = pd.concat(list(rows)).sort_values(["at", "event_id"])
+        timed = rows["at"].notna()
+        yield rows[~timed][["event_id", "tool"]].assign(allowed=self.limit > 0)
+        if timed.any():
+            rows = rows[timed]
+            passed, start, count = admit(rows["at"].tolist(), start, count, self.window, self.limit)
+            self.state.update((start, count))
+            self.handle.registerTimer(math.ceil((start + self.window) * 1000))
+            yield rows[["event_id", "tool"]].assign(allowed=passed)
 
-    own = calls.select("event_id", "tool", F.col("ts").cast("double").alias("at"))
-    return own.groupBy("tool").applyInPandasWithState(fold, "event_id long, tool string, allowed boolean", "start double, count int", "append", GroupStateTimeout.NoTimeout)
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.state.exists() and (self.state.get()[0] + self.window) * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def rate_limit_stream(calls: DataFrame, window: float, limit: int, late: str = "1 day") -> DataFrame:
+    """The same for a stream. Calls later than `late` are dropped, other late ones count when they come.
+
+    A tool's window is state until a timer in the time of the calls says that it is over, so tools that are no longer called hold none.
+    Sets the session's state store to RocksDB, which such state needs.
+    """
+    calls.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    own = calls.withWatermark("ts", late).select("event_id", "tool", F.col("ts").cast("double").alias("at"), "ts")
+    return own.groupBy("tool").transformWithStateInPandas(_Admission(window, limit), "event_id long, tool string, allowed boolean", "append", "eventTime")

@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import text as T
@@ -156,6 +157,20 @@ def test_rate_limit_of_dense_calls_is_cut_into_blocks(spark):
     assert {r.event_id: r.allowed for r in live.rate_limit(odd, 60, 1).collect()} == {1: True, 2: True, 3: True, 4: False}
 
 
+def test_rate_limit_folds_a_tool_in_a_tree(spark):
+    rng = random.Random(3)
+    t, rows = -2e5, []
+    for i in range(4000):
+        # quiet stretches of many blocks, and dense ones without a pause of a window
+        t += rng.choice([0, 1, 4, 9]) if i % 500 else 2e4
+        rows.append((i, "hot" if i % 9 else "rare", dt.datetime.fromtimestamp(t, dt.timezone.utc), True))
+    frame = spark.createDataFrame(rows, SCHEMA)
+    assert (rows[-1][2] - rows[0][2]).total_seconds() / (20 * live.SPAN) > 4 * 4 * 4  # blocks, for a tree of four levels
+    for fan in (2, 4, live.FAN):
+        assert {r.event_id: r.allowed for r in live.rate_limit(frame, 20, 2, fan).collect()} == loop(rows, 20, 2)
+    assert live.rate_limit(frame.limit(0), 20, 2).count() == 0
+
+
 def test_stream_counts_equal_batch(spark, tmp_path):
     rows = calls()
     spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/in")
@@ -210,6 +225,81 @@ def test_index_forgets_emptied_files_and_repeated_batches(spark, tmp_path):
     assert rows() == [("a.py", "three"), ("c.py", "four")]
 
 
+def test_index_expires_versions_but_for_leased_ones(spark, tmp_path):
+    schema, table = "path string, content string", f"{tmp_path}/t"
+    read = lambda **at: sorted((r.source, r.text) for r in live.read_index(spark, table, **at).collect())
+    files = lambda: sum(p.suffix == ".parquet" for p in (tmp_path / "t").rglob("*"))
+
+    def send(number):
+        own = spark.createDataFrame([(f"f{number % 5}", f"v{number}"), ("hot", f"h{number}")], schema)
+        fresh = live.chunk(own).withColumn("id", F.md5("source"))
+        live.refresh_buckets(table, fresh, own.select(F.col("path").alias("source")), number, 4)
+        live.expire(table)
+
+    with live.leased(table) as none:
+        assert none is None
+    counts = []
+    for n in range(6):
+        send(n)
+    before = read()
+    with live.leased(table) as version, live.leased(table, -1) as lapsed:
+        assert (version, lapsed) == (5, 5)
+        for n in range(6, 12):
+            send(n)
+            counts.append(files())
+        assert read(version=version) == before != read()
+    send(12)
+    with pytest.raises(ValueError):
+        read(version=5)
+    want = {f"f{n % 5}": f"v{n}" for n in range(13)} | {"hot": "h12"}
+    assert read() == sorted(want.items())
+    send(12)  # a batch that is repeated builds on the version before it
+    assert read() == sorted(want.items())
+    assert files() <= live.KEEP * (4 + 1) and max(counts) <= (live.KEEP + 1) * (4 + 1)
+
+
+def test_rate_limit_stream_drops_the_state_of_quiet_tools(spark, tmp_path):
+    at = lambda s: dt.datetime.fromtimestamp(1e9 + s, dt.timezone.utc)
+    batches = [[(n, f"t{n}", at(n), True) for n in range(50)], [(100, "new", at(9e5), True), (101, None, at(9e5), True), (102, None, None, True)], [(103, "new", at(9e5 + 1), True)]]
+    for rows in batches:
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = live.rate_limit_stream(live.read_files(spark, f"{tmp_path}/in", SCHEMA, 1), 60, 1, "1 hour")
+    run = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = {r.event_id: r.allowed for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {**dict.fromkeys(range(50), True), 100: True, 101: True, 102: True, 103: False}
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]]
+    assert held[0] >= 50 and held[-1] < 10
+
+
+def test_runs_of_commits_are_merged(spark, tmp_path):
+    from cairn.streaming import changelog
+
+    path, day = str(tmp_path), dt.datetime(2024, 1, 31, 12)
+    read = lambda **at: {r.sha: r.subject for r in changelog.read_commits(spark, path, **at).collect()}
+    files = lambda: sum(p.suffix == ".parquet" for p in (tmp_path / "commits").rglob("*"))
+    schema = f"sha string, {changelog.BASE}, {changelog.KEPT}, day date, month string"
+    want, counts = {}, []
+
+    def send(n):
+        own = {f"s{n % 7}": f"v{n}", f"new{n}": "one", "hot": f"h{n}"}
+        rows = [(k, "a", day, v, "", None, None, None, None, None, day.date(), "2024-01") for k, v in own.items()]
+        changelog.write_run(spark.createDataFrame(rows, schema), path, n, fan=3)
+        return own
+
+    for n in range(20):
+        want |= send(n)
+        counts.append(files())
+        if n in (8, 17):
+            assert read() == want
+            assert read(before=n) == {k: v for k, v in want.items() if k != f"new{n}"} | {"hot": f"h{n - 1}", f"s{n % 7}": f"v{n - 7}"}
+            send(n)  # a batch that is repeated, after its runs were merged
+            assert read() == want
+    assert read() == want
+    # two runs of nine, none of three, two of one, and what the last batch may still need
+    assert counts[-1] <= 5 and max(counts) < 16
+
+
 def test_structure_reads_every_document_in_its_language(spark):
     from cairn.operators import extraction as X
     from cairn.plans import adapters as A
