@@ -303,10 +303,14 @@ def h3_shortest_path(spark, sf):
 
 
 @query("""WITH t AS (SELECT DISTINCT sha, path FROM changes), live AS (SELECT DISTINCT path FROM changes WHERE path NOT LIKE 'Brand1/%'),
-c AS (SELECT a.path AS x, b.path AS y FROM t a JOIN t b ON a.sha = b.sha AND a.path < b.path GROUP BY 1, 2 HAVING count(*) >= 2)
-SELECT 'contains' AS relation, count(*) AS n FROM (SELECT path FROM live UNION SELECT split_part(path, '/', 1) FROM live UNION SELECT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) FROM live)
-UNION ALL SELECT 'co_changes', count(*) FROM c WHERE x IN (SELECT path FROM live) AND y IN (SELECT path FROM live)""")
+c AS (SELECT a.path AS x, b.path AS y, count(*) AS n FROM t a JOIN t b ON a.sha = b.sha AND a.path < b.path GROUP BY 1, 2 HAVING count(*) >= 2),
+d AS (SELECT split_part(path, '/', 1) AS a, split_part(path, '/', 1) || '/' || split_part(path, '/', 2) AS b, path FROM live)
+SELECT 'contains' AS relation, x AS source_id, y AS target_id, 1.0::DOUBLE AS weight FROM (SELECT '.' AS x, a AS y FROM d UNION SELECT a, b FROM d UNION SELECT b, path FROM d)
+UNION ALL SELECT 'co_changes', x, y, n::DOUBLE FROM c WHERE x IN (SELECT path FROM live) AND y IN (SELECT path FROM live)
+UNION ALL SELECT 'node', x, y, NULL FROM (SELECT '.' AS x, 'Module' AS y UNION SELECT a, 'Module' FROM d UNION SELECT b, 'Module' FROM d UNION SELECT path, 'File' FROM d)""")
 def h9_topology(spark, sf):
     changes = A.changes(spark, sf)
     live = changes.where(~F.col("path").startswith("Brand1/")).select("path").distinct()
-    return G.build_topology(live, changes)[1].groupBy("relation").agg(F.count("*").alias("n"))
+    nodes, edges = G.build_topology(live, changes)
+    own = nodes.select(F.lit("node").alias("relation"), F.col("id").alias("source_id"), F.col("type").alias("target_id"), F.lit(None).cast("double").alias("weight"))
+    return edges.select(*own.columns).unionByName(own)

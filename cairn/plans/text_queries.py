@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cairn.functions import text as T
@@ -126,25 +127,26 @@ def j9_unknown_names(spark, sf):
 
 @query("""WITH w AS (SELECT DISTINCT doc_id, unnest(string_split_regex(text, '[^a-zA-Z0-9_\\x{80}-\\x{10FFFF}]+')) AS name FROM documents),
 k AS (SELECT DISTINCT unnest(string_split_regex(text, '[^a-zA-Z]+')) AS word FROM benchmark)
-SELECT doc_id, count(*) AS n FROM w WHERE regexp_full_match(name, '[a-z_][a-z0-9_]{3,}') AND name NOT IN (SELECT word FROM k) GROUP BY 1""")
+SELECT doc_id, name FROM w WHERE regexp_full_match(name, '[a-z_][a-z0-9_]{3,}') AND name NOT IN (SELECT word FROM k)""")
 def j10_strict_unknown(spark, sf):
     allowed = table(spark, sf, "benchmark").select(F.explode(F.split("text", "[^a-zA-Z]+")).alias("word")).distinct()
-    found = GR.unknown_words(table(spark, sf, "documents").select("doc_id", "text"), allowed, r"(?U)\b([a-z_][a-z0-9_]{3,})\b")
-    return found.groupBy("doc_id").agg(F.count("*").alias("n"))
+    return GR.unknown_words(table(spark, sf, "documents").select("doc_id", "text"), allowed, r"(?U)\b([a-z_][a-z0-9_]{3,})\b")
 
 
-@query("""WITH a AS (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations WHERE role = 'assistant'),
-w AS (SELECT DISTINCT doc_id, unnest(string_split_regex(text, '[^a-zA-Z0-9_\\x{80}-\\x{10FFFF}]+')) AS name FROM a),
-k AS (SELECT DISTINCT unnest(string_split_regex(text, '[^a-zA-Z0-9_\\x{80}-\\x{10FFFF}]+')) AS name FROM benchmark),
-c AS (SELECT DISTINCT conv_id * 1000 + turn + 1 AS doc_id, unnest(string_split_regex(text, '[^a-zA-Z0-9_\\x{80}-\\x{10FFFF}]+')) AS name FROM conversations),
-n AS (SELECT doc_id, count(*) AS n FROM w WHERE regexp_full_match(name, '[a-z_][a-z0-9_]{3,}') AND name NOT IN (SELECT name FROM k) AND (doc_id, name) NOT IN (SELECT doc_id, name FROM c) GROUP BY 1)
-SELECT a.doc_id, coalesce(n, 0)::INT AS n_unknown, CASE WHEN coalesce(n, 0) = 0 THEN 'passed' WHEN n > 5 THEN 'abstained' ELSE 'cleaned' END AS verdict FROM a LEFT JOIN n ON a.doc_id = n.doc_id""")
+@query(f"""WITH a AS (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations WHERE role = 'assistant'),
+w AS (SELECT DISTINCT doc_id, unnest(string_split_regex(text, '[^a-zA-Z0-9_\\x{{80}}-\\x{{10FFFF}}]+')) AS name FROM a),
+k AS (SELECT DISTINCT unnest(string_split_regex(text, '[^a-zA-Z0-9_\\x{{80}}-\\x{{10FFFF}}]+')) AS name FROM benchmark),
+c AS (SELECT DISTINCT conv_id * 1000 + turn + 1 AS doc_id, unnest(string_split_regex(text, '[^a-zA-Z0-9_\\x{{80}}-\\x{{10FFFF}}]+')) AS name FROM conversations),
+n AS (SELECT doc_id, count(*) AS n, list(name) AS names FROM w WHERE regexp_full_match(name, '[a-z_][a-z0-9_]{{3,}}') AND name NOT IN (SELECT name FROM k) AND (doc_id, name) NOT IN (SELECT doc_id, name FROM c) GROUP BY 1)
+SELECT a.doc_id, coalesce(n, 0)::INT AS n_unknown, CASE WHEN coalesce(n, 0) = 0 THEN 'passed' WHEN n > 5 THEN 'abstained' ELSE 'cleaned' END AS verdict,
+CASE WHEN coalesce(n, 0) = 0 THEN text WHEN n > 5 THEN '{T.ABSTAIN}' ELSE array_to_string(list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(31), 'g'), chr(31)), lambda x: len(list_filter(names, lambda y: contains(x, y))) = 0), ' ') END AS text
+FROM a LEFT JOIN n ON a.doc_id = n.doc_id""")
 def j11_responses(spark, sf):
     answers = table(spark, sf, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
     chunks = table(spark, sf, "benchmark").select("text")
     # an answer cites the turn before it
     cited = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn") + 1).alias("doc_id"), "text")
-    return GR.validate_responses(answers, cited, chunks, r"(?U)\b([a-z_][a-z0-9_]{3,})\b").select("doc_id", "n_unknown", "verdict")
+    return GR.validate_responses(answers, cited, chunks, r"(?U)\b([a-z_][a-z0-9_]{3,})\b").select("doc_id", "n_unknown", "verdict", "text")
 
 
 @query("""WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(31), 'g'), chr(31)), lambda x: NOT contains(x, 'the') AND NOT contains(x, 'und')) AS s FROM documents)
@@ -324,19 +326,24 @@ def l8_build_index(spark, sf):
     files = A.files(spark, sf).select("path", "content", "size_bytes")
     notes = table(spark, sf, "benchmark").select(F.concat(F.lit("notes/"), F.col("item_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("content"), F.octet_length("text").cast("long").alias("size_bytes"))
     args = {"workspace": files, "context": notes}, A.old_files(spark, sf)
-    none = spark.createDataFrame([], "id string")
+    # what is stored is told by its lines themselves
+    own = files.where("path LIKE 'src1/%'").select("path", F.concat(F.lit("[File: "), "path", F.lit("]\n"), "content").alias("content"))
+    block = F.when(F.col("source").rlike(r"\.(java|py)$"), "backend").when(F.col("source").endswith(".js"), "frontend").otherwise("other")
+    stored = CH.chunk(own).select(F.md5(F.concat(F.lit("Context: Block="), block, F.lit(" | Module=src1 | Level=code | Type=code\n"), "text")).alias("id"))
     extensions = [".py", ".java", ".js", ".md"]
-    stored = CH.build_index(*args, none, extensions, most_bytes=20_000).where(F.col("source").startswith("src1/")).select("id")
     return CH.build_index(*args, stored, extensions, most_bytes=20_000).select("id", "source", "chunk_index")
 
 
-@query("""SELECT source AS module, sum(len(string_split(text, chr(10))) + 3)::BIGINT AS n_lines, sum(length(text) + length(doc_id::VARCHAR) + 132)::BIGINT AS chars, TRUE AS fits FROM documents GROUP BY 1""")
+@query("""SELECT source AS module, sum(len(string_split(text, chr(10))) + 3)::BIGINT AS n_lines, sum(length(text) + length(doc_id::VARCHAR) + 132)::BIGINT AS chars, TRUE AS fits, TRUE AS full_parts FROM documents GROUP BY 1""")
 def j4_module_parts(spark, sf):
-    """Each source's texts as the files of a module; all lines are there, and no part of more than one line is too long."""
+    """Each source's texts as the files of a module; all lines are there, no part of more than one line is too long, and none would hold the next one's first line."""
     files = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"), F.col("source").alias("module"))
     lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    packed = CH.pack_modules(files, 4000).select("module", lines.alias("lines"), F.length("text").alias("chars"))
-    return packed.groupBy("module").agg(F.sum("lines").alias("n_lines"), F.sum("chars").alias("chars"), F.bool_and((F.col("chars") <= 4000) | (F.col("lines") == 1)).alias("fits"))
+    head = F.length(F.substring_index("text", "\n", 1)) + 1
+    packed = CH.pack_modules(files, 4000).select("module", "task", "part", lines.alias("lines"), F.length("text").alias("chars"), head.alias("head"))
+    next_head = F.lead("head").over(Window.partitionBy("module", "task").orderBy("part"))
+    packed = materialise(packed, "parts").withColumn("full", F.coalesce(F.col("chars") + next_head > 4000, F.lit(True)))
+    return packed.groupBy("module").agg(F.sum("lines").alias("n_lines"), F.sum("chars").alias("chars"), F.bool_and((F.col("chars") <= 4000) | (F.col("lines") == 1)).alias("fits"), F.bool_and("full").alias("full_parts"))
 
 
 @query("""SELECT path, CASE WHEN path LIKE '%/de/%' OR path LIKE '%/fr/%' THEN 'continental' WHEN path LIKE '%.js' THEN 'script' ELSE 'other' END AS block, CASE WHEN path LIKE '%.md' THEN 'prose' ELSE 'context' END AS kind,
