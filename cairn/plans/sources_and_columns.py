@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from cairn.functions import text as T
 from cairn.plans import adapters as A
 from cairn.plans.catalog import query
-from cairn.session import table
+from cairn.session import scratch, table
+from cairn.sources import history
 from cairn.sources import readers as R
 
 EXTENSIONS = [".py", ".java", ".md"]
@@ -69,6 +70,41 @@ def a8_blame(spark, sf):
     return R.parse_blame(texts.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("key"), F.array_join("all.one", "\n").alias("text")))
 
 
+def _exported(texts, kind):
+    """The rows of texts that are first written to files, as they are exported."""
+    spark, path = texts.sparkSession, scratch(texts.sparkSession, kind)
+    texts.write.text(path)
+    history.register(spark)
+    return spark.read.format(kind).load(path)
+
+
+@query("""SELECT sha, author, strftime(date, '%Y-%m-%d') AS date, subject, 'of ' || author AS body FROM commits""")
+def a5_commit_log_files(spark, sf):
+    line = F.concat_ws("\x1f", "sha", F.concat(F.lit(" "), "author"), F.date_format("date", "yyyy-MM-dd"), "subject", F.concat(F.lit("of "), "author"))
+    return _exported(A.commits(spark, sf).select(line), "commit_log").drop("file")
+
+
+@query("""SELECT DISTINCT sha || '00000000' AS sha, path FROM changes WHERE path LIKE '%.py'""")
+def a6_name_log_files(spark, sf):
+    own = A.changes(spark, sf).groupBy("sha").agg(F.array_join(F.array_sort(F.collect_set(F.replace("path", F.lit("/"), F.lit("\\")))), "\n").alias("names"))
+    return _exported(own.select(F.concat("sha", F.lit("00000000\n\n"), "names")), "name_log").where(F.col("path").endswith(".py")).drop("file")
+
+
+@query("""SELECT sha || '00000000' AS sha, path, insertions, deletions FROM changes""")
+def a7_diff_stat_files(spark, sf):
+    c = A.changes(spark, sf)
+    line = F.concat(F.lit(" "), "path", F.lit(" | "), (F.col("insertions") + F.col("deletions")).cast("string"), F.lit(" "), F.expr("repeat('+', insertions)"), F.expr("repeat('-', deletions)"))
+    own = c.groupBy("sha").agg(F.array_join(F.collect_list(line), "\n").alias("lines"))
+    return _exported(own.select(F.concat("sha", F.lit("00000000\n"), "lines")), "diff_stat").drop("file")
+
+
+@query("""SELECT 'a' || o_custkey AS author, sha1(o_orderkey::VARCHAR) AS sha, o_orderkey::INT AS line, o_orderpriority AS code FROM orders""")
+def a8_blame_files(spark, sf):
+    key = F.col("o_orderkey").cast("string")
+    one = F.concat(F.sha1(key), F.lit(" 1 "), key, F.lit(" 1\nauthor a"), F.col("o_custkey").cast("string"), F.lit("\nsummary x\n\t"), "o_orderpriority")
+    return _exported(table(spark, sf, "orders").select(one), "blame").drop("file")
+
+
 @query("""SELECT doc_id, CASE WHEN len(l) > 5 THEN array_to_string(l[1:5], chr(10)) || chr(10) || '... (' || (len(l) - 5) || ' lines omitted)' ELSE text END AS shown
 FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents)""")
 def a9_diff_truncation(spark, sf):
