@@ -29,8 +29,8 @@ SEED = 42
 #: Least Jaccard similarity of a link, as a fraction.
 SIMILAR = (4, 5)
 BANDS, ROWS = 40, 4
-#: A bucket with more members is compared block against block, in as many tasks.
-BLOCK = 256
+#: A bucket with more members, or more hashes in their sets, is compared block against block, in as many tasks.
+BLOCK, HASHES = 256, 1 << 20
 #: Odd multipliers, a MinHash each.
 FACTORS = np.random.default_rng(SEED).integers(1 << 62, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -51,19 +51,27 @@ def bands(own: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(raw)]
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted sets have at least SIMILAR of their union in common."""
+def similar(sets: list[np.ndarray], first: int = 0) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, j): for each set i, those sets j before it with which it has at least SIMILAR of their union in common.
+
+    Sets are sorted and not empty. With `first`, those from it on are held against the ones before it alone.
+    """
     over, under = SIMILAR
-    if min(len(a), len(b)) * under < over * max(len(a), len(b)):
-        return False
-    small, large = (a, b) if len(a) <= len(b) else (b, a)
-    at = np.searchsorted(large, small)
-    common = int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(large) else 0
-    return common * under >= over * (len(a) + len(b) - common)
+    sizes = np.array([len(s) for s in sets])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    number, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.zeros(len(number), bool)
+    for i in range(max(first, 1), len(sets)):
+        n = first or i
+        mine = ids[starts[i] : starts[i + 1]]
+        own[mine] = True
+        common = np.add.reduceat(own[ids[: starts[n]]], starts[:n], dtype=np.int64)
+        own[mine] = False
+        yield i, np.flatnonzero(common * under >= over * (sizes[:n] + sizes[i] - common))
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, keep: tuple) -> DataFrame:
-    """(doc_id, c, fp, bands, text, keep_...) per row; c names the class of equal sets, fp is a fingerprint of the text."""
+    """(doc_id, c, fp, n, bands, text, keep_...) per row; c names the class of equal sets of n hashes, fp is a fingerprint of the text."""
     kept = [F.col(c).alias(f"keep_{c}") for c in keep]
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *kept)
     more = [f for f in source.schema if f.name.startswith("keep_")]
@@ -74,11 +82,12 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, keep: tuple) -
             prints, sets = pa.array(map(majority, hashes), pa.int64()), list(map(np.unique, hashes))
             names = [xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in sets]
             keys = pa.array([bands(s) for s in sets], pa.list_(pa.int64()))
-            columns = [part.column("doc_id"), pa.array(names, pa.int64()), prints, keys, part.column("text"), *[part.column(f.name) for f in more]]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "c", "fp", "bands", "text", *[f.name for f in more]])
+            sizes = pa.array(map(len, sets), pa.int64())
+            columns = [part.column("doc_id"), pa.array(names, pa.int64()), prints, sizes, keys, part.column("text"), *[part.column(f.name) for f in more]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "c", "fp", "n", "bands", "text", *[f.name for f in more]])
 
     kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in more)
-    return source.mapInArrow(run, f"doc_id long, c long, fp long, bands array<long>, text string{kinds}")
+    return source.mapInArrow(run, f"doc_id long, c long, fp long, n long, bands array<long>, text string{kinds}")
 
 
 def _compare(rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -103,9 +112,17 @@ def _compare(rows: DataFrame, sets: DataFrame) -> DataFrame:
         def links(cross: bool) -> Iterator[tuple]:
             for _, c, label, _ in held:
                 join((1, c), (0, label))
-            for i, (own, c, _, mine) in enumerate(held):
-                for other, d, _, theirs in held[:i]:
-                    if not (cross and own == other) and root((1, c)) != root((1, d)) and similar(mine, theirs):
+            if len({root((1, c)) for _, c, _, _ in held}) == 1:
+                return
+            held.sort(key=lambda row: row[0])
+            first = sum(row[0] == held[0][0] for row in held) if cross else 0
+            if first == len(held):
+                return
+            for i, like in similar([row[3] for row in held], first):
+                c = held[i][1]
+                for j in like.tolist():
+                    d = held[j][1]
+                    if root((1, c)) != root((1, d)):
                         join((1, c), (1, d))
                         yield c, d
 
@@ -131,21 +148,21 @@ def _compare(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def links(classes: DataFrame, rows: DataFrame, size: int = 5, block: int = BLOCK) -> DataFrame:
-    """Links (u, v) between classes (c, bands, row) that keep all components; `rows` (row, c, text) has the numbered row of each.
+    """Links (u, v) between classes (c, n, bands, row) that keep all components; `rows` (row, c, text) has the numbered row of each.
 
-    First each block of a bucket is compared, with the bucket's smallest class in every block, so that what is like it
+    A bucket has a block for each `block` members and HASHES hashes. First each block of a bucket is compared, with the bucket's smallest class in every block, so that what is like it
     is joined by rows in proportion to the bucket. Only buckets of several blocks that aren't joined then have their blocks
     compared with each other.
     """
-    index = classes.select("c", F.explode("bands").alias("key"))
+    index = classes.select("c", F.col("n").alias("hashes"), F.explode("bands").alias("key"))
     shared = materialise(index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "copies-shared")
     every = materialise(index.join(shared, "key"), "copies-buckets")
-    sizes = every.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("c")).alias("x"), F.min("c").alias("least"), F.max("c").alias("most"))
+    sizes = every.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("c")).alias("x"), F.min("c").alias("least"), F.max("c").alias("most"), F.sum("hashes").alias("hashes"))
     # one key for each set of members
-    kept = materialise(sizes.groupBy("n", "x", "least", "most").agg(F.min("key").alias("key")), "copies-kept")
-    parts = F.ceil(F.col("n") / block).cast("int")
+    parts = F.greatest(F.ceil(F.col("n") / block), F.least(F.ceil(F.col("hashes") / HASHES), F.col("n"))).cast("int")
+    kept = materialise(sizes.groupBy("n", "x", "least", "most", "hashes").agg(F.min("key").alias("key")).withColumn("parts", parts), "copies-kept")
     members = materialise(
-        every.join(kept.select("key", "n", "least"), "key").select("key", "c", "least", parts.alias("parts"))
+        every.join(kept.select("key", "parts", "least"), "key").select("key", "c", "least", "parts")
         .withColumn("own", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")), "copies-members",
     )
 
@@ -158,7 +175,7 @@ def links(classes: DataFrame, rows: DataFrame, size: int = 5, block: int = BLOCK
     wanted = locators.write(classes.join(members.select("c").distinct(), "c").select("row"), "copies-wanted")
     sets = materialise(locators.pick(rows.select("row", "c", "text"), wanted).select("c", "text").mapInArrow(hashed, "c long, hashes binary"), "copies-sets")
     stars = members.select("key", F.col("own").alias("a"), F.col("own").alias("b"), "own", "c", F.col("c").alias("label"))
-    hubs = kept.where(F.col("n") > block).select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("a"), F.col("least").alias("c"))
+    hubs = kept.where("parts > 1").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("a"), F.col("least").alias("c"))
     hubs = hubs.select("key", "a", F.col("a").alias("b"), F.col("a").alias("own"), "c", F.col("c").alias("label"))
     first = materialise(_compare(stars.unionByName(hubs), sets), "copies-links")
     crowded = members.where("parts > 1")
@@ -176,12 +193,12 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, block: int,
     """The rows, numbered and written down with their class c, and (c, component_id)."""
     rows = materialise(locators.with_rows(_sets(docs, id_col, text_col, size, keep)), "copies-rows")
     # rows of one class have the same bands; one of them stands for all
-    found = materialise(rows.groupBy("c").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.min("row").alias("row")), "copies-sets-of-rows")
+    found = materialise(rows.groupBy("c").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("bands").alias("bands"), F.min("row").alias("row")), "copies-sets-of-rows")
     named = materialise(components(found.select("fp").distinct()), "copies-simhash")
     # a group of fingerprints is a bucket as a band is
     key = F.xxhash64(F.lit("simhash"), F.coalesce("component", "fp"))
     classes = found.join(named, "fp", "left").withColumn("bands", F.when(F.size("bands") > 0, F.concat("bands", F.array(key))).otherwise(F.col("bands")))
-    classes = materialise(classes.select("c", "least", "bands", "row"), "copies-classes")
+    classes = materialise(classes.select("c", "least", "n", "bands", "row"), "copies-classes")
     edges = materialise(links(classes, rows, size, block), "copies-edges")
     labels = connected_components(edges).withColumnRenamed("id", "c")
     whole = materialise(classes.select("c", "least").join(labels, "c", "left").withColumn("component", F.coalesce("component", "c")), "copies-whole")
@@ -206,5 +223,5 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = materialise(own, "copies-rows-of-groups")
     copies = materialise(own.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("copy")).where("copy").select("doc_id"), "copies")
     gone = locators.write(own.join(copies, "doc_id").select("row"), "copies-gone")
-    kept = locators.pick(rows.drop("c", "fp", "bands"), gone, listed=False)
+    kept = locators.pick(rows.drop("c", "fp", "n", "bands"), gone, listed=False)
     return kept.select("doc_id", "text", *[F.col(f"keep_{c}").alias(c) for c in keep])

@@ -44,8 +44,25 @@ def test_groups_match_brute_force(spark, block):
 
 def test_limits_of_similarity():
     a = np.arange(100, dtype=np.uint64)
-    assert nearcopies.similar(a, a[:80]) and not nearcopies.similar(a, a[:79])
-    assert nearcopies.similar(a[:0], a[:0]) and not nearcopies.similar(a, a[:0])
+    sets = [a, a[:80], a[:79], a[50:]]
+    assert {i: j.tolist() for i, j in nearcopies.similar(sets)} == {1: [0], 2: [1], 3: []}
+    assert {i: j.tolist() for i, j in nearcopies.similar([a[:80], a[:79], a, a[:79]], 2)} == {2: [0], 3: [0, 1]}
+
+
+def test_sets_of_many_hashes_are_dealt_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "HASHES", 300)
+    rows = texts()
+    got = nearcopies.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=repr) == brute(rows)
+
+
+def test_copies_of_a_very_long_text(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(50000)]
+    long = " ".join(rng.choice(words, 1_500_000))
+    rows = [(1, long), (2, f"{long} more words"), (3, " ".join(rng.choice(words, 200_000))), (4, long[: len(long) // 2])]
+    got = nearcopies.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 1), (3, 3), (4, 4)]
 
 
 def test_pipeline_drops_copies_that_many_bits_tell_apart(spark):
