@@ -20,6 +20,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from cairn.functions.arrow import filesystem
 from cairn.operators.chunks import chunk
+from cairn.operators.ranking import numbered
 from cairn.operators.upsert import diff, replace_sources
 from cairn.session import materialise
 
@@ -190,16 +191,16 @@ def admit(times: list[float], start: float | None, count: int, window: float, li
     return passed, start, count
 
 
-#: Windows that one block of a batch's calls spans.
-SPAN = 24
+#: Calls of a tool that one block holds.
+CALLS = 1 << 16
 #: The start of no window yet, and a time after all others.
 NEVER, LAST = -(1 << 62), (1 << 63) - 1
 
 
-def _leads(at: np.ndarray, low: int, window: int) -> pd.DataFrame:
-    """(at, start, count): a window that ends by `at`, and after the row before, is followed in the block by others, of which
-    the last begins at `start` with `count` of the block's calls. The row of LAST is for a window that outlasts the block."""
-    near = int(np.searchsorted(at, low + window)) + 1  # an earlier block's window ends before low + window
+def _leads(at: np.ndarray, window: int) -> pd.DataFrame:
+    """(at, start, count) of a block's calls: a window that ends by `at`, and after the row before, is followed in the block by others, of which
+    the last begins at `start` with `count` of the block's calls. The row of LAST is for a window that outlasts the block; there is none where no window can."""
+    near = int(np.searchsorted(at, at[0] + window)) + 1  # an earlier block's window begins by at[0]
     times, last = np.unique(at[:near], return_index=True)
     while True:
         after = np.searchsorted(at, at[last] + window)
@@ -207,7 +208,8 @@ def _leads(at: np.ndarray, low: int, window: int) -> pd.DataFrame:
             break
         last = np.where(after < len(at), after, last)
     keep = np.append(last[1:] != last[:-1], True)
-    return pd.DataFrame({"at": [*times[keep], LAST], "start": [*at[last[keep]], NEVER], "count": [*(len(at) - last[keep]), len(at)]})
+    on = [[LAST], [NEVER], [len(at)]] if near > len(at) else [[], [], []]
+    return pd.DataFrame({"at": [*times[keep], *on[0]], "start": [*at[last[keep]], *on[1]], "count": [*(len(at) - last[keep]), *on[2]]}, dtype="int64")
 
 
 #: Parts that a group of the tree of blocks has.
@@ -230,13 +232,13 @@ def _parts(rows: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray, np
         yield int(n), *(c[a:b] for c in columns)
 
 
-def rate_limit(calls: DataFrame, window: float, limit: int, fan: int = FAN) -> DataFrame:
-    """(event_id, tool, allowed) of a batch of calls (event_id, tool, ts), per tool in order of time.
+def rate_limit(calls: DataFrame, window: float, limit: int, fan: int = FAN, block: int = CALLS) -> DataFrame:
+    """(event_id, tool, allowed) of a batch of calls (event_id, tool, ts), per tool in order of time and event_id.
 
-    Tools are few and may hold any share of the calls, so they are cut into blocks of SPAN windows' time. Each block says where
+    Tools are few and may hold any share of the calls, in moments too, so each tool's calls are numbered and cut into blocks of as many calls. Each block says where
     the windows that can enter it lead. What several blocks do one after the other can be said in the same form, so `fan` at a time are put
     together, up to one group a tool; from there down each part is told the window it begins in, and the
-    blocks are then decided apart. No group has more than `fan` parts. A call without a time has a window to itself.
+    blocks are then decided apart. No group has more than `fan` parts, nor more rows of each than there are different times in a window. A call without a time has a window to itself.
     """
     step = math.ceil(round(window * 1e6, 3))
     own = calls.select("event_id", "tool", F.coalesce(F.concat(F.lit("="), F.col("tool").cast("string")), F.lit("")).alias("key"), F.unix_micros("ts").alias("at"))
@@ -244,20 +246,25 @@ def rate_limit(calls: DataFrame, window: float, limit: int, fan: int = FAN) -> D
     alone = alone.select("event_id", "tool", F.lit(limit > 0).alias("allowed"))
     if step <= 0:
         return alone
-    width = step * SPAN
-    timed = own.where("at is not null")
-    first, last = timed.agg(F.min("at"), F.max("at")).first()
-    if first is None:
+    timed = numbered(materialise(own.where("at is not null"), "calls"), ["at", "event_id"], "key", "calls")
+    blocks = materialise(timed.withColumn("part", F.expr(f"position div {block}L")), "calls-blocks")
+    most = blocks.agg(F.max("part")).first()[0]
+    if most is None:
         return alone
-    blocks = timed.withColumn("part", F.expr(f"(at - {first}L) div {width}L"))
 
     def lead(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return _leads(np.sort(rows["at"].to_numpy()), first + key[1] * width, step).assign(key=key[0], part=key[1])[["key", "part", "at", "start", "count"]]
+        return _leads(np.sort(rows["at"].to_numpy()), step).assign(key=key[0], part=key[1])[["key", "part", "at", "start", "count"]]
 
     def put_together(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         (_, at, start, count), *others = _parts(rows)
         for _, *other in others:
+            onto = at[-1] == LAST  # windows that outlast what came before meet this part's calls
+            if onto:
+                at, start, count, held = at[:-1], start[:-1], count[:-1], count[-1]
             start, count = _after(*other, start, count, step)
+            if onto:
+                at, start = np.append(at, other[0]), np.append(start, other[1])
+                count = np.append(count, other[2] + np.where(other[1] == NEVER, held, 0))
             keep = np.append((start[1:] != start[:-1]) | (count[1:] != count[:-1]), True)
             at, start, count = at[keep], start[keep], count[keep]
         return pd.DataFrame({"key": key[0], "part": key[1], "at": at, "start": start, "count": count})
@@ -270,7 +277,7 @@ def rate_limit(calls: DataFrame, window: float, limit: int, fan: int = FAN) -> D
         return pd.DataFrame(found, columns=["key", "part", "start", "count"])
 
     def decide(rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "event_id"])
+        rows = rows.sort_values("position")
         at, rank, begin = rows["at"].to_numpy(), np.arange(len(rows)) + int(entry["count"].iloc[0]), int(entry["start"].iloc[0])
         while (i := int(np.searchsorted(at, begin + step))) < len(at):
             rank[i:] = np.arange(len(at) - i)
@@ -279,7 +286,7 @@ def rate_limit(calls: DataFrame, window: float, limit: int, fan: int = FAN) -> D
 
     row, entry = "key string, part long, at long, start long, count long", "key string, part long, start long, count long"
     above = F.expr(f"part div {fan}L").alias("above")
-    tree, n = [materialise(blocks.select("key", "part", "at").groupBy("key", "part").applyInPandas(lead, row), "leads")], (last - first) // width + 1
+    tree, n = [materialise(blocks.select("key", "part", "at").groupBy("key", "part").applyInPandas(lead, row), "leads")], most + 1
     while n > fan:
         tree.append(materialise(tree[-1].groupBy("key", above).applyInPandas(put_together, row), "leads"))
         n = -(-n // fan)
@@ -288,7 +295,7 @@ def rate_limit(calls: DataFrame, window: float, limit: int, fan: int = FAN) -> D
         begun = entries.withColumnRenamed("part", "above").groupBy("key", "above")
         entries = tree.pop().groupBy("key", above).cogroup(begun).applyInPandas(lambda rows, at: tell(rows, int(at["start"].iloc[0]), int(at["count"].iloc[0])), entry)
     kind = calls.schema["tool"].dataType.simpleString()
-    done = blocks.groupBy("key", "part").cogroup(entries.groupBy("key", "part")).applyInPandas(decide, f"event_id long, tool {kind}, allowed boolean")
+    done = blocks.drop("total").groupBy("key", "part").cogroup(entries.groupBy("key", "part")).applyInPandas(decide, f"event_id long, tool {kind}, allowed boolean")
     return done.unionByName(alone)
 
 

@@ -147,16 +147,19 @@ def test_rate_limit_of_dense_calls_is_cut_into_blocks(spark):
         rows.append((i, "hot" if i % 40 else None, dt.datetime.fromtimestamp(t, dt.timezone.utc), True))
     frame = spark.createDataFrame(rows, SCHEMA)
     for window, limit in ((60, 3), (60, 15), (7.5, 2)):
-        found = live.rate_limit(frame, window, limit)
-        assert {r.event_id: r.allowed for r in found.collect()} == loop(rows, window, limit)
-    assert "FlatMapCoGroupsInPandas" in found._jdf.queryExecution().toString()
-    tool = sum(r[1] == "hot" for r in rows)
-    sizes = frame.where("tool = 'hot'").groupBy(F.floor(F.unix_micros("ts") / (60e6 * live.SPAN))).count().collect()
-    assert max(r["count"] for r in sizes) < tool / 10
+        for block in (live.CALLS, 250):
+            assert {r.event_id: r.allowed for r in live.rate_limit(frame, window, limit, block=block).collect()} == loop(rows, window, limit)
     odd = spark.createDataFrame([(1, "a", None, True), (2, "a", None, True), (3, "a", rows[0][2], True), (4, "a", rows[0][2], True)], SCHEMA)
     assert {r.event_id: r.allowed for r in live.rate_limit(odd, 60, 1).collect()} == {1: True, 2: True, 3: True, 4: False}
 
 
+def test_rate_limit_of_calls_of_one_moment(spark):
+    at = lambda s: dt.datetime.fromtimestamp(1e9 + s, dt.timezone.utc)
+    rows = [(i, "hot", at(0 if i < 700 else 30 if i < 900 else 60), True) for i in range(1000)]
+    got = live.rate_limit(spark.createDataFrame(rows, SCHEMA).repartition(5), 60, 60, block=50).collect()
+    assert {r.event_id for r in got if r.allowed} == {*range(60), *range(900, 960)} and len(got) == 1000
+
+
 def test_rate_limit_folds_a_tool_in_a_tree(spark):
     rng = random.Random(3)
     t, rows = -2e5, []
@@ -165,9 +168,9 @@ def test_rate_limit_folds_a_tool_in_a_tree(spark):
         t += rng.choice([0, 1, 4, 9]) if i % 500 else 2e4
         rows.append((i, "hot" if i % 9 else "rare", dt.datetime.fromtimestamp(t, dt.timezone.utc), True))
     frame = spark.createDataFrame(rows, SCHEMA)
-    assert (rows[-1][2] - rows[0][2]).total_seconds() / (20 * live.SPAN) > 4 * 4 * 4  # blocks, for a tree of four levels
-    for fan in (2, 4, live.FAN):
-        assert {r.event_id: r.allowed for r in live.rate_limit(frame, 20, 2, fan).collect()} == loop(rows, 20, 2)
+    # up to 4000 / 40 blocks, for trees of up to seven levels; blocks shorter than a window
+    for fan, block in ((2, 40), (4, 7), (live.FAN, 40)):
+        assert {r.event_id: r.allowed for r in live.rate_limit(frame, 20, 2, fan, block).collect()} == loop(rows, 20, 2)
     assert live.rate_limit(frame.limit(0), 20, 2).count() == 0
 
 
