@@ -28,6 +28,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.functions.arrow import trim
 from cairn.llm import files
 from cairn.llm.texts import alnum, alnum_words, slices
 from cairn.session import materialise, scratch
@@ -262,8 +263,8 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*parts, raw[at:]]).decode()
 
 
-def _search(batches: Iterator[pa.RecordBatch], uris: list[str], size: int, shard_words: int, longest: int) -> Iterator[pa.RecordBatch]:
-    """Adds n_words, n_hit, spans and items to the rows."""
+def _search(batches: Iterator[pa.RecordBatch], uris: list[str], size: int, shard_words: int, longest: int, cut: bool = False) -> Iterator[pa.RecordBatch]:
+    """Adds n_words, n_hit, spans and items to the rows; `cut` takes the spans out of the texts."""
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     rows: list[pa.RecordBatch] = []
     counts: list[int] = []
@@ -287,6 +288,10 @@ def _search(batches: Iterator[pa.RecordBatch], uris: list[str], size: int, shard
                 hit[k] += b - a
             for k, item in np.unique(np.concatenate([h[3] for h in hits], axis=1), axis=1).T.tolist():
                 items[k].append(item)
+        if cut and hits:
+            own = zip(table.column("text").to_pylist(), spans)
+            texts = [cut_words(t, [(s["start"], s["end"]) for s in x]) if x else t for t, x in own]
+            table = table.set_column(table.schema.get_field_index("text"), "text", pa.array(texts, table.schema.field("text").type))
         (batch,) = table.to_batches(max_chunksize=max(1, table.num_rows))
         columns = [pa.array(counts, pa.int64()), pa.array(hit, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.int64()))]
         return pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "n_words", "n_hit", "spans", "items"])
@@ -307,17 +312,21 @@ def _search(batches: Iterator[pa.RecordBatch], uris: list[str], size: int, shard
         if total >= shard_words or len(counts) >= SHARD_ROWS or held >= SHARD_BYTES:
             yield done()
             rows, counts, hits, total, held = [], [], [], 0, 0
+            trim()
     if rows:
         yield done()
 
 
-def find(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", phrase_col: str = "text", keep: tuple = (), shard_words: int = SHARD_WORDS, block_rows: int = BLOCK_ROWS, longest: int = LONGEST) -> DataFrame:
-    """(doc_id, text, *keep, n_words, n_hit, spans, items) per row; spans are merged word ranges."""
+def find(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", phrase_col: str = "text", keep: tuple = (), shard_words: int = SHARD_WORDS, block_rows: int = BLOCK_ROWS, longest: int = LONGEST, cut: bool = False) -> DataFrame:
+    """(doc_id, text, *keep, n_words, n_hit, spans, items) per row; spans are merged word ranges of the text as it came.
+
+    `cut` takes them out of the text, as `remove` does later, in the worker that found them.
+    """
     uris = write_phrases(benchmark, size, item_col, phrase_col, block_rows, longest)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
     added = "n_words bigint, n_hit bigint, spans array<struct<start:bigint,end:bigint>>, items array<bigint>"
-    found = source.mapInArrow(lambda it: _search(it, uris, size, shard_words, longest), f"{schema}, {added}")
+    found = source.mapInArrow(lambda it: _search(it, uris, size, shard_words, longest, cut), f"{schema}, {added}")
     return found.select("doc_id", "text", *[F.col(f"keep_{c}").alias(c) for c in keep], "n_words", "n_hit", "spans", "items")
 
 

@@ -57,8 +57,11 @@ def _among(rows: np.ndarray, folder: str) -> np.ndarray:
     return found
 
 
-def pick(table: DataFrame, folder: str, listed: bool = True) -> DataFrame:
-    """The rows of `table` (row, ...) whose numbers are listed in the folder, or else those that aren't."""
+def pick(table: DataFrame, folder: str, listed: bool = True, then=None, schema: str | None = None) -> DataFrame:
+    """The rows of `table` (row, ...) whose numbers are listed in the folder, or else those that aren't.
+
+    `then` turns their batches into batches of `schema`, in the same worker.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,4 +69,4 @@ def pick(table: DataFrame, folder: str, listed: bool = True) -> DataFrame:
             if use.any():
                 yield batch.filter(pa.array(use))
 
-    return table.mapInArrow(run, table.schema)
+    return table.mapInArrow((lambda batches: then(run(batches))) if then else run, schema or table.schema)

@@ -173,7 +173,7 @@ def links(classes: DataFrame, rows: DataFrame, size: int = 5, block: int = BLOCK
 
     # the texts stay where they are: a task makes the sets of those of its rows that are listed
     wanted = locators.write(classes.join(members.select("c").distinct(), "c").select("row"), "copies-wanted")
-    sets = materialise(locators.pick(rows.select("row", "c", "text"), wanted).select("c", "text").mapInArrow(hashed, "c long, hashes binary"), "copies-sets")
+    sets = materialise(locators.pick(rows.select("row", "c", "text"), wanted, then=hashed, schema="c long, hashes binary"), "copies-sets")
     stars = members.select("key", F.col("own").alias("a"), F.col("own").alias("b"), "own", "c", F.col("c").alias("label"))
     hubs = kept.where("parts > 1").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("a"), F.col("least").alias("c"))
     hubs = hubs.select("key", "a", F.col("a").alias("b"), F.col("a").alias("own"), "c", F.col("c").alias("label"))

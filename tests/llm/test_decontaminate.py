@@ -68,6 +68,8 @@ def test_removal_leaves_no_hit(spark):
     frame, tests = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
     found = dc.find(frame, tests)
     clean = dc.remove(found).collect()
+    row = lambda r: (repr(r.doc_id), r.n_words, repr(r.text))
+    assert sorted(map(row, dc.find(frame, tests, cut=True).collect())) == sorted(map(row, clean))
     for r, (_, text) in zip(sorted(clean, key=lambda r: (repr(r.doc_id), r.n_words)), sorted(docs, key=lambda d: (repr(d[0]), len(words(d[1]))))):
         assert (r.text == text) if not r.n_hit else len(words(r.text)) == r.n_words - r.n_hit
 
