@@ -46,7 +46,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts the passages of benchmark items out of the texts."""
     tests = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _with_text(decontaminate.remove(decontaminate.find(docs, tests, keep=("lang", "source"))), "text")
+    return _with_text(decontaminate.find(docs, tests, keep=("lang", "source"), cut=True), "text")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
