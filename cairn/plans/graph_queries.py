@@ -74,8 +74,10 @@ SELECT m.module, coalesce(d.doc < m.mtime, TRUE) AS stale FROM m LEFT JOIN d USI
 def c10_stale_groups(spark, sf):
     from cairn.operators.quality import stale_groups
 
-    rows = A.changes(spark, sf).join(A.commits(spark, sf), "sha").withColumn("module", F.split("path", "/")[1])
-    return stale_groups(rows.select("module", F.col("date").alias("mtime")), rows.where("intent = 'docs'").groupBy("module").agg(F.max("date").alias("mtime")))
+    docs = F.when(F.col("intent") == "docs", F.col("date"))
+    last = A.dated_folders(spark, sf).groupBy("module").agg(F.max("date").alias("mtime"), F.max(docs).alias("doc"))
+    last = materialise(last, "modules")
+    return stale_groups(last, last.where("doc is not null").select("module", F.col("doc").alias("mtime")))
 
 
 @query("SELECT DISTINCT part_doc AS doc FROM (SELECT unnest(source_docs) AS part_doc FROM kg_edges WHERE source = 'nation:1')")

@@ -387,3 +387,17 @@ def test_pruned_search_equals_a_full_scan(spark):
         assert 0 < scored <= pairs
     assert V.search(queries, built, 7)[1].select(F.col("scored") / F.col("pairs")).first()[0] < 0.35
     assert V.search(queries, V.build(index.limit(0)), 7)[0].count() == 0
+
+
+def test_stale_groups_shuffle_neither_hashes_nor_paths(spark, monkeypatch):
+    from cairn.plans import adapters as A
+    from cairn.plans import graph_queries
+
+    for name in ("changes", "commits"):
+        monkeypatch.setattr(A, name, None)
+    got = {(r.module, r.stale) for r in graph_queries.c10_stale_groups(spark, "/root/testdata/sf0.001").collect()}
+    monkeypatch.undo()
+    rows = A.changes(spark, "/root/testdata/sf0.001").join(A.commits(spark, "/root/testdata/sf0.001"), "sha").select(F.split("path", "/")[1].alias("module"), "date", "intent").collect()
+    newest = {m: max(r.date for r in rows if r.module == m) for m in {r.module for r in rows}}
+    docs = {m: max((r.date for r in rows if r.module == m and r.intent == "docs"), default=None) for m in newest}
+    assert got == {(m, docs[m] is None or docs[m] < newest[m]) for m in newest}
