@@ -117,7 +117,8 @@ def hops(seeds: DataFrame, edges: DataFrame, max_hops: int | None = None, direct
     """
     way = edges.select("source_id", "target_id")
     if not directed:
-        way = way.unionByName(edges.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id")))
+        # by rows of both ways, as a union would make the edges twice
+        way = way.select(F.inline(F.array(F.struct("source_id", "target_id"), F.struct(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id")))))
     way = way.where("source_id is not null and target_id is not null")
     # one hop reads the edges once
     way = way if max_hops == 1 else materialise(way.distinct(), "hops-edges")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import text as T
@@ -150,13 +150,27 @@ def similar_mentions(words: DataFrame, labels: DataFrame, threshold: float = 0.7
     return similar(spoken, known, threshold, native)
 
 
-def find_entities(prose: DataFrame, labels: DataFrame, threshold: float = 0.75, enough: int = 3, native: bool = False) -> DataFrame:
+def label_classes(labels: DataFrame, first: int) -> tuple[DataFrame, DataFrame]:
+    """Ids that share all of their labels (id, label) are found by the same texts: one row a label of each such class, and the classes.
+
+    A class is named by its smallest id. The labels are (id, label), the classes (id, n, ids): how many ids it has, and the `first` smallest.
+    So texts meet classes, and copies of a label need not be multiplied with the texts that mention it.
+    """
+    sets = materialise(labels.groupBy("id").agg(F.array_sort(F.collect_set("label")).alias("labels")).where(F.size("labels") > 0), "label-sets")
+    smallest = sets.withColumn("k", F.row_number().over(Window.partitionBy("labels").orderBy("id"))).where(F.col("k") <= first)
+    ids = smallest.groupBy("labels").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    classes = materialise(sets.groupBy("labels").agg(F.min("id").alias("id"), F.count("*").alias("n")).join(ids, "labels"), "label-classes")
+    return classes.select("id", F.explode("labels").alias("label")), classes.select("id", "n", "ids")
+
+
+def find_entities(prose: DataFrame, labels: DataFrame, threshold: float = 0.75, enough: int = 3, native: bool = False, classes: DataFrame | None = None) -> DataFrame:
     """(doc_id, id, confidence): exact mentions at 1.0; texts with fewer than `enough` also get similar ones.
 
-    Of similar words the first in the text counts; `native` as for `similar_mentions`.
+    Of similar words the first in the text counts; `native` as for `similar_mentions`. With `classes` (id, n), an id of `labels` stands for n.
     """
     exact = materialise(mentions(prose, labels), "mentions").withColumn("confidence", F.lit(1.0))
-    rich = exact.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") >= enough).select("doc_id")
+    counted = exact.join(classes.select("id", "n"), "id") if classes is not None else exact.withColumn("n", F.lit(1))
+    rich = counted.groupBy("doc_id").agg(F.sum("n").alias("n")).where(F.col("n") >= enough).select("doc_id")
     poor = prose.join(rich, "doc_id", "left_anti")
     bare = F.regexp_replace(F.lower("w"), "^[.,;:!?()]+|[.,;:!?()]+$", "")
     spoken = poor.select("doc_id", F.posexplode(F.split("text", "\\s+")).alias("pos", "w")).select("doc_id", "pos", bare.alias("word")).where(F.length("word") >= 3)

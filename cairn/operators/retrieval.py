@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from cairn.functions.arrow import read_block
-from cairn.session import block_files
+from cairn.session import block_files, materialise
 
 #: Queries in a block, bytes of vectors of the index that meet all blocks at once, and rows of them that are scored at a time.
 QUERY_BLOCK, SLAB_BYTES, SCORED = 1024, 64 << 20, 2048
@@ -162,15 +162,23 @@ def boost(hits: DataFrame, near: DataFrame, factor: float = 0.3) -> DataFrame:
     return hits.join(closest, ["query_id", "source"], "left").withColumns({"boosted": F.when(F.col("hop").isNotNull(), lifted).otherwise(base), "graph_boosted": F.col("hop").isNotNull()})
 
 
-def hybrid(queries: DataFrame, index: DataFrame, entities: DataFrame, edges: DataFrame, sources: DataFrame, k: int, max_hops: int = 2, seeds: int = 5) -> DataFrame:
+def _top(entities: DataFrame, seeds: int, classes: DataFrame | None) -> DataFrame:
+    """(query_id, id, confidence): the best `seeds` entities of each query. With `classes` (id, ids), an entity stands for all ids of its class, of which `ids` are the first."""
+    if classes is not None:
+        entities = entities.join(classes.select("id", F.slice("ids", 1, seeds).alias("ids")), "id").withColumn("id", F.explode("ids"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("confidence"), "id"))
+    return materialise(entities.select("query_id", "id", "confidence").withColumn("n", rank).where(F.col("n") <= seeds).drop("n"), "entities")
+
+
+def hybrid(queries: DataFrame, index: DataFrame, entities: DataFrame, edges: DataFrame, sources: DataFrame, k: int, max_hops: int = 2, seeds: int = 5, classes: DataFrame | None = None) -> DataFrame:
     """Hierarchical hits, boosted where a source is near the query's entities, best first.
 
     `entities` (query_id, id, confidence), `edges` (source_id, target_id), `sources` (id, source). Queries
-    without a vector hit get one row that stands for the graph, score 0.5.
+    without a vector hit get one row that stands for the graph, score 0.5. With `classes` (id, n, ids; at least `seeds` ids each), entities are classes of ids.
     """
     from cairn.operators.graph import hops
 
-    top = entities.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("confidence"), "id"))).where(F.col("n") <= seeds)
+    top = _top(entities, seeds, classes)
     around = hops(top.select(F.col("id").alias("seed")), edges, max_hops)
     near = top.select("query_id", F.col("id").alias("seed")).join(around, "seed").join(sources, "id").select("query_id", "source", "hop")
     hits = boost(hierarchical(queries, index, k), near)
@@ -181,15 +189,19 @@ def hybrid(queries: DataFrame, index: DataFrame, entities: DataFrame, edges: Dat
     return ranked.unionByName(bare.select("query_id", F.lit("knowledge_graph").alias("source"), F.lit(None).cast(kind).alias("id"), F.lit(0.5).alias("score"), F.lit(False).alias("graph_boosted"), F.lit(1).alias("rank")))
 
 
-def entity_search(entities: DataFrame, edges: DataFrame, threshold: float = 0.6, seeds: int = 3) -> DataFrame:
-    """(query_id, matches, neighbours): entities above the threshold, and nodes within a hop of the best."""
+def entity_search(entities: DataFrame, edges: DataFrame, threshold: float = 0.6, seeds: int = 3, classes: DataFrame | None = None) -> DataFrame:
+    """(query_id, matches, neighbours): entities above the threshold, and nodes within a hop of the best.
+
+    With `classes` (id, n, ids; at least `seeds` ids each), entities are classes of ids, of which all count.
+    """
     from cairn.operators.graph import hops
 
-    own = entities.where(F.col("confidence") >= threshold)
-    top = own.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("confidence"), "id")))
-    near = hops(top.where(F.col("n") <= seeds).select(F.col("id").alias("seed")), edges, 1).where("hop = 1")
-    count = top.where(F.col("n") <= seeds).select("query_id", F.col("id").alias("seed")).join(near, "seed").groupBy("query_id").agg(F.count_distinct("id").alias("neighbours"))
-    return own.groupBy("query_id").agg(F.count("*").alias("matches")).join(count, "query_id", "left").withColumn("neighbours", F.coalesce("neighbours", F.lit(0)))
+    own = materialise(entities.where(F.col("confidence") >= threshold), "entities")
+    top = _top(own, seeds, classes)
+    near = hops(top.select(F.col("id").alias("seed")), edges, 1).where("hop = 1")
+    count = top.select("query_id", F.col("id").alias("seed")).join(near, "seed").groupBy("query_id").agg(F.count_distinct("id").alias("neighbours"))
+    counted = own.join(classes.select("id", "n"), "id") if classes is not None else own.withColumn("n", F.lit(1))
+    return counted.groupBy("query_id").agg(F.sum("n").alias("matches")).join(count, "query_id", "left").withColumn("neighbours", F.coalesce("neighbours", F.lit(0)))
 
 
 def subgraph_lines(edges: DataFrame, near: DataFrame, per_node: int = 3, most: int = 50) -> DataFrame:

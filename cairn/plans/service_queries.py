@@ -255,8 +255,9 @@ def l6_entity_search(spark, sf):
     name = F.col("p_name")
     text = F.concat(F.lit("where are "), F.replace(name, F.lit(" "), F.lit("")), F.lit(", "), F.left(name, F.lit(4)), F.lit("s and "), F.replace(name, F.lit(" "), F.lit("_")), F.lit(" kept"))
     asked = table(spark, sf, "part").join(_vectors(spark, sf)[0], F.col("p_partkey") == F.col("query_id")).select(F.col("query_id").alias("doc_id"), text.alias("text"))
-    found = GR.find_entities(asked, A.nodes(spark, sf).select("id", F.col("name").alias("label")), 0.6, native=True)
-    return R.entity_search(found.withColumnRenamed("doc_id", "query_id"), A.edges(spark, sf))
+    labels, classes = GR.label_classes(A.nodes(spark, sf).select("id", F.col("name").alias("label")), 3)
+    found = GR.find_entities(asked, labels, 0.6, native=True, classes=classes)
+    return R.entity_search(found.withColumnRenamed("doc_id", "query_id"), A.edges(spark, sf), classes=classes)
 
 
 @query(f"WITH {SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s), c AS (SELECT *, CASE WHEN label = 3 THEN 2.0 - score ELSE score END AS final FROM r JOIN embeddings ON vec_id = id WHERE rank <= 10), f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, id)::INT AS place FROM c) SELECT query_id, id, place AS rank, round(final, 4) AS score FROM f WHERE place <= 5")

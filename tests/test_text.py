@@ -78,6 +78,25 @@ def test_entities(spark):
     assert got == {(1, "1"): 1.0, (1, "2"): round(10 / 12, 3)}
 
 
+
+def test_copies_of_a_label_are_one_class(spark, tmp_path):
+    from cairn.operators import retrieval as R
+
+    names = [("Billing Service",), ("ledger",), ("ledger", "Billing Service"), ("cart",), ("ab",), (None,)]
+    labels = spark.createDataFrame([(f"n{k}", name) for k in range(600) for name in names[k % 6]], "id string, label string")
+    prose = spark.createDataFrame([(1, "The billing service writes ledgre, ab."), (2, "nothing"), (3, "a kart and a ledger")], "doc_id int, text string")
+    edges = spark.createDataFrame([(f"n{k}", f"n{k * 7 % 600}") for k in range(600)], "source_id string, target_id string")
+    named, classes = GR.label_classes(labels, 3)
+    assert {(r.n, *r.ids) for r in classes.collect()} == {(100, *sorted(f"n{k}" for k in range(m, 600, 6))[:3]) for m in range(5)}
+    for enough in (3, 201):
+        few = GR.find_entities(prose, named, 0.6, enough, native=True, classes=classes).withColumnRenamed("doc_id", "query_id")
+        every = GR.find_entities(prose, labels, 0.6, enough, native=True).withColumnRenamed("doc_id", "query_id")
+        assert few.count() * 100 == every.count() > 300
+        want = {tuple(r) for r in R.entity_search(every, edges).collect()}
+        assert {tuple(r) for r in R.entity_search(few, edges, classes=classes).collect()} == want
+        assert {tuple(r) for r in R._top(few, 3, classes).collect()} == {tuple(r) for r in R._top(every, 3, None).collect()}
+
+
 PROGRAMS = {
     "a.java": "import java.util.List;\npublic class Cart extends Base implements Shop {\n    private int total = 0;\n    public void add(int x) {\n        log(x);\n    }\n    public int sum() {\n        return total;\n    }\n}\n",
     "a.py": "import os\nclass Cart(Base):\n    def add(self, x):\n        log(x)\n    def sum(self):\n        return 1\n",
