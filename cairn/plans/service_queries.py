@@ -238,9 +238,10 @@ def l5_hybrid(spark, sf):
     """Questions in words, whose entities are found in them; their vectors are the search's."""
     queries, index = _index(spark, sf)
     asked = _questions(spark, sf, "How does the $0 fit $1s, or ($2)?")
-    found = GR.find_entities(asked, A.nodes(spark, sf).select("id", F.col("name").alias("label")), 0.75)
+    labels, classes = GR.label_classes(A.nodes(spark, sf).select("id", F.col("name").alias("label")), 5)
+    found = GR.find_entities(asked, labels, 0.75, classes=classes)
     sources = index.select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("id"), "source")
-    hits = R.hybrid(queries, index, found.withColumnRenamed("doc_id", "query_id"), A.edges(spark, sf), sources, 8, max_hops=1)
+    hits = R.hybrid(queries, index, found.withColumnRenamed("doc_id", "query_id"), A.edges(spark, sf), sources, 8, max_hops=1, classes=classes)
     return hits.where("source <> 'knowledge_graph'").select("query_id", "id", "graph_boosted", F.round("score", 6).alias("score"))
 
 
