@@ -413,6 +413,10 @@ RISK = """SELECT sha, least(1.0::DOUBLE, round(score::VARCHAR::DECIMAL(30, 20),
   + least(0.4::DOUBLE, greatest(net, 0)::DOUBLE / 100 * 0.1::DOUBLE) AS score FROM (SELECT sha, count(*) AS n, bool_or(path LIKE '%.yaml') AS config, sum(insertions) - sum(deletions) AS net FROM changes GROUP BY 1))"""
 
 
+#: Commits that a file of the log holds.
+LOG_ROWS = 1 << 16
+
+
 @query(f"""WITH r AS ({RISK}), k AS (SELECT date::DATE::VARCHAR AS key, 'Changelog — ' || date::DATE::VARCHAR AS title, c.sha, author, date, subject, intent, modules, coalesce(risk, 0) AS risk_score,
   'Touches ' || len(modules) || ' modules' AS summary FROM commits c LEFT JOIN r ON c.sha = r.sha), {DIGEST_FILES}""")
 def n1_changelog(spark, sf):
@@ -425,7 +429,8 @@ def n1_changelog(spark, sf):
     stats = A.changes(spark, sf).groupBy("sha").agg(F.collect_list(stat).alias("stat"))
     line = F.concat_ws("\x1f", "sha", "author", F.col("date").cast("string"), "subject", F.lit(""))
     log = A.commits(spark, sf).join(stats, "sha", "left").select(line.alias("value"), F.coalesce("stat", F.array().cast("array<string>")).alias("stat"))
-    log.repartition(3, F.col("value")).write.parquet(f"{path}/log")
+    files = max(3, -(-table(spark, sf, "orders").count() // LOG_ROWS))
+    log.repartition(files, F.col("value")).write.parquet(f"{path}/log")
 
     def model(prompts):
         import json
@@ -437,7 +442,7 @@ def n1_changelog(spark, sf):
             out.append(json.dumps({"intent": kinds.get(subject[:1], "none"), "summary": f"Touches {len(modules)} modules", "modules_affected": modules}))
         return out
 
-    stream = live.read_files(spark, f"{path}/log", "value string, stat array<string>", 2)
+    stream = live.read_files(spark, f"{path}/log", "value string, stat array<string>", -(-files * 2 // 3))
     changelog.changelog_stream(stream, f"{path}/out", f"{path}/checkpoint", model).awaitTermination()
     return readers.read_digests(spark, f"{path}/out/digests").select(F.regexp_extract("path", r"(\d+/\d+/\d+\.md)$", 1).alias("file"), "body")
 

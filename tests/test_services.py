@@ -401,3 +401,16 @@ def test_stale_groups_shuffle_neither_hashes_nor_paths(spark, monkeypatch):
     newest = {m: max(r.date for r in rows if r.module == m) for m in {r.module for r in rows}}
     docs = {m: max((r.date for r in rows if r.module == m and r.intent == "docs"), default=None) for m in newest}
     assert got == {(m, docs[m] is None or docs[m] < newest[m]) for m in newest}
+
+
+def test_changelog_log_is_cut_by_number_of_commits(spark, tmp_path, monkeypatch):
+    """No task gathers a third of all commits; there still are two batches."""
+    from cairn.plans import service_queries as S
+
+    monkeypatch.setattr(S, "LOG_ROWS", 128)
+    monkeypatch.setattr(S, "scratch", lambda spark, name: f"{tmp_path}/{name}")
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    days = S.n1_changelog(spark, "/root/testdata/sf0.001").count()
+    assert days == orders.select(F.to_date("o_orderdate")).distinct().count()
+    assert len(list((tmp_path / "changelog" / "log").glob("part-*"))) == -(-orders.count() // 128) > 3
+    assert sorted(f.name for f in (tmp_path / "changelog" / "checkpoint" / "commits").iterdir() if not f.name.startswith(".")) == ["0", "1"]
