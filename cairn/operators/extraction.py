@@ -150,7 +150,8 @@ def extract(files: DataFrame, patterns: DataFrame | None = None) -> tuple[DataFr
     lines = files.select("path", T.language(F.col("path")).alias("language"), F.split("content", "\r?\n").alias("lines"))
     last = F.array_max(F.transform("lines", lambda x, i: F.when(F.trim(x) != "", i + 1)))
     # by itself, or each line would carry all lines of its file
-    lines = lines.withColumn("last", last).select("path", "language", "last", F.posexplode("lines").alias("pos", "line")).where(F.trim("line") != "")
+    # the outer form, as the other has its array tested first, by a filter that goes below a repartition and makes the texts there once more
+    lines = lines.withColumn("last", last).select("path", "language", "last", F.posexplode_outer("lines").alias("pos", "line")).where(F.trim("line") != "")
     bare = F.regexp_replace("line", "^\\s+", "")
     calls = F.filter(F.array_distinct(F.regexp_extract_all("line", F.lit(of_any_script(CALL)), 1)), lambda c: ~c.isin(*NOT_CALLS))
     events = lines.select(

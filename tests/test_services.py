@@ -414,3 +414,16 @@ def test_changelog_log_is_cut_by_number_of_commits(spark, tmp_path, monkeypatch)
     assert days == orders.select(F.to_date("o_orderdate")).distinct().count()
     assert len(list((tmp_path / "changelog" / "log").glob("part-*"))) == -(-orders.count() // 128) > 3
     assert sorted(f.name for f in (tmp_path / "changelog" / "checkpoint" / "commits").iterdir() if not f.name.startswith(".")) == ["0", "1"]
+
+
+def test_structure_makes_its_texts_after_they_are_dealt(spark, monkeypatch):
+    from cairn.operators import extraction as X
+    from cairn.plans import service_queries as S
+
+    plans, write = [], X.materialise
+    monkeypatch.setattr(X, "materialise", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, name))
+    files = spark.createDataFrame([("a.py", "one two"), ("b.py", None), ("c.md", ""), ("d.java", "x\n\ny z")], "path string, content string")
+    nodes, _ = X.extract(S.structured(files.repartition(3)))
+    assert {r.file_path for r in nodes.collect()} == {"a.py", "d.java"}
+    above, _, below = plans[0].partition("Repartition")
+    assert "regexp_replace(content" in above and "content" in below and "regexp_replace(content" not in below
