@@ -8,29 +8,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.session import materialise, scratch
+from cairn.session import by_key, materialise, scratch
 
 
 def callers(edges: DataFrame, nodes: DataFrame, relation: str = "calls") -> DataFrame:
     """(target_id, id, name, type) of the nodes that call each target."""
-    return edges.where(F.col("relation") == relation).join(nodes, F.col("source_id") == F.col("id")).select("target_id", "id", "name", "type")
+    return edges.where(F.col("relation") == relation).join(by_key(nodes), F.col("source_id") == F.col("id")).select("target_id", "id", "name", "type")
 
 
 def callees(edges: DataFrame, nodes: DataFrame, relation: str = "calls") -> DataFrame:
     """(source_id, id, name, type) of the nodes that each source calls."""
-    return edges.where(F.col("relation") == relation).join(nodes, F.col("target_id") == F.col("id")).select("source_id", "id", "name", "type")
+    return edges.where(F.col("relation") == relation).join(by_key(nodes), F.col("target_id") == F.col("id")).select("source_id", "id", "name", "type")
 
 
 def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, direction, relation, id, name): what each node touches, either way, over all relations."""
     out = edges.select(F.col("source_id").alias("node"), F.lit("out").alias("direction"), "relation", F.col("target_id").alias("id"))
     into = edges.select(F.col("target_id").alias("node"), F.lit("in").alias("direction"), "relation", F.col("source_id").alias("id"))
-    return out.unionByName(into).join(nodes.select("id", "name"), "id").select("node", "direction", "relation", "id", "name")
+    return out.unionByName(into).join(by_key(nodes.select("id", "name")), "id").select("node", "direction", "relation", "id", "name")
 
 
 def drop_dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges of which both ends exist."""
-    known = nodes.select("id")
+    known = by_key(nodes.select("id"))
     kept = edges.join(known, F.col("source_id") == F.col("id"), "left_semi")
     return kept.join(known, F.col("target_id") == F.col("id"), "left_semi")
 
@@ -39,7 +39,7 @@ def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The ends of edges that aren't nodes, with the kind their id's prefix names."""
     ends = edges.select(F.col("source_id").alias("id")).unionByName(edges.select(F.col("target_id").alias("id"))).distinct()
     kind = F.when(F.col("id").contains(":"), F.substring_index("id", ":", 1)).otherwise("Module")
-    return ends.join(nodes.select("id"), "id", "left_anti").select("id", kind.alias("type"))
+    return ends.join(by_key(nodes.select("id")), "id", "left_anti").select("id", kind.alias("type"))
 
 
 def resolve_calls(calls: DataFrame, definitions: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def degrees(edges: DataFrame, distinct: bool = False) -> DataFrame:
 
 def hubs(edges: DataFrame, nodes: DataFrame, threshold: int, most: int = 100) -> DataFrame:
     """Nodes of more than `threshold` edges, largest first."""
-    found = degrees(edges).where(F.col("degree") > threshold).join(nodes.select("id", "name"), "id")
+    found = degrees(edges).where(F.col("degree") > threshold).join(by_key(nodes.select("id", "name")), "id")
     return found.orderBy(F.desc("degree"), "id").limit(most)
 
 
@@ -290,7 +290,7 @@ def neighbourhood_text(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def module_dependencies(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(source_module, target_module, n): edges between files, rolled up."""
-    own = nodes.select("id", "file_path")
+    own = by_key(nodes.select("id", "file_path"))
     s, t = own.select(F.col("id").alias("source_id"), F.col("file_path").alias("source_module")), own.select(F.col("id").alias("target_id"), F.col("file_path").alias("target_module"))
     both = edges.join(s, "source_id").join(t, "target_id").where("source_module <> target_module")
     return both.groupBy("source_module", "target_module").agg(F.count("*").alias("n"))
@@ -300,7 +300,7 @@ def change_impact(changed: DataFrame, edges: DataFrame, nodes: DataFrame, max_ho
     """(module, impact): sum of 1/hop over the nodes that depend on changed ones (column seed)."""
     back = edges.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))
     near = hops(changed, back, max_hops, directed=True).where("hop > 0").groupBy("id").agg(F.min("hop").alias("hop"))
-    return near.join(nodes.select("id", "file_path"), "id").groupBy(F.col("file_path").alias("module")).agg(F.sum(1 / F.col("hop")).alias("impact"))
+    return near.join(by_key(nodes.select("id", "file_path")), "id").groupBy(F.col("file_path").alias("module")).agg(F.sum(1 / F.col("hop")).alias("impact"))
 
 
 def naming_families(names: DataFrame, least: int = 3) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from cairn.functions.arrow import read_block
-from cairn.session import block_files, materialise
+from cairn.session import block_files, by_key, materialise
 
 #: Queries in a block, bytes of vectors of the index that meet all blocks at once, and rows of them that are scored at a time.
 QUERY_BLOCK, SLAB_BYTES, SCORED = 1024, 64 << 20, 2048
@@ -206,6 +206,7 @@ def entity_search(entities: DataFrame, edges: DataFrame, threshold: float = 0.6,
 
 def subgraph_lines(edges: DataFrame, near: DataFrame, per_node: int = 3, most: int = 50) -> DataFrame:
     """(query_id, text): up to `per_node` relations of each node near a query, closest first, in `most` lines."""
+    near = by_key(near)
     inside = near.alias("n").join(edges, F.col("n.id") == F.col("source_id")).join(near.alias("m"), (F.col("m.query_id") == F.col("n.query_id")) & (F.col("m.id") == F.col("target_id")))
     rows = inside.select(F.col("n.query_id").alias("query_id"), F.col("n.hop").alias("hop"), "source_id", "relation", "target_id").distinct()
     few = rows.withColumn("k", F.row_number().over(Window.partitionBy("query_id", "source_id").orderBy("relation", "target_id"))).where(F.col("k") <= per_node)

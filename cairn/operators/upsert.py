@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.session import by_key
+
 
 def diff(old: DataFrame, new: DataFrame, key: str = "path", value: str = "hash") -> DataFrame:
     """(key, status): added, deleted, modified or unchanged."""
@@ -40,7 +42,7 @@ def merge_provenance(rows: DataFrame) -> DataFrame:
 
 def delete_file(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges without those of the files (file_path) that are gone."""
-    lost = nodes.join(gone, "file_path", "left_semi").select(F.col("id").alias("lost"))
+    lost = by_key(nodes.join(gone, "file_path", "left_semi").select(F.col("id").alias("lost")))
     kept = edges.join(lost, F.col("source_id") == F.col("lost"), "left_anti").join(lost, F.col("target_id") == F.col("lost"), "left_anti")
     return nodes.join(gone, "file_path", "left_anti"), kept
 
@@ -77,7 +79,7 @@ def to_process(files: DataFrame, state: DataFrame, force: bool = False) -> DataF
 def file_state(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(file_path, n_nodes, n_edges); an edge counts for the file of its source."""
     n = nodes.groupBy("file_path").agg(F.count("*").alias("n_nodes"))
-    own = nodes.select(F.col("id").alias("source_id"), "file_path")
+    own = by_key(nodes.select(F.col("id").alias("source_id"), "file_path"))
     e = edges.join(own, "source_id").groupBy("file_path").agg(F.count("*").alias("n_edges"))
     return n.join(e, "file_path", "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
 

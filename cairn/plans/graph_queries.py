@@ -9,7 +9,7 @@ from cairn.operators import graph as G
 from cairn.operators import upsert as U
 from cairn.plans import adapters as A
 from cairn.plans.catalog import query
-from cairn.session import materialise, table
+from cairn.session import by_key, materialise, table
 
 #: The node that breadth-first queries start from: the smallest key has a deep neighbourhood.
 START = "n0"
@@ -89,7 +89,7 @@ def c16_provenance(spark, sf):
 WHERE NOT ((s.type = 'Field' AND e.relation = 'calls') OR s.type IN ('Class', 'Method'))""")
 def c18_allowed_relations(spark, sf):
     allowed = spark.createDataFrame([("Field", "calls"), ("Class", "calls"), ("Class", "imports"), ("Method", "calls"), ("Method", "imports")], "type string, relation string")
-    typed = A.edges(spark, sf).join(A.nodes(spark, sf), F.col("source_id") == F.col("id"))
+    typed = A.edges(spark, sf).join(by_key(A.nodes(spark, sf)), F.col("source_id") == F.col("id"))
     return typed.join(F.broadcast(allowed), ["type", "relation"], "left_anti").select("source_id", "relation", "type", F.lit(True).alias("bad"))
 
 
@@ -117,7 +117,7 @@ def d3_co_change(spark, sf):
 
 @query("SELECT count(*) AS missing FROM edges WHERE target_id NOT IN (SELECT id FROM nodes WHERE line_start > 10)")
 def d4_referential_check(spark, sf):
-    known = A.nodes(spark, sf).where("line_start > 10").select("id")
+    known = by_key(A.nodes(spark, sf).where("line_start > 10").select("id"))
     return A.edges(spark, sf).join(known, F.col("target_id") == F.col("id"), "left_anti").agg(F.count("*").alias("missing"))
 
 

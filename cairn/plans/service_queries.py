@@ -18,7 +18,7 @@ from cairn.operators import vector_index as V
 from cairn.operators.upsert import last_writes
 from cairn.plans import adapters as A
 from cairn.plans.catalog import query
-from cairn.session import materialise, scratch, spread, table
+from cairn.session import by_key, materialise, scratch, spread, table
 from cairn.streaming import live
 
 
@@ -155,7 +155,7 @@ def k1_risk_scores(spark, sf):
 def k2_hub_modules(spark, sf):
     from cairn.operators.graph import degrees
 
-    own = degrees(A.edges(spark, sf)).join(A.nodes(spark, sf), "id").select(F.col("file_path").alias("module"), "degree")
+    own = degrees(A.edges(spark, sf)).join(by_key(A.nodes(spark, sf)), "id").select(F.col("file_path").alias("module"), "degree")
     return TP.hub_modules(own)
 
 

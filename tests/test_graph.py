@@ -191,3 +191,31 @@ def test_edges_are_dealt_by_number_of_lines(spark, tmp_path, monkeypatch):
     want = Counter((a, b) for (o, a), (p, b) in itertools.product(bought, bought) if o == p and a < b)
     got = {(r.source_id, r.target_id): (r.relation, r.weight) for r in found.collect()}
     assert got == {(f"n{a}", f"n{b}"): ("calls" if (a + b) % 4 else "imports", n) for (a, b), n in want.items() if n >= 2}
+
+
+def test_nodes_are_dealt_to_edges_by_key(spark, tmp_path):
+    """Nodes in small files may be millions, so no task gets all of them."""
+    from cairn.operators import retrieval as R
+
+    edges(spark, [("a", "b"), ("b", "c"), ("c", "x"), ("x", "a"), (None, "a")]).write.parquet(f"{tmp_path}/edges")
+    nodes(spark, "abc").unionByName(nodes(spark, "x", "g.py")).write.parquet(f"{tmp_path}/nodes")
+    e, n = spark.read.parquet(f"{tmp_path}/edges"), spark.read.parquet(f"{tmp_path}/nodes")
+    near = n.select(F.col("line_start").alias("query_id"), "id", F.lit(0).alias("hop"))
+    found = {
+        "callers": G.callers(e, n).select("target_id", "id"), "callees": G.callees(e, n).select("source_id", "id"), "neighbours": G.neighbours(e, n).select("node", "id"),
+        "kept": G.drop_dangling(e, n.where("id <> 'c'")).select("source_id", "target_id"), "lost": G.dangling(e.where("source_id is not null"), n.where("id <> 'c'")).select("id"),
+        "hubs": G.hubs(e, n, 2).select("id", "degree"), "modules": G.module_dependencies(e, n), "state": U.file_state(n, e),
+        "deleted": U.delete_file(n, e, spark.createDataFrame([("g.py",)], "file_path string"))[1].select("source_id", "target_id"),
+        "lines": R.subgraph_lines(e, near).select("text"),
+    }
+    want = {
+        "callers": {("b", "a"), ("c", "b"), ("x", "c"), ("a", "x")}, "callees": {("a", "b"), ("b", "c"), ("c", "x"), ("x", "a"), (None, "a")},
+        "neighbours": {("a", "b"), ("b", "c"), ("c", "x"), ("x", "a"), (None, "a"), ("b", "a"), ("c", "b"), ("x", "c"), ("a", "x")},
+        "kept": {("a", "b"), ("x", "a")}, "lost": {("c",)}, "hubs": {("a", 3)}, "modules": {("f.py", "g.py", 1), ("g.py", "f.py", 1)}, "state": {("f.py", 3, 3), ("g.py", 1, 1)},
+        "deleted": {("a", "b"), ("b", "c"), (None, "a")}, "lines": {("\n".join(f"{a} --calls--> {b}" for a, b in ("ab", "bc", "cx", "xa")),)},
+    }
+    for name, rows in found.items():
+        assert {tuple(r) for r in rows.collect()} == want[name], name
+        # delete_file finds the nodes of lost files by a table of two; file_state joins counts a file
+        small = {"deleted": 1, "state": 1}.get(name, 0)
+        assert rows._jdf.queryExecution().toString().split("== Physical Plan ==")[1].split("== Initial Plan ==")[0].count("BroadcastHashJoin") <= small, name
