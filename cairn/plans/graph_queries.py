@@ -153,11 +153,11 @@ def h4_impact(spark, sf):
     return G.impact(edges, node)
 
 
-@query("""WITH RECURSIVE way AS (SELECT source_id AS s, target_id AS t FROM (SELECT * FROM edges WHERE weight >= 3) UNION SELECT target_id, source_id FROM (SELECT * FROM edges WHERE weight >= 3)),
+@query("""WITH RECURSIVE way AS (SELECT source_id AS s, target_id AS t FROM edges UNION SELECT target_id, source_id FROM edges),
 r AS (SELECT DISTINCT s AS id, s AS c FROM way UNION SELECT t, c FROM r JOIN way ON s = id)
 SELECT id, min(c) AS component FROM r GROUP BY id""")
 def h5_components(spark, sf):
-    return CC.connected_components(A.edges(spark, sf).where("weight >= 3"), "source_id", "target_id")
+    return CC.connected_components(A.edges(spark, sf), "source_id", "target_id")
 
 
 @query("""WITH o AS (SELECT source_id, count(*) AS n FROM edges GROUP BY 1) SELECT e.source_id, target_id, relation, CASE WHEN n > floor(0.002 * (SELECT count(*) FROM nodes)) THEN weight * 0.3 ELSE weight END AS weight,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cairn.operators import components as CC
 from cairn.operators import graph as G
 from cairn.operators import upsert as U
+from cairn.plans import registry
 
 EDGE = "source_id string, target_id string, relation string, weight double"
 NODE = "id string, type string, name string, file_path string, line_start int, line_end int"
@@ -110,6 +111,13 @@ def test_shortest_path_and_hops(spark):
     assert got == {("a", "a"): 0, ("a", "b"): 1, ("a", "c"): 1, ("a", "x"): 1, ("a", "e"): 1, ("none", "none"): 0}
 
 
+def test_components_query_takes_every_edge(spark, tmp_path):
+    bought = [(o, p) for o, parts in enumerate([(1, 2), (1, 2), (2, 3), (2, 3), (2, 3), (7, 8)]) for p in parts]
+    spark.createDataFrame(bought, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.id: r.component for r in registry.queries()["h5_components"](spark, str(tmp_path)).collect()}
+    assert got == dict.fromkeys(["n1", "n2", "n3"], "n1")
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 200), (None, 3), (50, 49), (50, 48)]
     got = {r.id: r.component for r in CC.connected_components(spark.createDataFrame(pairs, "u int, v int")).collect()}
