@@ -82,30 +82,67 @@ def hubs(edges: DataFrame, nodes: DataFrame, threshold: int, most: int = 100) ->
 
 #: Files of one commit that a block holds; two blocks are paired in one group of a join.
 FILES = 1 << 10
+#: Rows, and pairs of files, that a task holds when they are dealt.
+ROWS, PAIRS = 1 << 18, 1 << 20
 
 
 def co_change(touched: DataFrame, least: int = 2, most_files: int | None = None, block: int = FILES) -> DataFrame:
-    """(file_a, file_b, weight): pairs of files that at least `least` commits (sha, path) share, in order of the alphabet.
+    """(file_a, file_b, weight): pairs of files that at least `least` commits (sha, path) share, in their order.
 
-    Files of fewer commits are in no such pair and are left out first. Those left of a commit are dealt into blocks, and each pair of
-    blocks is a group of its own, so that a commit of any size is many groups. Pairs grow with the square of these files;
+    Commits and files may be numbers (`named` puts names to the files): a pair then takes a fraction of the disk. Files of fewer commits are in
+    no such pair and are left out first. Rows are dealt by commit, whose files are paired where they are, and pairs by files, so that each
+    row and each pair is shuffled once; what a task holds doesn't grow with the table. Commits of more than `block` rows are dealt into blocks, and
+    each pair of blocks is a group of its own, so that a commit of any size is many groups. Pairs grow with the square of a commit's files;
     `most_files` leaves larger commits out.
     """
-    rows = touched.select("sha", "path").where("sha is not null and path is not null").distinct()
+    rows = touched.select("sha", "path").where("sha is not null and path is not null")
     if most_files:
-        small = rows.groupBy("sha").count().where(F.col("count") <= most_files).select("sha")
-        rows = rows.join(small, "sha", "left_semi")
-    rows = materialise(rows, "touched")
-    often = rows.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("path")
-    rows = materialise(rows.join(often, "path", "left_semi"), "touched-often")
-    sizes = rows.groupBy("sha").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"), F.count("*").alias("n")).where("n > 1").select("sha", "parts")
-    dealt = rows.join(sizes, "sha").withColumn("own", F.pmod(F.xxhash64("path"), "parts").cast("int"))
+        rows = rows.distinct()
+        rows = rows.join(rows.groupBy("sha").count().where(F.col("count") <= most_files).select("sha"), "sha", "left_semi")
+    rows = materialise(rows, "touched", ROWS)
+    counts = materialise(rows.groupBy("path").agg(F.count("*").alias("n")), "touched-counts")
+    n = F.col("n")
+    rare = counts.where(n < least).select("path")
+    if not rare.isEmpty():
+        rows = materialise(rows.join(by_key(rare), "path", "left_anti"), "touched-often", ROWS)
+    sizes = rows.groupBy("sha").agg(F.count("*").alias("n"))
+    cores, held = touched.sparkSession.sparkContext.defaultParallelism, rows.count()
+    most, twice = sizes.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum(F.when(n <= block, n * (n - 1))), F.lit(0))).first()
+    large = None
+    if most > block:
+        mass = materialise(sizes.where(n > block).select("sha"), "touched-mass")
+        # without repeated rows, and then without files that too few other commits have
+        own = rows.join(mass, "sha", "left_semi").groupBy("sha", "path").agg(F.count("*").alias("own"))
+        large = materialise(own.join(by_key(counts), "path").where(n - F.col("own") >= least - 1).select("sha", "path"), "touched-large")
+        rows, left = rows.join(mass, "sha", "left_anti"), large.groupBy("sha").agg(F.count("*").alias("n"))
+        twice += left.agg(F.coalesce(F.sum(n * (n - 1)), F.lit(0))).first()[0]
+    dealt = rows.repartition(max(cores, -(-held // ROWS)), "sha").distinct()
+    a, b = dealt.alias("a"), dealt.alias("b")
+    pairs = a.join(b, (F.col("a.sha") == F.col("b.sha")) & (F.col("a.path") < F.col("b.path"))).select(F.col("a.path").alias("file_a"), F.col("b.path").alias("file_b"))
+    if large is not None:
+        pairs = pairs.unionByName(_pairs_of_blocks(large, left, block))
+    # a pair has no more commits than the second most frequent file: if these are many, equal pairs are counted before they are dealt
+    if all(r.n <= PAIRS for r in counts.orderBy(F.desc("n")).limit(2).collect()[1:]):
+        pairs = pairs.repartition(max(cores, -(-twice // (2 * PAIRS))), "file_a", "file_b")
+    return pairs.groupBy("file_a", "file_b").agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
+
+
+def _pairs_of_blocks(rows: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
+    """(file_a, file_b) of commits of any size, block against block; `sizes` is (sha, n)."""
+    parts = sizes.where("n > 1").select("sha", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    dealt = rows.join(parts, "sha").withColumn("own", F.pmod(F.xxhash64("path"), "parts").cast("int"))
     sides = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     sides = sides.select("sha", "path", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     by = ["sha", "low", "high"]
     pairs = sides.where("own = low").select(*by, F.col("path").alias("p")).join(sides.where("own = high").select(*by, F.col("path").alias("q")), by)
-    pairs = pairs.where("low < high or p < q").select(F.least("p", "q").alias("file_a"), F.greatest("p", "q").alias("file_b"))
-    return pairs.groupBy("file_a", "file_b").agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
+    return pairs.where("low < high or p < q").select(F.least("p", "q").alias("file_a"), F.greatest("p", "q").alias("file_b"))
+
+
+def named(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """`co_change` of numbered files, with their names (path, name); numbers are in the order of names."""
+    a, b = (by_key(names.select(F.col("path").alias(c), F.col("name").alias(f"{c}_name"))) for c in ("file_a", "file_b"))
+    found = pairs.join(a, "file_a").join(b, "file_b")
+    return found.select(F.col("file_a_name").alias("file_a"), F.col("file_b_name").alias("file_b"), "weight")
 
 
 def hops(seeds: DataFrame, edges: DataFrame, max_hops: int | None = None, directed: bool = False) -> DataFrame:
@@ -316,16 +353,18 @@ def runtime_weights(edges: DataFrame, observed: DataFrame) -> DataFrame:
     return edges.join(seen, ["source_id", "target_id"], "left").withColumn("blended", 0.3 * F.least("weight", F.lit(1.0)) + 0.7 * F.coalesce("seen", F.lit(0.0)))
 
 
-def build_topology(files: DataFrame, touched: DataFrame) -> tuple[DataFrame, DataFrame]:
+def build_topology(files: DataFrame, touched: DataFrame, names: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, type) and edges (source_id, target_id, relation, weight): folders, files, and files that change together.
 
-    `files` is (path), `touched` (sha, path); pairs with a file that is gone are left out.
+    `files` is (path), `touched` (sha, path), with numbers for paths if `names` is there (see `named`); pairs with a file that is gone are left out.
     """
     held = containment(files)
     folders = held.select(F.explode(F.array("parent", F.when(F.col("kind") == "Module", F.col("child")))).alias("id")).where("id is not null").distinct().select("id", F.lit("Module").alias("type"))
     own = folders.unionByName(files.select(F.col("path").alias("id"), F.lit("File").alias("type")).distinct())
     contains = held.select(F.col("parent").alias("source_id"), F.col("child").alias("target_id"), F.lit("contains").alias("relation"), F.lit(1.0).alias("weight"))
-    together = co_change(touched).select(F.col("file_a").alias("source_id"), F.col("file_b").alias("target_id"), F.lit("co_changes").alias("relation"), F.col("weight").cast("double").alias("weight"))
+    pairs = co_change(touched)
+    pairs = named(pairs, names) if names is not None else pairs
+    together = pairs.select(F.col("file_a").alias("source_id"), F.col("file_b").alias("target_id"), F.lit("co_changes").alias("relation"), F.col("weight").cast("double").alias("weight"))
     return own, contains.unionByName(drop_dangling(together, own))
 
 

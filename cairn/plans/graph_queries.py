@@ -112,7 +112,8 @@ def d2_hubs(spark, sf):
 
 @query("""WITH t AS (SELECT DISTINCT sha, path FROM changes) SELECT a.path AS file_a, b.path AS file_b, count(*) AS weight FROM t a JOIN t b ON a.sha = b.sha AND a.path < b.path GROUP BY 1, 2 HAVING count(*) >= 2""")
 def d3_co_change(spark, sf):
-    return G.co_change(A.changes(spark, sf))
+    rows, files = A.touched(spark, sf)
+    return G.named(G.co_change(rows), files)
 
 
 @query("SELECT count(*) AS missing FROM edges WHERE target_id NOT IN (SELECT id FROM nodes WHERE line_start > 10)")
@@ -311,8 +312,9 @@ SELECT 'contains' AS relation, x AS source_id, y AS target_id, 1.0::DOUBLE AS we
 UNION ALL SELECT 'co_changes', x, y, n::DOUBLE FROM c WHERE x IN (SELECT path FROM live) AND y IN (SELECT path FROM live)
 UNION ALL SELECT 'node', x, y, NULL FROM (SELECT '.' AS x, 'Module' AS y UNION SELECT a, 'Module' FROM d UNION SELECT b, 'Module' FROM d UNION SELECT path, 'File' FROM d)""")
 def h9_topology(spark, sf):
-    changes = A.changes(spark, sf)
-    live = changes.where(~F.col("path").startswith("Brand1/")).select("path").distinct()
-    nodes, edges = G.build_topology(live, changes)
+    rows, files = A.touched(spark, sf)
+    rows = materialise(rows, "changes")
+    live = files.where(~F.col("name").startswith("Brand1/")).join(by_key(rows.select("path").distinct()), "path", "left_semi").select(F.col("name").alias("path"))
+    nodes, edges = G.build_topology(live, rows, files)
     own = nodes.select(F.lit("node").alias("relation"), F.col("id").alias("source_id"), F.col("type").alias("target_id"), F.lit(None).cast("double").alias("weight"))
     return edges.select(*own.columns).unionByName(own)

@@ -84,11 +84,12 @@ def block_files(df: DataFrame, rows: int, name: str) -> list[str]:
     return sorted(df.sparkSession.read.schema(df.schema).parquet(path).inputFiles())
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, per_file: int = 0) -> DataFrame:
     """Write `df` once to the shared folder and go on from there.
 
-    This cuts the lineage without tying rows to the executors that made them.
+    This cuts the lineage without tying rows to the executors that made them. Files of `per_file` rows at most keep a task that reads several of them
+    to a few million, as each counts as 4 MB or more; short, regular rows would otherwise be tens of millions in a task.
     """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", per_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,6 +2,7 @@ import itertools
 import random
 from collections import Counter
 
+import duckdb
 from pyspark.sql import functions as F
 
 from cairn.operators import components as CC
@@ -63,6 +64,59 @@ def test_co_change_of_a_mass_commit(spark):
     assert tuple(r) == (200 * 199 // 2, 2, 2)
 
 
+def test_co_change_of_repeated_rows(spark):
+    """A mass commit of repeated rows is paired without files of its own; commits of more files than `most_files` are left out."""
+    mass = spark.range(40000).select(F.lit("mass").alias("sha"), F.format_string("f%05d", F.col("id") % 20000).alias("path"))
+    some = spark.range(400).select(F.lit("some").alias("sha"), F.format_string("f%05d", F.col("id") % 200 * 100).alias("path"))
+    both = mass.unionByName(some)
+    r = G.co_change(both).agg(F.count("*").alias("n"), F.min("weight").alias("low"), F.max("weight").alias("high")).first()
+    assert tuple(r) == (200 * 199 // 2, 2, 2)
+    assert G.co_change(both, 1, most_files=300).agg(F.count("*"), F.max("weight")).first()[:] == (200 * 199 // 2, 1)
+
+
+def test_co_change_counts_frequent_pairs_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(G, "PAIRS", 10)
+    often = spark.createDataFrame([(c, p) for c in range(30) for p in ([1, 2] if c < 25 else [1, 3])], "sha long, path long")
+    assert sorted(tuple(r) for r in G.co_change(often).collect()) == [(1, 2, 25), (1, 3, 5)]
+
+
+def shuffled(spark):
+    """Bytes so far, in local mode."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    return context.statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_co_change_query_shuffles_numbers(spark, tmp_path):
+    """Paths of 2,000 characters, 24 MB over all lines: only those of the 300 files are shuffled, not those of the lines."""
+    parts = spark.range(300).select(F.col("id").alias("p_partkey"), F.lit("Brand#1").alias("p_brand"), (F.col("id") % 9).cast("int").alias("p_size"),
+        F.concat(*[F.md5(F.concat_ws("/", "id", F.lit(k))) for k in range(63)]).alias("p_type"))
+    lines = spark.range(12000).select((F.col("id") / 4).cast("long").alias("l_orderkey"), (F.col("id") * 119 % 300).alias("l_partkey"), F.lit(1).alias("l_linenumber"), F.lit(1.0).alias("l_quantity"), F.lit(0.1).alias("l_discount"))
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    before = shuffled(spark)
+    got = registry.queries()["d3_co_change"](spark, str(tmp_path)).collect()
+    assert 0 < (n := shuffled(spark) - before) < 8 << 20, n
+    assert sum(r.weight for r in got) == 3000 * 6 and all(r.file_a < r.file_b for r in got)
+
+
+def test_co_change_queries_on_odd_tables(spark, tmp_path):
+    """Keys that are null, have no part or two, parts without brand, repeated lines: as their SQL says."""
+    part = [(1, "Brand#1", "A", 1), (1, "Brand#2", "A", 9), (1, "Brand#2", "A", 9), (2, "Brand#3", "B", 5), (3, None, "C", 5), (None, "Brand#4", "D", 5), (4, "Brand#1", "A", 7), (10, "Brand#1", "A", 7)]
+    bought = [*[(o, p) for o in (1, 2, 3) for p in (1, 2, 3, 4, 9, 10, None)], (1, 2), (4, 2), (4, 4), (None, 1), (None, 2), (5, 1)]
+    spark.createDataFrame(part, "p_partkey long, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    lines = spark.createDataFrame(bought, "l_orderkey long, l_partkey long").select("*", F.lit(1).alias("l_linenumber"), F.lit(1.0).alias("l_quantity"), F.lit(0.1).alias("l_discount"))
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    for name in ("part", "lineitem"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("d3_co_change", "h9_topology"):
+        con.execute(registry.oracle_sql()[name])
+        want = Counter(con.fetchall())
+        frame = registry.queries()[name](spark, str(tmp_path))
+        assert Counter(tuple(r) for r in frame.select(*[d[0] for d in con.description]).collect()) == want and want
+
+
 def test_paths_and_hops_equal_a_plain_search(spark):
     rng = random.Random(9)
     pairs = sorted({(f"v{rng.randrange(60):02}", f"v{rng.randrange(60):02}") for _ in range(110)})
