@@ -122,7 +122,7 @@ def co_change(touched: DataFrame, least: int = 2, most_files: int | None = None,
     if large is not None:
         pairs = pairs.unionByName(_pairs_of_blocks(large, left, block))
     # a pair has no more commits than the second most frequent file: if these are many, equal pairs are counted before they are dealt
-    if all(r.n <= PAIRS for r in counts.orderBy(F.desc("n")).limit(2).collect()[1:]):
+    if all(r.n <= PAIRS for r in counts.orderBy(F.desc("n")).take(2)[1:]):
         pairs = pairs.repartition(max(cores, -(-twice // (2 * PAIRS))), "file_a", "file_b")
     return pairs.groupBy("file_a", "file_b").agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
 
